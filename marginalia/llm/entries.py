@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import audio, mixing, urls
+from marginalia.llm import audio, mixing, near, urls
 from marginalia.llm.common import table
 
 #: The rules of the url query.
@@ -27,11 +27,15 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("node")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_columns(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mixing, op6_url_filters, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mixing, op6_url_filters, op8_minhash_near_dedup, op10_media_columns)}
 
 SQL: dict[str, str] = {
     "op5_mixing": r"""
@@ -75,4 +79,18 @@ SQL: dict[str, str] = {
                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/'
                 END AS rule FROM p)""",
+    "op8_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (
+          SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+        e AS (SELECT doc_id, unnest(s) AS x FROM g),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (
+          SELECT a, b FROM c JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b WHERE 100 * n >= 85 * (len(ga.s) + len(gb.s) - n)),
+        both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, m.b FROM r JOIN both_ways m ON r.b = m.a)
+        SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, m.component_id, g.doc_id = m.component_id AS kept
+        FROM g JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = g.doc_id""",
 }
