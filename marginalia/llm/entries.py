@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import audio, mixing, near, urls
+from marginalia.llm import audio, mixing, near, suffix, urls
 from marginalia.llm.common import table
 
 #: The rules of the url query.
@@ -27,6 +27,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("node")
 
@@ -35,7 +39,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_columns(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mixing, op6_url_filters, op8_minhash_near_dedup, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_mixing, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op10_media_columns)}
 
 SQL: dict[str, str] = {
     "op5_mixing": r"""
