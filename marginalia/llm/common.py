@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,3 +86,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def partitions_for(rows: int, per_task: int, least: int = 1) -> int:
     return max(least, -(-rows // per_task))
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_runs(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """A text's words in lists for about ``size`` bytes each, so that a huge text is never one huge list."""
+    at = 0
+    while len(text) - at > size:
+        found = _SPACE.search(text, at + size)
+        if not found:
+            break
+        yield words_of(text[at : found.start()])
+        at = found.end()
+    yield words_of(text[at:] if at else text)
+
+
+class Memo(dict):
+    """A cache of ``make(key)`` that starts anew after ``most`` entries."""
+
+    def __init__(self, make: Callable, most: int = 1_000_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[key] = self.make(key)
+        return out
