@@ -41,6 +41,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` (narrow ones) allow it."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -4,9 +4,10 @@ One hash of a shingle serves all of a document's minima: its high bits choose th
 hash.  An empty bin copies the bin that a hash of (bin, attempt) names first among the filled ones.  ``BANDS`` groups of
 ``ROWS`` bins name buckets.  Documents with the same set are one node beforehand, so a bucket holds different sets only.
 
-In a bucket every member is a candidate of one centre only, so there are at most as many pairs as members.  Pairs are
-confirmed on the full sets.  As two members can be alike though the centre is not like both, buckets whose members still
-lie in several components after a round get another centre, until none is left or a round confirms nothing new.
+In a bucket every member is a candidate of one centre only, so there are at most as many pairs as members.  A pair whose
+signatures agree in far too few bins is dropped, the others are confirmed on the full sets.  As two members can be alike
+though the centre is not like both, buckets whose members still lie in several components get another centre for the
+pairs that were not tried yet, until ``IDLE`` rounds in a row confirm nothing new.
 """
 
 from __future__ import annotations
@@ -17,14 +18,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import chunks, mixed, stored, texts_of, words_of
+from marginalia.llm.common import chunks, mixed, sized, stored, texts_of, words_of
 
 BANDS, ROWS = 32, 5
 #: A shared hash is tried so often for an empty bin; after that the next filled bin serves.
 ATTEMPTS = 64
+#: Pairs go on if their signatures agree in a share of bins that is at most so far below the limit: five deviations of 160 bins.
+SLACK = 0.15
+IDLE = 2
 #: Entries of a worker's word memo, after which it starts anew.
 MEMO = 1_000_000
 
@@ -102,7 +106,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>, signature binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -111,57 +115,73 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int
         sets = shingle_sets(texts_of(batch.column("text")), width, memo)
         some = [i for i, s in enumerate(sets) if len(s)]
         keys: list = [None] * len(sets)
+        short: list = [None] * len(sets)
         if some:
-            for i, k in zip(some, band_keys(signatures([sets[i] for i in some], bands * rows), bands, rows), strict=True):
-                keys[i] = k
+            found = signatures([sets[i] for i in some], bands * rows)
+            for i, k, b in zip(some, band_keys(found, bands, rows), mixed(found).astype(np.uint8), strict=True):
+                keys[i], short[i] = k, b.tobytes()
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-        ], ["doc_id", "n_shingles", "node", "bands"])
+            pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary()),
+        ], ["doc_id", "n_shingles", "node", "bands", "signature"])
 
 
-MEMBER = "centre binary, member binary, shingles array<long>"
+MEMBER = "node binary, shingles array<long>"
 
 
 def _members(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     memo = _Memo()
     for batch in chunks(batches, "text"):
         sets = shingle_sets(texts_of(batch.column("text")), width, memo)
-        member = batch.column("member").to_pylist()
-        keep = [i for i, s in enumerate(sets) if len(s) and node_of(s) == member[i]]  # rows of other texts under the same id go
-        yield pa.RecordBatch.from_arrays([
-            batch.column("centre").take(pa.array(keep, pa.int64())), pa.array([member[i] for i in keep], pa.binary()),
-            pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64())),
-        ], ["centre", "member", "shingles"])
+        node = batch.column("node").to_pylist()
+        keep = [i for i, s in enumerate(sets) if len(s) and node_of(s) == node[i]]  # rows of other texts under the same id go
+        yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.binary()), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _priority(node: Column, turn: int) -> Column:
-    return F.xxhash64(node, F.lit(turn))
+PAIR = "a binary, b binary, comp_a binary, comp_b binary"
 
 
-def _stars(entries: DataFrame, turn: int) -> DataFrame:
-    """Distinct (centre, member) of buckets: entries are ``key, node, comp``; members of the centre's component need no pair."""
-    centres = entries.groupBy("key").agg(F.min(F.struct(_priority(F.col("node"), turn).alias("p"), "node", "comp")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    pairs = entries.join(centres.select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("home")), "key").where("comp <> home")
-    return pairs.select("centre", F.col("node").alias("member")).distinct()
+def _promising(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            yield batch.filter(pa.array((x == y).mean(axis=1) >= least)).select(["a", "b", "comp_a", "comp_b"])
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (centre, member) pairs whose full sets are alike: each set is made again from its text."""
-    wanted = pairs.union(pairs.select("centre", F.col("centre").alias("member")).distinct())
-    named = wanted.join(nodes.select(F.col("node").alias("member"), "rep"), "member")
-    texts = docs.select("doc_id", "text")
-    rows = named.join(texts, named["rep"].eqNullSafe(texts["doc_id"])).select("centre", "member", "text")
-    sets = rows.mapInArrow(lambda it: _members(it, width), MEMBER)
-    own = sets.where("centre = member").select(F.col("centre").alias("c"), F.col("shingles").alias("own")).dropDuplicates(["c"])
-    both = sets.where("centre <> member").join(own, F.col("centre") == F.col("c"))
-    common = F.size(F.array_intersect("shingles", "own"))
-    return both.where(100 * common >= percent * (F.size("shingles") + F.size("own") - common)).select("centre", "member").distinct()
+def _stars(entries: DataFrame, tried: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """New distinct pairs of each bucket's centre and its members in other components.
+
+    The first centre is the same for all buckets that hold it, so a group has few; later ones differ by bucket.
+    """
+    what = ["node"] if turn == 0 else ["node", "key"]
+    order = F.xxhash64(*what, F.lit(turn))
+    centres = entries.groupBy("key").agg(F.min(F.struct(order.alias("p"), "node", "comp", "n", "signature")).alias("c")).select("key", "c.*")
+    centres = centres.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"))
+    pairs = entries.join(centres, "key").where((F.col("comp") != F.col("comp_a")) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")))
+    first = F.col("a") < F.col("node")
+    pairs = pairs.select(
+        F.when(first, F.col("a")).otherwise(F.col("node")).alias("a"), F.when(first, F.col("node")).otherwise(F.col("a")).alias("b"),
+        F.when(first, F.col("comp_a")).otherwise(F.col("comp")).alias("comp_a"), F.when(first, F.col("comp")).otherwise(F.col("comp_a")).alias("comp_b"),
+        F.when(first, F.col("sig_a")).otherwise(F.col("signature")).alias("sig_a"), F.when(first, F.col("signature")).otherwise(F.col("sig_a")).alias("sig_b"),
+    )
+    pairs = pairs.mapInArrow(lambda it: _promising(it, percent / 100 - SLACK), PAIR).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike; only sets of these pairs move."""
+    count = pairs.count()
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")).join(sized(pairs, count), "a")
+    ends = pairs.select("b").distinct()
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")).join(sized(ends, count), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    return left.join(right, "b").where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("comp_a", "comp_b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, comp`` of every node of ``links`` (centre, member): smallest label of the neighbours, then of the label's own label."""
-    edges = stored(links.union(links.select("member", "centre")).toDF("node", "other").distinct(), "near-edges")
+    """``node, comp`` of every node of ``links`` (two columns): smallest label of the neighbours, then of the label's own label."""
+    a, b = links.columns
+    edges = stored(links.union(links.select(b, a)).toDF("node", "other").distinct(), "near-edges")
     labels = stored(edges.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("comp")), "near-labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
@@ -173,6 +193,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """``node, comp`` of the nodes in buckets with others; None if no bucket has two."""
+    entries = nodes.select("node", F.explode("bands").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    entries = stored(entries.join(shared, "key").select("key", "node"), "near-buckets")  # a bucket of one has no pairs
+    some = stored(entries.select("node").distinct().join(nodes.select("node", "rep", "n", "signature"), "node"), "near-some")
+    count = some.count()
+    if not count:
+        return None
+    texts = docs.select("doc_id", "text")
+    named = texts.join(sized(some.select("node", "rep"), count), texts["doc_id"].eqNullSafe(F.col("rep"))).select("node", "text")
+    sets = stored(named.mapInArrow(lambda it: _members(it, width), MEMBER).dropDuplicates(["node"]), "near-sets")
+    full = stored(entries.join(some.select("node", "n", "signature"), "node"), "near-entries")
+    labels = some.select("node", F.col("node").alias("comp"))
+    tried, turn, idle = None, 0, 0
+    current = full.withColumn("comp", F.col("node"))
+    while idle < IDLE:
+        pairs = stored(_stars(current, tried, turn, percent), "near-pairs")
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        links = stored(_confirmed(pairs, sets, percent), "near-links")
+        turn += 1
+        if links.isEmpty():
+            idle += 1
+            continue
+        idle = 0
+        joined = components(links).toDF("comp", "to")
+        labels = stored(labels.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "near-labels")
+        placed = full.join(labels, "node")
+        open_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        current = stored(placed.join(open_, "key", "left_semi"), "near-open")
+    return labels
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, node`` for each row of ``docs``.
 
@@ -182,24 +235,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     sketch = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _sketch(it, width, bands, rows), SKETCH), "near-sketch")
     some = sketch.where("node IS NOT NULL")
-    nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-nodes")
-    entries = nodes.select("node", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    entries = stored(entries.join(shared, "key").select("key", "node"), "near-buckets")  # a bucket of one has no pairs
-    links, labels, turn = None, None, 0
-    current = entries.withColumn("comp", F.col("node"))
-    while True:
-        found = stored(_confirmed(_stars(current, turn), nodes, docs, width, percent), "near-links")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        turn += 1
-        placed = entries.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-        current = stored(placed.join(open_, "key", "left_semi"), "near-open")
-        if current.isEmpty():
-            break
+    nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-nodes")
+    labels = _linked(docs, nodes, width, percent)
     if labels is None:
         whole = nodes.select("node", F.col("rep").alias("component_id"))
     else:
