@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import audio, language, lm, mixing, near, suffix, topk, toxicity, urls
+from marginalia.llm import audio, language, lm, mixing, near, packing, suffix, topk, toxicity, urls
 from marginalia.llm.common import table
 
 #: The rules of the url query.
@@ -19,6 +19,17 @@ RULES = (
 )
 
 
+def tokenizer_path() -> str:
+    """The packing query's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +66,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_columns(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk_search, op3_toxicity, op4_lm_scoring, op5_mixing, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_language_id, op10_media_columns)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_topk_search, op3_toxicity, op4_lm_scoring, op5_mixing, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_language_id, op10_media_columns)}
 
 SQL: dict[str, str] = {
     "op2_topk_search": r"""
