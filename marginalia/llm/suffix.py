@@ -8,7 +8,7 @@ run of neighbouring strings with one anchor is one segment, and equal segments o
 A task sorts the suffixes of its segments: multikey quicksort by 8-byte words down to ``SHALLOW`` bytes, then blind tries
 for the groups that still agree.  Neighbours in that order that share ``SPAN`` bytes are repeats.
 
-A gram that occurs more than ``HOT`` times does not go to one task: its strings get anchors of the next, longer gram
+A gram with more than ``HOT`` different segments (counted once for each piece of text) does not go to one task: its strings get anchors of the next, longer gram
 length instead, up to the whole string, of which equal ones are one row for each task.
 """
 
@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.llm.common import chunks, mixed, segment_starts, stored, texts_of
 
 SPAN = 200
 GRAMS = (56, 184, SPAN)
-HOT = 16384
+HOT = 32768
 SHALLOW = 32
 #: Bytes of segments that one sort takes, unless a gram's own are more.
 SORT_BYTES = 6 << 20
@@ -138,14 +139,25 @@ def _among(sorted_: np.ndarray, text: np.ndarray, ordinal: np.ndarray) -> np.nda
 ANCHOR = "key long, gram long, ordinal int"
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], gram: int, held: bool) -> Iterator[pa.RecordBatch]:
-    """Anchors of each text; with ``held`` only those of strings that also have an anchor listed in column ``hot``."""
+GRAM = "gram long, n int"
+
+
+def _segment_ids(part: Texts, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    whole = last - first + SPAN
+    return mixed(part.hashes(first, whole) + whole.astype(np.uint64) * SALT[0] + (place - first).astype(np.uint64) * SALT[1])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], gram: int, held: bool, counts: bool) -> Iterator[pa.RecordBatch]:
+    """Anchors of each text; with ``held`` only those of strings that also have an anchor listed in column ``hot``.
+
+    With ``counts``, grams and how often they occur instead: one row for each different segment of a piece.
+    """
     for batch in chunks(batches, "text"):
         texts = texts_of(batch.column("text"))
         keys = batch.column("key").to_numpy()
         hot = _chosen(batch.column("hot")) if held else None
         coarse = _anchored(texts, GRAMS[0]) if held else None
-        for _, text, ordinal, _, first, last, _, hashes in _anchored(texts, gram):
+        for fine, text, ordinal, place, first, last, _, hashes in _anchored(texts, gram):
             if held:
                 part, t, o, _, a, b, _, _ = next(coarse)
                 pick = _among(hot, t, o)
@@ -154,7 +166,11 @@ def _anchors(batches: Iterator[pa.RecordBatch], gram: int, held: bool) -> Iterat
                 np.add.at(marked, b[pick] + 1, -1)
                 sums = np.concatenate(([0], np.cumsum(np.cumsum(marked) > 0)))
                 keep = sums[last + 1] > sums[first]
-                text, ordinal, hashes = text[keep], ordinal[keep], hashes[keep]
+                text, ordinal, hashes, place, first, last = (x[keep] for x in (text, ordinal, hashes, place, first, last))
+            if counts:
+                _, at, n = np.unique(_segment_ids(fine, place, first, last), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(keys[text]), pa.array(hashes.view(np.int64)), pa.array(ordinal.astype(np.int32))], ["key", "gram", "ordinal"])
 
 
@@ -184,7 +200,7 @@ def _segments(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.Recor
             if not len(text):
                 continue
             whole = last - first + SPAN
-            ids = mixed(group.hashes(first, whole) + whole.astype(np.uint64) * SALT[0] + (place - first).astype(np.uint64) * SALT[1]).view(np.int64)
+            ids = _segment_ids(group, place, first, last).view(np.int64)
             data = group.bytes.tobytes()
             for s, g, a, w, c in zip(ids.tolist(), hashes.view(np.int64).tolist(), first.tolist(), whole.tolist(), times[text].tolist(), strict=True):
                 if s in held:
@@ -395,22 +411,22 @@ def whole_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-TEXT = "doc_id long, text string"
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _finish(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+    """Column ``row`` and what is left of its text."""
     for batch in chunks(batches, "text"):
-        rows: list[tuple] = []
+        cells: list[tuple] = []
         for text, found in zip(texts_of(batch.column("text")), batch.column("found").to_pylist(), strict=True):
             spans = spans_to_remove(found)
             if as_text:
                 spans = whole_characters(text, spans)
             kept = cut(text, spans)
-            rows.append((kept.decode(),) if as_text else (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+            cells.append((kept.decode(),) if as_text else (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
         kinds = [pa.string()] if as_text else [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        names = [x.split()[0] for x in (TEXT if as_text else RESULT).split(", ")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+        names = ["kept"] if as_text else [x.split()[0] for x in RESULT.split(", ")]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(list(c), k) for c, k in zip(zip(*cells, strict=True), kinds, strict=True))], ["row", *names])
 
 
 def _found(docs: DataFrame, hot: int) -> DataFrame | None:
@@ -419,32 +435,49 @@ def _found(docs: DataFrame, hot: int) -> DataFrame | None:
     level_docs = docs
     for level, gram in enumerate(GRAMS):
         held = level > 0
-        anchors = level_docs.mapInArrow(lambda it, g=gram, h=held: _anchors(it, g, h), ANCHOR)
-        twice = stored(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams")
+        grams = level_docs.mapInArrow(lambda it, g=gram, h=held: _anchors(it, g, h, True), GRAM)
+        twice = stored(grams.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("segments")).where("n > 1"), "suffix-grams")
+        anchors = level_docs.mapInArrow(lambda it, g=gram, h=held: _anchors(it, g, h, False), ANCHOR)
         last = level == len(GRAMS) - 1
-        cold = twice if last else twice.where(F.col("n") <= hot)
+        cold = twice if last else twice.where(F.col("segments") <= hot)
         chosen = anchors.join(cold.select("gram"), "gram").groupBy("key").agg(F.collect_set("ordinal").alias("ordinals"))
         rows = docs.join(chosen, "key").mapInArrow(lambda it, g=gram: _segments(it, g), SEGMENT)
         sorted_ = rows.where("bytes IS NOT NULL").select("gram", "segment", "starts", "bytes", "copies").repartition("gram").sortWithinPartitions("gram")
         repeats = sorted_.mapInArrow(_repeats, REPEAT).where(F.size("spans") > 0)
         found = rows.where("bytes IS NULL").select("segment", "key", "start").join(repeats, "segment").select("key", "start", "spans")
         out = found if out is None else out.union(found)
-        if last or twice.where(F.col("n") > hot).isEmpty():
+        if last or twice.where(F.col("segments") > hot).isEmpty():
             break
         if level == 0:
-            hot_rows = anchors.join(twice.where(F.col("n") > hot).select("gram"), "gram").groupBy("key").agg(F.collect_set("ordinal").alias("hot"))
+            hot_rows = anchors.join(twice.where(F.col("segments") > hot).select("gram"), "gram").groupBy("key").agg(F.collect_set("ordinal").alias("hot"))
             level_docs = docs.join(hot_rows, "key")
         # The next level looks at all strings of the hot anchors again; those that a longer gram already settles come twice, with one result.
     return out
 
 
-def remove_repeats(docs: DataFrame, as_text: bool = False, hot: int = HOT) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, or with ``as_text`` ``doc_id, text``.
+def _finished(docs: DataFrame, row, as_text: bool, hot: int) -> DataFrame:
+    rows = docs.select(F.struct(*row).alias("row"), "text", F.xxhash64(F.col("text"), F.length("text")).alias("key"))
+    spans = _found(rows, hot).groupBy("key").agg(F.collect_set(F.struct("start", "spans")).alias("found"))
+    joined = rows.join(spans, "key", "left").select("row", "text", "found")
+    kind = rows.schema["row"].dataType
+    schema = T.StructType([T.StructField("row", kind), *T.StructType.fromDDL("kept string" if as_text else RESULT).fields])
+    return joined.mapInArrow(lambda it: _finish(it, as_text), schema)
+
+
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Null texts are empty; texts under ``SPAN`` bytes lose nothing.  Repeated rows repeat each other, so all their strings
-    go.  As text, a character that is cut in two stays.  Other columns of ``docs`` play no part.
+    go.  Other columns of ``docs`` play no part.  Texts are told apart by 64 bits of hash and their length.
+    """
+    return _finished(docs, ["doc_id"], False, hot).select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs``, all their columns, with what is left of ``text``; a character that a cut would split stays.
+
+    A column ``n_chars`` is counted anew.  Null texts become empty.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64(F.col("text"), F.length("text")).alias("key"))
-    found = _found(rows, hot)
-    spans = found.groupBy("key").agg(F.collect_set(F.struct("start", "spans")).alias("found"))
-    return rows.join(spans, "key", "left").select("doc_id", "text", "found").mapInArrow(lambda it: _finish(it, as_text), TEXT if as_text else RESULT)
+    left = _finished(docs, [c for c in docs.columns if c != "text"], True, hot)
+    cells = [F.col("kept").alias(c) if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
+    return left.select(*cells)
