@@ -6,8 +6,8 @@ hash.  An empty bin copies the bin that a hash of (bin, attempt) names first amo
 
 In a bucket every member is a candidate of one centre only, so there are at most as many pairs as members.  A pair whose
 signatures agree in far too few bins is dropped, the others are confirmed on the full sets.  As two members can be alike
-though the centre is not like both, buckets whose members still lie in several components get another centre for the
-pairs that were not tried yet, until ``IDLE`` rounds in a row confirm nothing new.
+though the centre is not like both, buckets whose members still lie in several components get ``CENTRES`` other centres
+for the pairs that were not tried yet, round after round, until one confirms nothing new.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ BANDS, ROWS = 32, 5
 ATTEMPTS = 64
 #: Pairs go on if their signatures agree in a share of bins that is at most so far below the limit: five deviations of 160 bins.
 SLACK = 0.15
-IDLE = 2
+#: Centres of a bucket in each round after the first.
+CENTRES = 8
 #: Entries of a worker's word memo, after which it starts anew.
 MEMO = 1_000_000
 
@@ -148,32 +149,30 @@ def _promising(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
             yield batch.filter(pa.array((x == y).mean(axis=1) >= least)).select(["a", "b", "comp_a", "comp_b"])
 
 
-def _stars(entries: DataFrame, tried: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """New distinct pairs of each bucket's centre and its members in other components.
+def _stars(placed: DataFrame, tried: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """New distinct pairs of the centres of open buckets and their members in other components (``key, node, n, comp``).
 
     The first centre is the same for all buckets that hold it, so a group has few; later ones differ by bucket.
     """
-    what = ["node"] if turn == 0 else ["node", "key"]
-    order = F.xxhash64(*what, F.lit(turn))
-    centres = entries.groupBy("key").agg(F.min(F.struct(order.alias("p"), "node", "comp", "n", "signature")).alias("c")).select("key", "c.*")
-    centres = centres.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"))
-    pairs = entries.join(centres, "key").where((F.col("comp") != F.col("comp_a")) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")))
-    first = F.col("a") < F.col("node")
-    pairs = pairs.select(
-        F.when(first, F.col("a")).otherwise(F.col("node")).alias("a"), F.when(first, F.col("node")).otherwise(F.col("a")).alias("b"),
-        F.when(first, F.col("comp_a")).otherwise(F.col("comp")).alias("comp_a"), F.when(first, F.col("comp")).otherwise(F.col("comp_a")).alias("comp_b"),
-        F.when(first, F.col("sig_a")).otherwise(F.col("signature")).alias("sig_a"), F.when(first, F.col("signature")).otherwise(F.col("sig_a")).alias("sig_b"),
-    )
-    pairs = pairs.mapInArrow(lambda it: _promising(it, percent / 100 - SLACK), PAIR).distinct()
+    orders = [F.xxhash64("node", F.lit(0))] if turn == 0 else [F.xxhash64("node", "key", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
+    least = F.array_distinct(F.array(*(F.min(F.struct(o.alias("p"), "node", "comp", "n")) for o in orders)))
+    centres = placed.groupBy("key").agg(least.alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", F.explode("c").alias("c"))
+    centres = centres.select("key", F.col("c.node").alias("m"), F.col("c.comp").alias("comp_m"), F.col("c.n").alias("n_m"))
+    pairs = placed.join(centres, "key").where((F.col("comp") != F.col("comp_m")) & (100 * F.least("n", "n_m") >= percent * F.greatest("n", "n_m")))
+    first = F.col("m") < F.col("node")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    pairs = pairs.select(pick("m", "node", "a"), pick("node", "m", "b"), pick("comp_m", "comp", "comp_a"), pick("comp", "comp_m", "comp_b")).distinct()
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike; only sets of these pairs move."""
+def _confirmed(pairs: DataFrame, some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components of the pairs whose full sets are alike.  Only sets of pairs with like signatures move."""
     count = pairs.count()
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")).join(sized(pairs, count), "a")
-    ends = pairs.select("b").distinct()
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")).join(sized(ends, count), "b")
+    signs = some.select("node", "signature").toDF("a", "sig_a").join(sized(pairs, count), "a").join(some.select("node", "signature").toDF("b", "sig_b"), "b")
+    like = stored(signs.select("a", "b", "comp_a", "comp_b", "sig_a", "sig_b").mapInArrow(lambda it: _promising(it, percent / 100 - SLACK), PAIR), "near-like")
+    count = like.count()
+    left = sets.toDF("a", "s").join(sized(like, count), "a")
+    right = sets.toDF("b", "t").join(sized(like.select("b").distinct(), count), "b")
     common = F.size(F.array_intersect("s", "t"))
     return left.join(right, "b").where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("comp_a", "comp_b").distinct()
 
@@ -205,25 +204,17 @@ def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
     texts = docs.select("doc_id", "text")
     named = texts.join(sized(some.select("node", "rep"), count), texts["doc_id"].eqNullSafe(F.col("rep"))).select("node", "text")
     sets = stored(named.mapInArrow(lambda it: _members(it, width), MEMBER).dropDuplicates(["node"]), "near-sets")
-    full = stored(entries.join(some.select("node", "n", "signature"), "node"), "near-entries")
-    labels = some.select("node", F.col("node").alias("comp"))
-    tried, turn, idle = None, 0, 0
-    current = full.withColumn("comp", F.col("node"))
-    while idle < IDLE:
-        pairs = stored(_stars(current, tried, turn, percent), "near-pairs")
+    labels = some.select("node", "n", F.col("node").alias("comp"))
+    tried, turn = None, 0
+    while True:
+        pairs = stored(_stars(entries.join(labels, "node"), tried, turn, percent), "near-pairs")
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        links = stored(_confirmed(pairs, sets, percent), "near-links")
-        turn += 1
+        links = stored(_confirmed(pairs, some, sets, percent), "near-links")
         if links.isEmpty():
-            idle += 1
-            continue
-        idle = 0
+            return labels.select("node", "comp")
         joined = components(links).toDF("comp", "to")
-        labels = stored(labels.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "near-labels")
-        placed = full.join(labels, "node")
-        open_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        current = stored(placed.join(open_, "key", "left_semi"), "near-open")
-    return labels
+        labels = stored(labels.join(joined, "comp", "left").select("node", "n", F.coalesce("to", "comp").alias("comp")), "near-labels")
+        turn += 1
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -246,3 +237,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     joined = sketch.select("doc_id", "n_shingles", "node").join(whole, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node")
+
+
+def first_of_each(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs``, all their columns, that near_duplicates keeps: one of each group; repeated rows once."""
+    kept = stored(near_duplicates(docs, **limits).where("kept").select(F.col("doc_id").alias("kept_id")), "near-kept")
+    ids = kept.distinct()
+    out = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return out if kept.count() == ids.count() else out.dropDuplicates(["doc_id"])
