@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import WORD, stored
+from marginalia.llm.common import WORD, sized, stored
 
 WEIGHTS = (5, 2, 1)
 #: A document is taken at most so many times.
@@ -53,14 +53,14 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return free.select("source", "source_size", F.least(F.col("most"), F.col("weight") * level).cast("double").alias("target"))
 
 
-def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
+def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``source, times, below`` : every document is taken ``times`` times, and once more if its hash is under ``below``.
 
     The single hash in which the budget ends is taken if that brings the sum nearer to the target.
     """
     budget = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     state = wanted.where(F.col("source_size") > 0).select("source", F.floor(F.col("target") / F.col("source_size")).cast("long").alias("times"), budget.alias("left"), F.lit(0).cast("long").alias("prefix"))
-    rows = sized.where(F.col("size") > 0)
+    rows = sizes.where(F.col("size") > 0)
     for bits in range(STEP_BITS, HASH_BITS + 1, STEP_BITS):
         low = HASH_BITS - bits
         at = F.shiftright("hash", low)
@@ -77,16 +77,34 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.select("source", "times", (F.col("prefix") + F.when(2 * F.col("left") >= F.col("words"), 1).otherwise(0)).alias("below"))
 
 
+def _plan(docs: DataFrame, weights: Sequence[float], most: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, source, size, hash`` of every row, and ``key, source_size, target, times, below`` of every source."""
+    sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
+    totals = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    wanted = stored(targets(totals, weights, most), "mix-targets")
+    cut = thresholds(sizes, wanted)
+    plan = wanted.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "key")
+    return sizes, sized(plan, totals.count())
+
+
+def _times(most: int) -> Column:
+    return F.least(F.lit(most), F.coalesce("times", F.lit(0)) + F.when(F.col("hash") < F.coalesce("below", F.lit(0)), 1).otherwise(0))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for each row of ``docs``.
 
     A null or empty text has size 0 and is not taken; null is a source of its own; a source without words has target 0.
     Rows that share a doc_id share one hash.  Other columns of ``docs`` play no part.
     """
-    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
-    totals = stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    wanted = stored(targets(totals, weights, most), "mix-targets")
-    cut = thresholds(sized, wanted)
-    w = wanted.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "t")
-    taken = F.when(F.col("size") > 0, F.least(F.lit(most), F.coalesce("times", F.lit(0)) + F.when(F.col("hash") < F.coalesce("below", F.lit(0)), 1).otherwise(0)) * F.col("size")).otherwise(0)
-    return sized.join(w, F.col("source").eqNullSafe(F.col("t"))).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    sizes, plan = _plan(docs, weights, most)
+    taken = (_times(most) * F.col("size")).cast("long").alias("taken")
+    return sizes.join(plan, F.col("source").eqNullSafe(F.col("key"))).select("doc_id", "size", "source_size", "target", taken)
+
+
+def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of ``docs``, all their columns, each as often as the mix takes it."""
+    _, plan = _plan(docs, weights, most)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("own"), order_hash(F.col("doc_id")).alias("hash"), n_words(F.col("text")).alias("size"))
+    joined = rows.join(plan, F.col("own").eqNullSafe(F.col("key"))).where((F.col("size") > 0) & (_times(most) > 0))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), _times(most).cast("int"))).alias("n")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
