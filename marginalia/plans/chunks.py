@@ -1 +1,164 @@
-"""Queries."""
+"""Chunk and window queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from marginalia.operators import chunks as C
+from marginalia.operators import joins as J
+from marginalia.plans.catalog import query
+from marginalia.sources.tables import table
+
+
+def _short(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 30).alias("t"))
+
+
+_S = "(SELECT doc_id, source, lang, left(text, 30) AS t FROM documents)"
+
+
+@query("SELECT doc_id || '__row' AS chunk_id, 'row' AS level, text FROM documents WHERE trim(text) <> ''")
+def chunk_verse(spark, sf):
+    return C.rows(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(f"""
+    SELECT source, lang, doc_id AS first, array_to_string(w, chr(10)) AS text FROM (
+      SELECT source, lang, doc_id, list(t) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w FROM {_S}) WHERE len(w) = 3""")
+def sliding_window_3(spark, sf):
+    return C.windows(_short(spark, sf), ["source", "lang"], "doc_id", "t")
+
+
+@query(f"SELECT source, lang, count(*) AS n, string_agg(t, ' | ' ORDER BY doc_id) AS text FROM {_S} GROUP BY 1, 2 HAVING count(*) >= 2")
+def chunk_poem(spark, sf):
+    return C.groups(_short(spark, sf), ["source", "lang"], "doc_id", "t")
+
+
+@query("""
+    SELECT n_name, coalesce(n, 0) AS n, n_name || ': ' || coalesce(n || ' customers', 'no facts') AS text FROM nation
+    LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9990 GROUP BY 1) ON c_nationkey = n_nationkey""")
+def chunk_dim_left(spark, sf):
+    """A chunk for every member of the dimension, a header alone where there are no facts."""
+    facts = table(spark, sf, "customer").where("c_acctbal > 9990").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    joined = table(spark, sf, "nation").join(facts, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    tail = F.coalesce(F.concat(F.col("n").cast("string"), F.lit(" customers")), F.lit("no facts"))
+    return joined.select("n_name", F.coalesce("n", F.lit(0)).alias("n"), F.concat("n_name", F.lit(": "), tail).alias("text"))
+
+
+@query("""
+    WITH f AS (SELECT source, lang, min(doc_id) AS d, count(*) AS n FROM documents WHERE source <> '' GROUP BY 1, 2)
+    SELECT source, CAST(sum(n) AS BIGINT) AS n, list(lang ORDER BY d) AS langs FROM f GROUP BY 1 HAVING sum(n) >= 2""")
+def chunk_poet(spark, sf):
+    first = table(spark, sf, "documents").where("source <> ''").groupBy("source", "lang").agg(F.min("doc_id").alias("d"), F.count("*").alias("n"))
+    langs = F.transform(F.sort_array(F.collect_list(F.struct("d", "lang"))), lambda x: x["lang"])
+    return first.groupBy("source").agg(F.sum("n").alias("n"), langs.alias("langs")).where("n >= 2")
+
+
+@query("""
+    WITH e AS (SELECT CAST(floor(floor((p_size + p_size + 40) / 2) / 50) * 50 AS INTEGER) AS era, p_brand, count(*) AS n FROM part GROUP BY 1, 2)
+    SELECT era, CAST(sum(n) AS BIGINT) AS n, string_agg(p_brand || '=' || n, '; ' ORDER BY p_brand) AS text FROM e GROUP BY 1""")
+def chunk_era(spark, sf):
+    inner = table(spark, sf, "part").groupBy(C.era(F.col("p_size"), F.col("p_size") + 40).alias("era"), "p_brand").agg(F.count("*").alias("n"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("p_brand", "n"))), lambda x: F.concat(x["p_brand"], F.lit("="), x["n"].cast("string")))
+    return inner.groupBy("era").agg(F.sum("n").alias("n"), F.array_join(parts, "; ").alias("text"))
+
+
+@query("""
+    SELECT CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS label, source, count(*) AS n, min(doc_id) AS first FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2""")
+def chunk_genre(spark, sf):
+    """Groups of a label and a source; records without a label are left out."""
+    joined = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    label = F.when(F.col("quality") == 1, "good").otherwise("poor")
+    return joined.groupBy(label.alias("label"), "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("""
+    SELECT label, user_id, count(*) AS n FROM (SELECT user_id, unnest(CASE WHEN value > 10 THEN [event_type, 'high'] ELSE [event_type] END) AS label FROM events) GROUP BY 1, 2""")
+def chunk_emotion(spark, sf):
+    labels = F.when(F.col("value") > 10, F.array("event_type", F.lit("high"))).otherwise(F.array("event_type"))
+    return table(spark, sf, "events").select("user_id", F.explode(labels).alias("label")).groupBy("label", "user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'item_' || item_id AS chunk_id, 'reference' AS level, text FROM benchmark")
+def chunk_reference(spark, sf):
+    return table(spark, sf, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("chunk_id"), F.lit("reference").alias("level"), "text")
+
+
+@query(f"""
+    SELECT level, count(*) AS n FROM (
+      SELECT 'row' AS level FROM documents WHERE trim(text) <> '' UNION ALL SELECT 'reference' FROM benchmark
+      UNION ALL SELECT 'group' FROM (SELECT 1 FROM documents GROUP BY source, lang HAVING count(*) >= 2)
+      UNION ALL SELECT 'window' FROM (SELECT list(t) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w FROM {_S}) WHERE len(w) = 3) GROUP BY 1""")
+def chunks_all(spark, sf):
+    parts = [
+        chunk_verse(spark, sf).select("level"), chunk_reference(spark, sf).select("level"),
+        chunk_poem(spark, sf).select(F.lit("group").alias("level")), sliding_window_3(spark, sf).select(F.lit("window").alias("level")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id || '__row__' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS VARCHAR), 4, '0') AS chunk_id FROM documents")
+def chunk_ids(spark, sf):
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return table(spark, sf, "documents").select("doc_id", "source").select(F.format_string("%d__row__%04d", "doc_id", n).alias("chunk_id"))
+
+
+@query("SELECT doc_id, first_value(t) OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE length(t) END, doc_id) AS head FROM " + _S)
+def first_value_group(spark, sf):
+    order = Window.partitionBy("source").orderBy(F.when(F.col("lang") == "en", 0).otherwise(F.length("t")), "doc_id")
+    return _short(spark, sf).select("doc_id", F.first_value("t").over(order).alias("head"))
+
+
+@query("""
+    SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role <> 'system') WHERE r <= 5""")
+def last_n_turns(spark, sf):
+    turns = table(spark, sf, "conversations").where("role <> 'system'").select("conv_id", "turn", "role")
+    return turns.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("r <= 5").select("conv_id", "turn", "role")
+
+
+@query("""
+    WITH h AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 100 AS gap FROM events),
+    i AS (SELECT user_id, event_id, sum(CASE WHEN coalesce(gap, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM h)
+    SELECT user_id, CAST(island AS BIGINT) AS island, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM i GROUP BY 1, 2""")
+def gaps_islands(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    gap = F.coalesce(F.col("event_id") - F.lag("event_id").over(w) > 100, F.lit(True))
+    marked = table(spark, sf, "events").select("user_id", "event_id", gap.alias("gap"))
+    island = marked.withColumn("island", F.sum(F.col("gap").cast("long")).over(w))
+    return island.groupBy("user_id", "island").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count("*").alias("n"))
+
+
+@query()
+def cluster_lines(spark, sf):
+    """First-fit clusters of values along a user's events: a value joins the first cluster whose running mean is within 2."""
+    import pandas as pd
+
+    def clusters(pdf: pd.DataFrame) -> pd.DataFrame:
+        means: list[list[float]] = []
+        out = []
+        for v in pdf.sort_values("event_id")["value"]:
+            k = next((i for i, (m, n) in enumerate(means) if abs(m - v) <= 2), None)
+            if k is None:
+                k = len(means)
+                means.append([v, 1])
+            else:
+                m, n = means[k]
+                means[k] = [(m * n + v) / (n + 1), n + 1]
+            out.append(k)
+        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "event_id": pdf.sort_values("event_id")["event_id"], "cluster": out})
+
+    pages = table(spark, sf, "events").where("event_type = 'signup'").select("user_id", "event_id", "value")
+    return pages.groupBy("user_id").applyInPandas(clusters, "user_id long, event_id long, cluster int")
+
+
+@query("""
+    WITH s AS (SELECT o_custkey, min(o_orderkey) AS f FROM orders GROUP BY 1) SELECT c_custkey, f FROM customer JOIN s ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""")
+def first_order(spark, sf):
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    first = J.first_by(orders, ["o_custkey"], F.col("o_orderkey")).withColumnRenamed("o_orderkey", "f")
+    buyers = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return buyers.join(first, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "f")
