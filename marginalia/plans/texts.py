@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,9 +266,6 @@ _HASHED = T.ArrayType(T.DoubleType())
 @query()
 def hash_embedding(spark, sf):
     """A unit vector from each text's hash: the same text always gives the same one."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(_HASHED)
     def embed(digest: pd.Series) -> pd.Series:
         def one(d: str) -> list[float]:
