@@ -206,14 +206,12 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if isinstance(model, float):
         return docs if model < THRESHOLD else docs.limit(0)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         curve = sent.value.curve
         memo = Memo(sent.value.ratio)
         for batch in chunks(batches, "text"):
-            scores = [probability(curve, *evidence(t, memo)) for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+            keep = [probability(curve, *evidence(t, memo)) < THRESHOLD for t in texts_of(batch.column("text"))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(scored, schema).where(F.col("score") < THRESHOLD).select(*columns)
+    return docs.mapInArrow(ordinary, docs.schema)
