@@ -76,3 +76,30 @@ def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, s
 
 def decision(score: Column, linked: float = 85, review: float = 70) -> Column:
     return F.when(score >= linked, "linked").when(score >= review, "review").otherwise("unlinked")
+
+
+def held_names(names: DataFrame, column: str) -> DataFrame:
+    """``inner, outer``: every name and the names that hold it, whatever their case; also each name and itself.
+
+    The inner name's first three characters must be among the outer one's substrings of up to three, so it is an
+    equi-join on those.
+    """
+    known = names.where(F.col(column) != "").select(F.col(column).alias("name"), F.lower(column).alias("low")).distinct()
+    at = F.sequence(F.lit(1), F.length("low"))
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(F.substr("low", i, F.lit(k)) for k in (1, 2, 3))))))
+    inner = known.select(F.col("name").alias("inner"), F.col("low").alias("low_inner"), F.substring("low", 1, 3).alias("gram"))
+    outer = known.select(F.col("name").alias("outer"), F.col("low").alias("low_outer"), F.explode(grams).alias("gram"))
+    return inner.join(outer, "gram").where(F.col("low_outer").contains(F.col("low_inner"))).select("inner", "outer").distinct()
+
+
+def held_texts(inner: DataFrame, outer: DataFrame, inner_id: str, outer_id: str) -> DataFrame:
+    """(inner id, outer id) where the outer row's ``text`` holds the inner one's, of five words or more.
+
+    The inner text's second to fourth word are whole words of the outer one, so it is an equi-join on word triples.
+    """
+    words = F.split("text", " ")
+    triple = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    small = inner.select(inner_id, F.col("text").alias("held"), words.alias("w")).where(F.size("w") >= 5).select(inner_id, "held", triple(F.col("w"), F.lit(1)).alias("gram"))
+    large = outer.select(outer_id, "text", words.alias("w")).where(F.size("w") >= 5)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: triple(F.col("w"), i)))
+    return large.select(outer_id, "text", F.explode(grams).alias("gram")).join(small, "gram").where(F.col("text").contains(F.col("held"))).select(inner_id, outer_id).distinct()

@@ -121,10 +121,9 @@ def resolve_left_join(spark, sf):
       FROM s JOIN s t ON contains(s.source, t.source) OR contains(t.source, s.source))
     SELECT source, other FROM p WHERE r = 1 AND source <> ''""")
 def theta_substring_join(spark, sf):
-    """Pairs are found through the names' shared first four characters: a name that holds another at its start."""
-    names = table(spark, sf, "documents").select("source").distinct()
-    other = names.withColumnRenamed("source", "other")
-    pairs = names.join(other, (F.substring("source", 1, 4) == F.substring("other", 1, 4)) & J.contains_either_way(F.col("source"), F.col("other")))
+    """Each name's best holder or part: itself if there, else the last in order."""
+    held = J.held_names(table(spark, sf, "documents").select("source"), "source")
+    pairs = held.toDF("source", "other").union(held.select("outer", "inner")).distinct()
     return J.first_by(pairs, ["source"], F.when(F.col("source") == F.col("other"), 0).otherwise(1), F.desc("other"))
 
 
@@ -232,11 +231,12 @@ def rerank_join(spark, sf):
 
 
 @query("""
-    SELECT item_id, count(*) AS n FROM benchmark b JOIN documents d ON left(d.text, 12) = left(b.text, 12) AND (contains(d.text, b.text) OR contains(b.text, d.text)) GROUP BY 1""")
+    SELECT item_id, count(DISTINCT doc_id) AS n FROM benchmark b JOIN documents d ON (len(string_split(b.text, ' ')) >= 5 AND contains(d.text, b.text)) OR (len(string_split(d.text, ' ')) >= 5 AND contains(b.text, d.text))
+    GROUP BY 1""")
 def contamination_check(spark, sf):
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("t"), F.substring("text", 1, 12).alias("k"))
-    docs = table(spark, sf, "documents").select("text", F.substring("text", 1, 12).alias("k"))
-    return docs.join(items, "k").where(F.col("text").contains(F.col("t")) | F.col("t").contains(F.col("text"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    items, docs = table(spark, sf, "benchmark").select("item_id", "text"), table(spark, sf, "documents").select("doc_id", "text")
+    pairs = J.held_texts(items, docs, "item_id", "doc_id").union(J.held_texts(docs, items, "doc_id", "item_id").select("item_id", "doc_id")).distinct()
+    return pairs.groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query("""
