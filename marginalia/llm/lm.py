@@ -1,6 +1,6 @@
 """LM scoring: online logistic context mixing over a text's bytes, giving its total bits.
 
-Each context (the last 4 and 6 bytes, the word so far) hashes to a row of 15 nodes for the next byte's first four bits, and
+Each context (the last 3 and 4 bytes, the word so far) hashes to a row of 15 nodes for the next byte's first four bits, and
 with these to another for the last four; a node holds the odds of one bit after the bits before it.  All learning texts
 together fill the tables.  While a text is scored, a mixer weighs the
 contexts' predictions in the logistic domain: the bit's place in its byte is the gate that chooses the weights, and
@@ -20,25 +20,26 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import chunks, id_remainder, segment_starts, stored, texts_of, words_of
 
 #: Contexts: so many last bytes each, and the word so far; bits of their tables' sizes.
-ORDERS, BITS = (4, 6), (21, 24, 23)
+ORDERS, BITS = (3, 4), (20, 21, 24)
 #: A table is filled in so many parts (as bits), each by the contexts whose hash starts with its number.
 PARTS = 6
 #: What a node counts before it has seen a bit, for each value.
 PRIOR = 0.05
 #: Stretched probabilities are stored as bytes of this many to one unit.
 SCALE = 12.0
-START, RATE = 0.35, 0.02
+START, RATE = 0.35, 0.01
 SEGMENT = 1024
 #: Bytes of text of one block, and of what is scored at once.
-BLOCK, SCORED = 8 << 20, 1 << 20
+BLOCK, SCORED = 8 << 20, 1 << 19
 #: Zero bytes before each text, as its contexts; one more ends it.
-LEAD = 6
+LEAD = 4
 
 POWERS = np.cumprod(np.array([1] + [0x2C1B3C6D] * 63, np.uint32), dtype=np.uint32)
 NIBBLE = np.array([[(1 << 4 | v) >> 4 - k for k in range(4)] for v in range(16)], np.int32)  # nodes before each bit of four
@@ -56,14 +57,25 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint32(16)
 
 
-def slots_of(context: np.ndarray, byte: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of (context, byte) pairs' eight nodes; those of one context lie in one part of the table."""
+def rows_of(context: np.ndarray, byte: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of (context, byte) pairs: for the first four bits and for the last; those of one context lie in one part."""
     local = bits - 4 - PARTS
-    high, low = byte >> 4, byte & 15
-    part = (context >> np.uint32(32 - PARTS) << np.uint32(local)).astype(np.int32)
-    first = part | (context * ODD >> np.uint32(32 - local)).astype(np.int32)
-    second = part | ((context + (high.astype(np.uint32) + np.uint32(1)) * np.uint32(0x7FEB352D)) * ODD >> np.uint32(32 - local)).astype(np.int32)
-    return np.concatenate(((first << 4)[:, None] + NIBBLE[high], (second << 4)[:, None] + NIBBLE[low]), axis=1)
+    part = context >> np.uint32(32 - PARTS) << np.uint32(local)
+    first = part | context * ODD >> np.uint32(32 - local)
+    second = part | (context + ((byte >> 4).astype(np.uint32) + np.uint32(1)) * np.uint32(0x7FEB352D)) * ODD >> np.uint32(32 - local)
+    return first, second
+
+
+def slots_of(context: np.ndarray, byte: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of (context, byte) pairs' eight nodes."""
+    first, second = (r.astype(np.int32) << 4 for r in rows_of(context, byte, bits))
+    return np.concatenate((first[:, None] + NIBBLE[byte >> 4], second[:, None] + NIBBLE[byte & 15]), axis=1)
+
+
+def paths(table: np.ndarray) -> np.ndarray:
+    """For each row and value of four bits, the four nodes on the way: positive where they lean to the wrong bit."""
+    turned = table.reshape(-1, 16)[:, NIBBLE.ravel()] * SIGN[:16, 4:].ravel()
+    return np.ascontiguousarray(turned).view(np.uint32).ravel()
 
 
 class Stream:
@@ -108,9 +120,9 @@ def vocabulary(tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers)), ids
 
 
-BLOCKS = "block long, doc_ids array<long>, train array<boolean>, texts array<binary>, part int, slots binary, counts binary, kind int"
+BLOCKS = "block long, doc_ids array<long>, train array<boolean>, sizes binary, texts binary, part int, slots binary, counts binary, kind int"
 NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
-KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
 TEXTS, WORDS, TABLES = 0, 1, 2
 
 
@@ -157,7 +169,8 @@ def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Record
         learned = np.repeat(train, [len(t) for t in tokens])
         counts = np.bincount(numbers[learned], minlength=len(hashes)).astype(np.uint32)
         block = xxhash.xxh3_64_intdigest(repr((ids, [len(t) for t in texts])).encode() + hashes.tobytes()) >> 1
-        yield _row(kind=TEXTS, block=block, doc_ids=ids, train=train.tolist(), texts=texts)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        yield _row(kind=TEXTS, block=block, doc_ids=ids, train=train.tolist(), sizes=lengths.tobytes(), texts=zstandard.compress(b"".join(texts), 1))
         where = (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         order = np.argsort(where, kind="stable")
         cuts = np.searchsorted(where[order], np.arange(ranges + 1))
@@ -248,8 +261,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def mix(texts: list[bytes], tables: list[np.ndarray], start: float = START, rate: float = RATE) -> np.ndarray:
-    """Natural log-probability of each text (canonical) with its end."""
+def mix(texts: list[bytes], ways: list[np.ndarray], start: float = START, rate: float = RATE) -> np.ndarray:
+    """Natural log-probability of each text (canonical) with its end; ``ways`` are the tables' ``paths``."""
     stream = Stream(texts)
     pieces = -(-stream.sizes // SEGMENT)
     owner = np.repeat(np.arange(len(texts)), pieces)
@@ -262,10 +275,15 @@ def mix(texts: list[bytes], tables: list[np.ndarray], start: float = START, rate
     # All first bytes of the pieces, all second ones and so on: a step's inputs lie together.
     at = np.concatenate([begin[:n] + t for t, n in enumerate(alive.tolist())])
     byte = stream.data[at]
-    turned = SIGN[byte]
-    # Positive: for the wrong bit.  So the weighted sum is the log odds of a mistake, and weights only ever go down along it.
-    inputs = [(table.take(slots_of(context[at], byte, bits)) * turned).astype(np.float32) for table, context, bits in zip(tables, stream.contexts(), BITS, strict=True)]
-    weights = [np.full((len(begin), 8), start / SCALE, np.float32) for _ in tables]
+    high, low = (byte >> 4).astype(np.uint32), (byte & 15).astype(np.uint32)
+    inputs = []  # the weighted sum is the log odds of a mistake, and weights only ever go down along it
+    for way, context, bits in zip(ways, stream.contexts(), BITS, strict=True):
+        first, second = rows_of(context[at], byte, bits)
+        both = np.empty((len(byte), 2), np.uint32)
+        way.take(first << np.uint32(4) | high, out=both[:, 0], mode="clip")
+        way.take(second << np.uint32(4) | low, out=both[:, 1], mode="clip")
+        inputs.append(both.view(np.int8).astype(np.float32))
+    weights = [np.full((len(begin), 8), start / SCALE, np.float32) for _ in ways]
     odds, part = np.empty((len(begin), 8), np.float32), np.empty((len(begin), 8), np.float32)
     down = np.float32(-rate / SCALE / SCALE)
     total = np.zeros(len(begin))
@@ -293,10 +311,12 @@ RESULT = "doc_id long, train boolean, n_tokens long, n_known long, known_sum dou
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    tables = model.value
+    tables = [paths(t) for t in model.value]
     for batch in batches:
         for row in batch.to_pylist():
-            texts = row["texts"]
+            cuts = segment_starts(np.frombuffer(row["sizes"], np.int64)).tolist()
+            data = zstandard.decompress(row["texts"])
+            texts = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             tokens = [t.split() for t in texts]
             hashes, ids = vocabulary(tokens)
             where = (hashes >> np.uint64(32)) * np.uint64(row["ranges"]) >> np.uint64(32)
@@ -346,8 +366,8 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     sums = back.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     total, types = sums.n + ends, sums.v + (ends > 0)
     lists = back.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("back"))  # one entry for each hash range
-    blocks = counted.where(F.col("kind") == TEXTS).select("block", "doc_ids", "train", "texts", F.lit(ranges).alias("ranges"))
-    scored = blocks.join(lists, "block", "left").select("doc_ids", "train", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, sent), RESULT)
+    blocks = counted.where(F.col("kind") == TEXTS).select("block", "doc_ids", "train", "sizes", "texts", F.lit(ranges).alias("ranges"))
+    scored = blocks.join(lists, "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, sent), RESULT)
     bottom = F.log10(F.lit(float(total + types + 1)))
     end = F.log10(F.lit(float(ends + 1)))
     return scored.select(
