@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Word separators of every contract here: space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a worker handles at once; longer single texts are handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,8 +6,9 @@ hash.  An empty bin copies the bin that a hash of (bin, attempt) names first amo
 
 In a bucket every member is a candidate of one centre only, so there are at most as many pairs as members.  A pair whose
 signatures agree in far too few bins is dropped, the others are confirmed on the full sets.  As two members can be alike
-though the centre is not like both, buckets whose members still lie in several components get ``CENTRES`` other centres
-for the pairs that were not tried yet, round after round, until one confirms nothing new.
+though the centre is not like both, members of buckets that still hold several components go to finer buckets, each named
+by two bands; these get ``CENTRES`` centres of their own for the pairs that were not tried yet, round after round, until
+one confirms nothing new.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ BANDS, ROWS = 32, 5
 ATTEMPTS = 64
 #: Pairs go on if their signatures agree in a share of bins that is at most so far below the limit: five deviations of 160 bins.
 SLACK = 0.15
-#: Centres of a bucket in each round after the first.
-CENTRES = 8
+#: Centres of a bucket in each round after the first, and distances of the bands that name a finer bucket together.
+CENTRES, APART = 3, (1, 7)
 #: Entries of a worker's word memo, after which it starts anew.
 MEMO = 1_000_000
 
@@ -171,10 +172,11 @@ def _confirmed(pairs: DataFrame, some: DataFrame, sets: DataFrame, percent: int)
     signs = some.select("node", "signature").toDF("a", "sig_a").join(sized(pairs, count), "a").join(some.select("node", "signature").toDF("b", "sig_b"), "b")
     like = stored(signs.select("a", "b", "comp_a", "comp_b", "sig_a", "sig_b").mapInArrow(lambda it: _promising(it, percent / 100 - SLACK), PAIR), "near-like")
     count = like.count()
-    left = sets.toDF("a", "s").join(sized(like, count), "a")
-    right = sets.toDF("b", "t").join(sized(like.select("b").distinct(), count), "b")
+    full = like.toDF("first", "second", "comp_a", "comp_b")
+    left = sets.toDF("first", "s").join(sized(full, count), "first")
+    right = sets.toDF("second", "t").join(sized(full.select("second").distinct(), count), "second")
     common = F.size(F.array_intersect("s", "t"))
-    return left.join(right, "b").where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("comp_a", "comp_b").distinct()
+    return left.join(right, "second").where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("comp_a", "comp_b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,11 +194,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries (``node, key``) of buckets with two members or more."""
+    many = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return stored(entries.join(many, "key").select("key", "node"), "near-buckets")
+
+
+def _finer(entries: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Buckets named by two bands, of the nodes in buckets that hold several components."""
+    placed = entries.join(labels, "node")
+    mixed_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    open_ = stored(placed.join(mixed_, "key", "left_semi").select("node").distinct(), "near-open")
+    count = open_.count()
+
+    def both(apart: int):
+        return F.transform("bands", lambda b, i: F.xxhash64(b, F.get("bands", F.pmod(i + apart, F.size("bands"))), F.lit(apart)))
+
+    keys = F.flatten(F.array(*map(both, APART)))
+    return _shared(nodes.select("node", "bands").join(sized(open_, count), "node").select("node", F.explode(keys).alias("key")))
+
+
 def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """``node, comp`` of the nodes in buckets with others; None if no bucket has two."""
-    entries = nodes.select("node", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    entries = stored(entries.join(shared, "key").select("key", "node"), "near-buckets")  # a bucket of one has no pairs
+    entries = _shared(nodes.select("node", F.explode("bands").alias("key")))
     some = stored(entries.select("node").distinct().join(nodes.select("node", "rep", "n", "signature"), "node"), "near-some")
     count = some.count()
     if not count:
@@ -214,6 +234,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
             return labels.select("node", "comp")
         joined = components(links).toDF("comp", "to")
         labels = stored(labels.join(joined, "comp", "left").select("node", "n", F.coalesce("to", "comp").alias("comp")), "near-labels")
+        if not turn:
+            entries = _finer(entries, labels, nodes)
         turn += 1
 
 
