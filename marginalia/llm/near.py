@@ -262,8 +262,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def first_of_each(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs``, all their columns, that near_duplicates keeps: one of each group; repeated rows once."""
-    kept = stored(near_duplicates(docs, **limits).where("kept").select(F.col("doc_id").alias("kept_id")), "near-kept")
-    ids = kept.distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    return out if kept.count() == ids.count() else out.dropDuplicates(["doc_id"])
+    """The rows of ``docs``, all their columns, that near_duplicates keeps: one of each group; repeated rows once.
+
+    The ids to drop are far fewer than those to keep, so texts move only if there are too many to broadcast.  An id that
+    is kept for one of its texts is kept.
+    """
+    verdicts = stored(near_duplicates(docs, **limits).select(F.col("doc_id").alias("id"), "kept"), "near-verdicts")
+    ids = verdicts.where("kept").select("id").distinct()
+    lost = verdicts.where("NOT kept").select("id").distinct()
+    gone = stored(lost.join(ids.withColumnRenamed("id", "kept_id"), F.col("id").eqNullSafe(F.col("kept_id")), "left_anti"), "near-gone")
+    out = docs.join(sized(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("id")), "left_anti")
+    return out if verdicts.where("kept").count() == ids.count() else out.dropDuplicates(["doc_id"])
