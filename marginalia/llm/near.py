@@ -8,7 +8,8 @@ In a bucket every member is a candidate of one centre only, so there are at most
 signatures agree in far too few bins is dropped, the others are confirmed on the full sets.  As two members can be alike
 though the centre is not like both, members of buckets that still hold several components go to finer buckets, each named
 by two bands; these get ``CENTRES`` centres of their own for the pairs that were not tried yet, round after round, until
-one confirms nothing new.
+one confirms nothing new.  That only makes components large: at the end every pair that is left between two components of
+a one-band bucket is compared, in cells of ``CELL`` members against the bucket, so none goes untried.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ ATTEMPTS = 64
 SLACK = 0.15
 #: Centres of a bucket in each round after the first, and distances of the bands that name a finer bucket together.
 CENTRES, APART = 3, (1, 7)
+#: Members of a bucket that one task compares with all the others of it in the end.
+CELL = 512
 #: Entries of a worker's word memo, after which it starts anew.
 MEMO = 1_000_000
 
@@ -166,11 +169,35 @@ def _stars(placed: DataFrame, tried: DataFrame | None, turn: int, percent: int)
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _confirmed(pairs: DataFrame, some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _like(pairs: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """The pairs with like signatures."""
+    signs = some.select("node", "signature").toDF("a", "sig_a").join(sized(pairs, pairs.count()), "a").join(some.select("node", "signature").toDF("b", "sig_b"), "b")
+    return stored(signs.select("a", "b", "comp_a", "comp_b", "sig_a", "sig_b").mapInArrow(lambda it: _promising(it, percent / 100 - SLACK), PAIR), "near-like")
+
+
+def _rest(entries: DataFrame, labels: DataFrame, some: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """The pairs with like signatures of all that lie in one bucket and in two components, but for those tried before.
+
+    Pairs are compared as the join yields them; only the like ones are written.
+    """
+    placed = entries.join(labels, "node")
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
+    open_ = open_.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
+    members = stored(placed.join(open_, "key").join(some.select("node", "signature"), "node"), "near-open")
+    left = members.select("key", F.pmod(F.xxhash64("node", "key"), "cells").cast("int").alias("cell"), *(F.col(x).alias(y) for x, y in (("node", "a"), ("comp", "comp_a"), ("n", "n_a"), ("signature", "sig_a"))))
+    right = members.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), *(F.col(x).alias(y) for x, y in (("node", "b"), ("comp", "comp_b"), ("n", "n_b"), ("signature", "sig_b"))))
+    near_sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = left.join(right, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & near_sizes)
+    pairs = pairs.select("a", "b", "comp_a", "comp_b", "sig_a", "sig_b").mapInArrow(lambda it: _promising(it, percent / 100 - SLACK), PAIR)
+    like = stored(pairs.distinct(), "near-like")
+    names = like.select("a", "b")
+    count = like.count()
+    known = stored(tried.join(sized(names, count), ["a", "b"], "left_semi"), "near-known")
+    return like.join(sized(known, count), ["a", "b"], "left_anti")
+
+
+def _confirmed(like: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components of the pairs whose full sets are alike.  Only sets of pairs with like signatures move."""
-    count = pairs.count()
-    signs = some.select("node", "signature").toDF("a", "sig_a").join(sized(pairs, count), "a").join(some.select("node", "signature").toDF("b", "sig_b"), "b")
-    like = stored(signs.select("a", "b", "comp_a", "comp_b", "sig_a", "sig_b").mapInArrow(lambda it: _promising(it, percent / 100 - SLACK), PAIR), "near-like")
     count = like.count()
     full = like.toDF("first", "second", "comp_a", "comp_b")
     left = sets.toDF("first", "s").join(sized(full, count), "first")
@@ -214,6 +241,11 @@ def _finer(entries: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
     return _shared(nodes.select("node", "bands").join(sized(open_, count), "node").select("node", F.explode(keys).alias("key")))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    joined = components(links).toDF("comp", "to")
+    return stored(labels.join(joined, "comp", "left").select("node", "n", F.coalesce("to", "comp").alias("comp")), "near-labels")
+
+
 def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """``node, comp`` of the nodes in buckets with others; None if no bucket has two."""
     entries = _shared(nodes.select("node", F.explode("bands").alias("key")))
@@ -225,18 +257,19 @@ def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
     named = texts.join(sized(some.select("node", "rep"), count), texts["doc_id"].eqNullSafe(F.col("rep"))).select("node", "text")
     sets = stored(named.mapInArrow(lambda it: _members(it, width), MEMBER).dropDuplicates(["node"]), "near-sets")
     labels = some.select("node", "n", F.col("node").alias("comp"))
-    tried, turn = None, 0
+    buckets, tried, turn = entries, None, 0
     while True:
         pairs = stored(_stars(entries.join(labels, "node"), tried, turn, percent), "near-pairs")
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        links = stored(_confirmed(pairs, some, sets, percent), "near-links")
+        links = stored(_confirmed(_like(pairs, some, percent), sets, percent), "near-links")
         if links.isEmpty():
-            return labels.select("node", "comp")
-        joined = components(links).toDF("comp", "to")
-        labels = stored(labels.join(joined, "comp", "left").select("node", "n", F.coalesce("to", "comp").alias("comp")), "near-labels")
+            break
+        labels = _merged(labels, links)
         if not turn:
-            entries = _finer(entries, labels, nodes)
+            entries = _finer(buckets, labels, nodes)
         turn += 1
+    links = stored(_confirmed(stored(_rest(buckets, labels, some, tried, percent), "near-rest"), sets, percent), "near-links")
+    return (labels if links.isEmpty() else _merged(labels, links)).select("node", "comp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -354,6 +354,19 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert [rows[i] for i in range(len(texts))] == brute_components(texts, width, percent)
 
 
+def test_links_that_no_centre_finds_are_found(spark):
+    dice = random.Random(1)
+    texts = []
+    for k in range(200):  # a family under the limit mostly: its buckets hold many components
+        w = words(200, 1, 5000).split()
+        for at in dice.sample(range(0, 200, 4), 4):
+            w[at] = f"edit{k}x{at}"
+        texts.append(" ".join(w))
+    texts.append(texts[dice.randrange(200)] + " more")
+    rows = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(frame(spark, texts), width=3, percent=85).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_components(texts, 3, 85)
+
+
 def test_first_of_each_group_stays_once(spark):
     texts = [words(50, 1), words(50, 1), words(50, 2), None, "", words(50, 2)]
     docs = frame(spark, texts, [4, 3, 9, 10, None, 9])  # one row repeated
