@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.llm.common import chunks, mixed, sized, stored, texts_of, words_of
 
@@ -272,37 +273,71 @@ def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
     return (labels if links.isEmpty() else _merged(labels, links)).select("node", "comp")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, node`` for each row of ``docs``.
-
-    Links are pairs of shingle sets with 100 * intersection >= ``percent`` * union.  A null or empty text has no
-    shingles and no links and is kept.  Rows with equal sets are linked, repeated rows too (all that carry the
-    component's smallest doc_id are kept).  A null doc_id counts as larger than any.  Other columns play no part.
-    """
+def _judged(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id, n_shingles, node, comp, component_id`` for each row of ``docs``; the last three are null without shingles."""
     sketch = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _sketch(it, width, bands, rows), SKETCH), "near-sketch")
     some = sketch.where("node IS NOT NULL")
     nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-nodes")
     labels = _linked(docs, nodes, width, percent)
     if labels is None:
-        whole = nodes.select("node", F.col("rep").alias("component_id"))
+        whole = nodes.select("node", F.col("node").alias("comp"), F.col("rep").alias("component_id"))
     else:
         placed = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        whole = placed.join(least, "comp").select("node", "component_id")
-    joined = sketch.select("doc_id", "n_shingles", "node").join(whole, "node", "left")
+        whole = placed.join(least, "comp").select("node", "comp", "component_id")
+    return sketch.select("doc_id", "n_shingles", "node").join(whole, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, node`` for each row of ``docs``.
+
+    Links are pairs of shingle sets with 100 * intersection >= ``percent`` * union.  A null or empty text has no
+    shingles and no links and is kept.  Rows with equal sets are linked, repeated rows too (all that carry the
+    component's smallest doc_id are kept).  A null doc_id counts as larger than any.  Other columns play no part.
+    """
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node")
+    return _judged(docs, width, percent, bands, rows).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node")
+
+
+def _noded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The rows, each with the node of its text."""
+    memo = _Memo()
+    for batch in chunks(batches, "text"):
+        sets = shingle_sets(texts_of(batch.column("text")), width, memo)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, NODE])
+
 
+#: Name of the node's column beside those of the documents.
+NODE = "near node"
 
-def first_of_each(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs``, all their columns, that near_duplicates keeps: one of each group; repeated rows once.
 
-    The ids to drop are far fewer than those to keep, so texts move only if there are too many to broadcast.  An id that
-    is kept for one of its texts is kept.
+def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of ``docs``, all its columns, of each group of near duplicates: that of the smallest (doc_id, node).
+
+    A null doc_id counts as larger than any.  Rows with equal ids and equal sets, empty ones too, are one: that of the
+    smallest text.  Rows that share an id but no group don't touch each other.
+
+    The ids to drop are far fewer than those to keep, so texts move only if there are too many to broadcast, and
+    those of ids with several rows, some of which stay.
     """
-    verdicts = stored(near_duplicates(docs, **limits).select(F.col("doc_id").alias("id"), "kept"), "near-verdicts")
-    ids = verdicts.where("kept").select("id").distinct()
-    lost = verdicts.where("NOT kept").select("id").distinct()
-    gone = stored(lost.join(ids.withColumnRenamed("id", "kept_id"), F.col("id").eqNullSafe(F.col("kept_id")), "left_anti"), "near-gone")
-    out = docs.join(sized(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("id")), "left_anti")
-    return out if verdicts.where("kept").count() == ids.count() else out.dropDuplicates(["doc_id"])
+    judged = _judged(docs, width, percent, bands, rows).groupBy(F.col("doc_id").alias("id"), "node", "comp").agg(F.count("*").alias("n"))
+    texts = stored(judged, "near-verdicts")
+    best = texts.where("node IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
+    stays = texts.where("node IS NOT NULL").join(best, "comp").select("id", "node", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node"))).alias("kept"))
+    stays = stored(stays.union(texts.where("node IS NULL").select("id", "node", "n", F.lit(True))), "near-stays")
+    fates = stays.groupBy("id").agg(F.sum("n").alias("n"), F.count_if("kept").alias("k")).where("k = 0 OR n > 1").select("id", (F.col("k") > 0).alias("several"))
+    fates = stored(fates, "near-gone")
+    count = fates.count()
+    same = lambda: docs["doc_id"].eqNullSafe(F.col("id"))
+    out = docs.join(sized(fates, count), same(), "left_anti")
+    several = fates.where("several")
+    if several.isEmpty():
+        return out
+    schema = T.StructType([*docs.schema.fields, T.StructField(NODE, T.BinaryType())])
+    noded = docs.join(sized(several, count), same(), "left_semi").mapInArrow(lambda it: _noded(it, width), schema)
+    pick = stays.where("kept").join(sized(several, count).toDF("several_id", "several"), F.col("id").eqNullSafe(F.col("several_id"))).select("id", "node")
+    pick = stored(pick, "near-several")
+    held = noded.join(sized(pick, pick.count()), F.col("doc_id").eqNullSafe(F.col("id")) & F.col(NODE).eqNullSafe(F.col("node")), "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    ones = held.groupBy("doc_id", F.col(NODE).alias("own node")).agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.to_json(row))).alias("row"))
+    return out.unionByName(ones.select("row.*"))

@@ -376,6 +376,16 @@ def test_first_of_each_group_stays_once(spark):
     assert near.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_that_share_an_id_go_only_with_their_group(spark):
+    copy = words(50, 1) + " more"  # near the first text; its id is kept for another text
+    texts = [words(50, 1), copy, words(50, 2), words(50, 3), words(50, 4), words(50, 4), words(50, 5), words(50, 6), words(50, 6), None, None]
+    docs = frame(spark, texts, [1, 2, 2, None, None, None, 7, 7, 8, 9, 9])
+    kept = near.first_of_each(docs)
+    assert kept.columns == docs.columns
+    want = [(1, texts[0]), (2, texts[2]), (7, texts[6]), (7, texts[7]), (9, None), (None, texts[3]), (None, texts[4])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_densified_bins_are_alike_for_like_sets():
     a = np.sort(np.random.default_rng(1).integers(0, 2**63, 40).astype(np.uint64))
     sig = near.signatures([a, a[1:], np.sort(np.random.default_rng(2).integers(0, 2**63, 40).astype(np.uint64))], 160)
