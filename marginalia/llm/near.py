@@ -4,12 +4,12 @@ One hash of a shingle serves all of a document's minima: its high bits choose th
 hash.  An empty bin copies the bin that a hash of (bin, attempt) names first among the filled ones.  ``BANDS`` groups of
 ``ROWS`` bins name buckets.  Documents with the same set are one node beforehand, so a bucket holds different sets only.
 
-In a bucket every member is a candidate of one centre only, so there are at most as many pairs as members.  A pair whose
-signatures agree in far too few bins is dropped, the others are confirmed on the full sets.  As two members can be alike
-though the centre is not like both, members of buckets that still hold several components go to finer buckets, each named
-by two bands; these get ``CENTRES`` centres of their own for the pairs that were not tried yet, round after round, until
-one confirms nothing new.  That only makes components large: at the end every pair that is left between two components of
-a one-band bucket is compared, in cells of ``CELL`` members against the bucket, so none goes untried.
+In a bucket every member is a candidate of one centre only, the same for all buckets that hold it, so there are at most as
+many pairs as members; each is confirmed on the full sets.  As two members can be alike though the centre is not like
+both, buckets whose other members still lie in several components get an exact finish.  There every member outside the
+bucket's largest component is compared, on full sets, with all members of other components: outsiders in cells of at most
+``CELL`` sets of about one size, each of which the bucket's members stream past.  A cell gives back the links that join
+components, never its pairs, so no pair that shares a bucket goes untried and no row stands for a pair that is no link.
 """
 
 from __future__ import annotations
@@ -29,12 +29,10 @@ from marginalia.llm.common import chunks, mixed, sized, stored, texts_of, words_
 BANDS, ROWS = 32, 5
 #: A shared hash is tried so often for an empty bin; after that the next filled bin serves.
 ATTEMPTS = 64
-#: Pairs go on if their signatures agree in a share of bins that is at most so far below the limit: five deviations of 160 bins.
-SLACK = 0.15
-#: Centres of a bucket in each round after the first, and distances of the bands that name a finer bucket together.
-CENTRES, APART = 3, (1, 7)
-#: Members of a bucket that one task compares with all the others of it in the end.
-CELL = 512
+#: Sets of one cell at most, and their shingles (a single larger set is a cell of its own).
+CELL, CELL_SHINGLES = 512, 1 << 18
+#: Shingles that so many sets of a cell hold are columns of a matrix, rarer ones go through lists of their holders.
+COMMON = 16
 #: Entries of a worker's word memo, after which it starts anew.
 MEMO = 1_000_000
 
@@ -112,7 +110,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>, signature binary"
+SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -121,15 +119,13 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int
         sets = shingle_sets(texts_of(batch.column("text")), width, memo)
         some = [i for i, s in enumerate(sets) if len(s)]
         keys: list = [None] * len(sets)
-        short: list = [None] * len(sets)
         if some:
-            found = signatures([sets[i] for i in some], bands * rows)
-            for i, k, b in zip(some, band_keys(found, bands, rows), mixed(found).astype(np.uint8), strict=True):
-                keys[i], short[i] = k, b.tobytes()
+            for i, k in zip(some, band_keys(signatures([sets[i] for i in some], bands * rows), bands, rows), strict=True):
+                keys[i] = k
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary()),
-        ], ["doc_id", "n_shingles", "node", "bands", "signature"])
+            pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+        ], ["doc_id", "n_shingles", "node", "bands"])
 
 
 MEMBER = "node binary, shingles array<long>"
@@ -144,67 +140,129 @@ def _members(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in keep], pa.binary()), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-PAIR = "a binary, b binary, comp_a binary, comp_b binary"
+def _stars(placed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (``a, b``) of the buckets' centres and their members of a like size (``key, node, n``)."""
+    pairs = placed.join(_centres(placed, "n"), "key").where((F.col("node") != F.col("m")) & (100 * F.least("n", "n_m") >= percent * F.greatest("n", "n_m")))
+    return pairs.select(F.least("m", "node").alias("a"), F.greatest("m", "node").alias("b")).distinct()
 
 
-def _promising(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            yield batch.filter(pa.array((x == y).mean(axis=1) >= least)).select(["a", "b", "comp_a", "comp_b"])
+def _centres(placed: DataFrame, *more: str) -> DataFrame:
+    """Each bucket's member of the smallest hash, so that a group has few centres."""
+    least = F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("p"), "node", *more)).alias("c")
+    return placed.groupBy("key").agg(least).select("key", F.col("c.node").alias("m"), *(F.col(f"c.{x}").alias(f"{x}_m") for x in more))
 
 
-def _stars(placed: DataFrame, tried: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """New distinct pairs of the centres of open buckets and their members in other components (``key, node, n, comp``).
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are alike."""
+    count = pairs.count()
+    left = sets.toDF("a", "s").join(sized(pairs, count), "a")
+    right = sets.toDF("b", "t").join(sized(pairs.select("b").distinct(), count), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    return left.join(right, "b").where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("a", "b")
 
-    The first centre is the same for all buckets that hold it, so a group has few; later ones differ by bucket.
-    """
-    orders = [F.xxhash64("node", F.lit(0))] if turn == 0 else [F.xxhash64("node", "key", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
-    least = F.array_distinct(F.array(*(F.min(F.struct(o.alias("p"), "node", "comp", "n")) for o in orders)))
-    centres = placed.groupBy("key").agg(least.alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", F.explode("c").alias("c"))
-    centres = centres.select("key", F.col("c.node").alias("m"), F.col("c.comp").alias("comp_m"), F.col("c.n").alias("n_m"))
-    pairs = placed.join(centres, "key").where((F.col("comp") != F.col("comp_m")) & (100 * F.least("n", "n_m") >= percent * F.greatest("n", "n_m")))
-    first = F.col("m") < F.col("node")
-    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
-    pairs = pairs.select(pick("m", "node", "a"), pick("node", "m", "b"), pick("comp_m", "comp", "comp_a"), pick("comp", "comp_m", "comp_b")).distinct()
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
+class Cell:
+    """Some sets, ready to be intersected with others."""
 
-def _like(pairs: DataFrame, some: DataFrame, percent: int) -> DataFrame:
-    """The pairs with like signatures."""
-    signs = some.select("node", "signature").toDF("a", "sig_a").join(sized(pairs, pairs.count()), "a").join(some.select("node", "signature").toDF("b", "sig_b"), "b")
-    return stored(signs.select("a", "b", "comp_a", "comp_b", "sig_a", "sig_b").mapInArrow(lambda it: _promising(it, percent / 100 - SLACK), PAIR), "near-like")
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.names, which, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.argsort(which, kind="stable")
+        self.holders, self.begins, self.held = owner[order], np.cumsum(held) - held, held
+        self.column = np.where(held >= COMMON, np.cumsum(held >= COMMON) - 1, -1)
+        self.common = self._matrix(owner, self.column[which])
 
+    def _matrix(self, rows: np.ndarray, columns: np.ndarray, n: int | None = None) -> np.ndarray:
+        out = np.zeros((len(self.sizes) if n is None else n, int(self.column.max(initial=-1)) + 1), np.float32)
+        some = columns >= 0
+        out[rows[some], columns[some]] = 1
+        return out
 
-def _rest(entries: DataFrame, labels: DataFrame, some: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """The pairs with like signatures of all that lie in one bucket and in two components, but for those tried before.
+    def intersections(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of the intersections, (others, own)."""
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(self.names, flat), len(self.names) - 1)
+        hit = self.names[at] == flat
+        at, row = at[hit], row[hit]
+        out = self._matrix(row, self.column[at], len(sets)) @ self.common.T
+        rare = self.column[at] < 0
+        at, row = at[rare], row[rare]
+        times = self.held[at]
+        ends = np.cumsum(times)
+        holder = self.holders[np.repeat(self.begins[at] - ends + times, times) + np.arange(int(times.sum()))]
+        cells = np.bincount(np.repeat(row, times) * len(self.sizes) + holder, minlength=out.size)
+        return np.rint(out).astype(np.int64) + cells.reshape(out.shape)
 
-    Pairs are compared as the join yields them; only the like ones are written.
-    """
+
+LINK = "a binary, b binary"
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that join components.  Rows come ordered by cell (``key, size, cell``); its own sets, ``streams`` false, first."""
+    at, cell, own, joined = None, None, [], {}
+
+    def root(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.column_stack([batch.column(c).to_numpy() for c in ("key", "size", "cell")])
+        comps, nodes = batch.column("comp").to_numpy(), batch.column("node")
+        streams = batch.column("streams").to_numpy(zero_copy_only=False)
+        column = batch.column("shingles")
+        values, ends = column.flatten().to_numpy().view(np.uint64), np.asarray(column.offsets, np.int64)
+        ends = ends - ends[0]
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1) | (streams[1:] != streams[:-1])) + 1).tolist(), batch.num_rows]
+        links: list[tuple] = []
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            if at != tuple(names[first]):
+                at, cell, own, joined = tuple(names[first]), None, [], {}
+            if not streams[first]:
+                own += [(values[ends[i] : ends[i + 1]].copy(), int(comps[i]), nodes[i].as_py()) for i in range(first, last)]
+                continue
+            cell = cell or Cell([x[0] for x in own])
+            mine = np.array([x[1] for x in own], np.int64)
+            for a in range(first, last, CELL):
+                rows = range(a, min(a + CELL, last))
+                sets = [values[ends[i] : ends[i + 1]] for i in rows]
+                both = cell.intersections(sets)
+                sizes = np.array([len(s) for s in sets], np.int64)[:, None] + cell.sizes
+                like = (100 * both >= percent * (sizes - both)) & (comps[rows.start : rows.stop, None] != mine)
+                for i, k in zip(*np.nonzero(like), strict=True):
+                    x, y = root(int(comps[a + i])), root(int(mine[k]))
+                    if x != y:
+                        joined[x] = y
+                        links.append((nodes[a + int(i)].as_py(), own[k][2]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*links, strict=True)], ["a", "b"])
+
+
+def _finish(entries: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a, b``) between components of a bucket, without its centre, whose pairs are tried."""
     placed = entries.join(labels, "node")
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
-    open_ = open_.select("key", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
-    members = stored(placed.join(open_, "key").join(some.select("node", "signature"), "node"), "near-open")
-    left = members.select("key", F.pmod(F.xxhash64("node", "key"), "cells").cast("int").alias("cell"), *(F.col(x).alias(y) for x, y in (("node", "a"), ("comp", "comp_a"), ("n", "n_a"), ("signature", "sig_a"))))
-    right = members.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), *(F.col(x).alias(y) for x, y in (("node", "b"), ("comp", "comp_b"), ("n", "n_b"), ("signature", "sig_b"))))
-    near_sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = left.join(right, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & near_sizes)
-    pairs = pairs.select("a", "b", "comp_a", "comp_b", "sig_a", "sig_b").mapInArrow(lambda it: _promising(it, percent / 100 - SLACK), PAIR)
-    like = stored(pairs.distinct(), "near-like")
-    names = like.select("a", "b")
-    count = like.count()
-    known = stored(tried.join(sized(names, count), ["a", "b"], "left_semi"), "near-known")
-    return like.join(sized(known, count), ["a", "b"], "left_anti")
-
-
-def _confirmed(like: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components of the pairs whose full sets are alike.  Only sets of pairs with like signatures move."""
-    count = like.count()
-    full = like.toDF("first", "second", "comp_a", "comp_b")
-    left = sets.toDF("first", "s").join(sized(full, count), "first")
-    right = sets.toDF("second", "t").join(sized(full.select("second").distinct(), count), "second")
-    common = F.size(F.array_intersect("s", "t"))
-    return left.join(right, "second").where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("comp_a", "comp_b").distinct()
+    others = stored(placed.join(_centres(placed), "key").where("node <> m").select("key", "node", "n", F.xxhash64("comp").alias("comp")), "near-others")
+    held = others.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    open_ = held.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    growth = 100 / percent  # sets whose sizes are further apart than one class are not alike
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(growth))).cast("int").alias("size")
+    members = stored(others.join(open_, "key").select("key", "node", "comp", size, (F.col("comp") != F.col("largest")).alias("outside")), "near-open")
+    per_cell = F.greatest(F.lit(1), F.least(F.lit(CELL), F.floor(F.lit(float(CELL_SHINGLES)) / F.pow(F.lit(growth), F.col("size") + 1))))
+    cells = members.where("outside").groupBy("key", "size").agg(F.count("*").alias("k")).select("key", "size", F.ceil(F.col("k") / per_cell).cast("int").alias("cells"))
+    cells = stored(cells, "near-cells")
+    placed = members.join(cells, ["key", "size"], "left").withColumn("home", F.when(F.col("outside"), F.pmod(F.xxhash64("node", "key"), "cells").cast("int")))
+    own = placed.where("outside").select("key", "size", F.col("home").alias("cell"), F.lit(False).alias("streams"), "node", "comp")
+    near = placed.drop("cells").withColumn("to", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    past = near.join(cells.withColumnRenamed("size", "to"), ["key", "to"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    past = past.where(~F.col("outside") | (F.col("size") > F.col("to")) | ((F.col("size") == F.col("to")) & (F.col("home") >= F.col("cell"))))  # two outsiders meet once
+    rows = own.unionByName(past.select("key", F.col("to").alias("size"), "cell", F.lit(True).alias("streams"), "node", "comp"))
+    names = ["key", "size", "cell"]
+    ordered = rows.join(sets, "node").repartition(*names).sortWithinPartitions(*names, "streams")
+    return ordered.mapInArrow(lambda it: _compared(it, percent), LINK)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,29 +286,17 @@ def _shared(entries: DataFrame) -> DataFrame:
     return stored(entries.join(many, "key").select("key", "node"), "near-buckets")
 
 
-def _finer(entries: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Buckets named by two bands, of the nodes in buckets that hold several components."""
-    placed = entries.join(labels, "node")
-    mixed_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    open_ = stored(placed.join(mixed_, "key", "left_semi").select("node").distinct(), "near-open")
-    count = open_.count()
-
-    def both(apart: int):
-        return F.transform("bands", lambda b, i: F.xxhash64(b, F.get("bands", F.pmod(i + apart, F.size("bands"))), F.lit(apart)))
-
-    keys = F.flatten(F.array(*map(both, APART)))
-    return _shared(nodes.select("node", "bands").join(sized(open_, count), "node").select("node", F.explode(keys).alias("key")))
-
-
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    joined = components(links).toDF("comp", "to")
+    """``labels`` (``node, n, comp``) with the components that ``links`` (``a, b``) connect as one."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b")
+    joined = components(ends.select("comp_a", "comp_b").distinct()).toDF("comp", "to")
     return stored(labels.join(joined, "comp", "left").select("node", "n", F.coalesce("to", "comp").alias("comp")), "near-labels")
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """``node, comp`` of the nodes in buckets with others; None if no bucket has two."""
     entries = _shared(nodes.select("node", F.explode("bands").alias("key")))
-    some = stored(entries.select("node").distinct().join(nodes.select("node", "rep", "n", "signature"), "node"), "near-some")
+    some = stored(entries.select("node").distinct().join(nodes.select("node", "rep", "n"), "node"), "near-some")
     count = some.count()
     if not count:
         return None
@@ -258,18 +304,11 @@ def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
     named = texts.join(sized(some.select("node", "rep"), count), texts["doc_id"].eqNullSafe(F.col("rep"))).select("node", "text")
     sets = stored(named.mapInArrow(lambda it: _members(it, width), MEMBER).dropDuplicates(["node"]), "near-sets")
     labels = some.select("node", "n", F.col("node").alias("comp"))
-    buckets, tried, turn = entries, None, 0
-    while True:
-        pairs = stored(_stars(entries.join(labels, "node"), tried, turn, percent), "near-pairs")
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        links = stored(_confirmed(_like(pairs, some, percent), sets, percent), "near-links")
-        if links.isEmpty():
-            break
+    pairs = stored(_stars(entries.join(labels, "node"), percent), "near-pairs")
+    links = stored(_confirmed(pairs, sets, percent), "near-links")
+    if not links.isEmpty():
         labels = _merged(labels, links)
-        if not turn:
-            entries = _finer(buckets, labels, nodes)
-        turn += 1
-    links = stored(_confirmed(stored(_rest(buckets, labels, some, tried, percent), "near-rest"), sets, percent), "near-links")
+    links = stored(_finish(entries, labels, sets, percent), "near-links")
     return (labels if links.isEmpty() else _merged(labels, links)).select("node", "comp")
 
 
@@ -277,7 +316,7 @@ def _judged(docs: DataFrame, width: int, percent: int, bands: int, rows: int) ->
     """``doc_id, n_shingles, node, comp, component_id`` for each row of ``docs``; the last three are null without shingles."""
     sketch = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _sketch(it, width, bands, rows), SKETCH), "near-sketch")
     some = sketch.where("node IS NOT NULL")
-    nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-nodes")
+    nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-nodes")
     labels = _linked(docs, nodes, width, percent)
     if labels is None:
         whole = nodes.select("node", F.col("node").alias("comp"), F.col("rep").alias("component_id"))
