@@ -77,12 +77,42 @@ def test_packing_returns_the_ids(spark):
 def test_crossover_keeps_every_piece_once():
     dice = random.Random(3)
     sizes = [dice.randrange(1, 60) for _ in range(200)]
-    owner = packing.evolve(sizes, 100, [], 1)
-    assert len(owner) == 200 and min(owner) == 0
-    fill = np.bincount(owner, sizes)
-    assert fill.max() <= 100 and (fill > 0).all()
-    again = packing.evolve(sizes, 100, [owner, list(range(200))], 2)
-    assert max(again) <= max(owner)
+    island = packing.evolve(sizes, 100, 1, best_fit=True)
+    assert island.crossovers == packing.GENERATIONS
+    for p in island.people:
+        owner = p.owners(200)
+        fill = np.bincount(owner, sizes)
+        assert min(owner) == 0 and fill.max() <= 100 and (fill > 0).all() and (100 - fill).tolist() == p.left
+    best = island.people[0].owners(200)
+    again = packing.evolve(sizes, 100, 2, [list(range(200))], best)
+    assert again.migrants == 1 and len(again.people[0].bins) <= max(best) + 1
+    assert packing.evolve([5], 100, 1).people[0].bins == [[0]]
+
+
+def triples(n, seed):
+    """Sizes of n triples that fill a bin of 1000 each."""
+    dice, out = random.Random(seed), []
+    while len(out) < 3 * n:
+        a = dice.randrange(260, 480)
+        b = dice.randrange(260, 480)
+        out += [a, b, 1000 - a - b]
+    return out
+
+
+def test_evolution_beats_best_fit_where_that_misses_the_bound():
+    sizes = triples(60, 4)
+    alone = packing.Packing([], [])
+    alone.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000)
+    assert len(alone.bins) > 60
+    assert len(packing.evolve(sizes, 1000, 5, best_fit=True, generations=60).people[0].bins) < len(alone.bins)
+
+
+def test_every_shard_evolves(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    shards = docs.mapInArrow(lambda it: packing._pieces(it, tokenizer_path(), 4096, False), packing.SHARDS)
+    rows = packing.evolved(shards, 4096).collect()
+    assert rows and all(r.crossovers == packing.EPOCHS * packing.GENERATIONS for r in rows)
+    assert sum(r.children for r in rows) > 0 and sum(r.migrants for r in rows) > 0
 
 
 # -- search
