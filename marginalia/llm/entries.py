@@ -81,7 +81,7 @@ SQL: dict[str, str] = {
     "op5_mixing": r"""
         WITH s AS (
           SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                 CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+                 CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
           FROM documents),
         t AS (
           SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -98,10 +98,10 @@ SQL: dict[str, str] = {
           SELECT s.*, g.source_size, g.target, floor(g.target / nullif(g.source_size, 0)) AS times,
                  g.target - floor(g.target / nullif(g.source_size, 0)) * g.source_size AS budget,
                  sum(size) OVER (PARTITION BY s.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-                 sum(size) OVER (PARTITION BY s.source, h) AS own
+                 sum(size) OVER (PARTITION BY s.source, h) AS own, row_number() OVER (PARTITION BY s.source, h) AS number
           FROM s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
         SELECT doc_id, size, source_size, target,
-               CAST(CASE WHEN size = 0 THEN 0 ELSE least(3, times + CASE WHEN upto - own <= budget AND upto - own + own / 2.0 <= budget THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken
+               CAST(CASE WHEN size = 0 THEN 0 ELSE least(3, times + CASE WHEN upto - own <= budget AND number <= floor((budget - (upto - own)) / size + 0.5) THEN 1 ELSE 0 END) * size END AS BIGINT) AS taken
         FROM run""",
     "op6_url_filters": r"""
         WITH u AS (

@@ -26,9 +26,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_hash(doc_id: Column) -> Column:
-    """60 bits of the id's md5; a null id counts as the empty text.  Rows with one id are taken, or not, together."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def order_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the md5 of id, blank and text; null counts as empty.  Only rows equal in both share it."""
+    key = F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -54,9 +55,10 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
 
 
 def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``source, times, below`` : every document is taken ``times`` times, and once more if its hash is under ``below``.
+    """``source, times, edge, alike, more``: every document is taken ``times`` times, and once more if its hash is under ``edge``.
 
-    The single hash in which the budget ends is taken if that brings the sum nearer to the target.
+    Of the ``alike`` rows at the edge, the single hash in which the budget ends, so many are taken once more (``more``) as bring the
+    sum nearest to the target; they are equal in id and text, so which ones does not matter.
     """
     budget = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     state = wanted.where(F.col("source_size") > 0).select("source", F.floor(F.col("target") / F.col("source_size")).cast("long").alias("times"), budget.alias("left"), F.lit(0).cast("long").alias("prefix"))
@@ -68,18 +70,18 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
             inside = rows.select("source", "size", at.alias("bucket"))
         else:  # only the bucket in which a source's budget ends goes on
             inside = rows.join(state.select("source", "prefix"), rows["source"].eqNullSafe(state["source"])).where(F.shiftright("hash", low + STEP_BITS) == F.col("prefix")).select(rows["source"], "size", at.alias("bucket"))
-        histogram = inside.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+        histogram = inside.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
         running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         summed = histogram.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
         joined = summed.join(state.select(F.col("source").alias("s"), "times", "left"), F.col("source").eqNullSafe(F.col("s")))
-        ends = joined.where(F.col("before") <= F.col("left")).groupBy("source", "times").agg(F.max_by(F.struct((F.col("left") - F.col("before")).alias("left"), F.col("bucket").alias("prefix"), "words"), "bucket").alias("m"))
-        state = stored(ends.select("source", "times", "m.left", "m.prefix", "m.words"), f"mix-{bits}")
-    return state.select("source", "times", (F.col("prefix") + F.when(2 * F.col("left") >= F.col("words"), 1).otherwise(0)).alias("below"))
+        ends = joined.where(F.col("before") <= F.col("left")).groupBy("source", "times").agg(F.max_by(F.struct((F.col("left") - F.col("before")).alias("left"), F.col("bucket").alias("prefix"), "words", "rows"), "bucket").alias("m"))
+        state = stored(ends.select("source", "times", "m.left", "m.prefix", "m.words", "m.rows"), f"mix-{bits}")
+    return state.select("source", "times", F.col("prefix").alias("edge"), F.col("rows").alias("alike"), F.least(F.col("rows"), F.floor(F.col("left") * F.col("rows") / F.col("words") + 0.5)).cast("long").alias("more"))
 
 
 def _plan(docs: DataFrame, weights: Sequence[float], most: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, source, size, hash`` of every row, and ``key, source_size, target, times, below`` of every source."""
-    sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
+    """``doc_id, source, size, hash`` of every row, and ``key, source_size, target, times, edge, alike, more`` of every source."""
+    sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_hash(F.col("doc_id"), F.col("text")).alias("hash")), "mix-sizes")
     totals = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     wanted = stored(targets(totals, weights, most), "mix-targets")
     cut = thresholds(sizes, wanted)
@@ -87,24 +89,40 @@ def _plan(docs: DataFrame, weights: Sequence[float], most: int) -> tuple[DataFra
     return sizes, sized(plan, totals.count())
 
 
-def _times(most: int) -> Column:
-    return F.least(F.lit(most), F.coalesce("times", F.lit(0)) + F.when(F.col("hash") < F.coalesce("below", F.lit(0)), 1).otherwise(0))
+def _counted(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """``rows`` (``source, size, hash`` among their columns) with their source's plan and ``n``, how often each is taken.
+
+    Only rows at a source's edge are numbered: those that are equal in id and text.
+    """
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("key"))).drop("key")
+    at_edge = (F.col("size") > 0) & (F.col("hash") == F.col("edge"))
+    both = joined.withColumn("number", F.lit(1))
+    if not plan.where("alike > 1").isEmpty():
+        numbered = joined.where(at_edge).withColumn("number", F.row_number().over(Window.partitionBy("source").orderBy("hash")))
+        both = both.where(~F.coalesce(at_edge, F.lit(False))).unionByName(numbered)
+    once_more = F.coalesce((F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & (F.col("number") <= F.col("more"))), F.lit(False))
+    times = F.least(F.lit(most), F.coalesce("times", F.lit(0)) + once_more.cast("int"))
+    return both.withColumn("n", F.when(F.col("size") > 0, times).otherwise(0).cast("int"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for each row of ``docs``.
 
     A null or empty text has size 0 and is not taken; null is a source of its own; a source without words has target 0.
-    Rows that share a doc_id share one hash.  Other columns of ``docs`` play no part.
+    Rows equal in id and text are told apart by a number only, so a rerun takes as many of them.  Other columns of
+    ``docs`` play no part; an empty table gives an empty result.
     """
     sizes, plan = _plan(docs, weights, most)
-    taken = (_times(most) * F.col("size")).cast("long").alias("taken")
-    return sizes.join(plan, F.col("source").eqNullSafe(F.col("key"))).select("doc_id", "size", "source_size", "target", taken)
+    return _counted(sizes, plan, most).select("doc_id", "size", "source_size", "target", (F.col("n") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The rows of ``docs``, all their columns, each as often as the mix takes it."""
+    """The rows of ``docs``, all their columns, each as often as the mix takes it: copies count as taken.
+
+    Texts without words, null ones too, are never taken.  Nulls, ties and repeated rows go as in ``mix``.
+    """
     _, plan = _plan(docs, weights, most)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("own"), order_hash(F.col("doc_id")).alias("hash"), n_words(F.col("text")).alias("size"))
-    joined = rows.join(plan, F.col("own").eqNullSafe(F.col("key"))).where((F.col("size") > 0) & (_times(most) > 0))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), _times(most).cast("int"))).alias("n")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, "source", order_hash(F.col("doc_id"), F.col("text")).alias("hash"), n_words(F.col("text")).alias("size"))
+    taken = _counted(rows, plan, most).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("n"))
+    return taken.select(*(F.col("row")[c].alias(c) for c in docs.columns))
