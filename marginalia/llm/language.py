@@ -2,8 +2,8 @@
 
 A language is a distribution of hashed byte trigrams, counted in words with a blank at both ends.  A text is a mixture
 of languages: each word comes from one of them, with the likelihood of its trigrams.  Expectation-maximisation estimates
-the proportions; among the sets of the first 1, 2, ... ``MOST`` languages by proportion, each fitted again on its own,
-the one of highest log-likelihood less a penalty for each language is taken.  The prediction is its largest proportion.
+the proportions, until they settle; among the sets of the first 1, 2, ... languages by proportion, each fitted again on its
+own, the one of highest log-likelihood less a penalty for each language is taken.  The prediction is its largest proportion.
 
 The trigram tables are counted on at most ``PER_LANGUAGE`` texts of a language, those of smallest hash.  Every text is
 predicted, from all of its words.
@@ -27,7 +27,8 @@ PER_LANGUAGE = 1000
 BITS = 16
 #: What each trigram slot counts at least.
 FLOOR = 0.5
-STEPS, SET_STEPS, MOST = 8, 6, 3
+#: Proportions settle when no step moves one of a text by so much, or after so many steps.
+SETTLED, STEPS = 2e-3, 40
 #: Log-likelihood that one more language must bring, times the logarithm of the number of words.
 PENALTY = 2.0
 LETTER = regex.compile(r"\p{L}")
@@ -84,20 +85,30 @@ class _Numbers(dict):
         return out
 
 
-def _mix(likely: np.ndarray, starts: np.ndarray, doc: np.ndarray, allowed: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+def _mix(likely: np.ndarray, starts: np.ndarray, doc: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the allowed languages in each text, and the log-likelihood of its words under them."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    total = np.diff(np.append(starts, len(likely)))[:, None].astype(np.float32)
-    for step in range(steps + 1):
-        joint = likely * share[doc]
-        word = joint.sum(axis=1, keepdims=True) + np.float32(1e-30)
-        if step == steps:
-            return share, np.add.reduceat(np.log(word[:, 0]), starts)
-        joint /= word
-        share = np.add.reduceat(joint, starts, axis=0) / total
-
-
-def infer(texts: list[bytes], model: Model, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(np.append(starts, len(likely)))
+    moving = np.arange(len(starts)) if (allowed.sum(axis=1) > 1).any() else np.empty(0, np.int64)
+    own, begin, owner = likely, starts, doc
+    for _ in range(STEPS):
+        if not len(moving):
+            break
+        joint = own * share[moving][owner]
+        joint /= joint.sum(axis=1, keepdims=True) + np.float32(1e-30)
+        new = np.add.reduceat(joint, begin, axis=0) / sizes[moving][:, None].astype(np.float32)
+        still = np.abs(new - share[moving]).max(axis=1) > SETTLED
+        share[moving] = new
+        if not still.all():  # settled texts drop out
+            words = np.repeat(still, sizes[moving])
+            own, moving = own[words], moving[still]
+            begin = segment_starts(sizes[moving])[:-1]
+            owner = np.repeat(np.arange(len(moving)), sizes[moving])
+    word = (likely * share[doc]).sum(axis=1) + np.float32(1e-30)
+    return share, np.add.reduceat(np.log(word), starts)
+
+
+def infer(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Each text's number of the largest language (-1 without words) and its proportion."""
     best, score = np.full(len(texts), -1), np.zeros(len(texts))
     numbers = _Numbers()
@@ -112,17 +123,21 @@ def infer(texts: list[bytes], model: Model, steps: int = STEPS) -> tuple[np.ndar
     likely = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60)).astype(np.float32)[ids]
     starts = segment_starts(sizes[full])[:-1]
     doc = np.repeat(np.arange(len(full)), sizes[full])
-    share, _ = _mix(likely, starts, doc, np.ones((len(full), len(model.languages)), np.float32), steps)
+    share, _ = _mix(likely, starts, doc, np.ones((len(full), len(model.languages)), np.float32))
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    taken, value = None, None
-    for k in range(1, min(MOST, len(model.languages)) + 1):
-        own, log = _mix(likely, starts, doc, (rank < k).astype(np.float32), 0 if k == 1 else SET_STEPS)
-        worth = log - PENALTY * k * np.log(sizes[full] + 1)
-        if taken is None:
-            taken, value = own, worth
-        else:
-            better = worth > value
-            taken[better], value[better] = own[better], worth[better]
+    taken, value = _mix(likely, starts, doc, (rank < 1).astype(np.float32))
+    value = value - PENALTY * np.log(sizes[full] + 1)
+    for k in range(2, len(model.languages) + 1):
+        # A text that no set of k languages can make likelier by its penalty is done: every word at its best language is the most.
+        open_ = np.flatnonzero(np.add.reduceat(np.log(likely.max(axis=1) + np.float32(1e-30)), starts) - PENALTY * k * np.log(sizes[full] + 1) > value)
+        if not len(open_):
+            break
+        pick = np.isin(doc, open_)
+        n = sizes[full][open_]
+        own, log = _mix(likely[pick], segment_starts(n)[:-1], np.repeat(np.arange(len(open_)), n), (rank[open_] < k).astype(np.float32))
+        worth = log - PENALTY * k * np.log(n + 1)
+        better = worth > value[open_]
+        taken[open_[better]], value[open_[better]] = own[better], worth[better]
     best[full] = taken.argmax(axis=1)
     score[full] = np.clip(taken.max(axis=1), 0, 1)
     return best, score
