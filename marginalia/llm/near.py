@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import chunks, mixed, sized, stored, texts_of, words_of
+from marginalia.llm.common import chunks, fresh, mixed, sized, stored, texts_of, words_of
 
 BANDS, ROWS = 32, 5
 #: A shared hash is tried so often for an empty bin; after that the next filled bin serves.
@@ -338,16 +338,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return _judged(docs, width, percent, bands, rows).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node")
 
 
-def _noded(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _noded(batches: Iterator[pa.RecordBatch], width: int, name: str) -> Iterator[pa.RecordBatch]:
     """The rows, each with the node of its text."""
     memo = _Memo()
     for batch in chunks(batches, "text"):
         sets = shingle_sets(texts_of(batch.column("text")), width, memo)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, NODE])
-
-
-#: Name of the node's column beside those of the documents.
-NODE = "near node"
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, name])
 
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -359,24 +355,26 @@ def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bands: int
     The ids to drop are far fewer than those to keep, so texts move only if there are too many to broadcast, and
     those of ids with several rows, some of which stay.
     """
+    ident, several, node, own = fresh(docs, "near id", "near several", "near node", "near own")
     judged = _judged(docs, width, percent, bands, rows).groupBy(F.col("doc_id").alias("id"), "node", "comp").agg(F.count("*").alias("n"))
     texts = stored(judged, "near-verdicts")
     best = texts.where("node IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
     stays = texts.where("node IS NOT NULL").join(best, "comp").select("id", "node", "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node"))).alias("kept"))
     stays = stored(stays.union(texts.where("node IS NULL").select("id", "node", "n", F.lit(True))), "near-stays")
-    fates = stays.groupBy("id").agg(F.sum("n").alias("n"), F.count_if("kept").alias("k")).where("k = 0 OR n > 1").select("id", (F.col("k") > 0).alias("several"))
+    fates = stays.groupBy("id").agg(F.sum("n").alias("n"), F.count_if("kept").alias("k")).where("k = 0 OR n > 1").select(F.col("id").alias(ident), (F.col("k") > 0).alias(several))
     fates = stored(fates, "near-gone")
     count = fates.count()
-    same = lambda: docs["doc_id"].eqNullSafe(F.col("id"))
-    out = docs.join(sized(fates, count), same(), "left_anti")
-    several = fates.where("several")
-    if several.isEmpty():
+    same = docs["doc_id"].eqNullSafe(F.col(f"`{ident}`"))
+    out = docs.join(sized(fates, count), same, "left_anti")
+    shared = fates.where(F.col(f"`{several}`"))
+    if shared.isEmpty():
         return out
-    schema = T.StructType([*docs.schema.fields, T.StructField(NODE, T.BinaryType())])
-    noded = docs.join(sized(several, count), same(), "left_semi").mapInArrow(lambda it: _noded(it, width), schema)
-    pick = stays.where("kept").join(sized(several, count).toDF("several_id", "several"), F.col("id").eqNullSafe(F.col("several_id"))).select("id", "node")
+    schema = T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())])
+    noded = docs.join(sized(shared, count), same, "left_semi").mapInArrow(lambda it: _noded(it, width, node), schema)
+    pick = stays.where("kept").join(sized(shared, count), F.col("id").eqNullSafe(F.col(f"`{ident}`"))).select(F.col("id").alias(ident), F.col("node").alias(own))
     pick = stored(pick, "near-several")
-    held = noded.join(sized(pick, pick.count()), F.col("doc_id").eqNullSafe(F.col("id")) & F.col(NODE).eqNullSafe(F.col("node")), "left_semi")
+    held = noded.join(sized(pick, pick.count()), F.col("doc_id").eqNullSafe(F.col(f"`{ident}`")) & F.col(f"`{node}`").eqNullSafe(F.col(f"`{own}`")), "left_semi")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    ones = held.groupBy("doc_id", F.col(NODE).alias("own node")).agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.to_json(row))).alias("row"))
+    ones = held.select(F.col("doc_id").alias("id"), F.col(f"`{node}`").alias("node"), F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
+    ones = ones.groupBy("id", "node").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
     return out.unionByName(ones.select("row.*"))

@@ -477,3 +477,62 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     packed = out.collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+# -- repeated rows, shared ids, clashing names, huge numbers
+
+
+def test_search_of_huge_components(spark):
+    big = 2.0**70
+    rows = [(0, [big, 1.0]), (1, [big, 1.0]), (2, [-big, 1.0]), (3, [1.0, 2.0]), (50, [1.0, -1.0]), (51, [1e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    end = 2**63 - 1
+    held = [(i, r, j, min(max(s, -end), end)) for i, r, j, s in brute_topk([(i, [min(x, 2.0**1000) for x in v]) for i, v in rows], k=9)]
+    want = []
+    for q in (0, 50):
+        own = sorted((-s, j) for i, _, j, s in held if i == q)[:5]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(own)]
+    assert sorted(tuple(r) for r in topk.nearest(df).collect()) == want
+
+
+def test_equal_rows_are_parted_by_the_mix(spark):
+    texts = [words(9, 1)] * 300 + [words(9, 2)] * 100
+    docs = frame(spark, texts, [None] * 300 + list(range(100)), sources=["a"] * 300 + ["b"] * 100)
+    rows = mixing.mix(docs).collect()
+    taken = sum(r.taken for r in rows if r.source_size == 2700)
+    target = next(r.target for r in rows if r.source_size == 2700)
+    assert abs(taken - target) <= 9
+    assert mixing.mixture(docs).count() == sum(r.taken // r.size for r in rows)
+
+
+CLASHES = "id long, row string, n int, rank int, hash long, bucket int, block long, comp string, node string, text string, doc_id long, lang string, source string, n_chars long, `near id` int"
+
+
+def clashing(spark):
+    texts = [words(50, 1), words(50, 1), words(50, 2), None, "", words(50, 2), words(260, 5), words(260, 5) + " tail", "short"]
+    ids = [4, 3, 9, 10, None, 9, 20, 21, None]
+    return spark.createDataFrame([(i, "r", i, i, i, i, i, "c", "n", t, k, "en", "s", len(t or ""), 0) for i, (t, k) in enumerate(zip(texts, ids, strict=True))], CLASHES)
+
+
+def test_stages_take_tables_with_clashing_names(spark):
+    docs = clashing(spark)
+    labels = spark.createDataFrame([(4, 0), (9, 1)], "doc_id long, toxic int")
+    assert toxicity.keep_ordinary(docs, labels).columns == docs.columns
+    kept = near.first_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.id for r in kept.collect() if r.id != 5 and r.id != 2) == [1, 3, 4, 6, 8]
+    assert suffix.without_repeats(docs).count() == 9 and mixing.mixture(docs).columns == docs.columns
+    for f in (mixing.mix, suffix.remove_repeats, near.near_duplicates, language.identify, lm.score):
+        assert f(docs).count() == 9
+    assert toxicity.score(docs, labels).count() == 9 and audio.media_columns(docs, digest=True).count() == 9
+    assert packing.pack(docs, tokenizer_path()).select("doc_id").distinct().count() == 7
+
+
+def test_many_languages_in_one_text(spark):
+    parts = ["abcde", "fghij", "klmno", "pqrst", "uvwxy"]
+    make = lambda letters, n, seed: " ".join("".join(random.Random(seed * 999 + i).choices(letters, k=5)) for i in range(n))
+    texts = [make(parts[i % 5], 60, i) for i in range(100)]
+    model = language.fit(frame(spark, texts, langs=[parts[i % 5] for i in range(100)]))
+    mixed = " ".join(make(p, n, 7 + n).strip() for p, n in zip(parts, (50, 40, 30, 20, 10), strict=True)).encode()
+    best, share = language.infer([mixed, texts[1].encode(), b""], model)
+    assert [model.languages[best[0]], model.languages[best[1]], best[2]] == ["abcde", "fghij", -1]
+    assert abs(share[0] - 1 / 3) < 0.03 and share[1] > 0.99 and share[2] == 0
