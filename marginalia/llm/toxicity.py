@@ -1,172 +1,284 @@
 """Toxicity: class-conditional Kneser-Ney models of toxic and ordinary text.
 
-For each class an expression (a word without punctuation at its ends) has the number of different words it follows as
-its count, so copies of a text add nothing.  Counts are discounted; what that frees goes to the expression's stem (its
-first letters), whose class counts are discounted too, and from there to counts that both classes share.  So a rare
-expression has the same probability in both classes unless its stem says otherwise.
-
-A text's evidence is its log-likelihood ratio for a word, over the whole text, and that of its strongest expression.  A
-logistic curve, fitted on labelled texts that were not counted, turns both into a probability.
-
-The models are fitted on at most ``PER_CLASS`` labelled texts of each class, those of smallest hash; they are arrays of a
-fixed size.  Every text is scored.
+Each class has an interpolated Kneser-Ney model of its expressions (words without punctuation at their ends): counts of
+word pairs back off to the number of different words that an expression follows, these to the same of its stem (its first
+letters), and these to counts that both classes share.  Discounts are estimated from counts of counts, each class and
+level its own.  The weight that a level passes on is the same for both classes, the larger of the two, so that an
+expression that neither has seen is as likely in one as in the other, however unlike the classes are in size.
+
+A text's evidence is its log-likelihood ratio for a word, over the whole text, and that of its strongest expression, which
+counts by the number of different words it follows in toxic text.  A logistic curve turns both into a probability; it is
+fitted on the evidence that each learning text has from the models of the other texts (``FOLDS`` parts by the text's
+hash, so that copies share a part).
+
+The models are fitted on at most ``PER_CLASS`` labelled texts of each class, those of smallest hash, equal ones once; they
+are arrays of a fixed size.  Every text is scored, over all its words.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import Memo, chunks, id_remainder, mixed, texts_of, word_runs
+from marginalia.llm.common import chunks, id_remainder, mixed, segment_starts, stored
 
 PER_CLASS = 3000
-#: One labelled text in so many is kept from the counts, for the curve.
-CURVE_FOLD = 5
+FOLDS = 4
 STEM = 5
-DISCOUNT = 4.0
-WORD_BITS, STEM_BITS = 20, 18
-#: Words that a text's length counts more, so that a few words prove little.
-EXTRA = 10
+WORD_BITS, STEM_BITS, PAIR_BITS = 20, 18, 20
+#: Words that a text's length counts more, so that a few words prove little; contexts that halve the strongest one's ratio.
+EXTRA, RELIABLE = 10, 4
 ENDS = b".,;:!?\"'()[]"
 THRESHOLD = 0.7
+#: The curve's slopes count as if they were seen to be flat so often, which matters for a few labels only.
+DAMPING = 1.0
+#: What every shared count has besides.
+FLOOR = 0.5
 
 
-def slots(word: bytes) -> tuple[int, int]:
+def slots(word: bytes) -> int:
+    """Slots of the expression and of its stem in one number."""
     word = word.strip(ENDS)
     stem = word if len(word) <= STEM else word.decode("utf-8", "replace")[:STEM].encode()
-    return xxhash.xxh3_64_intdigest(word) & (1 << WORD_BITS) - 1, xxhash.xxh3_64_intdigest(stem) & (1 << STEM_BITS) - 1
+    return (xxhash.xxh3_64_intdigest(word) & (1 << WORD_BITS) - 1) << STEM_BITS | xxhash.xxh3_64_intdigest(stem) & (1 << STEM_BITS) - 1
+
+
+#: The slot before a text's first word.
+START = slots(b"") >> STEM_BITS
 
 
-PAIRS = "toxic int, before long, word int, stem int"
+def pair_slots(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (mixed(before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+@dataclass
+class Tokens:
+    """Texts' expressions: slots of the distinct ones, and which one each token is."""
+
+    word: np.ndarray
+    stem: np.ndarray
+    which: np.ndarray
+    sizes: np.ndarray  # tokens of each text
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Tokens:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        words = lists.flatten()
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        full = pc.not_equal(words, "")  # white space at a text's ends leaves empty strings
+        if not pc.all(full).as_py():
+            gone = np.concatenate(([0], np.cumsum(~full.to_numpy(zero_copy_only=False))))
+            cuts = segment_starts(sizes)
+            sizes = sizes - (gone[cuts[1:]] - gone[cuts[:-1]])
+            words = words.filter(full)
+        coded = words.dictionary_encode()
+        codes = np.fromiter(map(slots, coded.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(coded.dictionary))
+        return cls(codes >> STEM_BITS, codes & (1 << STEM_BITS) - 1, coded.indices.to_numpy().astype(np.int64), sizes)
+
+    def before(self) -> np.ndarray:
+        """Slot of the expression before each token."""
+        out = np.append(START, self.word[self.which])[:-1] if len(self.which) else np.empty(0, np.int64)
+        starts = segment_starts(self.sizes)[:-1]
+        out[starts[self.sizes > 0]] = START
+        return out
+
+
+PAIRS = "toxic int, fold int, before int, word int, stem int, n long"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (class, word before, word) of each batch, with the word's stem."""
-    memo = Memo(lambda w: (lambda s: s[0] << STEM_BITS | s[1])(slots(w)))
+    """Pairs of neighbours by class and fold, with the second one's stem and their number in the batch."""
     for batch in chunks(batches, "text"):
-        for toxic in (0, 1):
-            codes = []
-            for text, label in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                if label == toxic:
-                    for words in word_runs(text):
-                        codes.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
-                        codes.append(np.array([-1]))
-            if not codes:
-                continue
-            flat = np.concatenate(([-1], *codes))
-            pair = np.column_stack((flat[:-1] >> STEM_BITS, flat[1:]))[flat[1:] >= 0]
-            _, at = np.unique(mixed(pair[:, 0].astype(np.uint64)) + pair[:, 1].astype(np.uint64), return_index=True)
-            before, code = pair[at].T
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(at), toxic, np.int32)), pa.array(before), pa.array((code >> STEM_BITS).astype(np.int32)), pa.array((code & (1 << STEM_BITS) - 1).astype(np.int32)),
-            ], ["toxic", "before", "word", "stem"])
+        tokens = Tokens.of(batch.column("text"))
+        group = np.repeat(batch.column("toxic").to_numpy() * FOLDS + batch.column("fold").to_numpy(), tokens.sizes)
+        rows, n = np.unique(np.column_stack((group, tokens.before(), tokens.word[tokens.which], tokens.stem[tokens.which])), axis=0, return_counts=True)
+        cells = (rows[:, 0] // FOLDS, rows[:, 0] % FOLDS, *rows[:, 1:].T)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cells), pa.array(n)], ["toxic", "fold", "before", "word", "stem", "n"])
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Each class's discount, (class, 1): n1 / (n1 + 2 * n2); one half where a class has no such counts."""
+    once, twice = ((counts == k).sum(axis=1, keepdims=True).astype(float) for k in (1, 2))
+    return np.where((once > 0) & (twice > 0), once / np.maximum(once + 2 * twice, 1), 0.5)
 
 
 @dataclass
 class Model:
-    """What is left of a class's discounted counts, in proportion to all, by slot; what it passes on; shared counts."""
+    """Smoothed models of both classes, from counts of (class, slot)."""
 
-    words: np.ndarray  # (class, slot)
-    stems: np.ndarray  # (class, slot): with the shared counts mixed in
-    passed: np.ndarray  # (class): the weight that words pass on to stems
-    shared_words: np.ndarray
-    shared_stems: np.ndarray
+    pairs: np.ndarray
+    tokens: np.ndarray  # of each expression as the one before
+    types: np.ndarray  # different ones that follow it
+    words: np.ndarray  # different ones that it follows
+    stems: np.ndarray  # the same of all of a stem's expressions
     curve: tuple[float, ...] = ()
 
-    def ratio(self, word: bytes) -> float:
-        """log of P(word | toxic) over P(word | ordinary)."""
-        w, s = slots(word)
-        share = min(1.0, (self.shared_words[w] + 0.5) / (self.shared_stems[s] + 0.5))
-        ordinary, toxic = (self.words[c, w] + self.passed[c] * self.stems[c, s] * share for c in (0, 1))
-        return math.log(toxic / ordinary)
-
-
-def smoothed(words: np.ndarray, stems: np.ndarray, discount: float = DISCOUNT) -> Model:
-    """Models of the classes' continuation counts, (class, slot); the larger class is scaled down to the smaller one."""
-    rest, passed = [], []
-    for counts in (words, stems):
-        totals = counts.sum(axis=1, keepdims=True)
-        scaled = counts * (totals.min() / totals)
-        left = np.maximum(scaled - discount, 0) / totals.min()
-        rest.append(left)
-        passed.append(1 - left.sum(axis=1))
-    shared = stems.sum(axis=0)
-    base = (shared + 0.5) / (shared.sum() + 0.5 * len(shared))
-    return Model(rest[0].astype(np.float32), (rest[1] + passed[1][:, None] * base).astype(np.float32), passed[0], words.sum(axis=0).astype(np.float32), shared.astype(np.float32))
-
-
-def evidence(text: bytes, memo: dict[bytes, float]) -> tuple[float, float]:
-    """Ratio for a word, over the whole text, and the highest of a word."""
-    total, n, best = 0.0, 0, 0.0
-    for words in word_runs(text):
-        if words:
-            ratios = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-            total, n, best = total + float(ratios.sum()), n + len(words), max(best, float(ratios.max()))
-    return total / (n + EXTRA), best
+    def __post_init__(self):
+        self.d2 = discounts(self.pairs)
+        shared_stems = self.stems.sum(axis=0, dtype=np.int64)
+        base = (shared_stems + FLOOR) / (shared_stems.sum() + FLOOR * len(shared_stems))
+        self.share = (self.words.sum(axis=0, dtype=np.int64) + FLOOR).astype(np.float32), (shared_stems + FLOOR).astype(np.float32)
+        rest, weight = self._level(self.stems)
+        self.stem = (rest + weight * base).astype(np.float32)
+        rest, self.passed = self._level(self.words)
+        self.word = rest.astype(np.float32)
+
+    @staticmethod
+    def _level(counts: np.ndarray) -> tuple[np.ndarray, float]:
+        """Discounted shares, and the weight that both classes pass on."""
+        total = np.maximum(counts.sum(axis=1, keepdims=True, dtype=np.int64), 1)
+        left = np.maximum(counts - discounts(counts), 0)
+        kept = left.sum(axis=1, keepdims=True)
+        weight = float((1 - kept / total).max())
+        return (1 - weight) * left / np.maximum(kept, 1e-9), weight
+
+    def singles(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
+        """Probability of expressions without the word before, (class, expression)."""
+        share = np.minimum(1, self.share[0][word] / self.share[1][stem])
+        return self.word[:, word] + self.passed * self.stem[:, stem] * share
+
+    def ratios(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """log of P(expression | before, toxic) over the same, ordinary, for each token; each distinct one's by itself, by its contexts."""
+        single = self.singles(tokens.word, tokens.stem)
+        contexts = self.words[1, tokens.word].astype(float)
+        strength = np.log(single[1] / single[0]) * contexts / (contexts + RELIABLE)
+        before = tokens.before()
+        seen = self.tokens[:, before].astype(float)
+        left = seen - self.d2 * self.types[:, before]
+        known = (left > 0).all(axis=0)
+        weight = np.where(known, (1 - left / np.maximum(seen, 1)).max(axis=0), 1.0)
+        rest = np.maximum(self.pairs[:, pair_slots(before, tokens.word[tokens.which])] - self.d2, 0) / np.maximum(left, 1e-9)
+        both = np.where(known, (1 - weight) * rest, 0) + weight * single[:, tokens.which]
+        return np.log(both[1] / both[0]), strength
+
+    def evidence(self, texts: pa.Array) -> np.ndarray:
+        """Ratio for a word, over each whole text, and that of its strongest expression: (text, 2)."""
+        tokens = Tokens.of(texts)
+        out = np.zeros((len(tokens.sizes), 2))
+        full = np.flatnonzero(tokens.sizes)
+        if len(full):
+            ratio, strength = self.ratios(tokens)
+            starts = segment_starts(tokens.sizes[full])[:-1]
+            out[full, 0] = np.add.reduceat(ratio, starts) / (tokens.sizes[full] + EXTRA)
+            out[full, 1] = np.maximum(np.maximum.reduceat(strength[tokens.which], starts), 0)
+        return out
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return probability(self.curve, self.evidence(texts))
+
+
+@dataclass
+class Counts:
+    """What the models are made of; the first axis is the fold, or what is counted without a fold (the last: all)."""
+
+    pairs: np.ndarray
+    tokens: np.ndarray
+    types: np.ndarray
+    words: np.ndarray
+    stems: np.ndarray
+
+    def model(self, without: int = FOLDS) -> Model:
+        keep = [f for f in range(FOLDS) if f != without]
+        return Model(self.pairs[keep].sum(axis=0, dtype=np.int64), self.tokens[keep].sum(axis=0, dtype=np.int64), *(x[without].astype(np.int64) for x in (self.types, self.words, self.stems)))
+
+
+def counted(pairs: DataFrame) -> Counts:
+    """Tables of ``pairs`` (``PAIRS``, several rows of a pair allowed); each collect has at most the table's own slots."""
+    folds = [F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).cast("int").alias(f"f{f}") for f in range(FOLDS)]
+    distinct = stored(pairs.groupBy("toxic", "before", "word", "stem").agg(*folds), "toxic-pairs")
+    without = [F.count_if(F.expr(" + ".join(f"f{g}" for g in range(FOLDS) if g != f)) > 0).cast("int").alias(f"t{f}") for f in range(FOLDS)] + [F.count("*").cast("int").alias(f"t{FOLDS}")]
+    sums = [F.sum(f"f{f}").cast("int").alias(f"s{f}") for f in range(FOLDS)]
+
+    def table(by: str, size: int, cells: list, kind=np.uint32) -> np.ndarray:
+        found = distinct.groupBy("toxic", by).agg(*cells).toArrow()
+        out = np.zeros((len(cells), 2, size), kind)
+        at = found.column("toxic").to_numpy(), found.column(by).to_numpy()
+        for k in range(len(cells)):
+            out[k][at] = found.column(k + 2).to_numpy()
+        return out
+
+    by_context = table("before", 1 << WORD_BITS, sums + without)
+    return Counts(_pair_table(distinct), by_context[:FOLDS], by_context[FOLDS:], table("word", 1 << WORD_BITS, without), table("stem", 1 << STEM_BITS, without))
+
+
+def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slot = pair_slots(batch.column("before").to_numpy(), batch.column("word").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(slot.astype(np.int32)), *(batch.column(f"f{f}") for f in range(FOLDS))], ["toxic", "slot", *(f"f{f}" for f in range(FOLDS))])
+
+
+def _pair_table(distinct: DataFrame) -> np.ndarray:
+    slotted = distinct.mapInArrow(_slotted, "toxic int, slot int, " + ", ".join(f"f{f} int" for f in range(FOLDS)))
+    found = slotted.groupBy("toxic", "slot").agg(*(F.sum(f"f{f}").cast("int").alias(f"s{f}") for f in range(FOLDS))).toArrow()
+    out = np.zeros((FOLDS, 2, 1 << PAIR_BITS), np.uint32)
+    at = found.column("toxic").to_numpy(), found.column("slot").to_numpy()
+    for f in range(FOLDS):
+        out[f][at] = found.column(f + 2).to_numpy()
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
-    """Means, scales and coefficients of a weighted, slightly damped logistic curve, by Newton's steps."""
+    """Means, scales and coefficients of a weighted, damped logistic curve, by Newton's steps."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack((np.ones(len(x)), (x - mean) / scale))
-    b = np.zeros(z.shape[1])
+    b, damp = np.zeros(z.shape[1]), DAMPING * np.eye(z.shape[1])
+    damp[0, 0] = 1e-2
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        b += np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(b)), z.T @ (weight * (y - p)) - 1e-2 * b)
+        b += np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + damp, z.T @ (weight * (y - p)) - damp @ b)
     return (*mean, *scale, *b)
 
 
-def probability(curve: tuple[float, ...], mean: float, best: float) -> float:
-    m1, m2, s1, s2, b0, b1, b2 = curve
-    z = b0 + b1 * (mean - m1) / s1 + b2 * (best - m2) / s2
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+def probability(curve: tuple[float, ...], x: np.ndarray) -> np.ndarray:
+    mean, scale, b = np.array(curve[:2]), np.array(curve[2:4]), np.array(curve[4:])
+    return 1 / (1 + np.exp(-np.clip(b[0] + (x - mean) / scale @ b[1:], -30, 30)))
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """Labelled learning texts (``text, toxic, curve``), at most PER_CLASS ids of a class; labelled ids of each class."""
+    """Labelled learning texts (``text, toxic, fold``), at most PER_CLASS ids of a class; labelled ids of each class."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(id_remainder(F.col("doc_id"), 3) != 1)
     counts = {r.toxic: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_CLASS).select("doc_id", "toxic", (F.col("rank") % CURVE_FOLD == 0).alias("curve"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "curve"), counts  # 2 * PER_CLASS rows at most
+    ids = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for c in (0, 1)]  # 2 * PER_CLASS rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    rows = rows.select("toxic", "text", F.xxhash64("text").alias("hash")).dropDuplicates(["toxic", "hash"])
+    return rows.select("text", "toxic", F.pmod("hash", F.lit(FOLDS)).cast("int").alias("fold")), counts
 
 
-def _evidences(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    memo = Memo(model.value.ratio)
+def _evidences(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:
+    """Each learning text's evidence from the models without its fold; rows come ordered by fold."""
+    own = {}
     for batch in chunks(batches, "text"):
-        rows = [evidence(t, memo) for t in texts_of(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(list(c), pa.float64()) for c in zip(*rows, strict=True))], ["toxic", "mean", "best"])
+        folds = batch.column("fold").to_numpy()
+        for f in np.unique(folds).tolist():
+            if f not in own:
+                own = {f: counts.value.model(f)}
+            part = batch.filter(pa.array(folds == f))
+            x = own[f].evidence(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "mean", "best"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """The models, or the share of toxic labels if there is no text of both classes to learn from."""
-    context = docs.sparkSession.sparkContext
-    sample, counts = _sample(docs, labels)
-    everything = sum(counts.values())
-    share = counts.get(1, 0) / everything if everything else 0.0
-    pairs = sample.where("NOT curve").mapInArrow(_pairs, PAIRS).distinct()
-    tables = []
-    for unit, bits in (("word", WORD_BITS), ("stem", STEM_BITS)):
-        found = pairs.select("toxic", "before", unit).distinct().groupBy("toxic", unit).agg(F.count("*").cast("int").alias("n")).toArrow()  # two classes times the slots at most
-        table = np.zeros((2, 1 << bits))
-        table[found.column("toxic").to_numpy(), found.column(unit).to_numpy()] = found.column("n").to_numpy()
-        tables.append(table)
-    if not (tables[0].sum(axis=1) > 0).all():
+    sample, labelled = _sample(docs, labels)
+    sample = stored(sample, "toxic-sample")
+    everything = sum(labelled.values())
+    share = labelled.get(1, 0) / everything if everything else 0.0
+    counts = counted(sample.mapInArrow(_pairs, PAIRS))
+    if not (counts.words[FOLDS].sum(axis=1) > 0).all():
         return share
-    model = smoothed(*tables)
-    sent = context.broadcast(model)
-    rows = sample.where("curve").mapInArrow(lambda it: _evidences(it, sent), "toxic int, mean double, best double").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    rows = sample.repartition(FOLDS, "fold").sortWithinPartitions("fold").mapInArrow(lambda it: _evidences(it, sent), "toxic int, mean double, best double").toArrow()
+    sent.unpersist()
     y = rows.column("toxic").to_numpy().astype(float)
-    if len(set(y.tolist())) < 2:
-        return share
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # the sample has other shares than the labels
+    model = counts.model()
     model.curve = logistic(np.column_stack((rows.column("mean").to_numpy(), rows.column("best").to_numpy())), y, weight)
     return model
 
@@ -175,11 +287,8 @@ SCORED = "doc_id long, score double"
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    curve = model.value.curve
-    memo = Memo(model.value.ratio)
     for batch in chunks(batches, "text"):
-        scores = [probability(curve, *evidence(t, memo)) for t in texts_of(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,17 +310,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all their columns, that are not predicted to be toxic."""
+    """The rows of ``docs``, all their columns, that are not predicted to be toxic.
+
+    Null and empty texts have no evidence and stay, repeated rows stay or go together, an empty table stays empty; labels
+    count as in ``score``.  Without texts of both classes all rows stay unless the share of toxic labels is ``THRESHOLD``.
+    """
     model = fit(docs, labels)
     if isinstance(model, float):
         return docs if model < THRESHOLD else docs.limit(0)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curve = sent.value.curve
-        memo = Memo(sent.value.ratio)
         for batch in chunks(batches, "text"):
-            keep = [probability(curve, *evidence(t, memo)) < THRESHOLD for t in texts_of(batch.column("text"))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(sent.value.scores(batch.column("text")) < THRESHOLD))
 
     return docs.mapInArrow(ordinary, docs.schema)

@@ -170,6 +170,68 @@ def test_toxicity_finds_held_out_texts(spark):
     assert kept.columns == docs.columns and 600 < kept.count() < 720
 
 
+def test_toxicity_ratios_equal_a_plain_model(spark):
+    texts = [("the cat sat on the mat. the cat ran", 0), ("the dog sat! on the rug and the dog ran", 0), ("you vile dog, you vile cat", 1), ("vilest cat you vile thing you ran", 1), ("the end", 0), ("a vile end", 1)]
+    rows = spark.createDataFrame([(t, y, i % toxicity.FOLDS) for i, (t, y) in enumerate(texts)], "text string, toxic int, fold int")
+    model = toxicity.counted(rows.mapInArrow(toxicity._pairs, toxicity.PAIRS)).model()
+    pairs = [collections.Counter(), collections.Counter()]
+    clean = lambda t: [w.strip(".,!") for w in t.split()]
+    for t, y in texts:
+        w = clean(t)
+        pairs[y].update(zip(["", *w], w))
+    follows = lambda key: [collections.Counter(key(a, b) for a, b in p) for p in pairs]
+    words, stems, types = follows(lambda a, b: b), follows(lambda a, b: b[:5]), follows(lambda a, b: a)
+    tokens = [collections.Counter(), collections.Counter()]
+    for c in (0, 1):
+        for (a, _), n in pairs[c].items():
+            tokens[c][a] += n
+
+    def discount(counts):
+        n1, n2 = (sum(v == k for v in counts.values()) for k in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def level(counts):
+        d, total = [discount(c) for c in counts], [sum(c.values()) for c in counts]
+        kept = [sum(max(v - d[k], 0) for v in counts[k].values()) for k in (0, 1)]
+        weight = max(1 - kept[k] / total[k] for k in (0, 1))
+        return lambda k, x: (1 - weight) * max(counts[k][x] - d[k], 0) / kept[k], weight
+
+    (stem, w0), (word, w1) = level(stems), level(words)
+    all_stems, all_words = stems[0] + stems[1], words[0] + words[1]
+    total = sum(all_stems.values()) + 0.5 * (1 << toxicity.STEM_BITS)
+
+    def single(k, x):
+        s = stem(k, x[:5]) + w0 * (all_stems[x[:5]] + 0.5) / total
+        return word(k, x) + w1 * s * min(1, (all_words[x] + 0.5) / (all_stems[x[:5]] + 0.5))
+
+    d2 = [discount(p) for p in pairs]
+
+    def ratio(a, b):
+        left = [tokens[k][a] - d2[k] * types[k][a] for k in (0, 1)]
+        p = [single(k, b) for k in (0, 1)]
+        if min(left) > 0:
+            weight = max(1 - left[k] / tokens[k][a] for k in (0, 1))
+            p = [(1 - weight) * max(pairs[k][a, b] - d2[k], 0) / left[k] + weight * p[k] for k in (0, 1)]
+        return math.log(p[1] / p[0])
+
+    import pyarrow as pa
+
+    probe = "the vile cat ran, you unseen dog. vilest"
+    own = clean(probe)
+    got, strength = model.ratios(toxicity.Tokens.of(pa.array([" " + probe + " ", None])))
+    assert got.tolist() == pytest.approx([ratio(a, b) for a, b in zip(["", *own], own)], rel=1e-4, abs=1e-5)
+    assert strength.tolist() == pytest.approx([math.log(single(1, x) / single(0, x)) * words[1][x] / (words[1][x] + 4) for x in dict.fromkeys(own)], rel=1e-4, abs=1e-5)
+    assert abs(got[5]) < 1e-5 or own[5] != "unseen"
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.0), ("sf0.01", 0.6)])
+def test_toxicity_of_small_tables(spark, sf, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("flagged")).collect()
+    flagged = {r.toxic: r.flagged for r in rows}
+    assert flagged[0] < 0.05 and flagged[1] >= least
+
+
 def test_toxicity_without_labels_gives_the_share(spark):
     docs = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
