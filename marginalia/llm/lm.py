@@ -7,6 +7,11 @@ contexts' predictions in the logistic domain: the bit's place in its byte is the
 after every bit the chosen weights move along the error.  Weights start anew every ``SEGMENT`` bytes, contexts do not, so
 pieces of all texts are scored side by side, whatever their length.
 
+That gives each token a probability, which is refined by the corpus's exact word counts.  Learning texts are told apart by
+their language into ``KINDS_OF_TEXT`` kinds; a text's kind is inferred, token by token, from how well the kinds' counts
+explained the tokens before.  The mixer's and the counts' probability are added with weights that follow how much of the text
+so far each of them explained.
+
 What is scored is the text's tokens: its words, A to Z lower-cased, with one blank between two, and an end.  The base is
 the smoothed unigram model of the same tokens.  Word counts meet by hash ranges: each block of texts sends its words'
 hashes and counts there and gets the corpus counts back in the same order, so no task holds the corpus vocabulary.
@@ -21,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +41,15 @@ PRIOR = 0.05
 #: Stretched probabilities are stored as bytes of this many to one unit.
 SCALE = 12.0
 START, RATE = 0.35, 0.01
-SEGMENT = 1024
-#: Bytes of text of one block, and of what is scored at once.
-BLOCK, SCORED = 8 << 20, 1 << 19
+SEGMENT = 2048
+#: Log odds of a mistake that a bit may have at most, either way.
+SURE = 10.0
+#: Kinds of learning texts (by the hash of their language), a kind's part in its words' probability, and how much a token before counts.
+KINDS_OF_TEXT, OWN, TRUST = 8, 0.9, 0.7
+#: Tokens that the refinement's first, even weights count as.
+HABIT = 6.0
+#: Bytes of text of one block, and of what is scored at once; input bytes for each hash range of words.
+BLOCK, SCORED, RANGE = 8 << 20, 1 << 20, 32 << 20
 #: Zero bytes before each text, as its contexts; one more ends it.
 LEAD = 4
 
@@ -157,18 +169,29 @@ def _row(**cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([cells.get(n)], k) for n, k in zip(NAMES, KINDS, strict=True)], NAMES)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x.T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint32).reshape(KINDS_OF_TEXT, -1).T
+
+
 def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Blocks of texts; their words' hashes and learning counts by hash range; the task's counts of contexts and bytes."""
     pairs = [_Pairs() for _ in BITS]
+    task, number = TaskContext.get().partitionId(), 0
     for batch in chunks(batches, "text", BLOCK):
         texts = [canonical(t) for t in texts_of(batch.column("text"))]
         train = np.asarray(batch.column("train"), bool)
         ids = batch.column("doc_id").to_pylist()
         tokens = [t.split() for t in texts]
         hashes, numbers = vocabulary(tokens)
-        learned = np.repeat(train, [len(t) for t in tokens])
-        counts = np.bincount(numbers[learned], minlength=len(hashes)).astype(np.uint32)
-        block = xxhash.xxh3_64_intdigest(repr((ids, [len(t) for t in texts])).encode() + hashes.tobytes()) >> 1
+        lengths = [len(t) for t in tokens]
+        learned = np.repeat(train, lengths)
+        own = np.repeat(batch.column("kind").to_numpy(), lengths)[learned]
+        counts = np.bincount(numbers[learned] * KINDS_OF_TEXT + own, minlength=len(hashes) * KINDS_OF_TEXT).astype(np.uint32).reshape(-1, KINDS_OF_TEXT)
+        block, number = task << 32 | number, number + 1  # what is written is read by all, so the name stays the block's
         lengths = np.array([len(t) for t in texts], np.int64)
         yield _row(kind=TEXTS, block=block, doc_ids=ids, train=train.tolist(), sizes=lengths.tobytes(), texts=zstandard.compress(b"".join(texts), 1))
         where = (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
@@ -177,7 +200,7 @@ def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Record
         for r in range(ranges):
             pick = order[cuts[r] : cuts[r + 1]]
             if len(pick):
-                yield _row(kind=WORDS, block=block, part=r, slots=hashes[pick].tobytes(), counts=counts[pick].tobytes())
+                yield _row(kind=WORDS, block=block, part=r, slots=hashes[pick].tobytes(), counts=_packed(counts[pick]))
         group, size = [], 0
         for text, learn in [*zip(texts, train, strict=True), (b"", None)]:
             if group and (learn is None or size > 4 * SCORED):
@@ -199,42 +222,45 @@ def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Record
 TABLE = "block long, part int, stretched binary"
 
 
-def stretched(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
-    """Bytes for the slots that (context << 8 | byte) pairs of one part reach: the log odds of a one after the bits before."""
-    byte = keys.astype(np.uint8)
-    slots = slots_of((keys >> np.uint64(8)).astype(np.uint32), byte, bits)
-    low = int(keys[0] >> np.uint64(40 - PARTS)) << bits - PARTS
-    size = 1 << bits - PARTS
-    code = (slots - low) << 1 | (SIGN[byte] < 0)
-    both = np.bincount(code.ravel(), np.repeat(counts, 8), 2 * size).reshape(size, 2) + PRIOR
-    return np.clip(np.rint(np.log(both[:, 1] / both[:, 0]) * SCALE), -127, 127).astype(np.int8)
+class Slots:
+    """Bits seen at the slots of one part of a table: a fixed histogram."""
+
+    def __init__(self, part: int, bits: int):
+        self.bits, self.low, self.size = bits, part << bits - PARTS, 1 << bits - PARTS
+        self.seen = np.zeros(2 * self.size)
+
+    def add(self, context: np.ndarray, byte: np.ndarray, counts: np.ndarray) -> None:
+        code = (slots_of(context, byte, self.bits) - self.low) << 1 | (SIGN[byte] < 0)
+        self.seen += np.bincount(code.ravel(), np.repeat(counts, 8), 2 * self.size)
+
+    def stretched(self) -> np.ndarray:
+        """Bytes for the slots: the log odds of a one after the bits before."""
+        both = self.seen.reshape(-1, 2) + PRIOR
+        return np.clip(np.rint(np.log(both[:, 1] / both[:, 0]) * SCALE), -127, 127).astype(np.int8)
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of the prediction tables; rows come ordered by table and part."""
-    last, own = None, _Pairs()
+    last, own = None, None
 
     def done() -> pa.RecordBatch:
-        keys, counts = own.merged()
-        return pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]], pa.int32()), pa.array([stretched(keys, counts, BITS[last[0]]).tobytes()], pa.binary())], ["block", "part", "stretched"])
+        return pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]], pa.int32()), pa.array([own.stretched().tobytes()], pa.binary())], ["block", "part", "stretched"])
 
     for batch in batches:
         for key, part, slots, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "slots", "counts")), strict=True):
             if (key, part) != last:
                 if last is not None:
                     yield done()
-                last, own = (key, part), _Pairs()
+                last, own = (key, part), Slots(part, BITS[key])
             n = len(counts) // 4
-            own.keys.append(np.frombuffer(slots, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(slots, np.uint8, n, 4 * n))
-            own.counts.append(np.frombuffer(counts, np.uint32).astype(np.int64))
-            own.size += n
-            if own.size > 1 << 22:
-                own.merged()
+            context, byte, times = np.frombuffer(slots, np.uint32, n), np.frombuffer(slots, np.uint8, n, 4 * n), np.frombuffer(counts, np.uint32)
+            for a in range(0, n, 1 << 18):
+                own.add(context[a : a + (1 << 18)], byte[a : a + (1 << 18)], times[a : a + (1 << 18)])
     if last is not None:
         yield done()
 
 
-BACK = "block long, part int, counts binary, tokens long, types long"
+BACK = "block long, part int, counts binary, tokens array<long>, types long"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +269,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> pa.RecordBatch:
         hashes = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-        counts = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]).astype(np.int64)
         names, which = np.unique(hashes, return_inverse=True)
-        total = np.bincount(which, counts, len(names)).astype(np.int64)
+        total = np.zeros((len(names), KINDS_OF_TEXT), np.uint32)
         cuts = segment_starts(np.array([len(r[2]) // 8 for r in rows]))
-        back = [total[which[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        sums = [[int(total.sum())] + [0] * (len(rows) - 1), [int((total > 0).sum())] + [0] * (len(rows) - 1)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array(back, pa.binary()), *(pa.array(s, pa.int64()) for s in sums)], ["block", "part", "counts", "tokens", "types"])
+        for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
+            total[which[a:b]] += _unpacked(r[3])  # a block's words are distinct
+        back = [_packed(total[which[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        tokens = [total.sum(axis=0, dtype=np.int64).tolist()] + [[0] * KINDS_OF_TEXT] * (len(rows) - 1)
+        types = [int(total.any(axis=1).sum())] + [0] * (len(rows) - 1)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array(back, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(types, pa.int64())], ["block", "part", "counts", "tokens", "types"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "slots", "counts")), strict=True):
@@ -262,7 +290,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mix(texts: list[bytes], ways: list[np.ndarray], start: float = START, rate: float = RATE) -> np.ndarray:
-    """Natural log-probability of each text (canonical) with its end; ``ways`` are the tables' ``paths``."""
+    """Natural log-probability of each byte of the texts (canonical), each text's end after it; ``ways`` are the tables' ``paths``."""
     stream = Stream(texts)
     pieces = -(-stream.sizes // SEGMENT)
     owner = np.repeat(np.arange(len(texts)), pieces)
@@ -273,12 +301,12 @@ def mix(texts: list[bytes], ways: list[np.ndarray], start: float = START, rate:
     begin, length = begin[order], length[order]
     alive = np.searchsorted(-length, -np.arange(1, int(length.max()) + 1), side="right")
     # All first bytes of the pieces, all second ones and so on: a step's inputs lie together.
-    at = np.concatenate([begin[:n] + t for t, n in enumerate(alive.tolist())])
-    byte = stream.data[at]
+    at_ = np.concatenate([begin[:n] + t for t, n in enumerate(alive.tolist())])
+    byte = stream.data[at_]
     high, low = (byte >> 4).astype(np.uint32), (byte & 15).astype(np.uint32)
     inputs = []  # the weighted sum is the log odds of a mistake, and weights only ever go down along it
     for way, context, bits in zip(ways, stream.contexts(), BITS, strict=True):
-        first, second = rows_of(context[at], byte, bits)
+        first, second = rows_of(context[at_], byte, bits)
         both = np.empty((len(byte), 2), np.uint32)
         way.take(first << np.uint32(4) | high, out=both[:, 0], mode="clip")
         way.take(second << np.uint32(4) | low, out=both[:, 1], mode="clip")
@@ -286,7 +314,7 @@ def mix(texts: list[bytes], ways: list[np.ndarray], start: float = START, rate:
     weights = [np.full((len(begin), 8), start / SCALE, np.float32) for _ in ways]
     odds, part = np.empty((len(begin), 8), np.float32), np.empty((len(begin), 8), np.float32)
     down = np.float32(-rate / SCALE / SCALE)
-    total = np.zeros(len(begin))
+    logs = np.empty(len(byte))
     to = 0
     for n in alive.tolist():
         at, to = to, to + n
@@ -295,22 +323,84 @@ def mix(texts: list[bytes], ways: list[np.ndarray], start: float = START, rate:
         for x, w in zip(inputs[1:], weights[1:], strict=True):
             np.multiply(x[at:to], w[:n], out=m)
             d += m
-        np.minimum(d, 10, out=d)
+        np.clip(d, -SURE, SURE, out=d)
         np.exp(d, out=d)
         np.add(d, 1, out=m)
-        total[:n] -= np.log(m.prod(axis=1))
+        np.log(m.prod(axis=1), out=logs[at:to])
         d /= m
         d *= down
         for x, w in zip(inputs, weights, strict=True):
             np.multiply(x[at:to], d, out=m)
             w[:n] += m
-    return np.bincount(owner[order], total, len(texts))
+    out = np.empty(len(stream.data))
+    out[at_] = -logs
+    return out[stream.at]
+
+
+def explained(counts: np.ndarray, tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each word from its counts by kind, the kind inferred from the text's words before.
+
+    ``tokens`` are all words' counts by kind, ``begin`` as in ``refined``; a word without counts has none (-inf).
+    """
+    whole = counts.sum(axis=1, keepdims=True) / max(1, tokens.sum())
+    each = OWN * counts / np.maximum(tokens, 1) + (1 - OWN) * whole
+    known = whole[:, 0] > 0
+    logs = np.where(known[:, None], np.log(np.where(known[:, None], each, 1)), 0)
+    sums = np.concatenate((np.zeros((1, KINDS_OF_TEXT)), np.cumsum(TRUST * logs, axis=0)))[:-1]
+    before = sums - sums[np.repeat(begin[:-1], np.diff(begin))] if len(sums) else sums
+    with np.errstate(divide="ignore"):
+        before = before + np.log(tokens / max(1, tokens.sum()))
+        before = before - before.max(axis=1, keepdims=True, initial=-np.inf) if len(before) else before
+        part = np.exp(before)
+        return np.where(known, np.log((part * each).sum(axis=1) / np.maximum(part.sum(axis=1), 1e-300)), -np.inf)
+
+
+def refined(mixed: np.ndarray, counted: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each token from the mixer's and the counts', with weights from the text's tokens before.
+
+    ``begin`` has where each text's tokens begin, and the end of all.
+    """
+    share = 1 / (1 + np.exp(np.clip(mixed - counted, -40, 40)))  # of the token that the counts explain
+    sums = np.concatenate(([0], np.cumsum(share)))[:-1]
+    sizes = np.diff(begin)
+    first = np.repeat(begin[:-1], sizes)
+    weight = (HABIT / 2 + sums - sums[first]) / (HABIT + np.arange(len(share)) - first) if len(share) else share
+    weight = np.clip(weight, 0.02, 0.98)
+    return np.logaddexp(np.log(weight) + counted, np.log1p(-weight) + mixed)
 
 
-RESULT = "doc_id long, train boolean, n_tokens long, n_known long, known_sum double, score double"
+RESULT = "doc_id long, train boolean, n_tokens long, n_known long, known_sum double, score double, bits_per_byte double"
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _texts_scores(texts: list[bytes], counted: np.ndarray, sizes: np.ndarray, last: float, ways: list[np.ndarray]) -> np.ndarray:
+    """Natural log-probability of each text; ``counted`` has its words' by their counts, ``last`` the end's.
+
+    A token is a word with the blank or the end after it; a text without words is its end.
+    """
+    logs = mix(texts, ways)
+    ends = np.concatenate([np.frombuffer(t + b"\0", np.uint8) for t in texts])
+    bounds = np.flatnonzero((ends == 32) | (ends == 0)) if b"\0" not in b"".join(texts) else _bounds(texts)
+    mixed = np.add.reduceat(logs, np.append(0, bounds[:-1] + 1))
+    tokens = np.maximum(sizes, 1)
+    begin = segment_starts(tokens)
+    own = np.zeros(len(mixed))
+    own[np.repeat(sizes > 0, tokens)] = counted
+    own[begin[1:] - 1] += last
+    out = refined(mixed, np.maximum(own, -1e4), begin)
+    return np.add.reduceat(out, begin[:-1])
+
+
+def _bounds(texts: list[bytes]) -> np.ndarray:
+    """Where tokens end, in texts that hold zero bytes."""
+    out, at = [], 0
+    for t in texts:
+        data = np.frombuffer(t, np.uint8)
+        out += [np.flatnonzero(data == 32) + at, [at + len(t)]]
+        at += len(t) + 1
+    return np.concatenate(out).astype(np.int64)
+
+
+def _score(batches: Iterator[pa.RecordBatch], model, kinds: list[int], ends: int) -> Iterator[pa.RecordBatch]:
     tables = [paths(t) for t in model.value]
     for batch in batches:
         for row in batch.to_pylist():
@@ -321,9 +411,10 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
             hashes, ids = vocabulary(tokens)
             where = (hashes >> np.uint64(32)) * np.uint64(row["ranges"]) >> np.uint64(32)
             order = np.argsort(where, kind="stable")
-            counts = np.zeros(len(hashes), np.int64)
+            by_kind = np.zeros((len(hashes), KINDS_OF_TEXT), np.uint32)
             if row["back"]:
-                counts[order] = np.frombuffer(b"".join(x["counts"] for x in sorted(row["back"], key=lambda x: x["part"])), np.int64)
+                by_kind[order] = np.concatenate([_unpacked(x["counts"]) for x in sorted(row["back"], key=lambda x: x["part"])])
+            counts = by_kind.sum(axis=1, dtype=np.int64)
             sizes = np.array([len(t) for t in tokens], np.int64)
             begin = segment_starts(sizes)
             own = np.append(np.log10(counts + 1.0)[ids], 0)
@@ -331,16 +422,21 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
             sums = [np.concatenate(([0], np.cumsum(v)))[begin] for v in (known.astype(np.int64),)][0]
             logs = np.array([own[a:b].sum() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)])
             score = np.zeros(len(texts))
+            every = np.array(kinds, float)
+            last = np.log(ends / (ends + every.sum())) if ends else -1e4  # a text's end, and that it is none
+            more = np.log(every.sum() / (ends + every.sum())) if every.any() else -1e4
             at = 0
             while at < len(texts):  # texts of about SCORED bytes at once
                 size, to = 0, at
                 while to < len(texts) and (to == at or size + len(texts[to]) <= SCORED):
                     size += len(texts[to])
                     to += 1
-                score[at:to] = mix(texts[at:to], tables) / np.log(10)
+                counted = explained(by_kind[ids[begin[at] : begin[to]]].astype(float), every, begin[at : to + 1] - begin[at]) + more
+                score[at:to] = _texts_scores(texts[at:to], counted, sizes[at:to], last, tables) / np.log(10)
                 at = to
+            length = np.array([len(t) + 1 for t in texts])
             yield pa.RecordBatch.from_arrays([
-                pa.array(row["doc_ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(sizes + 1), pa.array(np.diff(sums)), pa.array(logs), pa.array(score),
+                pa.array(row["doc_ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(sizes + 1), pa.array(np.diff(sums)), pa.array(logs), pa.array(score), pa.array(-score * np.log2(10) / length),
             ], [x.split()[0] for x in RESULT.split(", ")])
 
 
@@ -349,11 +445,15 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
 
     Held out, and not learned from, are ids whose crc32 as text leaves ``held`` modulo ``modulus``; a null doc_id counts
     as the text ''.  A null text is empty: one token, its end.  Without learning texts counts are 0 and the tables even.
-    Repeated rows count each time; other columns of ``docs`` play no part.
+    Repeated rows count each time; of other columns of ``docs`` only learning texts' ``lang``, if there is one, plays a part
+    (null is a language of its own).  ``bits_per_byte`` is the score's bits for each
+    byte of the text's tokens as they are scored, the end's included.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ranges = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (id_remainder(F.col("doc_id"), modulus) != held).alias("train"))
+    kind = F.pmod(F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")).cast("binary")), F.lit(KINDS_OF_TEXT)).cast("int") if "lang" in docs.columns else F.lit(0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", kind.alias("kind"), (id_remainder(F.col("doc_id"), modulus) != held).alias("train"))
+    known = rows.agg(F.count_if("train").alias("ends"), F.sum(F.octet_length("text")).alias("bytes")).first()  # one end for each learning text
+    ends, ranges = known.ends, max(64, -(-(known.bytes or 0) // RANGE))
     counted = stored(rows.mapInArrow(lambda it: _count(it, ranges), BLOCKS), "lm-counts")
     parts = counted.where(F.col("kind") == TABLES).select("block", "part", "slots", "counts").repartition("block", "part").sortWithinPartitions("block", "part")
     tables = [np.zeros(1 << bits, np.int8) for bits in BITS]
@@ -362,15 +462,15 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     sent = spark.sparkContext.broadcast(tables)
     words = counted.where(F.col("kind") == WORDS).select("block", "part", "slots", "counts").repartition("part").sortWithinPartitions("part")
     back = stored(words.mapInArrow(_meet, BACK), "lm-words")
-    ends = rows.where("train").count()  # one end for each learning text
-    sums = back.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    total, types = sums.n + ends, sums.v + (ends > 0)
+    sums = back.agg(*(F.coalesce(F.sum(F.col("tokens")[k]), F.lit(0)).alias(f"n{k}") for k in range(KINDS_OF_TEXT)), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    kinds = list(sums)[:KINDS_OF_TEXT]
+    total, types = sum(kinds) + ends, sums.v + (ends > 0)
     lists = back.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("back"))  # one entry for each hash range
     blocks = counted.where(F.col("kind") == TEXTS).select("block", "doc_ids", "train", "sizes", "texts", F.lit(ranges).alias("ranges"))
-    scored = blocks.join(lists, "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, sent), RESULT)
+    scored = blocks.join(lists, "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, sent, kinds, ends), RESULT)
     bottom = F.log10(F.lit(float(total + types + 1)))
     end = F.log10(F.lit(float(ends + 1)))
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + (1 if ends else 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("known_sum") + end - F.col("n_tokens") * bottom).alias("base_score"), "score",
+        (F.col("known_sum") + end - F.col("n_tokens") * bottom).alias("base_score"), "score", "bits_per_byte",
     )

@@ -259,25 +259,96 @@ def test_lm_base_and_counts_equal_brute_force(spark):
     assert lm.score(empty(spark)).count() == 0
 
 
-def test_mixer_learns_online_and_is_a_distribution():
-    tables = [np.zeros(1 << b, np.int8) for b in lm.BITS]
-    tables = [lm.paths(t) for t in tables]
-    even = lm.mix([b"abc", b""], tables)
-    assert even == pytest.approx([-32 * math.log(2), -8 * math.log(2)], rel=1e-4)
-    pairs = [lm._Pairs() for _ in lm.BITS]
-    stream = lm.Stream([b"abab" * 50])
-    for own, c in zip(pairs, stream.contexts(), strict=True):
-        own.add(c[stream.at].astype(np.uint64) << np.uint64(8) | stream.data[stream.at])
-    filled = []
-    for own, bits in zip(pairs, lm.BITS, strict=True):
-        keys, counts = own.merged()
-        out = np.zeros(1 << bits, np.int8)
-        for part in np.unique(keys >> np.uint64(40 - lm.PARTS)):
-            pick = keys >> np.uint64(40 - lm.PARTS) == part
-            out[int(part) << bits - lm.PARTS : int(part) + 1 << bits - lm.PARTS] = lm.stretched(keys[pick], counts[pick], bits)
-        filled.append(lm.paths(out))
-    assert lm.mix([b"abab" * 20], filled)[0] > 0.2 * lm.mix([b"abab" * 20], tables)[0]
-    assert lm.mix([b"abab" * 20], filled, rate=0.05)[0] != lm.mix([b"abab" * 20], filled, rate=0.0)[0]
+def filled_tables(text):
+    """Tables of one learning text."""
+    stream = lm.Stream([text])
+    out = []
+    for context, bits in zip(stream.contexts(), lm.BITS, strict=True):
+        c, byte = context[stream.at], stream.data[stream.at]
+        table = np.zeros(1 << bits, np.int8)
+        for part in np.unique(c >> np.uint32(32 - lm.PARTS)).tolist():
+            pick = c >> np.uint32(32 - lm.PARTS) == part
+            own = lm.Slots(part, bits)
+            own.add(c[pick], byte[pick], np.ones(pick.sum()))
+            table[own.low : own.low + own.size] = own.stretched()
+        out.append(table)
+    return out
+
+
+def plain_mixer(text, tables):
+    """Natural log-probability of each byte, bit by bit."""
+    stream = lm.Stream([text])
+    contexts = list(stream.contexts())
+    out = []
+    weights = None
+    for k, i in enumerate(stream.at.tolist()):
+        if k % lm.SEGMENT == 0:
+            weights = [[lm.START] * 8 for _ in tables]
+        byte, log = int(stream.data[i]), 0.0
+        rows = [lm.rows_of(c[i : i + 1], stream.data[i : i + 1], bits) for c, bits in zip(contexts, lm.BITS, strict=True)]
+        for bit in range(8):
+            sign = 1 if byte >> 7 - bit & 1 else -1
+            node = (1 << bit % 4) | ((byte >> 4 if bit < 4 else byte & 15) >> 4 - bit % 4)
+            x = [float(t[int(r[bit // 4][0]) * 16 + node]) / lm.SCALE for t, r in zip(tables, rows, strict=True)]
+            odds = max(-lm.SURE, min(lm.SURE, sum(w[bit] * v for w, v in zip(weights, x, strict=True)) * sign))
+            p = 1 / (1 + math.exp(-odds))
+            log += math.log(p)
+            for w, v in zip(weights, x, strict=True):
+                w[bit] += lm.RATE * (1 - p) * sign * v
+        out.append(log)
+    return out
+
+
+def test_mixer_equals_a_plain_one_and_learns_online():
+    empty_ = [np.zeros(1 << b, np.int8) for b in lm.BITS]
+    even = lm.mix([b"abc", b""], [lm.paths(t) for t in empty_])
+    assert even == pytest.approx([-8 * math.log(2)] * 5, rel=1e-4)
+    learned = (words(400, 3) + " abab").encode()
+    tables = filled_tables(learned)
+    ways = [lm.paths(t) for t in tables]
+    probe = (words(500, 3) + " other words").encode()  # longer than a segment
+    assert len(probe) > lm.SEGMENT
+    got = lm.mix([b"x", probe], ways)
+    assert got[2:] == pytest.approx(plain_mixer(probe, tables), rel=2e-3, abs=2e-3)
+    assert got[2:].sum() > 0.5 * lm.mix([probe], [lm.paths(t) for t in empty_]).sum()
+    assert lm.mix([probe], ways, rate=0.05).sum() != lm.mix([probe], ways, rate=0.0).sum()
+
+
+def test_refinement_adds_probabilities():
+    mixed, counted, begin = np.log([0.5, 0.1, 0.2]), np.array([math.log(0.1), -1e4, math.log(0.4)]), np.array([0, 2, 3])
+    first = math.log(0.5 * 0.5 + 0.5 * 0.1)
+    weight = (lm.HABIT / 2 + 0.1 / 0.6) / (lm.HABIT + 1)
+    assert lm.refined(mixed, counted, begin) == pytest.approx([first, math.log((1 - weight) * 0.1), math.log(0.3)])
+
+
+def test_lm_of_repeated_rows_and_long_texts(spark):
+    texts = [words(80, i, 90) for i in range(30)] + [words(60_000, 7, 5000), "a\0b c", None]
+    docs = frame(spark, texts)
+    once = {r.doc_id: r for r in lm.score(docs).collect()}
+    rows = lm.score(docs.union(docs)).collect()
+    assert len(rows) == 2 * len(texts) and all(r.n_tokens == once[r.doc_id].n_tokens and r.train_tokens == 2 * once[r.doc_id].train_tokens for r in rows)
+    for r in once.values():
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (len(lm.canonical((texts[r.doc_id] or "").encode())) + 1))
+
+
+def test_kinds_of_text_are_inferred_from_the_words_before():
+    counts = np.zeros((4, lm.KINDS_OF_TEXT))
+    counts[:3, :2] = [[6, 1], [0, 3], [2, 2]]  # the fourth is unknown
+    tokens = np.array([10.0, 30.0] + [0] * (lm.KINDS_OF_TEXT - 2))
+    text = [0, 3, 2, 1]
+    prior, want = [0.25, 0.75], []
+    for w in text:
+        whole = counts[w].sum() / 40
+        each = [lm.OWN * counts[w][k] / tokens[k] + (1 - lm.OWN) * whole for k in (0, 1)]
+        want.append(math.log(sum(a * b for a, b in zip(prior, each, strict=True)) / sum(prior)) if whole else -math.inf)
+        prior = [a * b**lm.TRUST for a, b in zip(prior, each, strict=True)] if whole else prior
+    got = lm.explained(counts[text + text], tokens, np.array([0, 4, 8]))
+    assert got.tolist() == pytest.approx(want + want)
+
+
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    r = lm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r.s > 0.97 * r.b
 
 
 def test_language_of_held_out_and_mixed_texts(spark):
