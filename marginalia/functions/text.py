@@ -40,6 +40,35 @@ def lexical(text: Column) -> Column:
     return squeezed(F.translate(short, ALEF_FORMS + "ةىئؤیک" + TATWEEL, ALEF * len(ALEF_FORMS) + "هييويك"))
 
 
+def orthographic(text: Column) -> Column:
+    """A light form for display: alef forms folded, marks and tatweel gone; ta marbuta and final ya stay."""
+    return squeezed(F.translate(without_marks(text), ALEF_FORMS + TATWEEL, ALEF * len(ALEF_FORMS)))
+
+
+def containable(text: Column) -> Column:
+    """For containment: short marks and tatweel gone, white space squeezed."""
+    return squeezed(F.regexp_replace(text, r"[\x{064B}-\x{065F}\x{0640}]", ""))
+
+
+def marked(text: Column, begin: str, end: str) -> Column:
+    """What lies between two markers, over lines, trimmed; null if nothing does."""
+    return F.nullif(F.trim(F.regexp_extract(text, f"(?s){begin}(.*?){end}", 1)), F.lit(""))
+
+
+def iso_utc(moment: Column) -> Column:
+    """A moment as UTC in ISO form."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+#: Latin letters with marks and what they fold to.
+MARKED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüçñß", "aaaaaaeeeeiiiiooooouuuucns"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without their marks."""
+    return F.translate(F.lower(text), MARKED, PLAIN)
+
+
 def cache_key(text: Column) -> Column:
     return squeezed(F.lower(F.translate(text, ALEF_FORMS + "ةى", ALEF * len(ALEF_FORMS) + "هي")))
 

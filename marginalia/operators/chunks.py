@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, ERA = 3, 50
@@ -22,11 +22,19 @@ def windows(df: DataFrame, groups: Sequence[str], seq: str, text: str, size: int
     return runs.where(F.size("_t") == size).select(*groups, "first", F.array_join("_t", "\n").alias("text"))
 
 
-def groups(df: DataFrame, keys: Sequence[str], seq: str, text: str, least: int = 2, glue: str = " | ") -> DataFrame:
-    """Each group's texts in order, for groups of at least ``least`` records."""
+def groups(df: DataFrame, keys: Sequence[str], seq: str, text: str, least: int = 2, glue: str = " | ", span: int = 100) -> DataFrame:
+    """Texts in order of groups of at least ``least`` records, in parts of ``span`` sequence numbers."""
+    known = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
     parts = F.transform(F.sort_array(F.collect_list(F.struct(seq, text))), lambda x: x[text])
-    grouped = df.groupBy(*keys).agg(F.count("*").alias("n"), parts.alias("_t"))
-    return grouped.where(F.col("n") >= least).select(*keys, "n", F.array_join("_t", glue).alias("text"))
+    grouped = df.join(known, list(keys)).groupBy(*keys, F.floor(F.col(seq) / span).alias("part")).agg(F.count("*").alias("n"), parts.alias("_t"))
+    return grouped.select(*keys, "part", "n", F.array_join("_t", glue).alias("text"))
+
+
+def blobs(parts: DataFrame, key: str, part: Column, order: str, size: Column) -> DataFrame:
+    """Each group's header, the sum of its parts' sizes, and the parts in order."""
+    items = F.transform(F.sort_array(F.collect_list(F.struct(order, part.alias("_p")))), lambda x: x["_p"])  # one for each part
+    grouped = parts.groupBy(key).agg(F.sum(size).alias("_n"), items.alias("_items"))
+    return grouped.select(key, F.concat(F.lit("["), key, F.lit("] "), F.col("_n").cast("string"), F.lit(" records || "), F.array_join("_items", " ||| ")).alias("blob"))
 
 
 def era(start, end, width: int = ERA):

@@ -8,21 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Hits that an occasion is worth.
+OCCASION = 5
+
+
 def hits(tokens: Column, words: Sequence[str]) -> Column:
     """Distinct tokens that the lexicon lists."""
     return F.size(F.array_intersect(tokens, F.array(*(F.lit(w) for w in words))))
 
 
-def lexicon_genre(tokens: Column, lexicon: Mapping[str, Sequence[str]], margin: int = 1, none: str = "none") -> Column:
-    """(genre, confidence): most hits if they lead by the margin, else none and 0; confidence is the lead over the hits."""
-    scores = {g: hits(tokens, w) for g, w in lexicon.items()}
+def lexicon_genre(tokens: Column, lexicon: Mapping[str, Sequence[str]], margin: int = 1, none: str = "none", occasion: Column | None = None, tied: float = 0.0) -> Column:
+    """(genre, confidence): most hits if they lead by the margin, else none; confidence is the lead over the hits.
+
+    An occasion that names a genre counts as five hits for it.  Hits without a lead have the confidence ``tied``.
+    """
+    scores = {g: hits(tokens, w) + (0 if occasion is None else F.when(occasion == g, OCCASION).otherwise(0)) for g, w in lexicon.items()}
     ordered = F.sort_array(F.array(*scores.values()), asc=False)
     top, second = F.get(ordered, F.lit(0)), F.coalesce(F.get(ordered, F.lit(1)), F.lit(0))
     clear = (top > 0) & (top - second >= margin)
     genre = F
     for g, s in scores.items():
         genre = genre.when(clear & (s == top), g)
-    return F.struct(genre.otherwise(none).alias("genre"), F.when(clear, F.round((top - second) / top, 2)).otherwise(F.lit(0.0)).alias("confidence"))
+    return F.struct(genre.otherwise(none).alias("genre"), F.when(clear, F.round((top - second) / top, 2)).when(top > 0, F.lit(tied)).otherwise(F.lit(0.0)).alias("confidence"))
 
 
 def top_labels(tokens: Column, lexicon: Mapping[str, Sequence[str]], most: int) -> Column:

@@ -7,15 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def or_all(df: DataFrame, condition: Column) -> DataFrame:
     """The rows that match; all rows if none does.  One plan: the guard is a one-row aggregate."""
     hit = df.agg(F.bool_or(F.coalesce(condition, F.lit(False))).alias("_hit"))
@@ -49,12 +40,6 @@ def anti_join_any(new: DataFrame, old: DataFrame, keys: Sequence[Sequence[str]])
     return new
 
 
-def contains_either_way(a: Column, b: Column) -> Column:
-    """Whether one text holds the other, whatever their case; an empty text matches nothing."""
-    x, y = F.lower(a), F.lower(b)
-    return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
-
-
 def token_overlap(a: Column, b: Column) -> Column:
     """Shared distinct tokens over the larger number of distinct tokens."""
     x, y = F.array_distinct(a), F.array_distinct(b)
@@ -68,12 +53,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(most == 0, F.lit(100.0)).otherwise(F.round(100.0 * (F.lit(1.0) - F.levenshtein(a, b) / most), 6))
 
 
-def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, score: Column, on: Sequence[str], cutoff: float) -> DataFrame:
-    """Each left row's best right row among those that share a block key, if it reaches the cutoff; ties to the smaller id."""
-    pairs = left.join(right, list(on)).select(left_id, right_id, score.alias("score")).where(F.col("score") >= cutoff)
-    return first_by(pairs.distinct(), [left_id], F.desc("score"), F.col(right_id))
-
-
 def decision(score: Column, linked: float = 85, review: float = 70) -> Column:
     return F.when(score >= linked, "linked").when(score >= review, "review").otherwise("unlinked")
 
@@ -99,7 +78,41 @@ def held_texts(inner: DataFrame, outer: DataFrame, inner_id: str, outer_id: str)
     """
     words = F.split("text", " ")
     triple = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    small = inner.select(inner_id, F.col("text").alias("held"), words.alias("w")).where(F.size("w") >= 5).select(inner_id, "held", triple(F.col("w"), F.lit(1)).alias("gram"))
-    large = outer.select(outer_id, "text", words.alias("w")).where(F.size("w") >= 5)
+    small = inner.select(inner_id, words.alias("w")).where(F.size("w") >= 5).select(inner_id, triple(F.col("w"), F.lit(1)).alias("gram"))
+    large = outer.select(outer_id, words.alias("w")).where(F.size("w") >= 5)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: triple(F.col("w"), i)))
-    return large.select(outer_id, "text", F.explode(grams).alias("gram")).join(small, "gram").where(F.col("text").contains(F.col("held"))).select(inner_id, outer_id).distinct()
+    pairs = large.select(outer_id, F.explode(grams).alias("gram")).join(small, "gram").select(inner_id, outer_id).distinct()  # ids alone travel by gram
+    found = pairs.join(inner.select(inner_id, F.col("text").alias("held")), inner_id).join(outer.select(outer_id, "text"), outer_id)
+    return found.where(F.col("text").contains(F.col("held"))).select(inner_id, outer_id).distinct()
+
+
+def linked_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str, floor: float = 0.30, vetoed: float = 69.0) -> DataFrame:
+    """(left id, right id, score) of records whose key words ``w`` share three words in a row.
+
+    The score is the keys' ``ratio``; if they share less than ``floor`` of the larger one's distinct words, at most ``vetoed``.
+    """
+    at = F.sequence(F.lit(0), F.size("w") - 3)
+    triples = F.when(F.size("w") >= 3, F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))).otherwise(F.array().cast("array<string>"))
+    grams = lambda df, i, name: df.select(i, F.col("w").alias(name), F.explode(triples).alias("gram"))
+    pairs = grams(left, left_id, "a").join(grams(right, right_id, "b"), "gram").select(left_id, right_id, "a", "b").distinct()
+    raw = ratio(F.array_join("a", " "), F.array_join("b", " "))
+    score = F.when(token_overlap(F.col("a"), F.col("b")) < floor, F.least(raw, F.lit(vetoed))).otherwise(raw)
+    return pairs.select(left_id, right_id, score.alias("score"))
+
+
+def overlapping(small: DataFrame, large: DataFrame, small_id: str, large_id: str, least: float, larger: bool = False) -> DataFrame:
+    """(small id, large id, overlap) of rows whose distinct words ``t`` overlap by ``least`` of the small one's, or of the larger set's.
+
+    Of a set's rarest words, so many that a partner cannot miss them all, one at least is shared: the join is on those,
+    and full sets are compared for its pairs only.
+    """
+    words = small.select(small_id, F.size("t").alias("n"), F.explode("t").alias("w"))
+    known = large.select(large_id, F.explode("t").alias("w"))
+    counts = known.join(words.select("w").distinct(), "w").groupBy("w").agg(F.count("*").alias("df"))
+    order = Window.partitionBy(small_id).orderBy(F.coalesce("df", F.lit(0)), "w")
+    rare = words.join(counts, "w", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.floor(F.col("n") * (1 - least) + 1e-9) + 1)
+    pairs = rare.where("df > 0").select(small_id, "w").join(known, "w").select(small_id, large_id).distinct()
+    full = pairs.join(small.select(small_id, F.col("t").alias("a")), small_id).join(large.select(large_id, F.col("t").alias("b")), large_id)
+    size = F.greatest(F.size("a"), F.size("b")) if larger else F.size("a")
+    overlap = F.size(F.array_intersect("a", "b")) / size
+    return full.select(small_id, large_id, overlap.alias("raw")).where(F.col("raw") >= least).select(small_id, large_id, F.round("raw", 6).alias("overlap"))

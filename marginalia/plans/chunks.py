@@ -11,11 +11,11 @@ from marginalia.plans.catalog import query
 from marginalia.sources.tables import table
 
 
-def _short(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 30).alias("t"))
+def _docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("text").alias("t"))
 
 
-_S = "(SELECT doc_id, source, lang, left(text, 30) AS t FROM documents)"
+_S = "(SELECT doc_id, source, lang, text AS t FROM documents)"
 
 
 @query("SELECT doc_id || '__row' AS chunk_id, 'row' AS level, text FROM documents WHERE trim(text) <> ''")
@@ -27,12 +27,15 @@ def chunk_verse(spark, sf):
     SELECT source, lang, doc_id AS first, array_to_string(w, chr(10)) AS text FROM (
       SELECT source, lang, doc_id, list(t) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w FROM {_S}) WHERE len(w) = 3""")
 def sliding_window_3(spark, sf):
-    return C.windows(_short(spark, sf), ["source", "lang"], "doc_id", "t")
+    return C.windows(_docs(spark, sf), ["source", "lang"], "doc_id", "t")
 
 
-@query(f"SELECT source, lang, count(*) AS n, string_agg(t, ' | ' ORDER BY doc_id) AS text FROM {_S} GROUP BY 1, 2 HAVING count(*) >= 2")
+@query(f"""
+    WITH n AS (SELECT source, lang FROM documents GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT source, lang, doc_id // 100 AS part, count(*) AS n, string_agg(t, ' | ' ORDER BY doc_id) AS text FROM {_S} JOIN n USING (source, lang) GROUP BY 1, 2, 3""")
 def chunk_poem(spark, sf):
-    return C.groups(_short(spark, sf), ["source", "lang"], "doc_id", "t")
+    """A group's whole texts, in parts of a hundred ids, so that no group is one string however large it is."""
+    return C.groups(_docs(spark, sf), ["source", "lang"], "doc_id", "t")
 
 
 @query("""
@@ -88,7 +91,7 @@ def chunk_reference(spark, sf):
 @query(f"""
     SELECT level, count(*) AS n FROM (
       SELECT 'row' AS level FROM documents WHERE trim(text) <> '' UNION ALL SELECT 'reference' FROM benchmark
-      UNION ALL SELECT 'group' FROM (SELECT 1 FROM documents GROUP BY source, lang HAVING count(*) >= 2)
+      UNION ALL SELECT 'group' FROM (SELECT 1 FROM documents JOIN (SELECT source, lang FROM documents GROUP BY 1, 2 HAVING count(*) >= 2) USING (source, lang) GROUP BY source, lang, doc_id // 100)
       UNION ALL SELECT 'window' FROM (SELECT list(t) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w FROM {_S}) WHERE len(w) = 3) GROUP BY 1""")
 def chunks_all(spark, sf):
     parts = [
@@ -109,8 +112,9 @@ def chunk_ids(spark, sf):
 
 @query("SELECT doc_id, first_value(t) OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE length(t) END, doc_id) AS head FROM " + _S)
 def first_value_group(spark, sf):
-    order = Window.partitionBy("source").orderBy(F.when(F.col("lang") == "en", 0).otherwise(F.length("t")), "doc_id")
-    return _short(spark, sf).select("doc_id", F.first_value("t").over(order).alias("head"))
+    docs = _docs(spark, sf)
+    heads = docs.groupBy("source").agg(F.min_by("t", F.struct(F.when(F.col("lang") == "en", 0).otherwise(F.length("t")).alias("o"), "doc_id")).alias("head"))
+    return docs.select("doc_id", "source").join(heads, "source").select("doc_id", "head")
 
 
 @query("""
@@ -151,7 +155,7 @@ def cluster_lines(spark, sf):
             out.append(k)
         return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "event_id": pdf.sort_values("event_id")["event_id"], "cluster": out})
 
-    pages = table(spark, sf, "events").where("event_type = 'signup'").select("user_id", "event_id", "value")
+    pages = table(spark, sf, "events").select("user_id", "event_id", "value")
     return pages.groupBy("user_id").applyInPandas(clusters, "user_id long, event_id long, cluster int")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as X
 from marginalia.operators import joins as J
 from marginalia.plans.catalog import query
 from marginalia.sources.tables import table
@@ -85,10 +86,10 @@ def classical_structure(spark, sf):
 
 
 @query("""
-    SELECT l_orderkey, l_linenumber, s_name FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 3 = 0 WHERE l_orderkey % 50 = 0""")
+    SELECT l_orderkey, l_linenumber, s_name FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 3 = 0""")
 def left_join_dim(spark, sf):
     dim = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", "s_name")
-    facts = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_suppkey")
+    facts = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     return facts.join(dim, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "s_name")
 
 
@@ -116,51 +117,66 @@ def resolve_left_join(spark, sf):
 
 
 @query("""
-    WITH s AS (SELECT DISTINCT source FROM documents), p AS (
-      SELECT s.source, t.source AS other, row_number() OVER (PARTITION BY s.source ORDER BY CASE WHEN s.source = t.source THEN 0 ELSE 1 END, t.source DESC) AS r
+    WITH s AS (SELECT source, min(doc_id) AS seen FROM documents GROUP BY 1), p AS (
+      SELECT s.source, t.source AS other, row_number() OVER (PARTITION BY s.source ORDER BY CASE WHEN s.source = t.source THEN 0 ELSE 1 END, t.seen) AS r
       FROM s JOIN s t ON contains(s.source, t.source) OR contains(t.source, s.source))
     SELECT source, other FROM p WHERE r = 1 AND source <> ''""")
 def theta_substring_join(spark, sf):
-    """Each name's best holder or part: itself if there, else the last in order."""
-    held = J.held_names(table(spark, sf, "documents").select("source"), "source")
+    """Each name's best holder or part: itself if there, else the first in the table's order."""
+    docs = table(spark, sf, "documents").select("source", "doc_id")
+    held = J.held_names(docs, "source")
     pairs = held.toDF("source", "other").union(held.select("outer", "inner")).distinct()
-    return J.first_by(pairs, ["source"], F.when(F.col("source") == F.col("other"), 0).otherwise(1), F.desc("other"))
+    pairs = pairs.join(docs.groupBy(F.col("source").alias("other")).agg(F.min("doc_id").alias("seen")), "other").select("source", "other", "seen")
+    return J.first_by(pairs, ["source"], F.when(F.col("source") == F.col("other"), 0).otherwise(1), F.col("seen")).drop("seen")
 
 
-_BLOCKED = """
-    WITH a AS (SELECT doc_id, left(text, 60) AS t, left(text, 12) AS k FROM documents), b AS (SELECT item_id, left(text, 60) AS t, left(text, 12) AS k FROM benchmark),
-    p AS (SELECT doc_id, item_id, round(100.0::DOUBLE * (1.0::DOUBLE - levenshtein(a.t, b.t) / CAST(greatest(length(a.t), length(b.t)) AS DOUBLE)), 6) AS score FROM a JOIN b USING (k)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM p WHERE score >= 70)"""
+# The composite key of a record is its first ten words, folded; unlabelled records are compared with labelled ones if their keys share
+# three words in a row.
+_KEYED = r"""
+    WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñß', 'aaaaaaeeeeiiiiooooouuuucns'), '\s+'), lambda x: x <> '')[1:10] AS w FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+    b AS (SELECT doc_id AS item_id, list_filter(regexp_split_to_array(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñß', 'aaaaaaeeeeiiiiooooouuuucns'), '\s+'), lambda x: x <> '')[1:10] AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+    ga AS (SELECT doc_id, w, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM a),
+    gb AS (SELECT item_id, w, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM b),
+    p AS (SELECT DISTINCT doc_id, item_id, array_to_string(ga.w, ' ') AS t, array_to_string(gb.w, ' ') AS u, len(list_intersect(ga.w, gb.w)) / CAST(greatest(len(list_distinct(ga.w)), len(list_distinct(gb.w))) AS DOUBLE) AS overlap FROM ga JOIN gb USING (g)),
+    q AS (SELECT doc_id, item_id, round(100.0::DOUBLE * (1.0::DOUBLE - levenshtein(t, u) / CAST(greatest(length(t), length(u)) AS DOUBLE)), 6) AS raw, overlap FROM p),
+    v AS (SELECT doc_id, item_id, CASE WHEN overlap < 0.30 THEN least(raw, 69) ELSE raw END AS score FROM q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM v WHERE score >= 70)"""
 
 
-def _blocked(spark, sf):
-    a = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("t"), F.substring("text", 1, 12).alias("k"))
-    b = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("u"), F.substring("text", 1, 12).alias("k"))
-    return a, J.best_match(a, b, "doc_id", "item_id", J.ratio(F.col("t"), F.col("u")), ["k"], 70)
+def _keyed(spark, sf, how):
+    words = F.slice(F.filter(F.split(X.folded(F.col("text")), r"\s+"), lambda x: x != ""), 1, 10)
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", how)
+    return docs.select("doc_id", words.alias("w"))
 
 
-@query(_BLOCKED + " SELECT doc_id, item_id, score FROM r WHERE r = 1")
+@query(_KEYED + " SELECT doc_id, item_id, score FROM r WHERE r = 1")
 def blocked_fuzzy_join(spark, sf):
-    return _blocked(spark, sf)[1]
+    """Each record's best one among those of its block, if it scores 70 or more; few shared words veto a score."""
+    records = _keyed(spark, sf, "left_anti")
+    known = _keyed(spark, sf, "left_semi").groupBy("w").agg(F.min("doc_id").alias("item_id"))  # copies are one key
+    pairs = J.linked_keys(records.select("w", F.col("w").alias("key")).distinct(), known, "key", "item_id").where("score >= 70")
+    best = J.first_by(pairs, ["key"], F.desc("score"), F.col("item_id"))
+    return records.join(best, F.col("w") == F.col("key")).select("doc_id", "item_id", "score")
 
 
-@query(_BLOCKED + """
+@query(_KEYED + """
     SELECT a.doc_id, item_id, score, CASE WHEN score >= 85 THEN 'linked' WHEN score >= 70 THEN 'review' ELSE 'unlinked' END AS decision
     FROM a LEFT JOIN (SELECT * FROM r WHERE r = 1) m ON m.doc_id = a.doc_id""")
 def fuzzy_best_match(spark, sf):
-    a, found = _blocked(spark, sf)
-    joined = a.select("doc_id").join(found, "doc_id", "left")
+    joined = _keyed(spark, sf, "left_anti").select("doc_id").join(blocked_fuzzy_join(spark, sf), "doc_id", "left")
     return joined.withColumn("decision", J.decision(F.coalesce("score", F.lit(0.0))))
 
 
 @query("""
-    WITH a AS (SELECT doc_id, list_distinct(string_split(left(text, 60), ' ')) AS t, left(text, 12) AS k FROM documents), b AS (SELECT item_id, list_distinct(string_split(left(text, 60), ' ')) AS t, left(text, 12) AS k FROM benchmark)
-    SELECT doc_id, item_id, round(len(list_intersect(a.t, b.t)) / CAST(greatest(len(a.t), len(b.t)) AS DOUBLE), 6) AS overlap FROM a JOIN b USING (k)""")
+    WITH a AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS t FROM documents), b AS (SELECT item_id, list_distinct(string_split(text, ' ')) AS t FROM benchmark),
+    x AS (SELECT doc_id, unnest(t) AS w FROM a), y AS (SELECT item_id, unnest(t) AS w FROM b),
+    n AS (SELECT doc_id, item_id, count(*) AS n FROM x JOIN y USING (w) GROUP BY 1, 2)
+    SELECT doc_id, item_id, round(n / CAST(greatest(len(a.t), len(b.t)) AS DOUBLE), 6) AS overlap FROM n JOIN a USING (doc_id) JOIN b USING (item_id) WHERE n / CAST(greatest(len(a.t), len(b.t)) AS DOUBLE) >= 0.3""")
 def token_overlap(spark, sf):
-    tokens = lambda: F.split(F.substring("text", 1, 60), " ")
-    a = table(spark, sf, "documents").select("doc_id", tokens().alias("t"), F.substring("text", 1, 12).alias("k"))
-    b = table(spark, sf, "benchmark").select("item_id", tokens().alias("u"), F.substring("text", 1, 12).alias("k"))
-    return a.join(b, "k").select("doc_id", "item_id", F.round(J.token_overlap(F.col("t"), F.col("u")), 6).alias("overlap"))
+    """Pairs of whole texts that share three in ten of the larger one's distinct words."""
+    a = table(spark, sf, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("t"))
+    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.split("text", " ")).alias("t"))
+    return J.overlapping(b, a, "item_id", "doc_id", 0.3, larger=True).select("doc_id", "item_id", "overlap")
 
 
 @query("""
@@ -174,13 +190,15 @@ def propagate_attr(spark, sf):
 
 
 @query("""
-    SELECT o_orderkey FROM orders o WHERE o_orderkey % 7 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_quantity > 40)
-      AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderstatus = 'P' AND p.o_custkey = o.o_custkey AND p.o_orderpriority = o.o_orderpriority)""")
+    SELECT min(o_orderkey) AS o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_quantity > 40)
+      AND NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderstatus = 'P' AND p.o_custkey = o.o_custkey AND p.o_orderpriority = o.o_orderpriority)
+    GROUP BY o_custkey, o_orderpriority""")
 def anti_join_two_keys(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     large = table(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
-    new = J.anti_join_any(orders.where("o_orderkey % 7 = 0"), large, [["o_orderkey"]])
-    return J.anti_join_any(new, orders.where("o_orderstatus = 'P'"), [["o_custkey", "o_orderpriority"]]).select("o_orderkey")
+    new = J.anti_join_any(orders, large, [["o_orderkey"]])
+    new = J.anti_join_any(new, orders.where("o_orderstatus = 'P'"), [["o_custkey", "o_orderpriority"]])
+    return new.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey")  # and once in the batch
 
 
 @query("""

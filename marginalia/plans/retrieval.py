@@ -155,9 +155,11 @@ def relaxing_retrieval(spark, sf):
 def prototype_classify(spark, sf):
     """The label of the nearest prototype if it is near enough and clear; the prototypes are twenty vectors."""
     vectors = table(spark, sf, "embeddings")
-    prototypes = vectors.where("vec_id < 20").select("label", F.col("embedding").alias("p"))
-    scored = vectors.where("vec_id >= 20").select("vec_id", "embedding").join(F.broadcast(prototypes)).groupBy("vec_id", "label").agg(F.max(F.round(dot(F.col("embedding"), F.col("p")), 6)).alias("s"))
-    ranked = scored.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("m"), "label"))).alias("r"))
+    prototypes = vectors.where("vec_id < 20").agg(F.collect_list(F.struct("label", F.col("embedding").alias("p"))).alias("ps"))  # one row of twenty
+    each = F.transform("ps", lambda x: F.struct((-F.round(dot(F.col("embedding"), x["p"]), 6)).alias("m"), x["label"].alias("label")))
+    ordered = vectors.where("vec_id >= 20").select("vec_id", "embedding").join(F.broadcast(prototypes)).select("vec_id", F.array_sort(each).alias("all"))
+    first = F.filter("all", lambda x, i: ~F.exists(F.slice("all", 1, i), lambda y: y["label"].eqNullSafe(x["label"])))  # each label's best
+    ranked = ordered.select("vec_id", first.alias("r"))
     best, second = -F.get("r", 0)["m"], -F.get("r", 1)["m"]
     clear = (best >= 0.3) & (second.isNull() | (best - second >= 0.05))
     return ranked.select("vec_id", F.when(clear, F.get("r", 0)["label"]).alias("intent"), best.alias("score"))
@@ -165,16 +167,17 @@ def prototype_classify(spark, sf):
 
 @query(r"""
     WITH w AS (SELECT item_id, ' ' || unnest(string_split(lower(text), ' ')) || ' ' AS w FROM benchmark),
-    g AS (SELECT item_id, unnest(list_transform(range(1, greatest(length(w) - 1, 1)), lambda i: substr(w, i, 3))) AS g FROM w WHERE length(w) >= 3),
+    g AS (SELECT item_id, unnest(list_transform(range(1, greatest(length(w) - k + 2, 1)), lambda i: substr(w, i, k))) AS g FROM w, (SELECT unnest([3, 4, 5]) AS k) WHERE length(w) >= k),
     t AS (SELECT item_id, g, 1 + ln(count(*)) AS tf FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM benchmark),
     d AS (SELECT g, ln((1.0::DOUBLE + n) / (1 + count(*))) + 1 AS idf FROM t, n GROUP BY g, n),
     x AS (SELECT item_id, g, tf * idf AS x FROM t JOIN d USING (g)), l AS (SELECT item_id, sqrt(sum(x * x)) AS l FROM x GROUP BY 1)
     SELECT item_id, count(*) AS grams, round(max(x / l), 6) AS peak FROM x JOIN l USING (item_id) GROUP BY 1""")
 def char_tfidf(spark, sf):
-    """Character trigrams within padded words: sublinear tf, smooth idf, unit length."""
+    """Runs of three to five characters within padded words: sublinear tf, smooth idf, unit length."""
     items = table(spark, sf, "benchmark")
     words = items.select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).select("item_id", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w")).where(F.length("w") >= 3)
-    grams = words.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substr("w", i, F.lit(3)))).alias("g"))
+    runs = lambda k: F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.length("w") - (k - 1)), lambda i: F.substr("w", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    grams = words.select("item_id", F.explode(F.concat(*(runs(k) for k in (3, 4, 5)))).alias("g"))
     tf = grams.groupBy("item_id", "g").agg((1 + F.ln(F.count("*"))).alias("tf"))
     size = items.agg(F.count("*").alias("n"))
     df = tf.groupBy("g").agg(F.count("*").alias("df")).join(F.broadcast(size)).select("g", (F.ln((1.0 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -182,9 +185,9 @@ def char_tfidf(spark, sf):
     return x.groupBy("item_id").agg(F.count("*").alias("grams"), F.round(F.max("x") / F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("peak"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5)) AS unit FROM embeddings WHERE vec_id < 100")
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5)) AS unit FROM embeddings")
 def l2_normalise(spark, sf):
-    return table(spark, sf, "embeddings").where("vec_id < 100").select("vec_id", F.transform(unit(F.col("embedding")), lambda x: F.round(x, 5)).alias("unit"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(unit(F.col("embedding")), lambda x: F.round(x, 5)).alias("unit"))
 
 
 @query("""

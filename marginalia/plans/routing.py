@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.operators import classify as K
+from marginalia.operators import joins as J
 from marginalia.plans.catalog import query
 from marginalia.sources.tables import table
 
@@ -104,17 +105,17 @@ def guard_citation(spark, sf):
 
 
 @query(r"""
-    WITH d AS (SELECT doc_id, left(text, 12) AS k, list_distinct(string_split(text, ' ')) AS t FROM documents), b AS (SELECT item_id, left(text, 12) AS k, list_distinct(string_split(text, ' ')) AS t FROM benchmark WHERE len(string_split(text, ' ')) >= 12),
-    o AS (SELECT item_id, max(CASE WHEN d.t IS NOT NULL THEN round(len(list_intersect(b.t, d.t)) / CAST(len(b.t) AS DOUBLE), 6) END) AS overlap FROM b LEFT JOIN d USING (k) GROUP BY 1)
-    SELECT item_id, overlap, coalesce(overlap, 0) < 0.65 AS unsupported FROM o""")
+    WITH d AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS w FROM documents), b AS (SELECT item_id, list_distinct(string_split(text, ' ')) AS t FROM benchmark WHERE len(string_split(text, ' ')) >= 12),
+    n AS (SELECT item_id, doc_id, count(*) AS n FROM (SELECT item_id, unnest(t) AS w FROM b) JOIN d USING (w) GROUP BY 1, 2),
+    o AS (SELECT item_id, max(CASE WHEN n / CAST(len(t) AS DOUBLE) >= 0.65 THEN round(n / CAST(len(t) AS DOUBLE), 6) END) AS overlap FROM b LEFT JOIN n USING (item_id) GROUP BY 1)
+    SELECT item_id, overlap, overlap IS NULL AS unsupported FROM o""")
 def guard_verbatim(spark, sf):
-    """Phrases of twelve words or more that no passage with the same beginning covers."""
-    words = lambda: F.array_distinct(F.split("text", " "))
-    items = table(spark, sf, "benchmark").where(F.size(F.split("text", " ")) >= 12).select("item_id", F.substring("text", 1, 12).alias("k"), words().alias("t"))
-    docs = table(spark, sf, "documents").select(F.substring("text", 1, 12).alias("k"), words().alias("u"))
-    overlap = F.max(F.round(F.size(F.array_intersect("t", "u")) / F.size("t"), 6))
-    found = items.join(docs, "k", "left").groupBy("item_id").agg(overlap.alias("overlap"))
-    return found.withColumn("unsupported", F.coalesce("overlap", F.lit(0.0)) < 0.65)
+    """Phrases of twelve words or more that no passage covers by 0.65 of their words; every whole passage counts."""
+    words = lambda: F.array_distinct(F.split("text", " ")).alias("t")
+    items = table(spark, sf, "benchmark").where(F.size(F.split("text", " ")) >= 12).select("item_id", words())
+    docs = table(spark, sf, "documents").select("doc_id", words())
+    best = J.overlapping(items, docs, "item_id", "doc_id", 0.65).groupBy("item_id").agg(F.max("overlap").alias("overlap"))
+    return items.select("item_id").join(best, "item_id", "left").withColumn("unsupported", F.col("overlap").isNull())
 
 
 @query(r"SELECT conv_id, turn, len(regexp_extract_all(replace(lower(text), 'the', ''), '\p{L}+')) > 8 AS too_long FROM conversations WHERE role = 'assistant'")
