@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.functions.image import degradation
+from marginalia.operators.images import triaged
 from marginalia.plans.catalog import query
 from marginalia.sources.tables import table, tolerant_lines
 
@@ -79,9 +78,6 @@ def jsonl_tolerant(spark, sf):
 
 @query()
 def triage(spark, sf):
-    """Degradation figures of images: here each vector as one row of grey values."""
-    @F.pandas_udf("score double, dark double, light double, edge double")
-    def figures(vectors: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([degradation(v) for v in vectors])
-
-    return table(spark, sf, "embeddings").select("vec_id", figures("embedding").alias("f")).select("vec_id", "f.*")
+    """Triage of images: here each vector's values as grey, in rows of eight."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.transform("embedding", lambda x: F.least(F.greatest((x + 1) * 127.5, F.lit(0)), F.lit(255)).cast("int")).alias("pixels"), F.lit(8).alias("width"))
+    return triaged(rows).withColumn("vec_id", F.col("name").cast("long")).drop("name")
