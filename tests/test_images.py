@@ -16,7 +16,7 @@ def test_status_and_score_follow_the_measures():
     bleed = np.full((60, 80), 240, np.uint8)
     bleed[dice.random((60, 80)) < 0.3] = 60
     assert degradation(bleed)["reasons"] == ["bleed-through"]
-    assert degradation(np.empty((0, 0)))["reasons"] == ["empty"] and degradation(np.array([0, 255, 0, 255]))["status"] == "NORMAL"
+    assert degradation(np.empty((0, 0)))["reasons"] == ["empty"] and degradation(np.array([0, 255, 0, 255]))["reasons"] == ["bleed-through"]
 
 
 def test_grey_of_colours():
