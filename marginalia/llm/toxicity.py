@@ -18,12 +18,13 @@ are arrays of a fixed size.  Every text is scored, over all its words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,8 +110,21 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.where((once > 0) & (twice > 0), once / np.maximum(once + 2 * twice, 1), 0.5)
 
 
+class Packed:
+    """A dataclass whose arrays, mostly zeros, travel compressed."""
+
+    def __getstate__(self) -> dict:
+        held = {f.name: getattr(self, f.name) for f in fields(self)}
+        return {k: (v.dtype.str, v.shape, zstandard.compress(np.ascontiguousarray(v).tobytes(), 1)) if isinstance(v, np.ndarray) else v for k, v in held.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        arrays = [f.name for f in fields(self) if f.type == "np.ndarray"]
+        held = {k: np.frombuffer(zstandard.decompress(v[2]), v[0]).reshape(v[1]) if k in arrays else v for k, v in state.items()}
+        self.__init__(**held)
+
+
 @dataclass
-class Model:
+class Model(Packed):
     """Smoothed models of both classes, from counts of (class, slot)."""
 
     pairs: np.ndarray
@@ -134,7 +148,7 @@ class Model:
     def _level(counts: np.ndarray) -> tuple[np.ndarray, float]:
         """Discounted shares, and the weight that both classes pass on."""
         total = np.maximum(counts.sum(axis=1, keepdims=True, dtype=np.int64), 1)
-        left = np.maximum(counts - discounts(counts), 0)
+        left = np.maximum(counts.astype(np.float32) - discounts(counts), 0)
         kept = left.sum(axis=1, keepdims=True)
         weight = float((1 - kept / total).max())
         return (1 - weight) * left / np.maximum(kept, 1e-9), weight
@@ -175,7 +189,7 @@ class Model:
 
 
 @dataclass
-class Counts:
+class Counts(Packed):
     """What the models are made of; the first axis is the fold, or what is counted without a fold (the last: all)."""
 
     pairs: np.ndarray
@@ -186,7 +200,7 @@ class Counts:
 
     def model(self, without: int = FOLDS) -> Model:
         keep = [f for f in range(FOLDS) if f != without]
-        return Model(self.pairs[keep].sum(axis=0, dtype=np.int64), self.tokens[keep].sum(axis=0, dtype=np.int64), *(x[without].astype(np.int64) for x in (self.types, self.words, self.stems)))
+        return Model(self.pairs[keep].sum(axis=0, dtype=np.uint32), self.tokens[keep].sum(axis=0, dtype=np.uint32), *(x[without] for x in (self.types, self.words, self.stems)))
 
 
 def counted(pairs: DataFrame) -> Counts:
@@ -275,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
         return share
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     rows = sample.repartition(FOLDS, "fold").sortWithinPartitions("fold").mapInArrow(lambda it: _evidences(it, sent), "toxic int, mean double, best double").toArrow()
-    sent.unpersist()
+    sent.destroy()
     y = rows.column("toxic").to_numpy().astype(float)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))  # the sample has other shares than the labels
     model = counts.model()
