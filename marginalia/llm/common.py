@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -68,9 +69,26 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers live on between stages, and what they keep adds up beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # of the C library of Linux only
+        trim(0)
+
+
+def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what the worker's last task and this one freed is given back before and after."""
+    give_back()
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows of about ``size`` bytes of ``column``."""
-    for batch in batches:
+    for batch in tidy(batches):
         if not batch.num_rows:
             continue
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))

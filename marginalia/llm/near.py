@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import chunks, fresh, mixed, sized, stored, texts_of, words_of
+from marginalia.llm.common import chunks, fresh, mixed, sized, stored, texts_of, tidy, words_of
 
 BANDS, ROWS = 32, 5
 #: A shared hash is tried so often for an empty bin; after that the next filled bin serves.
@@ -34,7 +34,7 @@ CELL, CELL_SHINGLES = 512, 1 << 18
 #: Shingles that so many sets of a cell hold are columns of a matrix, rarer ones go through lists of their holders.
 COMMON = 16
 #: Entries of a worker's word memo, after which it starts anew.
-MEMO = 1_000_000
+MEMO = 250_000
 
 FACTORS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -208,7 +208,7 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             x = joined[x]
         return x
 
-    for batch in batches:
+    for batch in tidy(batches):
         if not batch.num_rows:
             continue
         names = np.column_stack([batch.column(c).to_numpy() for c in ("key", "size", "cell")])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import chunks, mixed, segment_starts, stored, texts_of
+from marginalia.llm.common import chunks, mixed, segment_starts, stored, texts_of, tidy
 
 SPAN = 200
 GRAMS = (56, 184, SPAN)
@@ -32,7 +32,7 @@ SHALLOW = 32
 #: Bytes of segments that one sort takes, unless a gram's own are more.
 SORT_BYTES = 6 << 20
 #: Bytes of text that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 SALT = mixed(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
@@ -210,7 +210,7 @@ def _segments(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.Recor
                     size += w
             empty = [pa.nulls(len(text), k) for k in (pa.int64(), pa.int32(), pa.binary(), pa.int64())]
             yield pa.RecordBatch.from_arrays([empty[0], pa.array(ids), *empty[1:], pa.array(keys[text]), pa.array((first + offset).astype(np.int32))], names)
-            if size > 4 * SORT_BYTES:
+            if size > 2 * SORT_BYTES:
                 yield flush()
                 held, size = {}, 0
     if held:
@@ -361,7 +361,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.searchsorted(which, np.arange(len(names) + 1)) * 2
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.ravel()))], ["segment", "spans"])
 
-    for batch in batches:
+    for batch in tidy(batches):
         for gram, name, starts, data, copies in zip(*(batch.column(c).to_pylist() for c in ("gram", "segment", "starts", "bytes", "copies")), strict=True):
             if gram != last and size > SORT_BYTES:
                 yield sort()
