@@ -188,19 +188,31 @@ class Model(Packed):
         return probability(self.curve, self.evidence(texts))
 
 
+class Slices:
+    """An array, mostly zeros, compressed by its first axis; a slice is unpacked when it is asked for."""
+
+    def __init__(self, array: np.ndarray):
+        self.kind, self.shape = array.dtype.str, array.shape[1:]
+        self.parts = [zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in array]
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return np.frombuffer(zstandard.decompress(self.parts[k]), self.kind).reshape(self.shape)
+
+
 @dataclass
-class Counts(Packed):
-    """What the models are made of; the first axis is the fold, or what is counted without a fold (the last: all)."""
+class Counts:
+    """What the models are made of; a slice is a fold, or what is counted without a fold (the last: all)."""
 
-    pairs: np.ndarray
-    tokens: np.ndarray
-    types: np.ndarray
-    words: np.ndarray
-    stems: np.ndarray
+    pairs: Slices
+    tokens: Slices
+    types: Slices
+    words: Slices
+    stems: Slices
 
     def model(self, without: int = FOLDS) -> Model:
         keep = [f for f in range(FOLDS) if f != without]
-        return Model(self.pairs[keep].sum(axis=0, dtype=np.uint32), self.tokens[keep].sum(axis=0, dtype=np.uint32), *(x[without] for x in (self.types, self.words, self.stems)))
+        both = (sum(x[f] for f in keep) for x in (self.pairs, self.tokens))
+        return Model(*both, *(x[without] for x in (self.types, self.words, self.stems)))
 
 
 def counted(pairs: DataFrame) -> Counts:
@@ -219,7 +231,8 @@ def counted(pairs: DataFrame) -> Counts:
         return out
 
     by_context = table("before", 1 << WORD_BITS, sums + without)
-    return Counts(_pair_table(distinct), by_context[:FOLDS], by_context[FOLDS:], table("word", 1 << WORD_BITS, without), table("stem", 1 << STEM_BITS, without))
+    arrays = _pair_table(distinct), by_context[:FOLDS], by_context[FOLDS:], table("word", 1 << WORD_BITS, without), table("stem", 1 << STEM_BITS, without)
+    return Counts(*map(Slices, arrays))
 
 
 def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
