@@ -41,9 +41,14 @@ def top_labels(tokens: Column, lexicon: Mapping[str, Sequence[str]], most: int)
 
 def first_match(text: Column, rules: Mapping[str, str], default: str | None = None) -> Column:
     """The name of the first pattern that the text matches."""
+    return first_true({name: F.rlike(text, F.lit(pattern)) for name, pattern in rules.items()}, default)
+
+
+def first_true(checks: Mapping[str, Column], default: str | None = None) -> Column:
+    """The name of the first check that holds; one that is null doesn't."""
     out = F
-    for name, pattern in rules.items():
-        out = out.when(F.rlike(text, F.lit(pattern)), name)
+    for name, check in checks.items():
+        out = out.when(check, name)
     return out.otherwise(default)
 
 

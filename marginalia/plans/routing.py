@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
@@ -14,7 +17,12 @@ from marginalia.sources.tables import table
 CUES = {"the": 0.6, "license|licence": 0.3, r"\?": 0.1, "[0-9]": 0.2}
 SLOTS = {"licence": "license|licensed", "insult": "idiot|trash|clown", "prose": "the"}
 UNSUPPORTED = {"network": "https?://", "mail": "@"}
-ROUTES = {"out_of_scope": "idiot|scum", "unsupported": "https?://", "provenance": "license", "counting": "[0-9]", "lookup": "the"}
+#: A turn's checks before the registry's and after it, in order; all patterns of a check must match.
+EARLY = {
+    "out_of_scope": ["idiot|scum"], "unsupported": ["https?://"], "image_provenance": ["[.](png|jpg)", "who|where"],
+    "capabilities": ["can you|help"], "pipeline_debug": ["debug|pipeline"],
+}
+LATE = {"content": ["(^|[^a-z])(find|show|give|tell)[^a-z].{0,40}(text|page|line)"], "provenance": ["license"], "counting": ["[0-9]"]}
 
 
 def _turns(spark, sf):
@@ -42,10 +50,13 @@ def unsupported_dim(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", K.first_match(F.col("t"), UNSUPPORTED).alias("dimension"))
 
 
-@query(f"""
+_MENTION = f"""
     WITH n AS (SELECT DISTINCT lower(lang) AS name FROM documents UNION SELECT 'the' UNION SELECT 'thing'),
     m AS (SELECT conv_id, turn, name FROM {_T} JOIN n ON length(name) >= 3 AND regexp_matches(t, '(^|[^a-z])' || name || '([^a-z]|$)'))
-    SELECT conv_id, turn, arg_min(name, (-length(name), name)) AS entity FROM m GROUP BY 1, 2""")
+    SELECT conv_id, turn, arg_min(name, (-length(name), name)) AS entity FROM m GROUP BY 1, 2"""
+
+
+@query(_MENTION)
 def entity_mention(spark, sf):
     """The longest known name of three letters or more that stands alone; names join on words, not by a nested loop."""
     names = table(spark, sf, "documents").select(F.lower("lang").alias("name")).union(spark.range(1).select(F.explode(F.array(F.lit("the"), F.lit("thing"))))).distinct().where(F.length("name") >= 3)
@@ -53,9 +64,19 @@ def entity_mention(spark, sf):
     return words.join(names, "name").groupBy("conv_id", "turn").agg(F.min(F.struct((-F.length("name")).alias("l"), "name")).alias("m")).select("conv_id", "turn", F.col("m.name").alias("entity"))
 
 
-@query(f"SELECT conv_id, turn, coalesce({_CASE(ROUTES)}, 'retrieval') AS route FROM {_T}")
+_WHEN = lambda checks: " ".join("WHEN " + " AND ".join(f"regexp_matches(t, '{p}')" for p in ps) + f" THEN '{n}'" for n, ps in checks.items())
+
+
+@query(f"""
+    SELECT conv_id, turn, CASE {_WHEN(EARLY)} WHEN {_SUM} >= 0.7 THEN 'registry' WHEN entity IS NOT NULL THEN 'name' {_WHEN(LATE)} ELSE 'retrieval' END AS route, entity
+    FROM {_T} LEFT JOIN ({_MENTION}) USING (conv_id, turn)""")
 def route_cascade(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", K.first_match(F.col("t"), ROUTES, "retrieval").alias("route"))
+    """Ten outcomes: refusals and fast answers first, a sure intent, a known name (which vetoes the cues after it), the rest."""
+    t = F.col("t")
+    matched = lambda checks: {n: reduce(and_, (F.rlike(t, F.lit(p)) for p in ps)) for n, ps in checks.items()}
+    sure = {"registry": K.additive(t, CUES, 0.7)[1], "name": F.col("entity").isNotNull()}
+    turns = _turns(spark, sf).join(entity_mention(spark, sf), ["conv_id", "turn"], "left")
+    return turns.select("conv_id", "turn", K.first_true(matched(EARLY) | sure | matched(LATE), "retrieval").alias("route"), "entity")
 
 
 _GRADE = "(SELECT event_id, event_type, user_id, value / 30.0::DOUBLE AS conf FROM events)"

@@ -128,3 +128,19 @@ def test_plans(spark, sf):
     assert "WindowGroupLimit" in plan(QUERIES["dedup_top1"](spark, sf))
     assert "PushedFilters: [IsNotNull(lang), IsNotNull(source), EqualTo(lang,en), EqualTo(source,src3)]" in plan(QUERIES["hard_filter_exact"](spark, sf))
     assert "CartesianProduct" not in plan(QUERIES["theta_substring_join"](spark, sf))
+
+
+def test_routes_take_the_first_check_that_holds(spark):
+    from marginalia.plans import routing
+
+    text = {
+        "you idiot, see https://a.b": "out_of_scope", "see https://a.b": "unsupported", "who wrote page.png": "image_provenance", "who wrote it": "retrieval",
+        "can you debug": "capabilities", "debug": "pipeline_debug", "the license?": "registry", "show me this page": "content", "license": "provenance", "7": "counting",
+        None: "retrieval", "": "retrieval",
+    }
+    rows = spark.createDataFrame([(t, r, None) for t, r in text.items()], "t string, want string, entity string")
+    sure = {"registry": K.additive(F.col("t"), routing.CUES, 0.7)[1], "name": F.col("entity").isNotNull()}
+    late = {n: F.rlike("t", F.lit(p[0])) for n, p in routing.LATE.items()}
+    early = {n: F.rlike("t", F.lit(p[0])) if len(p) == 1 else F.rlike("t", F.lit(p[0])) & F.rlike("t", F.lit(p[1])) for n, p in routing.EARLY.items()}
+    got = rows.select("t", "want", K.first_true(early | sure | late, "retrieval").alias("route")).collect()
+    assert [(r.t, r.route) for r in got] == [(r.t, r.want) for r in got]
