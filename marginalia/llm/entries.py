@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import audio, language, lm, mixing, near, packing, suffix, topk, toxicity, urls
+from marginalia.llm import audio, language, lm, mixing, near, packing, quality, suffix, topk, toxicity, urls
 from marginalia.llm.common import table
 
 #: The rules of the url query.
@@ -66,7 +66,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_columns(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_topk_search, op3_toxicity, op4_lm_scoring, op5_mixing, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_language_id, op10_media_columns)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_topk_search, op3_toxicity, op4_lm_scoring, op5_mixing, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_language_id, op10_media_columns, op11_quality_rules)}
 
 SQL: dict[str, str] = {
     "op2_topk_search": r"""
@@ -133,4 +137,26 @@ SQL: dict[str, str] = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, m.b FROM r JOIN both_ways m ON r.b = m.a)
         SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, m.component_id, g.doc_id = m.component_id AS kept
         FROM g JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = g.doc_id""",
+    "op11_quality_rules": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l, row_number() OVER () AS r
+          FROM documents),
+        g AS (SELECT r, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: {'g': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 'i': i}), recursive := true) FROM d),
+        k AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+        c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM k) GROUP BY r),
+        m AS (
+          SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                 CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+                 CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+                 CAST(length(regexp_replace(t, '[^\pL]+', '', 'g')) AS BIGINT) AS n_letters
+          FROM d LEFT JOIN c USING (r)),
+        b AS (
+          SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+                 + 8 * (word_chars < 3 * n_words OR word_chars > 10 * n_words)::INT + 16 * (10 * n_dup_lines > 3 * n_lines)::INT + 32 * (10 * n_letters < 7 * word_chars)::INT AS BIGINT) AS failed
+          FROM m)
+        SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, 'v3' AS policy,
+               CASE failed WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'word_length' WHEN 16 THEN 'repeated_lines' WHEN 32 THEN 'few_letters' END AS sole_rule,
+               CASE WHEN failed IN (1, 2, 4, 8, 16, 32) THEN count(*) OVER (PARTITION BY failed) END AS rescued
+        FROM b""",
 }
