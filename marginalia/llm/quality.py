@@ -68,30 +68,36 @@ def mask_of(rules: Sequence[Rule], policy: Policy) -> int:
 
 
 def _repeated(windows: str) -> Column:
-    """Of windows sorted by words then place, the places of those that equal a neighbour."""
+    """Of windows ``(g, i)`` sorted by key then place, the places of those whose key equals a neighbour's."""
     same = lambda x, i: (x["g"] == F.get(windows, i - 1)["g"]) | (x["g"] == F.get(windows, i + 1)["g"])
     return F.transform(F.filter(windows, same), lambda x: x["i"])
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``MEASURES`` for every row; a null text counts as empty.  Other columns are left out, whatever their names."""
+    """``doc_id`` and ``MEASURES`` for every row; a null text counts as empty.  Other columns are left out, whatever their names.
+
+    Windows are compared in two steps: the 64-bit hashes of all, then the words of those whose hash another one has.
+    """
     count = lambda c: c.cast("long")
-    solid = lambda a: F.filter(a, lambda x: x != "")
     whole = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     cut = whole.select(
-        "doc_id", "t", solid(F.split("t", SEPARATORS)).alias("w"),
+        "doc_id", "t", F.filter(F.split("t", SEPARATORS), lambda x: x != "").alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    place = F.sequence(F.lit(0), F.size("w") - WINDOW)
-    grams = F.transform(place, lambda i: F.struct(F.concat_ws(" ", *(F.get("w", i + k) for k in range(WINDOW))).alias("g"), i.alias("i")))
-    none = F.array().cast("array<struct<g:string,i:int>>")
+    words_at = lambda i: [F.get("w", i + k) for k in range(WINDOW)]
+    keyed = lambda places, key: F.sort_array(F.transform(places, lambda i: F.struct(key(*words_at(i)).alias("g"), i.alias("i"))))
+    places = F.sequence(F.lit(0), F.size("w") - WINDOW)
+    none = F.array().cast("array<struct<g:bigint,i:int>>")
     sized = cut.select(
-        "doc_id", count(F.size("w")).alias("n_words"), count(F.length(F.regexp_replace("t", SEPARATORS, ""))).alias("word_chars"),
+        "doc_id", "w", count(F.size("w")).alias("n_words"), count(F.length(F.array_join("w", ""))).alias("word_chars"),
         count(F.regexp_count("t", F.lit(SYMBOLS))).alias("n_symbols"), count(F.size("lines")).alias("n_lines"),
         count(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), count(F.length(F.regexp_replace("t", r"[^\p{L}]+", ""))).alias("n_letters"),
-        F.when(F.size("w") >= WINDOW, F.sort_array(grams)).otherwise(none).alias("windows"),
+        F.when(F.size("w") >= WINDOW, keyed(places, F.xxhash64)).otherwise(none).alias("windows"),
     )
-    placed = sized.select(*(c for c in sized.columns if c != "windows"), _repeated("windows").alias("at"))
+    plain = [c for c in MEASURES if c != "n_repeat_words"]
+    alike = sized.select("doc_id", *plain, "w", _repeated("windows").alias("at"))
+    exact = alike.select("doc_id", *plain, keyed(F.col("at"), lambda *w: F.concat_ws(" ", *w)).alias("windows"))
+    placed = exact.select("doc_id", *plain, _repeated("windows").alias("at"))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(*(i + k for k in range(WINDOW))))))
     return placed.withColumn("n_repeat_words", count(F.size(covered))).select("doc_id", *MEASURES)
 
