@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import audio, language, lm, merkle, mixing, near, packing, quality, suffix, topk, toxicity, urls
+from marginalia.llm import align, audio, language, lm, merkle, mixing, near, packing, quality, suffix, topk, toxicity, urls
 from marginalia.llm.common import table
 
 #: The rules of the url query.
@@ -74,7 +74,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_topk_search, op3_toxicity, op4_lm_scoring, op5_mixing, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_language_id, op10_media_columns, op11_quality_rules, op12_merkle_manifest)}
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_topk_search, op3_toxicity, op4_lm_scoring, op5_mixing, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_language_id, op10_media_columns, op11_quality_rules, op12_merkle_manifest, op13_cross_tokenizer_alignment)}
 
 SQL: dict[str, str] = {
     "op2_topk_search": r"""
