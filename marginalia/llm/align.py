@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,69 +66,106 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := as_byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
 
-    def encode(self, words: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        # how a group's tokens are written: an id and what follows it
+        written = lambda n, mark: np.array([f"{i}{mark}".encode() for i in range(n)], object)
+        self.written = (written(size, ","), written(size, "|"), written(len(pieces), ","), written(len(pieces), ";"))
+
+    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Both sides' ids of each word with a blank before it (which B adds itself)."""
         left = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        for a, b in zip(left, self.b.encode(words, num_threads=1), strict=True):
-            yield a.ids, b
-
-
-class Word:
-    """What a word adds to a document: figures, its pairs with their multiplicity, and its groups as text.  ``ok`` is False if bytes differ."""
-
-    __slots__ = ("figures", "pairs", "times", "groups", "ok")
-
-    def __init__(self, word: bytes, a: list[int], b: list[int], tools: Tokenizers):
-        a_bytes, b_bytes = [tools.a_bytes[x] for x in a], [tools.b_bytes[x] for x in b]
-        whole = b" " + word
-        self.ok = b"".join(a_bytes) == whole and b"".join(b_bytes) == whole
-        ends_a, ends_b = np.cumsum([len(x) for x in a_bytes], dtype=np.int64), np.cumsum([len(x) for x in b_bytes], dtype=np.int64)
-        if not self.ok:
-            self.figures, self.pairs, self.times, self.groups = (0, 0, 0, 0), np.zeros(0, np.uint32), np.zeros(0, np.int64), b""
-            return
-        # tokens of A and B overlap where the B token ends after the A token begins and begins before it ends
-        first = np.searchsorted(ends_b, np.concatenate(([0], ends_a[:-1])), side="right")
-        last = np.searchsorted(ends_b, ends_a, side="left")
-        n = last - first + 1
-        at_a = np.repeat(np.arange(len(a)), n)
-        at_b = np.arange(int(n.sum())) - np.repeat(segment_starts(n)[:-1], n) + np.repeat(first, n)
-        number = (np.asarray(a, np.uint32)[at_a] << np.uint32(B_BITS)) | np.asarray(b, np.uint32)[at_b]
-        self.pairs, self.times = np.unique(number, return_counts=True)
-        both = np.intersect1d(ends_a, ends_b)
-        cut_a, cut_b = (np.searchsorted(ends_a, both) + 1).tolist(), (np.searchsorted(ends_b, both) + 1).tolist()
-        said, i, j = [], 0, 0
-        for p, q in zip(cut_a, cut_b, strict=True):
-            said.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
-            i, j = p, q
-        self.groups = ";".join(said).encode()
-        self.figures = (len(a), len(b), len(both), len(number))
-
-
-class Words(dict):
-    """Words by their bytes, tokenized a batch at a time; forgotten between blocks beyond a size."""
+        return [e.ids for e in left], self.b.encode(words, num_threads=1)
+
+
+class Grown:
+    """An array that rows are added to."""
+
+    def __init__(self, dtype, width: int = 0):
+        self.held, self.n = np.zeros((1024, width) if width else 1024, dtype), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.held):
+            more = np.zeros((max(2 * len(self.held), self.n + len(rows)), *self.held.shape[1:]), self.held.dtype)
+            more[: self.n] = self.held[: self.n]
+            self.held = more
+        self.held[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+
+class Words:
+    """Words that a worker remembers: ``at`` numbers them by their bytes.
+
+    Of each it keeps its ``figures`` (see ``NUMBERS``), whether the bytes of both sides are the word's (``ok``), where its
+    pairs and their multiplicities begin and how many there are, and its groups as text that ends in ``;``.
+    """
 
     def __init__(self, tools: Tokenizers):
-        super().__init__()
-        self.tools, self.size = tools, 0
+        self.tools = tools
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.groups: list[bytes] = []
+        self.figures, self.ok, self.begin, self.count = Grown(np.int64, 4), Grown(bool), Grown(np.int64), Grown(np.int64)
+        self.pair, self.times, self.size = Grown(np.uint32), Grown(np.uint32), 0
+
+    def settle(self) -> None:
+        """Forget all, if there is much; called between blocks."""
+        if len(self.at) > WORDS or self.size > WORD_BYTES:
+            self.clear()
 
     def learn(self, words: Iterable[bytes]) -> None:
-        new = [w for w in words if w not in self]
+        """Tokenize those that are new, a batch at a time."""
+        new = [w for w in words if w not in self.at]
         at = 0
         while at < len(new):
             n, held = 0, 0
-            while at + n < len(new) and n < 4096 and held < 1 << 19:
+            while at + n < len(new) and n < 8192 and held < 1 << 19:
                 held += len(new[at + n])
                 n += 1
-            batch = new[at : at + n]
-            for w, (a, b) in zip(batch, self.tools.encode([w.decode() for w in batch]), strict=True):
-                self[w] = Word(w, a, b, self.tools)
+            self._add(new[at : at + n])
             self.size += held
             at += n
 
-    def settle(self) -> None:
-        if len(self) > WORDS or self.size > WORD_BYTES:
-            self.clear()
-            self.size = 0
+    def _add(self, words: list[bytes]) -> None:
+        tools = self.tools
+        a, b = tools.encode([w.decode() for w in words])
+        whole = [b" " + w for w in words]
+        ok = np.ones(len(words), bool)
+        if b"".join(tools.a_bytes[i] for x in a for i in x) != b"".join(whole) or b"".join(tools.b_bytes[i] for x in b for i in x) != b"".join(whole):
+            for k, w in enumerate(whole):
+                ok[k] = b"".join(tools.a_bytes[i] for i in a[k]) == w == b"".join(tools.b_bytes[i] for i in b[k])
+        for k in np.flatnonzero(~ok):
+            a[k], b[k] = [], []
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(words)) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        # the words lie one after the other, and tokens of both sides end where a word ends
+        ends_a, ends_b = np.cumsum(tools.a_size[ids_a]), np.cumsum(tools.b_size[ids_b])
+        word_a, word_b = np.repeat(np.arange(len(words)), n_a), np.repeat(np.arange(len(words)), n_b)
+        first = np.searchsorted(ends_b, ends_a - tools.a_size[ids_a], side="right")  # B tokens that overlap an A token
+        n = np.searchsorted(ends_b, ends_a, side="left") - first + 1
+        at_a = np.repeat(np.arange(len(ids_a)), n)
+        at_b = np.arange(len(at_a)) - np.repeat(segment_starts(n)[:-1], n) + np.repeat(first, n)
+        number = (word_a[at_a] << 32) | (ids_a[at_a] << B_BITS) | ids_b[at_b]
+        pairs, times = np.unique(number, return_counts=True)
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, ends_a, side="left"), np.searchsorted(both, ends_b, side="left")
+        per_word = lambda at: np.bincount(at, minlength=len(words))
+        n_groups, n_links, n_pairs = per_word(word_a[np.searchsorted(ends_a, both)]), per_word(word_a[at_a]), per_word(pairs >> 32)
+
+        last = lambda g: np.append(g[1:] != g[:-1], True)[: len(g)]
+        comma_a, bar, comma_b, semi = tools.written
+        said = np.concatenate([np.where(last(group_a), bar[ids_a], comma_a[ids_a]), np.where(last(group_b), semi[ids_b], comma_b[ids_b])])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        said, cuts = said[order].tolist(), segment_starts(n_a + n_b).tolist()
+        self.groups += [b"".join(said[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.figures.add(np.stack([n_a, n_b, n_groups, n_links], 1))
+        self.ok.add(ok)
+        self.begin.add(self.pair.n + segment_starts(n_pairs)[:-1])
+        self.count.add(n_pairs)
+        self.pair.add((pairs & 0xFFFFFFFF).astype(np.uint32))
+        self.times.add(times.astype(np.uint32))
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -140,23 +178,30 @@ def block_of(name: int, ids: pa.Array, texts: list[bytes], words: Words) -> pa.R
     """A block's row."""
     words.settle()
     cut = [pieces(t) if t else [] for t in texts]
-    words.learn({w for c in cut for w in c})
+    words.learn(set(chain.from_iterable(cut)))
+    lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+    word = np.fromiter(map(words.at.__getitem__, chain.from_iterable(cut)), np.int64, int(lengths.sum()))
+    del cut
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    good = (np.bincount(doc, weights=~words.ok.held[word], minlength=len(texts)) == 0) & (lengths > 0)
+    word, doc = word[good[doc]], doc[good[doc]]
     figures = np.zeros((len(texts), 4), np.int64)
-    shas, parts_n, parts_t = [], [], []
-    for d, c in enumerate(cut):
-        own = [words[w] for w in c]
-        if not own or not all(w.ok for w in own):
+    np.add.at(figures, doc, words.figures.held[word])
+    shas, at = [], 0
+    for d, n in enumerate(lengths.tolist()):
+        if not good[d]:
             shas.append("")
             continue
-        figures[d] = np.array([w.figures for w in own], np.int64).sum(0)
-        shas.append(hashlib.sha256(b";".join([w.groups for w in own])).hexdigest())
-        number, back = np.unique(np.concatenate([w.pairs for w in own]), return_inverse=True)
-        parts_n.append((number.astype(np.uint64) << np.uint64(16)) | np.uint64(d))
-        parts_t.append(np.bincount(back, weights=np.concatenate([w.times for w in own]), minlength=len(number)).astype(np.int64))
-    number = np.concatenate(parts_n) if parts_n else np.zeros(0, np.uint64)
-    times = np.concatenate(parts_t) if parts_t else np.zeros(0, np.int64)
-    order = np.argsort(number, kind="stable")
-    number, times = number[order], times[order]
+        said = b"".join(map(words.groups.__getitem__, word[at : at + n].tolist()))
+        shas.append(hashlib.sha256(memoryview(said)[:-1]).hexdigest())
+        at += n
+    n = words.count.held[word]
+    place = np.arange(int(n.sum())) - np.repeat(segment_starts(n)[:-1], n) + np.repeat(words.begin.held[word], n)
+    number = (words.pair.held[place].astype(np.uint64) << np.uint64(16)) | np.repeat(doc, n).astype(np.uint64)
+    order = np.argsort(number)
+    number, times = number[order], words.times.held[place][order].astype(np.int64)
+    edge = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+    number, times = number[edge], np.add.reduceat(times, edge) if len(edge) else times
     pair, docs = np.unique((number >> np.uint64(16)).astype(np.uint32), return_counts=True)
     postings = np.empty((len(number), 2), np.uint32)  # the document's place in the block, and how often
     postings[:, 0], postings[:, 1] = number & np.uint64(0xFFFF), times

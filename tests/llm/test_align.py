@@ -76,9 +76,9 @@ def test_words_are_cut_where_both_have_a_boundary(tools):
     for text in filter(None, ODD):
         cut = A.pieces(text.encode())
         assert b"".join(b" " + w for w in cut) == (" " + text).encode()
-        ids = list(tools.encode([w.decode() for w in cut]))
-        assert [x for a, _ in ids for x in a] == tools.a.encode(" " + text, add_special_tokens=False).ids
-        assert [x for _, b in ids for x in b] == tools.b.encode(text)
+        left, right = tools.encode([w.decode() for w in cut])
+        assert [x for a in left for x in a] == tools.a.encode(" " + text, add_special_tokens=False).ids
+        assert [x for b in right for x in b] == tools.b.encode(text)
 
 
 def test_no_piece_holds_a_blank_within(tools):
