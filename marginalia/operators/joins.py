@@ -86,20 +86,6 @@ def held_texts(inner: DataFrame, outer: DataFrame, inner_id: str, outer_id: str)
     return found.where(F.col("text").contains(F.col("held"))).select(inner_id, outer_id).distinct()
 
 
-def linked_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str, floor: float = 0.30, vetoed: float = 69.0) -> DataFrame:
-    """(left id, right id, score) of records whose key words ``w`` share three words in a row.
-
-    The score is the keys' ``ratio``; if they share less than ``floor`` of the larger one's distinct words, at most ``vetoed``.
-    """
-    at = F.sequence(F.lit(0), F.size("w") - 3)
-    triples = F.when(F.size("w") >= 3, F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))).otherwise(F.array().cast("array<string>"))
-    grams = lambda df, i, name: df.select(i, F.col("w").alias(name), F.explode(triples).alias("gram"))
-    pairs = grams(left, left_id, "a").join(grams(right, right_id, "b"), "gram").select(left_id, right_id, "a", "b").distinct()
-    raw = ratio(F.array_join("a", " "), F.array_join("b", " "))
-    score = F.when(token_overlap(F.col("a"), F.col("b")) < floor, F.least(raw, F.lit(vetoed))).otherwise(raw)
-    return pairs.select(left_id, right_id, score.alias("score"))
-
-
 def overlapping(small: DataFrame, large: DataFrame, small_id: str, large_id: str, least: float, larger: bool = False) -> DataFrame:
     """(small id, large id, overlap) of rows whose distinct words ``t`` overlap by ``least`` of the small one's, or of the larger set's.
 

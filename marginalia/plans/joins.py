@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.operators import joins as J
+from marginalia.operators import matching as M
 from marginalia.plans.catalog import query
 from marginalia.sources.tables import table
 
@@ -132,39 +133,27 @@ def theta_substring_join(spark, sf):
 
 # The composite key of a record is its first ten words, folded; unlabelled records are compared with labelled ones if their keys share
 # three words in a row.
-_KEYED = r"""
-    WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñß', 'aaaaaaeeeeiiiiooooouuuucns'), '\s+'), lambda x: x <> '')[1:10] AS w FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
-    b AS (SELECT doc_id AS item_id, list_filter(regexp_split_to_array(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüçñß', 'aaaaaaeeeeiiiiooooouuuucns'), '\s+'), lambda x: x <> '')[1:10] AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
-    ga AS (SELECT doc_id, w, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM a),
-    gb AS (SELECT item_id, w, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM b),
-    p AS (SELECT DISTINCT doc_id, item_id, array_to_string(ga.w, ' ') AS t, array_to_string(gb.w, ' ') AS u, len(list_intersect(ga.w, gb.w)) / CAST(greatest(len(list_distinct(ga.w)), len(list_distinct(gb.w))) AS DOUBLE) AS overlap FROM ga JOIN gb USING (g)),
-    q AS (SELECT doc_id, item_id, round(100.0::DOUBLE * (1.0::DOUBLE - levenshtein(t, u) / CAST(greatest(length(t), length(u)) AS DOUBLE)), 6) AS raw, overlap FROM p),
-    v AS (SELECT doc_id, item_id, CASE WHEN overlap < 0.30 THEN least(raw, 69) ELSE raw END AS score FROM q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS r FROM v WHERE score >= 70)"""
-
-
 def _keyed(spark, sf, how):
-    words = F.slice(F.filter(F.split(X.folded(F.col("text")), r"\s+"), lambda x: x != ""), 1, 10)
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", how)
-    return docs.select("doc_id", words.alias("w"))
+    """Names and first ten words of records with a label (the known ones) or without; a name of src0 counts as unknown."""
+    first = F.regexp_extract("text", r"^\s*((?:\S+\s+){0,9}\S+)", 1)
+    words = F.filter(F.split(X.folded(first), r"\s+"), lambda x: x != "")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text").join(table(spark, sf, "labels").select("doc_id"), "doc_id", how)
+    return docs.select("doc_id", "source", "lang", F.when(F.col("source") != "src0", F.col("source")).alias("name"), F.array_join(words, " ").alias("text"))
 
 
-@query(_KEYED + " SELECT doc_id, item_id, score FROM r WHERE r = 1")
+@query()
 def blocked_fuzzy_join(spark, sf):
-    """Each record's best one among those of its block, if it scores 70 or more; few shared words veto a score."""
-    records = _keyed(spark, sf, "left_anti")
-    known = _keyed(spark, sf, "left_semi").groupBy("w").agg(F.min("doc_id").alias("item_id"))  # copies are one key
-    pairs = J.linked_keys(records.select("w", F.col("w").alias("key")).distinct(), known, "key", "item_id").where("score >= 70")
-    best = J.first_by(pairs, ["key"], F.desc("score"), F.col("item_id"))
-    return records.join(best, F.col("w") == F.col("key")).select("doc_id", "item_id", "score")
+    """Each record's best known one of its own source, if their first words score 70 or more."""
+    records = _keyed(spark, sf, "left_anti").select("doc_id", "source", F.col("text").alias("key"))
+    known = _keyed(spark, sf, "left_semi").select(F.col("doc_id").alias("item_id"), "source", F.col("text").alias("key"))
+    return M.best_matches(records, known, "doc_id", "item_id", on=["source"]).withColumn("score", F.round("score", 6))
 
 
-@query(_KEYED + """
-    SELECT a.doc_id, item_id, score, CASE WHEN score >= 85 THEN 'linked' WHEN score >= 70 THEN 'review' ELSE 'unlinked' END AS decision
-    FROM a LEFT JOIN (SELECT * FROM r WHERE r = 1) m ON m.doc_id = a.doc_id""")
+@query()
 def fuzzy_best_match(spark, sf):
-    joined = _keyed(spark, sf, "left_anti").select("doc_id").join(blocked_fuzzy_join(spark, sf), "doc_id", "left")
-    return joined.withColumn("decision", J.decision(F.coalesce("score", F.lit(0.0))))
+    """Every record with the known one that its name and first words are most like, over all of them, and what to do with it."""
+    known = _keyed(spark, sf, "left_semi").select(F.col("doc_id").alias("item_id"), "name", "text")
+    return M.linked(_keyed(spark, sf, "left_anti").select("doc_id", "name", "text"), known, "doc_id", "item_id")
 
 
 @query("""
@@ -257,20 +246,12 @@ def contamination_check(spark, sf):
     return pairs.groupBy("item_id").agg(F.count("*").alias("n"))
 
 
-@query("""
-    WITH q AS (SELECT unnest(['NATION_7', 'nation_1', 'NATIO_12', 'zzz']) AS q),
-    c AS (SELECT q, n_name, CASE WHEN lower(q) = lower(n_name) THEN 0 WHEN contains(lower(n_name), lower(q)) THEN 1
-        WHEN 100 * (1 - levenshtein(lower(q), lower(n_name)) / CAST(greatest(length(q), length(n_name)) AS DOUBLE)) >= 60 THEN 2 END AS tier,
-        levenshtein(lower(q), lower(n_name)) AS d FROM q CROSS JOIN nation),
-    r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, d, n_name) AS r FROM c WHERE tier IS NOT NULL)
-    SELECT q, n_name, tier FROM r WHERE r = 1""")
+@query()
 def resolve_dim_3tier(spark, sf):
-    """A few names against a small dimension: exact, then as a part, then by edit distance of at least 60."""
-    queries = ("NATION_7", "nation_1", "NATIO_12", "zzz")
-    named = table(spark, sf, "nation").select("n_name", F.explode(F.array(*(F.lit(q) for q in queries))).alias("q"))
-    a, b = F.lower("q"), F.lower("n_name")
-    tier = F.when(a == b, 0).when(b.contains(a), 1).when(J.ratio(a, b) >= 60, 2)
-    return J.first_by(named.select("q", "n_name", tier.alias("tier"), F.levenshtein(a, b).alias("d")).where("tier IS NOT NULL"), ["q"], F.col("tier"), F.col("d"), F.col("n_name")).drop("d")
+    """Every part's type as a hint for a nation or a brand: exact, then as a part, then by the best window, 60 at least."""
+    hints = table(spark, sf, "part").select(F.col("p_type").alias("q")).union(table(spark, sf, "customer").select(F.concat(F.lit("NATIO_"), F.col("c_nationkey").cast("string")))).distinct()
+    members = table(spark, sf, "nation").select(F.col("n_name").alias("name")).union(table(spark, sf, "part").select("p_brand").distinct())
+    return M.resolved(hints, members, "q", "name")
 
 
 # -- unions and dedup
