@@ -19,6 +19,13 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return ranked.where("_rank = 1").drop("_rank")
 
 
+def first_n(df: DataFrame, keys: Sequence[str], n: int, *order: Column, rank: str | None = None) -> DataFrame:
+    """The first n rows of each key in the given order, numbered from 1 in the column ``rank`` if it is named."""
+    ranked = df.withColumn(rank or "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int"))
+    kept = ranked.where(F.col(rank or "_rank") <= n)
+    return kept if rank else kept.drop("_rank")
+
+
 def union_first_wins(parts: Sequence[DataFrame], key: str, seq: str) -> DataFrame:
     """All parts, one row for each non-blank key: of the earliest part, and there the earliest row."""
     out = None

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.functions.vector import dot, unit
+from marginalia.operators import index as I
 from marginalia.operators import joins as J
 from marginalia.operators import retrieval as R
-from marginalia.plans.catalog import query
+from marginalia.plans.catalog import SQL, query
+from marginalia.sources.shared import new_path
 from marginalia.sources.tables import table
 
 TERMS = ("license", "the", "trash", "the")
@@ -199,3 +201,92 @@ def citation_list(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "source").join(cited.withColumn("_c", F.lit(True)), "source", "left")
     none = cited.agg((F.count_if(F.col("source").isin("src1", "src2", "src3")) == 0).alias("_none"))
     return rows.join(F.broadcast(none)).where(F.col("_c").isNotNull() | F.col("_none")).select("doc_id")
+
+
+# -- over a stored index
+
+
+def _index(spark, sf):
+    """An index of documents and embeddings, written to the shared folder and read back."""
+    path = new_path(spark, "index")
+    I.write(table(spark, sf, "documents"), "doc_id", X.tokens(F.col("text")), path, payload=["source", "lang", "n_chars"])
+    I.write_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", path)
+    return I.read(spark, path, "docs", "postings", "terms", "stats", "vectors", "cells")
+
+
+def _asked(spark, sf):
+    """The question of the other queries here, as tables: its terms, and the first vector."""
+    terms = spark.createDataFrame([(0, t) for t in TERMS], "query_id long, term string")
+    return terms, table(spark, sf, "embeddings").where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(SQL["bm25_topk"])
+def indexed_bm25_topk(spark, sf):
+    """As bm25_topk, from stored postings."""
+    found, _ = I.lexical(_index(spark, sf), _asked(spark, sf)[0], 20)
+    return found.select(F.col("key").alias("doc_id"), "score", "rank")
+
+
+def _weighed(index, fused, nudge):
+    """The records of a fused list with their payload and weights; the list is cut at CUT records for each question.
+
+    ``nudge`` is added before scores are rounded, so that halves go the same way however products came about.
+    """
+    cut = J.first_n(fused, ["query_id"], R.CUT, F.desc("score"), F.col("key"))
+    rows = index["docs"].join(cut, "key")
+    kind = F.when(F.col("source") == "src1", "reference").when(F.col("source") == "src2", "secondary").otherwise("primary")
+    soft = R.boosts(F.col("lang") == "en", F.col("source") == "src3")
+    level = F.when(F.col("n_chars") < 500, R.LEVEL_BOOST).otherwise(1.0)
+    return rows.select("query_id", F.col("key").alias("id"), "source", "lang", F.round(F.col("score") * soft * R.source_weight(kind) * level + nudge, 9).alias("score"))
+
+
+def _answers(index, terms, vectors, nudge=0.0):
+    lists = [I.lexical(index, terms, 20)[0], I.dense(index, vectors, 20)[0]]
+    best = J.first_by(_weighed(index, I.fused(lists), nudge), ["query_id", "source"], F.desc("score"), F.col("id"))
+    return J.first_n(best, ["query_id"], R.FUSED, F.desc("score"), F.col("id"), rank="rank")
+
+
+@query(SQL["hybrid_search"])
+def indexed_hybrid_search(spark, sf):
+    """As hybrid_search, from the stored index: no text is read for a question."""
+    return _answers(_index(spark, sf), *_asked(spark, sf)).drop("query_id")
+
+
+@query(r"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS t FROM documents),
+    s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t)) AS avgdl FROM t),
+    p AS (SELECT doc_id, len AS dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY 1, 2, 3),
+    i AS (SELECT term, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM p, s GROUP BY term, n),
+    q AS (SELECT query_id, term, count(*) AS times FROM (SELECT conv_id * 1000 + turn AS query_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM conversations WHERE role = 'user') GROUP BY 1, 2),
+    w AS (SELECT query_id, term, times * CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM i) ELSE idf END AS w FROM q JOIN i USING (term)),
+    b AS (SELECT query_id, doc_id AS id, round(sum(w * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM w JOIN p USING (term), s GROUP BY 1, 2),
+    v AS (SELECT c.conv_id * 1000 + c.turn AS query_id, e.embedding::DOUBLE[] AS q FROM conversations c JOIN embeddings e ON e.vec_id = c.conv_id WHERE role = 'user'),
+    d AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, v),
+    l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b WHERE score > 0 QUALIFY rank <= 20
+          UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM d WHERE score > 0 QUALIFY rank <= 20),
+    u AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2),
+    cut AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 40),
+    x AS (SELECT query_id, id, source, documents.lang, round(score * (CASE WHEN documents.lang = 'en' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN source = 'src3' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END)
+        * CASE source WHEN 'src1' THEN 0.3::DOUBLE WHEN 'src2' THEN 0.45::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN n_chars < 500 THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END + 1e-12::DOUBLE, 9) AS score
+      FROM cut JOIN documents ON doc_id = id),
+    g AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) = 1)
+    SELECT query_id, id, source, lang, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM g QUALIFY rank <= 20""")
+def batch_hybrid_search(spark, sf):
+    """Every user turn as a question, with its conversation's vector where there is one, in one plan over the stored index."""
+    turns = table(spark, sf, "conversations").where("role = 'user'").withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    terms = turns.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term"))
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
+    return _answers(_index(spark, sf), terms, turns.select("query_id", "conv_id").join(vectors, "conv_id"), 1e-12)
+
+
+@query("""
+    WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
+    SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10""")
+def vector_store_knn(spark, sf):
+    """The ten nearest of many vectors in a store of cells, exact."""
+    path = new_path(spark, "vectors")
+    vectors = table(spark, sf, "embeddings")
+    I.write_vectors(vectors, "vec_id", "embedding", path)
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found, _ = I.dense(I.read(spark, path, "vectors", "cells"), asked, 10, positive=False)
+    return found.select("query_id", F.col("key").alias("vec_id"), "score", "rank")
