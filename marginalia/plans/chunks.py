@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import chunks as C
 from marginalia.operators import joins as J
+from marginalia.operators import levels as L
+from marginalia.operators import order as O
 from marginalia.plans.catalog import query
 from marginalia.sources.tables import table
 
@@ -27,7 +29,11 @@ def chunk_verse(spark, sf):
     SELECT source, lang, doc_id AS first, array_to_string(w, chr(10)) AS text FROM (
       SELECT source, lang, doc_id, list(t) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w FROM {_S}) WHERE len(w) = 3""")
 def sliding_window_3(spark, sf):
-    return C.windows(_docs(spark, sf), ["source", "lang"], "doc_id", "t")
+    """Runs of three in blocks of places, so that a group of any size is spread over tasks."""
+    docs = _docs(spark, sf)
+    runs = O.neighbours(O.numbered(docs, ["source", "lang"], [F.col("doc_id").asc()], label="windows"), 3, "source", "lang", "doc_id", "t")
+    head = F.get("run", 0)
+    return runs.select(head["source"].alias("source"), head["lang"].alias("lang"), head["doc_id"].alias("first"), F.array_join(F.transform("run", lambda x: x["t"]), "\n").alias("text"))
 
 
 @query(f"""
@@ -166,3 +172,50 @@ def first_order(spark, sf):
     first = J.first_by(orders, ["o_custkey"], F.col("o_orderkey")).withColumnRenamed("o_orderkey", "f")
     buyers = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
     return buyers.join(first, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "f")
+
+
+_HEAD = "'[' || {0} || '] ' || n || ' records' || CASE WHEN n > 0 THEN ' || ' || t ELSE '' END"
+_NONE = "CAST([] AS VARCHAR[])"
+
+
+@query(f"""
+    WITH e AS (
+      SELECT doc_id AS anchor_id, source AS poet, lang AS volume, doc_id % 30 AS manuscript, CASE WHEN doc_id % 9 <> 0 THEN 1700 + doc_id % 30 * 13 END AS start,
+             1740 + doc_id % 30 * 13 AS fin, CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'poor' END AS genre,
+             CASE toxic WHEN 1 THEN ['harsh', 'strong'] WHEN 0 THEN ['calm'] ELSE {_NONE} END AS emotions, text, doc_id // 100 AS part
+      FROM documents LEFT JOIN labels USING (doc_id) WHERE trim(text) <> ''),
+    w AS (SELECT *, list(text) OVER (PARTITION BY poet, volume ORDER BY anchor_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM e),
+    two AS (SELECT *, count(*) OVER (PARTITION BY poet, volume) AS pv, count(*) OVER (PARTITION BY poet) AS p FROM e),
+    poem AS (SELECT poet, volume, part, count(*) AS n, string_agg(text, ' | ' ORDER BY anchor_id) AS t, arg_min(two, anchor_id) AS f FROM two WHERE pv > 1 GROUP BY 1, 2, 3),
+    ms AS (SELECT manuscript, part, count(*) AS n, string_agg(text, ' ||| ' ORDER BY anchor_id) AS t, min(anchor_id) AS f FROM e GROUP BY 1, 2),
+    poets AS (SELECT poet, part, count(*) AS n, string_agg(text, ' ||| ' ORDER BY anchor_id) AS t, arg_min(two, anchor_id) AS f FROM two WHERE p > 1 AND poet <> '' GROUP BY 1, 2),
+    eras AS (SELECT (start + fin) // 2 // 50 * 50 AS era, part, count(*) AS n, string_agg(text, ' ||| ' ORDER BY anchor_id) AS t, min(anchor_id) AS f FROM e WHERE start IS NOT NULL GROUP BY 1, 2),
+    genres AS (SELECT genre, manuscript, part, count(*) AS n, string_agg(text, ' ||| ' ORDER BY anchor_id) AS t, min(anchor_id) AS f FROM e WHERE genre <> '' GROUP BY 1, 2, 3),
+    felt AS (SELECT emotion, manuscript, part, count(*) AS n, string_agg(text, ' ||| ' ORDER BY anchor_id) AS t, min(anchor_id) AS f FROM (SELECT *, unnest(emotions) AS emotion FROM e) GROUP BY 1, 2, 3),
+    u AS (
+      SELECT 1 AS no, 'verse' AS level, '' AS label, anchor_id || '' AS base, 0 AS part, anchor_id, poet, manuscript, genre, emotions, 1 AS n, text FROM e
+      UNION ALL SELECT 2, 'group', poet || '::' || volume, anchor_id || '', 0, anchor_id, poet, manuscript, genre, emotions, 3, array_to_string(run, chr(10)) FROM w WHERE len(run) = 3
+      UNION ALL SELECT 3, 'poem', poet || '::' || volume, f.anchor_id || '', part, f.anchor_id, f.poet, f.manuscript, f.genre, f.emotions, n, t FROM poem
+      UNION ALL SELECT 4, 'manuscript', n_nationkey || '', n_nationkey || '', coalesce(part, 0), f, '', n_nationkey, '', {_NONE}, n, {_HEAD.format("n_name")}
+        FROM (SELECT n_nationkey, n_name, part, f, coalesce(n, 0) AS n, t FROM nation LEFT JOIN ms ON manuscript = n_nationkey)
+      UNION ALL SELECT 5, 'poet', poet, poet, part, f.anchor_id, poet, f.manuscript, '', {_NONE}, n, {_HEAD.format("poet")} FROM poets
+      UNION ALL SELECT 6, 'era', era || '_' || (era + 50), era || '_' || (era + 50), part, f, '', NULL, '', {_NONE}, n, {_HEAD.format("era || '_' || (era + 50)")} FROM eras
+      UNION ALL SELECT 7, 'genre', genre || '_' || manuscript, genre || '_' || manuscript, part, f, '', manuscript, genre, {_NONE}, n, {_HEAD.format("genre")} FROM genres
+      UNION ALL SELECT 8, 'emotion', emotion || '_' || manuscript, emotion || '_' || manuscript, part, f, '', manuscript, '', [emotion], n, {_HEAD.format("emotion")} FROM felt
+      UNION ALL SELECT 9, 'reference', 'item_' || item_id, 'item_' || item_id, 0, NULL, '', NULL, '', {_NONE}, 1, text FROM benchmark),
+    s AS (SELECT *, row_number() OVER (ORDER BY no, label, part, anchor_id NULLS FIRST) - 1 AS seq FROM u)
+    SELECT CAST(seq AS BIGINT) AS seq, CASE level WHEN 'reference' THEN base ELSE base || '__' || level || '__' || printf('%04d', seq) END AS chunk_id, level, CAST(part AS BIGINT) AS part, anchor_id, poet,
+           CAST(manuscript AS BIGINT) AS manuscript, genre, emotions, CAST(n AS BIGINT) AS n, text FROM s""")
+def chunk_levels(spark, sf):
+    """All nine levels with payload, whole text and one running number."""
+    id_ = F.col("doc_id")
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    nothing = F.array().cast("array<string>")
+    entries = table(spark, sf, "documents").join(labels, "doc_id", "left").select(
+        id_.alias("anchor_id"), F.col("source").alias("poet"), F.col("lang").alias("volume"), (id_ % 30).alias("manuscript"), F.when(id_ % 9 != 0, 1700 + id_ % 30 * 13).alias("start"),
+        (1740 + id_ % 30 * 13).alias("end"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("genre"),
+        F.when(F.col("toxic") == 1, F.array(F.lit("harsh"), F.lit("strong"))).when(F.col("toxic") == 0, F.array(F.lit("calm"))).otherwise(nothing).alias("emotions"), "text",
+    )
+    dims = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("manuscript"), F.col("n_name").alias("title"))
+    items = table(spark, sf, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("chunk_id"), "text")
+    return L.nine_levels(entries, dims, items)
