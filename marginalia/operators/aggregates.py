@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.sources.shared import stored
+
 
 def filled(c: str | Column) -> Column:
     """A trimmed text, null where nothing is left of it: '' and blanks count as missing."""
@@ -59,10 +61,51 @@ def ordered_text(df: DataFrame, keys: Sequence[str], seq: str, text: str, glue:
     return df.groupBy(*keys).agg(F.array_join(items, glue).alias("joined"))
 
 
-def upper_percentile(values: Column, share: float) -> Column:
-    """The element at ``min(int(n * share), n - 1)`` of the sorted values, without interpolation."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.least(F.floor(F.size(ordered) * F.lit(share)), F.size(ordered) - 1) + 1).cast("int"))
+#: Buckets of a histogram, and values of a bucket that are numbered in the end.
+BUCKETS, LEAF = 1024, 4096
+
+
+def upper_rank(share: float) -> Callable[[Column], Column]:
+    """The place ``min(int(n * share), n - 1)`` among n sorted values."""
+    return lambda n: F.least(F.floor(n * F.lit(share)), n - 1)
+
+
+def median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Each group's middle value, or what lies midway between the two middle ones, as ``selected`` finds them."""
+    low = selected(df, keys, value, lambda n: F.floor((n - 1) / 2), "_low")
+    high = selected(df, keys, value, lambda n: F.floor(n / 2), "_high").select(*(F.col(k).alias(f"_h{k}") for k in keys), "_high")
+    both = low.join(high, [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in keys])
+    return both.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * 0.5).alias(name))
+
+
+def selected(df: DataFrame, keys: Sequence[str], value: str, rank: Callable[[Column], Column], name: str) -> DataFrame:
+    """For each group the element at place ``rank`` (from 0, of the number of values) of its sorted values, exact and without sorting groups.
+
+    A histogram over the values' range tells the bucket that holds the rank; only that bucket's values go on to the next,
+    finer one, until it holds one value or at most ``LEAF``, which are numbered.  A histogram is added up before it is
+    shuffled, so that a group of any size is spread over tasks.  Nulls, NaN and infinities are left out; a group without
+    values gives no row; null keys are a group.
+    """
+    marks = [f"_k{i}" for i in range(len(keys))]
+    numbers = df.select(*(F.col(k).alias(m) for k, m in zip(keys, marks, strict=True)), F.col(value).cast("double").alias("_v")).where("_v < double('infinity') AND _v > double('-infinity')")
+    names = [f"_s{m}" for m in marks]
+    same = [F.col(m).eqNullSafe(F.col(n)) for m, n in zip(marks, names, strict=True)]
+    state = numbers.groupBy(*(F.col(m).alias(n) for m, n in zip(marks, names, strict=True))).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    state = stored(state.select(*names, "n", "lo", "hi", rank(F.col("n")).cast("long").alias("at")), "selected")
+    open_ = (F.col("lo") < F.col("hi")) & (F.col("n") > LEAF)
+    inside = (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
+    while not state.where(open_).isEmpty():
+        bucket = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+        held = numbers.join(state.where(open_), same).where(inside).groupBy(*names, "at", bucket.alias("_b")).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(*names).orderBy("_b"))  # BUCKETS rows at most
+        hit = held.withColumn("_upto", upto).where((F.col("_upto") > F.col("at")) & (F.col("_upto") - F.col("n") <= F.col("at")))
+        finer = hit.select(*names, "n", "lo", "hi", (F.col("at") - (F.col("_upto") - F.col("n"))).alias("at"))
+        state = stored(state.where(~open_).unionByName(finer), "selected")
+    single = state.where("lo = hi").select(*names, F.col("lo").alias(name))
+    few = numbers.join(state.where("lo < hi"), same).where(inside)
+    number = F.row_number().over(Window.partitionBy(*names).orderBy("_v")) - 1  # LEAF rows at most
+    found = few.withColumn("_n", number).where(F.col("_n") == F.col("at")).select(*names, F.col("_v").alias(name))
+    return single.unionByName(found).select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), name)
 
 
 def verdict(high: Column, medium: Column, low: Column) -> Column:

@@ -147,15 +147,16 @@ def format_variants(spark, sf):
     WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
     s AS (SELECT doc_id, len(l) AS lines, list_sum(list_transform(l, lambda x: length(x))) // greatest(len(l), 1) AS width FROM l WHERE len(l) >= 1),
     q AS (SELECT item_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS lines, length(trim(text)) AS width FROM benchmark WHERE trim(text) <> ''),
-    r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(s.width - q.width), doc_id) AS rank FROM q JOIN s ON q.lines = s.lines AND q.width // 50 = s.width // 50)
+    r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(s.width - q.width), doc_id) AS rank FROM q JOIN s ON q.lines = s.lines AND abs(s.width - q.width) <= 50)
     SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def similar_structures(spark, sf):
-    """Records with as many lines and lines of a like width, the three nearest in width."""
+    """Records with as many lines and a width within fifty characters, the three nearest in width."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     docs = table(spark, sf, "documents").select("doc_id", lines.alias("l")).where(F.size("l") >= 1)
     docs = docs.select("doc_id", F.size("l").alias("lines"), F.floor(F.aggregate("l", F.lit(0), lambda a, x: a + F.length(x)) / F.size("l")).alias("width"))
     items = table(spark, sf, "benchmark").where(F.trim("text") != "").select("item_id", F.size(lines).alias("lines"), F.length(F.trim("text")).alias("own"))
-    pairs = items.withColumn("band", F.floor(F.col("own") / 50)).join(docs.withColumn("band", F.floor(F.col("width") / 50)), ["lines", "band"])
+    bands = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("own") / 50) + k))  # an item meets the bands beside its own, too
+    pairs = items.withColumn("band", bands).join(docs.withColumn("band", F.floor(F.col("width") / 50)), ["lines", "band"]).where(F.abs(F.col("width") - F.col("own")) <= 50)
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.abs(F.col("width") - F.col("own")), "doc_id")).cast("int")
     return pairs.withColumn("rank", rank).where("rank <= 3").select("item_id", "doc_id", "rank")
 

@@ -1,5 +1,6 @@
 """Hand-computed values and plan shapes."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
@@ -67,9 +68,24 @@ def test_verdicts(spark):
     assert [r.v for r in rows.select(A.verdict(F.col("h"), F.col("m"), F.col("l")).alias("v")).collect()] == ["REVIEW", "FAIL", "PASS", "FAIL"]
 
 
-def test_upper_percentile_takes_an_element(spark):
-    assert spark.range(1, 21).agg(A.upper_percentile(F.col("id"), 0.95).alias("p")).first().p == 20
-    assert spark.range(1, 2).agg(A.upper_percentile(F.col("id"), 0.95).alias("p")).first().p == 1
+def test_selection_is_exact(spark, monkeypatch):
+    """Ties, skew, null keys and values that are no numbers, in buckets so small that they are refined."""
+    import random
+
+    monkeypatch.setattr(A, "LEAF", 3)
+    monkeypatch.setattr(A, "BUCKETS", 4)
+    rng = random.Random(1)
+    rows = [("hot", rng.choice([1.0, rng.random(), rng.gauss(0, 1e6)])) for _ in range(300)] + [(None, float(i)) for i in range(20)] + [("one", 7.5), ("none", None), ("none", float("nan")), ("inf", float("inf")), ("inf", -2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    groups = {}
+    for g, v in rows:
+        if v is not None and abs(v) < float("inf"):
+            groups.setdefault(g, []).append(v)
+    high = {r.g: r.p for r in A.selected(df, ["g"], "v", A.upper_rank(0.95), "p").collect()}
+    assert high == {g: sorted(v)[min(int(len(v) * 0.95), len(v) - 1)] for g, v in groups.items()}
+    middle = {r.g: r.p for r in A.median(df, ["g"], "v", "p").collect()}
+    assert middle == {g: pytest.approx((sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2) for g, v in groups.items()}
+    assert A.selected(df.limit(0), ["g"], "v", A.upper_rank(0.5), "p").collect() == []
 
 
 def test_vectors(spark):
