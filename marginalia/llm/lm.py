@@ -173,8 +173,9 @@ def _packed(x: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(x.T).tobytes(), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.uint32).reshape(KINDS_OF_TEXT, -1).T
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    """A block's own counts are uint32, the corpus's int64."""
+    return np.frombuffer(zstandard.decompress(data), kind).reshape(KINDS_OF_TEXT, -1).T
 
 
 def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
@@ -270,10 +271,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> pa.RecordBatch:
         hashes = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
         names, which = np.unique(hashes, return_inverse=True)
-        total = np.zeros((len(names), KINDS_OF_TEXT), np.uint32)
+        total = np.zeros((len(names), KINDS_OF_TEXT), np.int64)
         cuts = segment_starts(np.array([len(r[2]) // 8 for r in rows]))
         for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
-            total[which[a:b]] += _unpacked(r[3])  # a block's words are distinct
+            total[which[a:b]] += _unpacked(r[3], np.uint32)  # a block's words are distinct
         back = [_packed(total[which[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
         tokens = [total.sum(axis=0, dtype=np.int64).tolist()] + [[0] * KINDS_OF_TEXT] * (len(rows) - 1)
         types = [int(total.any(axis=1).sum())] + [0] * (len(rows) - 1)
@@ -411,9 +412,9 @@ def _score(batches: Iterator[pa.RecordBatch], model, kinds: list[int], ends: int
             hashes, ids = vocabulary(tokens)
             where = (hashes >> np.uint64(32)) * np.uint64(row["ranges"]) >> np.uint64(32)
             order = np.argsort(where, kind="stable")
-            by_kind = np.zeros((len(hashes), KINDS_OF_TEXT), np.uint32)
+            by_kind = np.zeros((len(hashes), KINDS_OF_TEXT), np.int64)
             if row["back"]:
-                by_kind[order] = np.concatenate([_unpacked(x["counts"]) for x in sorted(row["back"], key=lambda x: x["part"])])
+                by_kind[order] = np.concatenate([_unpacked(x["counts"], np.int64) for x in sorted(row["back"], key=lambda x: x["part"])])
             counts = by_kind.sum(axis=1, dtype=np.int64)
             sizes = np.array([len(t) for t in tokens], np.int64)
             begin = segment_starts(sizes)

@@ -669,3 +669,21 @@ def test_many_languages_in_one_text(spark):
     best, share = language.infer([mixed, texts[1].encode(), b""], model)
     assert [model.languages[best[0]], model.languages[best[1]], best[2]] == ["abcde", "fghij", -1]
     assert abs(share[0] - 1 / 3) < 0.03 and share[1] > 0.99 and share[2] == 0
+
+
+def test_lm_counts_beyond_32_bits():
+    """Blocks' counts of a word add up to more than an unsigned 32-bit integer holds."""
+    import numpy as np
+    import pyarrow as pa
+
+    from marginalia.llm import lm
+
+    words, most = np.array([5, 9], np.uint64), 3_000_000_000
+    counts = np.zeros((2, lm.KINDS_OF_TEXT), np.uint32)
+    counts[0, 0], counts[1, 1] = most, 7
+    rows = [(block, 0, words.tobytes(), lm._packed(counts)) for block in (1, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["block", "part", "slots", "counts"])
+    (out,) = lm._meet([batch])
+    assert np.sum(out.column("tokens").to_pylist(), 0).tolist() == [2 * most, 14, *[0] * (lm.KINDS_OF_TEXT - 2)]
+    for back in out.column("counts").to_pylist():
+        assert lm._unpacked(back, np.int64)[:, :2].tolist() == [[2 * most, 0], [0, 14]]
