@@ -110,7 +110,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>"
+SKETCH = "doc_id long, name long, n_shingles long, node binary, bands array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -123,9 +123,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int
             for i, k in zip(some, band_keys(signatures([sets[i] for i in some], bands * rows), bands, rows), strict=True):
                 keys[i] = k
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            batch.column("doc_id").cast(pa.int64()), batch.column("name"), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-        ], ["doc_id", "n_shingles", "node", "bands"])
+        ], ["doc_id", "name", "n_shingles", "node", "bands"])
 
 
 MEMBER = "node binary, shingles array<long>"
@@ -296,12 +296,13 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame | None:
     """``node, comp`` of the nodes in buckets with others; None if no bucket has two."""
     entries = _shared(nodes.select("node", F.explode("bands").alias("key")))
-    some = stored(entries.select("node").distinct().join(nodes.select("node", "rep", "n"), "node"), "near-some")
+    some = stored(entries.select("node").distinct().join(nodes.select("node", "home", "n"), "node"), "near-some")
     count = some.count()
     if not count:
         return None
-    texts = docs.select("doc_id", "text")
-    named = texts.join(sized(some.select("node", "rep"), count), texts["doc_id"].eqNullSafe(F.col("rep"))).select("node", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("name"))  # ids may be null or shared: a row goes by its text as well
+    homes = some.select("node", F.col("home.doc_id").alias("rep"), F.col("home.name").alias("called"))
+    named = texts.join(sized(homes, count), texts["doc_id"].eqNullSafe(F.col("rep")) & (F.col("name") == F.col("called"))).select("node", "text")
     sets = stored(named.mapInArrow(lambda it: _members(it, width), MEMBER).dropDuplicates(["node"]), "near-sets")
     labels = some.select("node", "n", F.col("node").alias("comp"))
     pairs = stored(_stars(entries.join(labels, "node"), percent), "near-pairs")
@@ -314,9 +315,9 @@ def _linked(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
 
 def _judged(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, n_shingles, node, comp, component_id`` for each row of ``docs``; the last three are null without shingles."""
-    sketch = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _sketch(it, width, bands, rows), SKETCH), "near-sketch")
+    sketch = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("name")).mapInArrow(lambda it: _sketch(it, width, bands, rows), SKETCH), "near-sketch")
     some = sketch.where("node IS NOT NULL")
-    nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-nodes")
+    nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), "name")).alias("home"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-nodes")
     labels = _linked(docs, nodes, width, percent)
     if labels is None:
         whole = nodes.select("node", F.col("node").alias("comp"), F.col("rep").alias("component_id"))

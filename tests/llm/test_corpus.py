@@ -687,3 +687,32 @@ def test_lm_counts_beyond_32_bits():
     assert np.sum(out.column("tokens").to_pylist(), 0).tolist() == [2 * most, 14, *[0] * (lm.KINDS_OF_TEXT - 2)]
     for back in out.column("counts").to_pylist():
         assert lm._unpacked(back, np.int64)[:, :2].tolist() == [[2 * most, 0], [0, 14]]
+
+
+def test_near_duplicates_without_ids_meet_their_own_text_only(spark):
+    """Near copies with null or shared ids: as many texts are made into sets as there are nodes, not their square."""
+    import random
+
+    from marginalia.llm import near
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = [" ".join([*base[:i], f"own{i}", *base[i + 1 :]]) for i in range(60)]
+    for ids in ([None] * 60, [7] * 60):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        seen = spark.sparkContext.accumulator(0)
+        real = near._members
+
+        def counted(it, width, real=real, seen=seen):
+            for batch in it:
+                seen.add(batch.num_rows)
+                yield from real([batch], width)
+
+        near._members = counted
+        try:
+            got = near.near_duplicates(docs, width=3, percent=85).collect()
+        finally:
+            near._members = real
+        assert len(got) == 60
+        assert len({r.component_id for r in got}) == 1
+        assert seen.value == 60
