@@ -1,11 +1,11 @@
 """LM scoring: online logistic context mixing over a text's bytes, giving its total bits.
 
-Each context (the last 3 and 4 bytes, the word so far) hashes to a row of 15 nodes for the next byte's first four bits, and
-with these to another for the last four; a node holds the odds of one bit after the bits before it.  All learning texts
-together fill the tables.  While a text is scored, a mixer weighs the
-contexts' predictions in the logistic domain: the bit's place in its byte is the gate that chooses the weights, and
-after every bit the chosen weights move along the error.  Weights start anew every ``SEGMENT`` bytes, contexts do not, so
-pieces of all texts are scored side by side, whatever their length.
+Contexts are the last 3 and 4 bytes and the word so far.  Counts of (context, next byte) pairs over all learning texts are
+kept exactly, in hash ranges whose number grows with the input: each block of texts sends its distinct pairs with its own
+counts there, and gets back, for each pair, the log odds of the byte's eight bits, each after the bits before it.  While a
+text is scored, a mixer weighs the contexts' predictions in the logistic domain: the bit's place in its byte is the gate that
+chooses the weights, and these move along the error after every few bytes (``steps``), from a text's beginning to its end
+without a break.  All texts of a group go side by side, a step at a time.
 
 That gives each token a probability, which is refined by the corpus's exact word counts.  Learning texts are told apart by
 their language into ``KINDS_OF_TEXT`` kinds; a text's kind is inferred, token by token, from how well the kinds' counts
@@ -13,8 +13,8 @@ explained the tokens before.  The mixer's and the counts' probability are added
 so far each of them explained.
 
 What is scored is the text's tokens: its words, A to Z lower-cased, with one blank between two, and an end.  The base is
-the smoothed unigram model of the same tokens.  Word counts meet by hash ranges: each block of texts sends its words'
-hashes and counts there and gets the corpus counts back in the same order, so no task holds the corpus vocabulary.
+the smoothed unigram model of the same tokens.  Words meet by hash ranges as pairs do, so no task, nor the driver, holds the
+corpus's words or contexts.
 """
 
 from __future__ import annotations
@@ -30,18 +30,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import chunks, id_remainder, segment_starts, stored, texts_of, words_of
+from marginalia.llm.common import chunks, id_remainder, segment_starts, stored, texts_of, tidy, words_of
 
-#: Contexts: so many last bytes each, and the word so far; bits of their tables' sizes.
-ORDERS, BITS = (3, 4), (20, 21, 24)
-#: A table is filled in so many parts (as bits), each by the contexts whose hash starts with its number.
-PARTS = 6
+#: Contexts: so many last bytes each (7 at most), and the word so far.
+ORDERS = (3, 4)
+#: Bits of a context's hash beyond those that count the input's bytes: at any size, one context in 1024 meets another.
+MARGIN, WIDEST = 10, 55
 #: What a node counts before it has seen a bit, for each value.
 PRIOR = 0.05
 #: Stretched probabilities are stored as bytes of this many to one unit.
 SCALE = 12.0
 START, RATE = 0.35, 0.01
-SEGMENT = 2048
+#: Bytes after which weights move, but for a text's first ones, where they move sooner.
+STEP = 16
 #: Log odds of a mistake that a bit may have at most, either way.
 SURE = 10.0
 #: Kinds of learning texts (by the hash of their language), a kind's part in its words' probability, and how much a token before counts.
@@ -51,72 +52,107 @@ HABIT = 6.0
 #: Bytes of text of one block, and of what is scored at once; input bytes for each hash range of words.
 BLOCK, SCORED, RANGE = 8 << 20, 1 << 20, 32 << 20
 #: Zero bytes before each text, as its contexts; one more ends it.
-LEAD = 4
+LEAD = 8
 
-POWERS = np.cumprod(np.array([1] + [0x2C1B3C6D] * 63, np.uint32), dtype=np.uint32)
-NIBBLE = np.array([[(1 << 4 | v) >> 4 - k for k in range(4)] for v in range(16)], np.int32)  # nodes before each bit of four
-SIGN = np.array([[1 - 2 * (b >> 7 - k & 1) for k in range(8)] for b in range(256)], np.int8)
-ODD = np.uint32(0x9E3779B1)
+POWERS = np.cumprod(np.array([1] + [0x9E3779B97F4A7C15] * 63, np.uint64), dtype=np.uint64)
+ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def canonical(text: bytes) -> bytes:
     return b" ".join(words_of(text))
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint32(16)) * np.uint32(0x85EBCA6B)
-    x = (x ^ x >> np.uint32(13)) * np.uint32(0xC2B2AE35)
-    return x ^ x >> np.uint32(16)
-
-
-def rows_of(context: np.ndarray, byte: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of (context, byte) pairs: for the first four bits and for the last; those of one context lie in one part."""
-    local = bits - 4 - PARTS
-    part = context >> np.uint32(32 - PARTS) << np.uint32(local)
-    first = part | context * ODD >> np.uint32(32 - local)
-    second = part | (context + ((byte >> 4).astype(np.uint32) + np.uint32(1)) * np.uint32(0x7FEB352D)) * ODD >> np.uint32(32 - local)
-    return first, second
-
-
-def slots_of(context: np.ndarray, byte: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of (context, byte) pairs' eight nodes."""
-    first, second = (r.astype(np.int32) << 4 for r in rows_of(context, byte, bits))
-    return np.concatenate((first[:, None] + NIBBLE[byte >> 4], second[:, None] + NIBBLE[byte & 15]), axis=1)
-
-
-def paths(table: np.ndarray) -> np.ndarray:
-    """For each row and value of four bits, the four nodes on the way: positive where they lean to the wrong bit."""
-    turned = table.reshape(-1, 16)[:, NIBBLE.ravel()] * SIGN[:16, 4:].ravel()
-    return np.ascontiguousarray(turned).view(np.uint32).ravel()
-
-
 class Stream:
-    """Texts end to end, each after ``LEAD`` zero bytes and before one, and the context of each byte that counts."""
+    """Texts end to end, each after ``LEAD`` zero bytes and before one, and the (context, byte) pair of each byte that counts."""
 
     def __init__(self, texts: list[bytes]):
         gap = bytes(LEAD)
         self.data = np.frombuffer(b"".join([x for t in texts for x in (gap, t, b"\0")]), np.uint8)
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        ends = np.cumsum(sizes + LEAD)
-        self.starts, self.sizes = ends - sizes, sizes
-        self.at = np.arange(int(ends[-1]) if len(ends) else 0)[np.repeat(np.tile([False, True], len(texts)), np.column_stack((np.full(len(texts), LEAD), sizes)).ravel())] if len(texts) else np.empty(0, np.int64)
+        self.sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        inside = np.column_stack((np.full(len(texts), LEAD), self.sizes)).ravel()
+        self.at = np.flatnonzero(np.repeat(np.tile([False, True], len(texts)), inside))
 
     def contexts(self) -> Iterator[np.ndarray]:
-        """Hash of each context, for every byte of the stream."""
-        data = self.data.astype(np.uint32)
+        """Each context of the bytes that count: the last bytes as a number, and a sum over the bytes of the word so far."""
+        if not len(self.at):
+            yield from (np.empty(0, np.uint64) for _ in range(len(ORDERS) + 1))
+            return
+        eight = np.ndarray((len(self.data) - LEAD,), "<u8", self.data, strides=(1,))[self.at - LEAD]
         for order in ORDERS:
-            before = np.zeros_like(data)
-            for k in range(order, 0, -1):
-                before[k:] += data[:-k]
-                before *= ODD
-            yield _spread(before)
-        # The word so far: a sum over its bytes, each times a power for its place in the word.
-        place = np.arange(len(data))
-        blank = np.maximum.accumulate(np.where(self.data <= 32, place, -1))
-        first = np.append(-1, blank[:-1]) + 1
-        sums = np.concatenate((np.zeros(1, np.uint32), np.cumsum(data * POWERS[(place - first) & 63], dtype=np.uint32)))
-        word = sums[:-1] - sums[first]
-        yield _spread(word)
+            yield eight >> np.uint64(64 - 8 * order)
+        place = np.arange(len(self.data), dtype=np.int32)
+        first = np.append(np.int32(0), np.maximum.accumulate(np.where(self.data <= 32, place + np.int32(1), np.int32(0)))[:-1])
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.data * POWERS[(place - first) & 63], dtype=np.uint64)))
+        yield sums[self.at] - sums[first[self.at]]
+
+    def pairs(self, width: int) -> Iterator[np.ndarray]:
+        """For each context its hash of ``width`` bits, and the byte in the lowest eight bits."""
+        byte = self.data[self.at].astype(np.uint64)
+        for context in self.contexts():
+            context = (context + np.uint64(1)) * ODD
+            context = (context ^ context >> np.uint64(32)) * ODD
+            yield context >> np.uint64(64 - width) << np.uint64(8) | byte
+
+
+def width_for(size: int) -> int:
+    """Bits of the contexts' hash for an input of so many bytes."""
+    return min(WIDEST, max(32, size.bit_length() + MARGIN))
+
+
+def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``SCORED`` bytes."""
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size + len(texts[to]) <= SCORED):
+            size += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
+def block_pairs(texts: list[bytes], train: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context the block's distinct pairs in order, and how often learning texts have each (perhaps never)."""
+    found: list[list] = [[] for _ in range(len(ORDERS) + 1)]
+    for a, b in groups(texts):
+        stream = Stream(texts[a:b])
+        learned = np.repeat(train[a:b], stream.sizes).astype(np.uint64)
+        for own, pairs in zip(found, stream.pairs(width), strict=True):
+            own.append(np.unique(pairs << np.uint64(1) | learned, return_counts=True))
+    out = []
+    for own in found:
+        keys = np.concatenate([np.empty(0, np.uint64), *(k for k, _ in own)])
+        counts = np.concatenate([np.empty(0, np.int64), *(n for _, n in own)]) * (keys & np.uint64(1)).astype(np.int64)
+        out.append(summed(keys >> np.uint64(1), counts))
+    return out
+
+
+def ranges_of(keys: np.ndarray, width: int, ranges: int) -> np.ndarray:
+    """The hash range of each pair; all pairs of a context share one, and ranges follow the pairs' order."""
+    return (keys >> np.uint64(width + 8 - 32)) * np.uint64(ranges) >> np.uint64(32)  # by the context's first 32 bits
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of all of them, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(flat.T).view(kind).ravel()
+
+
+def leanings(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each pair the log odds of a mistake in each bit of its byte, after the bits before; ``keys`` are distinct and in order."""
+    totals = []
+    for bits in range(9):
+        prefix = keys >> np.uint64(8 - bits)
+        new = np.append(True, prefix[1:] != prefix[:-1])
+        totals.append(np.add.reduceat(counts, np.flatnonzero(new))[np.cumsum(new) - 1].astype(float))
+    out = np.empty((len(keys), 8), np.int8)
+    for bit, (both, own) in enumerate(zip(totals, totals[1:], strict=False)):
+        out[:, bit] = np.clip(np.rint(np.log((both - own + PRIOR) / (own + PRIOR)) * SCALE), -127, 127)
+    return out
 
 
 class _Numbers(dict):
@@ -135,27 +171,7 @@ def vocabulary(tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 BLOCKS = "block long, doc_ids array<long>, train array<boolean>, sizes binary, texts binary, part int, slots binary, counts binary, kind int"
 NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
-TEXTS, WORDS, TABLES = 0, 1, 2
-
-
-class _Pairs:
-    """Counts of (context, byte) pairs, merged now and then."""
-
-    def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
-
-    def add(self, keys: np.ndarray) -> None:
-        found, counts = np.unique(keys, return_counts=True)
-        self.keys.append(found)
-        self.counts.append(counts)
-        self.size += len(found)
-        if len(self.keys) > 1 and self.size > 3 * len(self.keys[0]) + (1 << 20):
-            self.merged()
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = summed(np.concatenate([np.empty(0, np.uint64), *self.keys]), np.concatenate([np.empty(0, np.int64), *self.counts]))
-        self.keys, self.counts, self.size = [keys], [counts], len(keys)
-        return keys, counts
+TEXTS, WORDS, PAIRS = 0, 1, 2  # and from PAIRS on, one kind for each context
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +194,8 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind).reshape(KINDS_OF_TEXT, -1).T
 
 
-def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of texts; their words' hashes and learning counts by hash range; the task's counts of contexts and bytes."""
-    pairs = [_Pairs() for _ in BITS]
+def _count(batches: Iterator[pa.RecordBatch], ranges: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts; their words' hashes and their pairs, each with learning counts, by hash range."""
     task, number = TaskContext.get().partitionId(), 0
     for batch in chunks(batches, "text", BLOCK):
         texts = [canonical(t) for t in texts_of(batch.column("text"))]
@@ -202,68 +217,44 @@ def _count(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Record
             pick = order[cuts[r] : cuts[r + 1]]
             if len(pick):
                 yield _row(kind=WORDS, block=block, part=r, slots=hashes[pick].tobytes(), counts=_packed(counts[pick]))
-        group, size = [], 0
-        for text, learn in [*zip(texts, train, strict=True), (b"", None)]:
-            if group and (learn is None or size > 4 * SCORED):
-                stream = Stream(group)
-                for own, context in zip(pairs, stream.contexts(), strict=True):
-                    own.add(context[stream.at].astype(np.uint64) << np.uint64(8) | stream.data[stream.at])
-                group, size = [], 0
-            if learn:
-                group.append(text)
-                size += len(text)
-    for k, own in enumerate(pairs):
-        keys, counts = own.merged()
-        cuts = np.searchsorted(keys >> np.uint64(40 - PARTS), np.arange((1 << PARTS) + 1))
-        for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if b > a:
-                yield _row(kind=TABLES, block=k, part=part, slots=(keys[a:b] >> np.uint64(8)).astype(np.uint32).tobytes() + keys[a:b].astype(np.uint8).tobytes(), counts=counts[a:b].astype(np.uint32).tobytes())
-
-
-TABLE = "block long, part int, stretched binary"
+        for k, (keys, counts) in enumerate(block_pairs(texts, train, width)):
+            where = ranges_of(keys, width, ranges)
+            cuts = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(keys) else [], len(keys)).astype(int).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                gaps = np.diff(keys[a:b], prepend=np.uint64(0))
+                yield _row(kind=PAIRS + k, block=block, part=int(where[a]), slots=planes(gaps), counts=planes(counts[a:b]))
 
 
-class Slots:
-    """Bits seen at the slots of one part of a table: a fixed histogram."""
-
-    def __init__(self, part: int, bits: int):
-        self.bits, self.low, self.size = bits, part << bits - PARTS, 1 << bits - PARTS
-        self.seen = np.zeros(2 * self.size)
-
-    def add(self, context: np.ndarray, byte: np.ndarray, counts: np.ndarray) -> None:
-        code = (slots_of(context, byte, self.bits) - self.low) << 1 | (SIGN[byte] < 0)
-        self.seen += np.bincount(code.ravel(), np.repeat(counts, 8), 2 * self.size)
-
-    def stretched(self) -> np.ndarray:
-        """Bytes for the slots: the log odds of a one after the bits before."""
-        both = self.seen.reshape(-1, 2) + PRIOR
-        return np.clip(np.rint(np.log(both[:, 1] / both[:, 0]) * SCALE), -127, 127).astype(np.int8)
+BACK = "block long, part int, counts binary, tokens array<long>, types long"
+LEAN = "block long, kind int, part int, counts binary"
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of the prediction tables; rows come ordered by table and part."""
-    last, own = None, None
+def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the corpus's counts say of each block's pairs, a hash range of a context at a time; rows come ordered by both."""
+    rows: list[tuple] = []
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]], pa.int32()), pa.array([own.stretched().tobytes()], pa.binary())], ["block", "part", "stretched"])
+        keys = [np.cumsum(unplanes(r[3], np.uint64), dtype=np.uint64) for r in rows]
+        names, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(names), np.int64)
+        cuts = segment_starts(np.array([len(k) for k in keys])).tolist()
+        for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
+            total[which[a:b]] += unplanes(r[4], np.int64)  # a block's pairs are distinct
+        lean = leanings(names, total)
+        back = [planes(lean[which[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        cells = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array(back, pa.binary())]
+        return pa.RecordBatch.from_arrays(cells, ["block", "kind", "part", "counts"])
 
     for batch in batches:
-        for key, part, slots, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "slots", "counts")), strict=True):
-            if (key, part) != last:
-                if last is not None:
-                    yield done()
-                last, own = (key, part), Slots(part, BITS[key])
-            n = len(counts) // 4
-            context, byte, times = np.frombuffer(slots, np.uint32, n), np.frombuffer(slots, np.uint8, n, 4 * n), np.frombuffer(counts, np.uint32)
-            for a in range(0, n, 1 << 18):
-                own.add(context[a : a + (1 << 18)], byte[a : a + (1 << 18)], times[a : a + (1 << 18)])
-    if last is not None:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "part", "slots", "counts")), strict=True):
+            if rows and row[1:3] != rows[0][1:3]:
+                yield done()
+                rows = []
+            rows.append(row)
+    if rows:
         yield done()
 
 
-BACK = "block long, part int, counts binary, tokens array<long>, types long"
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Corpus counts of each block's words, a hash range at a time; rows come ordered by range."""
     rows: list[tuple] = []
@@ -290,52 +281,58 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def mix(texts: list[bytes], ways: list[np.ndarray], start: float = START, rate: float = RATE) -> np.ndarray:
-    """Natural log-probability of each byte of the texts (canonical), each text's end after it; ``ways`` are the tables' ``paths``."""
-    stream = Stream(texts)
-    pieces = -(-stream.sizes // SEGMENT)
-    owner = np.repeat(np.arange(len(texts)), pieces)
-    offset = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
-    begin = stream.starts[owner] + offset
-    length = np.minimum(SEGMENT, stream.sizes[owner] - offset)
-    order = np.argsort(-length, kind="stable")
-    begin, length = begin[order], length[order]
-    alive = np.searchsorted(-length, -np.arange(1, int(length.max()) + 1), side="right")
-    # All first bytes of the pieces, all second ones and so on: a step's inputs lie together.
-    at_ = np.concatenate([begin[:n] + t for t, n in enumerate(alive.tolist())])
-    byte = stream.data[at_]
-    high, low = (byte >> 4).astype(np.uint32), (byte & 15).astype(np.uint32)
-    inputs = []  # the weighted sum is the log odds of a mistake, and weights only ever go down along it
-    for way, context, bits in zip(ways, stream.contexts(), BITS, strict=True):
-        first, second = rows_of(context[at_], byte, bits)
-        both = np.empty((len(byte), 2), np.uint32)
-        way.take(first << np.uint32(4) | high, out=both[:, 0], mode="clip")
-        way.take(second << np.uint32(4) | low, out=both[:, 1], mode="clip")
-        inputs.append(both.view(np.int8).astype(np.float32))
-    weights = [np.full((len(begin), 8), start / SCALE, np.float32) for _ in ways]
-    odds, part = np.empty((len(begin), 8), np.float32), np.empty((len(begin), 8), np.float32)
+class Finder:
+    """Places of pairs among a block's distinct ones: a table by hash, and a search for those that share its slots."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, np.uint64(64 - max(10, len(keys).bit_length() + 2))
+        self.table = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.table[keys * ODD >> self.shift] = np.arange(len(keys), dtype=np.int32)
+
+    def places(self, pairs: np.ndarray) -> np.ndarray:
+        out = self.table[pairs * ODD >> self.shift]
+        other = np.flatnonzero(self.keys[out] != pairs)
+        out[other] = np.searchsorted(self.keys, pairs[other])
+        return out
+
+
+def steps(size: int) -> Iterator[tuple[int, int]]:
+    """From where to where weights stay: 1, 1, 2, 4 ... bytes, and then ``STEP`` at a time."""
+    at, more = 0, 1
+    while at < size:
+        yield at, at + more
+        at += more
+        more = min(STEP, at)
+
+
+def mix(sizes: np.ndarray, ways: list[np.ndarray], start: float = START, rate: float = RATE) -> np.ndarray:
+    """Natural log-probability of each byte of texts of so many bytes, laid end to end; ``ways`` has each context's leanings."""
+    total = int(sizes.sum())
+    order = np.argsort(-sizes, kind="stable")
+    begin, length = segment_starts(sizes)[order], sizes[order]
+    ways = [np.concatenate((w, np.zeros((1, 8), np.int8))).view(np.uint64).ravel() for w in ways]  # the last stands past a text's end
+    weights = [np.full((len(sizes), 1, 8), start / SCALE, np.float32) for _ in ways]  # along the log odds of a mistake
     down = np.float32(-rate / SCALE / SCALE)
-    logs = np.empty(len(byte))
-    to = 0
-    for n in alive.tolist():
-        at, to = to, to + n
-        d, m = odds[:n], part[:n]
-        np.multiply(inputs[0][at:to], weights[0][:n], out=d)
+    out = np.empty(total + 1)
+    for a, b in steps(int(length[0]) if len(length) else 0):
+        n = int(np.searchsorted(-length, -a, side="left"))  # texts that are longer than a
+        at = begin[:n, None] + np.arange(a, b)
+        if length[n - 1] < b:
+            at[np.arange(a, b) >= length[:n, None]] = total
+        inputs = [w[at].view(np.int8).reshape(n, b - a, 8).astype(np.float32) for w in ways]
+        d = inputs[0] * weights[0][:n]
         for x, w in zip(inputs[1:], weights[1:], strict=True):
-            np.multiply(x[at:to], w[:n], out=m)
-            d += m
+            d += x * w[:n]
         np.clip(d, -SURE, SURE, out=d)
         np.exp(d, out=d)
-        np.add(d, 1, out=m)
-        np.log(m.prod(axis=1), out=logs[at:to])
+        m = d + 1
+        out[at] = -np.log(m.prod(axis=2))
         d /= m
         d *= down
         for x, w in zip(inputs, weights, strict=True):
-            np.multiply(x[at:to], d, out=m)
-            w[:n] += m
-    out = np.empty(len(stream.data))
-    out[at_] = -logs
-    return out[stream.at]
+            x *= d
+            w[:n] += x.sum(axis=1, keepdims=True)
+    return out[:-1]
 
 
 def explained(counts: np.ndarray, tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -373,12 +370,13 @@ def refined(mixed: np.ndarray, counted: np.ndarray, begin: np.ndarray) -> np.nda
 RESULT = "doc_id long, train boolean, n_tokens long, n_known long, known_sum double, score double, bits_per_byte double"
 
 
-def _texts_scores(texts: list[bytes], counted: np.ndarray, sizes: np.ndarray, last: float, ways: list[np.ndarray]) -> np.ndarray:
+def _texts_scores(texts: list[bytes], counted: np.ndarray, sizes: np.ndarray, last: float, finders: list[Finder], leans: list[np.ndarray], width: int) -> np.ndarray:
     """Natural log-probability of each text; ``counted`` has its words' by their counts, ``last`` the end's.
 
     A token is a word with the blank or the end after it; a text without words is its end.
     """
-    logs = mix(texts, ways)
+    stream = Stream(texts)
+    logs = mix(stream.sizes, [lean[f.places(p)] for f, lean, p in zip(finders, leans, stream.pairs(width), strict=True)])
     ends = np.concatenate([np.frombuffer(t + b"\0", np.uint8) for t in texts])
     bounds = np.flatnonzero((ends == 32) | (ends == 0)) if b"\0" not in b"".join(texts) else _bounds(texts)
     mixed = np.add.reduceat(logs, np.append(0, bounds[:-1] + 1))
@@ -401,9 +399,8 @@ def _bounds(texts: list[bytes]) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, kinds: list[int], ends: int) -> Iterator[pa.RecordBatch]:
-    tables = [paths(t) for t in model.value]
-    for batch in batches:
+def _score(batches: Iterator[pa.RecordBatch], width: int, kinds: list[int], ends: int) -> Iterator[pa.RecordBatch]:
+    for batch in tidy(batches):
         for row in batch.to_pylist():
             cuts = segment_starts(np.frombuffer(row["sizes"], np.int64)).tolist()
             data = zstandard.decompress(row["texts"])
@@ -413,8 +410,13 @@ def _score(batches: Iterator[pa.RecordBatch], model, kinds: list[int], ends: int
             where = (hashes >> np.uint64(32)) * np.uint64(row["ranges"]) >> np.uint64(32)
             order = np.argsort(where, kind="stable")
             by_kind = np.zeros((len(hashes), KINDS_OF_TEXT), np.int64)
-            if row["back"]:
-                by_kind[order] = np.concatenate([_unpacked(x["counts"], np.int64) for x in sorted(row["back"], key=lambda x: x["part"])])
+            back: list[list[bytes]] = [[] for _ in range(PAIRS + len(ORDERS) + 1)]
+            for x in sorted(row["back"], key=lambda x: x["part"]):
+                back[x["kind"]].append(x["counts"])
+            if back[WORDS]:
+                by_kind[order] = np.concatenate([_unpacked(x, np.int64) for x in back[WORDS]])
+            finders = [Finder(keys) for keys, _ in block_pairs(texts, np.zeros(len(texts), bool), width)]
+            leans = [np.concatenate([unplanes(x, np.uint64) for x in own]).view(np.int8).reshape(-1, 8) for own in back[PAIRS:]]
             counts = by_kind.sum(axis=1, dtype=np.int64)
             sizes = np.array([len(t) for t in tokens], np.int64)
             begin = segment_starts(sizes)
@@ -426,15 +428,9 @@ def _score(batches: Iterator[pa.RecordBatch], model, kinds: list[int], ends: int
             every = np.array(kinds, float)
             last = np.log(ends / (ends + every.sum())) if ends else -1e4  # a text's end, and that it is none
             more = np.log(every.sum() / (ends + every.sum())) if every.any() else -1e4
-            at = 0
-            while at < len(texts):  # texts of about SCORED bytes at once
-                size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) <= SCORED):
-                    size += len(texts[to])
-                    to += 1
+            for at, to in groups(texts):
                 counted = explained(by_kind[ids[begin[at] : begin[to]]].astype(float), every, begin[at : to + 1] - begin[at]) + more
-                score[at:to] = _texts_scores(texts[at:to], counted, sizes[at:to], last, tables) / np.log(10)
-                at = to
+                score[at:to] = _texts_scores(texts[at:to], counted, sizes[at:to], last, finders, leans, width) / np.log(10)
             length = np.array([len(t) + 1 for t in texts])
             yield pa.RecordBatch.from_arrays([
                 pa.array(row["doc_ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(sizes + 1), pa.array(np.diff(sums)), pa.array(logs), pa.array(score), pa.array(-score * np.log2(10) / length),
@@ -445,30 +441,27 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for each row of ``docs``.
 
     Held out, and not learned from, are ids whose crc32 as text leaves ``held`` modulo ``modulus``; a null doc_id counts
-    as the text ''.  A null text is empty: one token, its end.  Without learning texts counts are 0 and the tables even.
+    as the text ''.  A null text is empty: one token, its end.  Without learning texts counts are 0 and predictions even.
     Repeated rows count each time; of other columns of ``docs`` only learning texts' ``lang``, if there is one, plays a part
     (null is a language of its own).  ``bits_per_byte`` is the score's bits for each
     byte of the text's tokens as they are scored, the end's included.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     kind = F.pmod(F.crc32(F.coalesce(F.col("lang").cast("string"), F.lit("")).cast("binary")), F.lit(KINDS_OF_TEXT)).cast("int") if "lang" in docs.columns else F.lit(0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", kind.alias("kind"), (id_remainder(F.col("doc_id"), modulus) != held).alias("train"))
     known = rows.agg(F.count_if("train").alias("ends"), F.sum(F.octet_length("text")).alias("bytes")).first()  # one end for each learning text
     ends, ranges = known.ends, max(64, -(-(known.bytes or 0) // RANGE))
-    counted = stored(rows.mapInArrow(lambda it: _count(it, ranges), BLOCKS), "lm-counts")
-    parts = counted.where(F.col("kind") == TABLES).select("block", "part", "slots", "counts").repartition("block", "part").sortWithinPartitions("block", "part")
-    tables = [np.zeros(1 << bits, np.int8) for bits in BITS]
-    for r in parts.mapInArrow(_tables, TABLE).collect():  # one byte for each slot: the tables' fixed size
-        tables[r.block][r.part << BITS[r.block] - PARTS :][: len(r.stretched)] = np.frombuffer(r.stretched, np.int8)
-    sent = spark.sparkContext.broadcast(tables)
+    width = width_for(known.bytes or 0)
+    counted = stored(rows.mapInArrow(lambda it: _count(it, ranges, width), BLOCKS), "lm-counts")
+    pairs = counted.where(F.col("kind") >= PAIRS).select("block", "kind", "part", "slots", "counts").repartition("kind", "part").sortWithinPartitions("kind", "part")
     words = counted.where(F.col("kind") == WORDS).select("block", "part", "slots", "counts").repartition("part").sortWithinPartitions("part")
     back = stored(words.mapInArrow(_meet, BACK), "lm-words")
     sums = back.agg(*(F.coalesce(F.sum(F.col("tokens")[k]), F.lit(0)).alias(f"n{k}") for k in range(KINDS_OF_TEXT)), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     kinds = list(sums)[:KINDS_OF_TEXT]
     total, types = sum(kinds) + ends, sums.v + (ends > 0)
-    lists = back.groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("back"))  # one entry for each hash range
+    met = back.select("block", F.lit(WORDS).alias("kind"), "part", "counts").unionByName(pairs.mapInArrow(_lean, LEAN))
+    lists = met.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("back"))  # one entry for each hash range
     blocks = counted.where(F.col("kind") == TEXTS).select("block", "doc_ids", "train", "sizes", "texts", F.lit(ranges).alias("ranges"))
-    scored = blocks.join(lists, "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, sent, kinds, ends), RESULT)
+    scored = blocks.join(lists, "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, width, kinds, ends), RESULT)
     bottom = F.log10(F.lit(float(total + types + 1)))
     end = F.log10(F.lit(float(ends + 1)))
     return scored.select(

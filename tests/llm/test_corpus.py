@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,59 +260,104 @@ def test_lm_base_and_counts_equal_brute_force(spark):
     assert lm.score(empty(spark)).count() == 0
 
 
-def filled_tables(text):
-    """Tables of one learning text."""
-    stream = lm.Stream([text])
-    out = []
-    for context, bits in zip(stream.contexts(), lm.BITS, strict=True):
-        c, byte = context[stream.at], stream.data[stream.at]
-        table = np.zeros(1 << bits, np.int8)
-        for part in np.unique(c >> np.uint32(32 - lm.PARTS)).tolist():
-            pick = c >> np.uint32(32 - lm.PARTS) == part
-            own = lm.Slots(part, bits)
-            own.add(c[pick], byte[pick], np.ones(pick.sum()))
-            table[own.low : own.low + own.size] = own.stretched()
-        out.append(table)
+def plain_contexts(text, i):
+    """The last bytes before the i-th byte, for each order, and the word so far."""
+    word = i
+    while word and text[word - 1] > 32:
+        word -= 1
+    return [*((o, (b"\0" * 8 + text[:i])[-o:]) for o in lm.ORDERS), ("word", text[word:i])]
+
+
+def plain_counts(texts):
+    out = collections.defaultdict(collections.Counter)
+    for t in texts:
+        for i, byte in enumerate(t + b"\0"):
+            for c in plain_contexts(t, i):
+                out[c][byte] += 1
     return out
 
 
-def plain_mixer(text, tables):
-    """Natural log-probability of each byte, bit by bit."""
-    stream = lm.Stream([text])
-    contexts = list(stream.contexts())
+def plain_leanings(seen, byte):
+    """Of each bit of a byte, as they are stored."""
     out = []
-    weights = None
-    for k, i in enumerate(stream.at.tolist()):
-        if k % lm.SEGMENT == 0:
-            weights = [[lm.START] * 8 for _ in tables]
-        byte, log = int(stream.data[i]), 0.0
-        rows = [lm.rows_of(c[i : i + 1], stream.data[i : i + 1], bits) for c, bits in zip(contexts, lm.BITS, strict=True)]
+    for bit in range(8):
+        own = sum(n for b, n in seen.items() if b >> 7 - bit == byte >> 7 - bit)
+        both = sum(n for b, n in seen.items() if b >> 8 - bit == byte >> 8 - bit)
+        out.append(max(-127, min(127, round(math.log((both - own + lm.PRIOR) / (own + lm.PRIOR)) * lm.SCALE))))
+    return out
+
+
+def plain_mixer(text, counts):
+    """Natural log-probability of each byte, bit by bit; weights move where a step ends."""
+    out, moves = [], {b for _, b in lm.steps(len(text) + 1)}
+    weights = [[lm.START] * 8 for _ in range(len(lm.ORDERS) + 1)]
+    change = [[0.0] * 8 for _ in weights]
+    for i, byte in enumerate(text + b"\0"):
+        if i in moves:
+            weights = [[w + c for w, c in zip(*both, strict=True)] for both in zip(weights, change, strict=True)]
+            change = [[0.0] * 8 for _ in weights]
+        xs = [[v / lm.SCALE for v in plain_leanings(counts.get(c, {}), byte)] for c in plain_contexts(text, i)]
+        log = 0.0
         for bit in range(8):
-            sign = 1 if byte >> 7 - bit & 1 else -1
-            node = (1 << bit % 4) | ((byte >> 4 if bit < 4 else byte & 15) >> 4 - bit % 4)
-            x = [float(t[int(r[bit // 4][0]) * 16 + node]) / lm.SCALE for t, r in zip(tables, rows, strict=True)]
-            odds = max(-lm.SURE, min(lm.SURE, sum(w[bit] * v for w, v in zip(weights, x, strict=True)) * sign))
-            p = 1 / (1 + math.exp(-odds))
-            log += math.log(p)
-            for w, v in zip(weights, x, strict=True):
-                w[bit] += lm.RATE * (1 - p) * sign * v
+            odds = max(-lm.SURE, min(lm.SURE, sum(w[bit] * x[bit] for w, x in zip(weights, xs, strict=True))))
+            wrong = 1 / (1 + math.exp(-odds))
+            log += math.log(1 - wrong)
+            for c, x in zip(change, xs, strict=True):
+                c[bit] -= lm.RATE * wrong * x[bit]
         out.append(log)
     return out
 
 
 def test_mixer_equals_a_plain_one_and_learns_online():
-    empty_ = [np.zeros(1 << b, np.int8) for b in lm.BITS]
-    even = lm.mix([b"abc", b""], [lm.paths(t) for t in empty_])
+    even = lm.mix(np.array([4, 1]), [np.zeros((5, 8), np.int8)])
     assert even == pytest.approx([-8 * math.log(2)] * 5, rel=1e-4)
-    learned = (words(400, 3) + " abab").encode()
-    tables = filled_tables(learned)
-    ways = [lm.paths(t) for t in tables]
-    probe = (words(500, 3) + " other words").encode()  # longer than a segment
-    assert len(probe) > lm.SEGMENT
-    got = lm.mix([b"x", probe], ways)
-    assert got[2:] == pytest.approx(plain_mixer(probe, tables), rel=2e-3, abs=2e-3)
-    assert got[2:].sum() > 0.5 * lm.mix([probe], [lm.paths(t) for t in empty_]).sum()
-    assert lm.mix([probe], ways, rate=0.05).sum() != lm.mix([probe], ways, rate=0.0).sum()
+    learned = [(words(400, 3) + " abab").encode(), b""]
+    texts = [b"x", (words(500, 3) + " other words " + "y" * 70).encode(), b"", b"a\0b"]
+    counts = plain_counts(learned)
+    ways = [[] for _ in range(len(lm.ORDERS) + 1)]
+    for t in texts:
+        for i, byte in enumerate(t + b"\0"):
+            for way, c in zip(ways, plain_contexts(t, i), strict=True):
+                way.append(plain_leanings(counts.get(c, {}), byte))
+    ways = [np.array(w, np.int8) for w in ways]
+    sizes = np.array([len(t) + 1 for t in texts])
+    got = lm.mix(sizes, ways)
+    assert got == pytest.approx([x for t in texts for x in plain_mixer(t, counts)], rel=2e-3, abs=2e-3)
+    assert got.sum() > 0.5 * -8 * math.log(2) * sizes.sum()
+    assert lm.mix(sizes, ways, rate=0.05).sum() != lm.mix(sizes, ways, rate=0.0).sum()
+    assert [*lm.steps(40)] == [(0, 1), (1, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, 48)]
+
+
+def test_pairs_meet_with_the_whole_corpus_counts():
+    """Three blocks' pairs through the hash ranges: each gets back what all learning texts together say."""
+    texts = [(words(60, 1) + " end").encode(), b"", words(60, 2).encode() + b" \xc3\xa9\0", words(300, 1).encode(), b"\xff" * 80]
+    train = np.array([True, True, False, True, True])
+    blocks, width, ranges = [[0, 1], [2, 3], [4]], lm.width_for(5000), 7
+    rows, sent = [], {}
+    for block, own in enumerate(blocks):
+        for k, (keys, counts) in enumerate(lm.block_pairs([texts[i] for i in own], train[own], width)):
+            sent[block, k] = keys
+            where = lm.ranges_of(keys, width, ranges)
+            assert where.tolist() == sorted(where.tolist()) and where.max() < ranges
+            assert len({(c, r) for c, r in zip((keys >> np.uint64(8)).tolist(), where.tolist(), strict=True)}) == len(set((keys >> np.uint64(8)).tolist()))
+            for r in range(ranges):
+                pick = where == r
+                if pick.any():
+                    rows.append((block, lm.PAIRS + k, r, lm.planes(np.diff(keys[pick], prepend=np.uint64(0))), lm.planes(counts[pick])))
+    rows.sort(key=lambda r: r[1:3])
+    cells = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)]
+    batch = pa.RecordBatch.from_arrays(cells, ["block", "kind", "part", "slots", "counts"])
+    back = sorted((r["block"], r["kind"], r["part"], r["counts"]) for out in lm._lean([batch.slice(0, 5), batch.slice(5)]) for r in out.to_pylist())
+    counts = plain_counts([t for t, learn in zip(texts, train, strict=True) if learn])
+    for block, own in enumerate(blocks):
+        mine = [texts[i] for i in own]
+        for k, pairs in enumerate(lm.Stream(mine).pairs(width)):
+            lean = np.concatenate([lm.unplanes(x, np.uint64) for b, kind, _, x in back if (b, kind) == (block, lm.PAIRS + k)]).view(np.int8).reshape(-1, 8)
+            places = lm.Finder(sent[block, k]).places(pairs)
+            assert sent[block, k][places].tolist() == pairs.tolist()
+            want = [plain_leanings(counts.get(plain_contexts(t, i)[k], {}), byte) for t in mine for i, byte in enumerate(t + b"\0")]
+            assert lean[places].tolist() == want
+    assert lm.width_for(1 << 30) > lm.width_for(1 << 20) and lm.width_for(1 << 60) == lm.WIDEST
 
 
 def test_refinement_adds_probabilities():
