@@ -42,7 +42,7 @@ PRIOR = 0.05
 SCALE = 12.0
 START, RATE = 0.35, 0.01
 #: Bytes after which weights move, but for a text's first ones, where they move sooner.
-STEP = 16
+STEP = 32
 #: Log odds of a mistake that a bit may have at most, either way.
 SURE = 10.0
 #: Kinds of learning texts (by the hash of their language), a kind's part in its words' probability, and how much a token before counts.
@@ -50,7 +50,7 @@ KINDS_OF_TEXT, OWN, TRUST = 8, 0.9, 0.7
 #: Tokens that the refinement's first, even weights count as.
 HABIT = 6.0
 #: Bytes of text of one block, and of what is scored at once; input bytes for each hash range of words.
-BLOCK, SCORED, RANGE = 8 << 20, 1 << 20, 32 << 20
+BLOCK, SCORED, RANGE = 8 << 20, 4 << 20, 32 << 20
 #: Zero bytes before each text, as its contexts; one more ends it.
 LEAD = 8
 
@@ -285,14 +285,18 @@ class Finder:
     """Places of pairs among a block's distinct ones: a table by hash, and a search for those that share its slots."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.shift = keys, np.uint64(64 - max(10, len(keys).bit_length() + 2))
+        self.shift = np.uint64(64 - max(10, len(keys).bit_length() + 3))
         self.table = np.zeros(1 << 64 - int(self.shift), np.int32)
-        self.table[keys * ODD >> self.shift] = np.arange(len(keys), dtype=np.int32)
+        slots, every = (keys * ODD >> self.shift).astype(np.int64), np.arange(len(keys), dtype=np.int32)
+        self.table[slots] = every
+        self.table[slots[self.table[slots] != every]] = -1
+        self.rest_at = np.flatnonzero(self.table[slots] < 0).astype(np.int32)
+        self.rest = keys[self.rest_at]
 
     def places(self, pairs: np.ndarray) -> np.ndarray:
-        out = self.table[pairs * ODD >> self.shift]
-        other = np.flatnonzero(self.keys[out] != pairs)
-        out[other] = np.searchsorted(self.keys, pairs[other])
+        out = self.table.take((pairs * ODD >> self.shift).view(np.int64))
+        shared = np.flatnonzero(out < 0)
+        out[shared] = self.rest_at[np.searchsorted(self.rest, pairs[shared])]
         return out
 
 
@@ -310,28 +314,30 @@ def mix(sizes: np.ndarray, ways: list[np.ndarray], start: float = START, rate: f
     total = int(sizes.sum())
     order = np.argsort(-sizes, kind="stable")
     begin, length = segment_starts(sizes)[order], sizes[order]
-    ways = [np.concatenate((w, np.zeros((1, 8), np.int8))).view(np.uint64).ravel() for w in ways]  # the last stands past a text's end
-    weights = [np.full((len(sizes), 1, 8), start / SCALE, np.float32) for _ in ways]  # along the log odds of a mistake
+    ways = [np.append(w.view(np.uint64).ravel(), np.uint64(0)) for w in ways]  # the last stands past a text's end
+    weights = [np.full(8 * len(sizes), start / SCALE, np.float32) for _ in ways]  # along the log odds of a mistake
     down = np.float32(-rate / SCALE / SCALE)
     out = np.empty(total + 1)
     for a, b in steps(int(length[0]) if len(length) else 0):
         n = int(np.searchsorted(-length, -a, side="left"))  # texts that are longer than a
-        at = begin[:n, None] + np.arange(a, b)
+        at = np.arange(a, b)[:, None] + begin[:n]  # the texts' bytes lie side by side
         if length[n - 1] < b:
-            at[np.arange(a, b) >= length[:n, None]] = total
-        inputs = [w[at].view(np.int8).reshape(n, b - a, 8).astype(np.float32) for w in ways]
-        d = inputs[0] * weights[0][:n]
+            at[np.arange(a, b)[:, None] >= length[:n]] = total
+        inputs = [w[at].view(np.int8).reshape(b - a, 8 * n).astype(np.float32) for w in ways]
+        d = inputs[0] * weights[0][: 8 * n]
         for x, w in zip(inputs[1:], weights[1:], strict=True):
-            d += x * w[:n]
+            d += x * w[: 8 * n]
         np.clip(d, -SURE, SURE, out=d)
         np.exp(d, out=d)
         m = d + 1
-        out[at] = -np.log(m.prod(axis=2))
         d /= m
         d *= down
+        while m.shape[1] > n:  # the product of each byte's eight
+            m = m[:, ::2] * m[:, 1::2]
+        out[at] = -np.log(m)
         for x, w in zip(inputs, weights, strict=True):
             x *= d
-            w[:n] += x.sum(axis=1, keepdims=True)
+            w[: 8 * n] += x.sum(axis=0)
     return out[:-1]
 
 
@@ -459,9 +465,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     kinds = list(sums)[:KINDS_OF_TEXT]
     total, types = sum(kinds) + ends, sums.v + (ends > 0)
     met = back.select("block", F.lit(WORDS).alias("kind"), "part", "counts").unionByName(pairs.mapInArrow(_lean, LEAN))
-    lists = met.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("back"))  # one entry for each hash range
+    lists = met.repartition(ranges, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("back"))  # one entry for each hash range
     blocks = counted.where(F.col("kind") == TEXTS).select("block", "doc_ids", "train", "sizes", "texts", F.lit(ranges).alias("ranges"))
-    scored = blocks.join(lists, "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, width, kinds, ends), RESULT)
+    scored = blocks.repartition(ranges, "block").join(lists, "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, width, kinds, ends), RESULT)
     bottom = F.log10(F.lit(float(total + types + 1)))
     end = F.log10(F.lit(float(ends + 1)))
     return scored.select(

@@ -325,7 +325,7 @@ def test_mixer_equals_a_plain_one_and_learns_online():
     assert got == pytest.approx([x for t in texts for x in plain_mixer(t, counts)], rel=2e-3, abs=2e-3)
     assert got.sum() > 0.5 * -8 * math.log(2) * sizes.sum()
     assert lm.mix(sizes, ways, rate=0.05).sum() != lm.mix(sizes, ways, rate=0.0).sum()
-    assert [*lm.steps(40)] == [(0, 1), (1, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, 48)]
+    assert [*lm.steps(40)] == [(0, 1), (1, 2), (2, 4), (4, 8), (8, 16), (16, 32), (32, 64)]
 
 
 def test_pairs_meet_with_the_whole_corpus_counts():
