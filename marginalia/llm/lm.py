@@ -51,6 +51,8 @@ KINDS_OF_TEXT, OWN, TRUST = 8, 0.9, 0.7
 HABIT = 6.0
 #: Bytes of text of one block, and of what is scored at once; input bytes for each hash range of words.
 BLOCK, SCORED, RANGE = 8 << 20, 4 << 20, 32 << 20
+#: Bytes of text whose pairs are made at once, to stay near the processor, and sorted at once.
+HASHED, SORTED = 1 << 16, 1 << 20
 #: Zero bytes before each text, as its contexts; one more ends it.
 LEAD = 8
 
@@ -77,21 +79,26 @@ class Stream:
         if not len(self.at):
             yield from (np.empty(0, np.uint64) for _ in range(len(ORDERS) + 1))
             return
-        eight = np.ndarray((len(self.data) - LEAD,), "<u8", self.data, strides=(1,))[self.at - LEAD]
+        eight = np.ascontiguousarray(np.ndarray((len(self.data) - LEAD,), "<u8", self.data, strides=(1,))).take(self.at - LEAD)
         for order in ORDERS:
             yield eight >> np.uint64(64 - 8 * order)
         place = np.arange(len(self.data), dtype=np.int32)
         first = np.append(np.int32(0), np.maximum.accumulate(np.where(self.data <= 32, place + np.int32(1), np.int32(0)))[:-1])
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.data * POWERS[(place - first) & 63], dtype=np.uint64)))
-        yield sums[self.at] - sums[first[self.at]]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.data * POWERS.take((place - first) & 63), dtype=np.uint64)))
+        yield (sums[:-1] - sums.take(first)).take(self.at)
 
     def pairs(self, width: int) -> Iterator[np.ndarray]:
         """For each context its hash of ``width`` bits, and the byte in the lowest eight bits."""
-        byte = self.data[self.at].astype(np.uint64)
-        for context in self.contexts():
-            context = (context + np.uint64(1)) * ODD
-            context = (context ^ context >> np.uint64(32)) * ODD
-            yield context >> np.uint64(64 - width) << np.uint64(8) | byte
+        byte = self.data.take(self.at).astype(np.uint64)
+        for x in self.contexts():
+            x += np.uint64(1)
+            x *= ODD
+            x ^= x >> np.uint64(32)
+            x *= ODD
+            x >>= np.uint64(64 - width)
+            x <<= np.uint64(8)
+            x |= byte
+            yield x
 
 
 def width_for(size: int) -> int:
@@ -99,12 +106,12 @@ def width_for(size: int) -> int:
     return min(WIDEST, max(32, size.bit_length() + MARGIN))
 
 
-def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``SCORED`` bytes."""
+def groups(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes."""
     at = 0
     while at < len(texts):
         size, to = 0, at
-        while to < len(texts) and (to == at or size + len(texts[to]) <= SCORED):
+        while to < len(texts) and (to == at or size + len(texts[to]) <= most):
             size += len(texts[to])
             to += 1
         yield at, to
@@ -114,11 +121,17 @@ def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 def block_pairs(texts: list[bytes], train: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context the block's distinct pairs in order, and how often learning texts have each (perhaps never)."""
     found: list[list] = [[] for _ in range(len(ORDERS) + 1)]
-    for a, b in groups(texts):
-        stream = Stream(texts[a:b])
-        learned = np.repeat(train[a:b], stream.sizes).astype(np.uint64)
-        for own, pairs in zip(found, stream.pairs(width), strict=True):
-            own.append(np.unique(pairs << np.uint64(1) | learned, return_counts=True))
+    for a, b in groups(texts, SORTED):
+        parts: list[list] = [[] for _ in found]
+        for c, d in groups(texts[a:b], HASHED):
+            stream = Stream(texts[a + c : a + d])
+            learned = np.repeat(train[a + c : a + d].astype(np.uint64), stream.sizes)
+            for own, pairs in zip(parts, stream.pairs(width), strict=True):
+                pairs <<= np.uint64(1)
+                pairs |= learned
+                own.append(pairs)
+        for own, part in zip(found, parts, strict=True):
+            own.append(np.unique(np.concatenate(part), return_counts=True))
     out = []
     for own in found:
         keys = np.concatenate([np.empty(0, np.uint64), *(k for k, _ in own)])
@@ -381,8 +394,15 @@ def _texts_scores(texts: list[bytes], counted: np.ndarray, sizes: np.ndarray, la
 
     A token is a word with the blank or the end after it; a text without words is its end.
     """
-    stream = Stream(texts)
-    logs = mix(stream.sizes, [lean[f.places(p)] for f, lean, p in zip(finders, leans, stream.pairs(width), strict=True)])
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    ways = [np.empty(int(lengths.sum()), np.uint64) for _ in leans]
+    at = 0
+    for a, b in groups(texts, HASHED):
+        to = at + int(lengths[a:b].sum())
+        for way, finder, lean, pairs in zip(ways, finders, leans, Stream(texts[a:b]).pairs(width), strict=True):
+            way[at:to] = lean.take(finder.places(pairs))
+        at = to
+    logs = mix(lengths, ways)
     ends = np.concatenate([np.frombuffer(t + b"\0", np.uint8) for t in texts])
     bounds = np.flatnonzero((ends == 32) | (ends == 0)) if b"\0" not in b"".join(texts) else _bounds(texts)
     mixed = np.add.reduceat(logs, np.append(0, bounds[:-1] + 1))
@@ -422,7 +442,7 @@ def _score(batches: Iterator[pa.RecordBatch], width: int, kinds: list[int], ends
             if back[WORDS]:
                 by_kind[order] = np.concatenate([_unpacked(x, np.int64) for x in back[WORDS]])
             finders = [Finder(keys) for keys, _ in block_pairs(texts, np.zeros(len(texts), bool), width)]
-            leans = [np.concatenate([unplanes(x, np.uint64) for x in own]).view(np.int8).reshape(-1, 8) for own in back[PAIRS:]]
+            leans = [np.concatenate([unplanes(x, np.uint64) for x in own]) for own in back[PAIRS:]]
             counts = by_kind.sum(axis=1, dtype=np.int64)
             sizes = np.array([len(t) for t in tokens], np.int64)
             begin = segment_starts(sizes)
@@ -434,8 +454,10 @@ def _score(batches: Iterator[pa.RecordBatch], width: int, kinds: list[int], ends
             every = np.array(kinds, float)
             last = np.log(ends / (ends + every.sum())) if ends else -1e4  # a text's end, and that it is none
             more = np.log(every.sum() / (ends + every.sum())) if every.any() else -1e4
-            for at, to in groups(texts):
-                counted = explained(by_kind[ids[begin[at] : begin[to]]].astype(float), every, begin[at : to + 1] - begin[at]) + more
+            for at, to in groups(texts, SCORED):
+                counted = np.concatenate([
+                    explained(by_kind[ids[begin[at + a] : begin[at + b]]].astype(float), every, begin[at + a : at + b + 1] - begin[at + a]) for a, b in groups(texts[at:to], HASHED)
+                ]) + more
                 score[at:to] = _texts_scores(texts[at:to], counted, sizes[at:to], last, finders, leans, width) / np.log(10)
             length = np.array([len(t) + 1 for t in texts])
             yield pa.RecordBatch.from_arrays([
