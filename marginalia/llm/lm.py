@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import chunks, id_remainder, segment_starts, stored, texts_of, tidy, words_of
+from marginalia.llm.common import chunks, give_back, id_remainder, segment_starts, stored, texts_of, tidy, words_of
 
 #: Contexts: so many last bytes each (7 at most), and the word so far.
 ORDERS = (3, 4)
@@ -323,11 +323,14 @@ def steps(size: int) -> Iterator[tuple[int, int]]:
 
 
 def mix(sizes: np.ndarray, ways: list[np.ndarray], start: float = START, rate: float = RATE) -> np.ndarray:
-    """Natural log-probability of each byte of texts of so many bytes, laid end to end; ``ways`` has each context's leanings."""
+    """Natural log-probability of each byte of texts of so many bytes, laid end to end.
+
+    ``ways`` has each context's leanings, and after the last byte's one more row of zeros, which stands past a text's end.
+    """
     total = int(sizes.sum())
     order = np.argsort(-sizes, kind="stable")
     begin, length = segment_starts(sizes)[order], sizes[order]
-    ways = [np.append(w.view(np.uint64).ravel(), np.uint64(0)) for w in ways]  # the last stands past a text's end
+    ways = [w.view(np.uint64).ravel() for w in ways]
     weights = [np.full(8 * len(sizes), start / SCALE, np.float32) for _ in ways]  # along the log odds of a mistake
     down = np.float32(-rate / SCALE / SCALE)
     out = np.empty(total + 1)
@@ -395,7 +398,7 @@ def _texts_scores(texts: list[bytes], counted: np.ndarray, sizes: np.ndarray, la
     A token is a word with the blank or the end after it; a text without words is its end.
     """
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    ways = [np.empty(int(lengths.sum()), np.uint64) for _ in leans]
+    ways = [np.zeros(int(lengths.sum()) + 1, np.uint64) for _ in leans]
     at = 0
     for a, b in groups(texts, HASHED):
         to = at + int(lengths[a:b].sum())
@@ -425,44 +428,50 @@ def _bounds(texts: list[bytes]) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
+def _block_scores(row: dict, width: int, kinds: list[int], ends: int) -> pa.RecordBatch:
+    cuts = segment_starts(np.frombuffer(row["sizes"], np.int64)).tolist()
+    data = zstandard.decompress(row["texts"])
+    texts = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    tokens = [t.split() for t in texts]
+    hashes, ids = vocabulary(tokens)
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    del tokens
+    where = (hashes >> np.uint64(32)) * np.uint64(row["ranges"]) >> np.uint64(32)
+    order = np.argsort(where, kind="stable")
+    by_kind = np.zeros((len(hashes), KINDS_OF_TEXT), np.int64)
+    back: list[list[bytes]] = [[] for _ in range(PAIRS + len(ORDERS) + 1)]
+    for x in sorted(row["back"], key=lambda x: x["part"]):
+        back[x["kind"]].append(x["counts"])
+    if back[WORDS]:
+        by_kind[order] = np.concatenate([_unpacked(x, np.int64) for x in back[WORDS]])
+    finders = [Finder(keys) for keys, _ in block_pairs(texts, np.zeros(len(texts), bool), width)]
+    leans = [np.concatenate([unplanes(x, np.uint64) for x in own]) for own in back[PAIRS:]]
+    counts = by_kind.sum(axis=1, dtype=np.int64)
+    begin = segment_starts(sizes)
+    own = np.append(np.log10(counts + 1.0)[ids], 0)
+    known = np.append((counts > 0)[ids], False)
+    sums = [np.concatenate(([0], np.cumsum(v)))[begin] for v in (known.astype(np.int64),)][0]
+    logs = np.array([own[a:b].sum() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)])
+    score = np.zeros(len(texts))
+    every = np.array(kinds, float)
+    last = np.log(ends / (ends + every.sum())) if ends else -1e4  # a text's end, and that it is none
+    more = np.log(every.sum() / (ends + every.sum())) if every.any() else -1e4
+    for at, to in groups(texts, SCORED):
+        counted = np.concatenate([
+            explained(by_kind[ids[begin[at + a] : begin[at + b]]].astype(float), every, begin[at + a : at + b + 1] - begin[at + a]) for a, b in groups(texts[at:to], HASHED)
+        ]) + more
+        score[at:to] = _texts_scores(texts[at:to], counted, sizes[at:to], last, finders, leans, width) / np.log(10)
+    length = np.array([len(t) + 1 for t in texts])
+    return pa.RecordBatch.from_arrays([
+        pa.array(row["doc_ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(sizes + 1), pa.array(np.diff(sums)), pa.array(logs), pa.array(score), pa.array(-score * np.log2(10) / length),
+    ], [x.split()[0] for x in RESULT.split(", ")])
+
+
 def _score(batches: Iterator[pa.RecordBatch], width: int, kinds: list[int], ends: int) -> Iterator[pa.RecordBatch]:
     for batch in tidy(batches):
-        for row in batch.to_pylist():
-            cuts = segment_starts(np.frombuffer(row["sizes"], np.int64)).tolist()
-            data = zstandard.decompress(row["texts"])
-            texts = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            tokens = [t.split() for t in texts]
-            hashes, ids = vocabulary(tokens)
-            where = (hashes >> np.uint64(32)) * np.uint64(row["ranges"]) >> np.uint64(32)
-            order = np.argsort(where, kind="stable")
-            by_kind = np.zeros((len(hashes), KINDS_OF_TEXT), np.int64)
-            back: list[list[bytes]] = [[] for _ in range(PAIRS + len(ORDERS) + 1)]
-            for x in sorted(row["back"], key=lambda x: x["part"]):
-                back[x["kind"]].append(x["counts"])
-            if back[WORDS]:
-                by_kind[order] = np.concatenate([_unpacked(x, np.int64) for x in back[WORDS]])
-            finders = [Finder(keys) for keys, _ in block_pairs(texts, np.zeros(len(texts), bool), width)]
-            leans = [np.concatenate([unplanes(x, np.uint64) for x in own]) for own in back[PAIRS:]]
-            counts = by_kind.sum(axis=1, dtype=np.int64)
-            sizes = np.array([len(t) for t in tokens], np.int64)
-            begin = segment_starts(sizes)
-            own = np.append(np.log10(counts + 1.0)[ids], 0)
-            known = np.append((counts > 0)[ids], False)
-            sums = [np.concatenate(([0], np.cumsum(v)))[begin] for v in (known.astype(np.int64),)][0]
-            logs = np.array([own[a:b].sum() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)])
-            score = np.zeros(len(texts))
-            every = np.array(kinds, float)
-            last = np.log(ends / (ends + every.sum())) if ends else -1e4  # a text's end, and that it is none
-            more = np.log(every.sum() / (ends + every.sum())) if every.any() else -1e4
-            for at, to in groups(texts, SCORED):
-                counted = np.concatenate([
-                    explained(by_kind[ids[begin[at + a] : begin[at + b]]].astype(float), every, begin[at + a : at + b + 1] - begin[at + a]) for a, b in groups(texts[at:to], HASHED)
-                ]) + more
-                score[at:to] = _texts_scores(texts[at:to], counted, sizes[at:to], last, finders, leans, width) / np.log(10)
-            length = np.array([len(t) + 1 for t in texts])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(row["doc_ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(sizes + 1), pa.array(np.diff(sums)), pa.array(logs), pa.array(score), pa.array(-score * np.log2(10) / length),
-            ], [x.split()[0] for x in RESULT.split(", ")])
+        for k in range(batch.num_rows):  # one block at a time is unpacked
+            yield _block_scores(batch.slice(k, 1).to_pylist()[0], width, kinds, ends)
+            give_back()
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:

@@ -309,7 +309,7 @@ def plain_mixer(text, counts):
 
 
 def test_mixer_equals_a_plain_one_and_learns_online():
-    even = lm.mix(np.array([4, 1]), [np.zeros((5, 8), np.int8)])
+    even = lm.mix(np.array([4, 1]), [np.zeros((6, 8), np.int8)])
     assert even == pytest.approx([-8 * math.log(2)] * 5, rel=1e-4)
     learned = [(words(400, 3) + " abab").encode(), b""]
     texts = [b"x", (words(500, 3) + " other words " + "y" * 70).encode(), b"", b"a\0b"]
@@ -319,7 +319,7 @@ def test_mixer_equals_a_plain_one_and_learns_online():
         for i, byte in enumerate(t + b"\0"):
             for way, c in zip(ways, plain_contexts(t, i), strict=True):
                 way.append(plain_leanings(counts.get(c, {}), byte))
-    ways = [np.array(w, np.int8) for w in ways]
+    ways = [np.array([*w, [0] * 8], np.int8) for w in ways]
     sizes = np.array([len(t) + 1 for t in texts])
     got = lm.mix(sizes, ways)
     assert got == pytest.approx([x for t in texts for x in plain_mixer(t, counts)], rel=2e-3, abs=2e-3)
