@@ -18,3 +18,9 @@ def norm(a: Column) -> Column:
 def unit(a: Column) -> Column:
     """A vector over its length; a zero vector stays."""
     return F.transform(a, lambda x: F.when(norm(a) > 0, x.cast("double") / norm(a)).otherwise(x.cast("double")))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Doubles rounded half away from zero; what rounds to nothing keeps its sign (-0.0), which ``round`` loses."""
+    scaled = x * F.lit(10.0**places)
+    return F.round(F.abs(scaled), 0) * F.signum(scaled) / F.lit(10.0**places)

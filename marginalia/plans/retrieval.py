@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.functions.vector import dot, unit
+from marginalia.functions.vector import dot, rounded, unit
 from marginalia.operators import index as I
 from marginalia.operators import joins as J
 from marginalia.operators import retrieval as R
@@ -189,7 +189,7 @@ def char_tfidf(spark, sf):
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5)) AS unit FROM embeddings")
 def l2_normalise(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(unit(F.col("embedding")), lambda x: F.round(x, 5)).alias("unit"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(unit(F.col("embedding")), lambda x: rounded(x, 5)).alias("unit"))
 
 
 @query("""
