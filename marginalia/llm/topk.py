@@ -243,18 +243,20 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     packed = queries.repartition(max(1, -(-n_queries // QUERIES))).mapInArrow(_pack_queries, QUERY_BLOCK).withColumn("q", F.monotonically_increasing_id())
     packed = stored(packed, "topk-query-blocks")
     groups = min(max(1, n_blocks), max(GROUPS, n_blocks // GROUP_BLOCKS))
-    sent = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     cut = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    pairs = cut.join(sent, ["group", "dim"])
+    sent = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = sent.join(cut.hint("merge"), ["group", "dim"])  # sent grows with both tables: never a broadcast; a group's few blocks are held
     firsts = stored(pairs.mapInArrow(lambda it: _first(it, k), FIRST), "topk-first")
     best = firsts.select("q", F.pmod("block", F.lit(GROUPS)).cast("int").alias("part"), "best")
     for whole in (False, True):
         keys = ["q"] if whole else ["q", "part"]
         best = best.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it, w=whole: _merge(it, k, w), BEST)
     cutoffs = stored(best.select("q", "best"), "topk-cutoffs")
-    worth = firsts.select("q", "block", "highest").join(cutoffs, "q").mapInArrow(lambda it: _worth(it, k), "q long, block long")
-    left = pairs.join(stored(worth, "topk-worth"), ["q", "block"])
-    found = left.join(cutoffs, "q").mapInArrow(lambda it: _second(it, k), FOUND)
+    worth = firsts.select("q", "block", "highest").join(cutoffs.hint("merge"), "q").mapInArrow(lambda it: _worth(it, k), "q long, block long")
+    wanted = worth.groupBy("q").agg(F.collect_list("block").alias("worth")).join(cutoffs.hint("merge"), "q")  # a query block's row: block numbers and cutoffs
+    some = packed.join(stored(wanted, "topk-worth").hint("merge"), "q")
+    again = some.withColumn("group", F.explode(F.array_distinct(F.transform("worth", lambda b: F.pmod(F.xxhash64(b), F.lit(groups)).cast("int")))))
+    found = again.join(cut.hint("merge"), ["group", "dim"]).where(F.array_contains("worth", F.col("block"))).drop("worth").mapInArrow(lambda it: _second(it, k), FOUND)
     order = Window.partitionBy("q", "q_place").orderBy(F.desc("score"), "vec_id", "block", "place")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -142,6 +142,14 @@ def test_search_is_exact(spark):
     assert topk.nearest(df.where("vec_id = 0")).count() == 0
 
 
+def test_search_broadcasts_no_blocks(spark, monkeypatch):
+    plans, stored = [], topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, label))
+    df = spark.createDataFrame([(i, [i / 7, 1.0 - i]) for i in range(120)], "vec_id long, embedding array<double>")
+    plans.append(topk.nearest(df)._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_search_counts_repeated_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [0.5])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r)[1:] for r in topk.nearest(df).collect()) == [(1, 0, 65536), (1, 0, 65536), (2, 1, 32768), (2, 1, 32768)]
