@@ -31,7 +31,7 @@ from marginalia.llm.common import chunks, segment_starts, stored
 CAPACITY = 4096
 END = 1
 SHARD, ISLANDS, EPOCHS = 2048, 2, 2
-POPULATION, GENERATIONS = 6, 6
+POPULATION, GENERATIONS = 8, 64
 FULL = 0.99
 #: Bytes of text that are encoded at once; word cores of a generation whose ids a worker keeps; cores encoded at once.
 PART, MEMO, BATCH = 4 << 20, 100_000, 8192

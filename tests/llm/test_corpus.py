@@ -116,6 +116,18 @@ def test_every_shard_evolves(spark):
     assert sum(r.children for r in rows) > 0 and sum(r.migrants for r in rows) > 0
 
 
+def test_evolution_goes_on_beyond_the_first_children():
+    """Pieces that fill bins badly: an epoch ends with fewer bins than six generations of six people gave, or fuller ones."""
+    import random
+
+    dice = random.Random(5)
+    for _ in range(3):
+        sizes = [dice.randrange(700, 2000) for _ in range(400)]
+        few, whole = (packing.evolve(sizes, 4096, 7, best_fit=True, **more) for more in ({"generations": 6}, {}))
+        rank = lambda island: (len(island.people[0].bins), -island.people[0].fitness(4096))
+        assert rank(whole) < rank(few) and sorted(i for b in whole.people[0].bins for i in b) == list(range(400))
+
+
 # -- search
 
 
