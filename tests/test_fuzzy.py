@@ -116,3 +116,22 @@ def test_nothing_to_compare():
     assert Z.best([], ["a"])[1].tolist() == []
     assert Z.best(["a", ""], [])[1].tolist() == [-1, -1]
     assert Z.best([""], ["", "a"])[1].tolist() == [-1]
+
+
+def test_windows_are_compared_only_where_a_pair_can_win(monkeypatch):
+    """The same matches in tiles of any size, and few of all windows are looked at."""
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    left, right = [text(rng.randrange(3, 14)) for _ in range(40)], [text(rng.randrange(3, 14)) for _ in range(120)]
+    spans, common = [], Z.common
+    monkeypatch.setattr(Z, "common", lambda p, i, *more: spans.append(len(i)) or common(p, i, *more))
+    score, which = Z.best(left, right, 70.0)
+    far = [(len(a), len(b)) for a in left for b in right if max(len(a), len(b)) >= 1.5 * min(len(a), len(b))]
+    assert sum(spans) < 0.5 * sum(n + m - 1 for n, m in far)
+    for tiles in ((7, 9), (40, 1), (1, 120)):
+        monkeypatch.setattr(Z, "LEFTS", tiles[0], raising=False)
+        monkeypatch.setattr(Z, "RIGHTS", tiles[1], raising=False)
+        assert all((x == y).all() for x, y in zip(Z.best(left, right, 70.0), (score, which), strict=True))
+    for k in range(0, 40, 8):
+        every = [weighted(left[k], r) for r in right]
+        assert score[k] == (pytest.approx(max(every)) if max(every) >= 70 else 0.0)
