@@ -33,8 +33,12 @@ END = 1
 SHARD, ISLANDS, EPOCHS = 2048, 2, 2
 POPULATION, GENERATIONS = 8, 64
 FULL = 0.99
+#: Tasks of islands at most.
+TASKS = 2000
+#: Bits of a bin's number beside what it has left.
+BIN, LOW = 32, (1 << 32) - 1
 #: Bytes of text that are encoded at once; word cores of a generation whose ids a worker keeps; cores encoded at once.
-PART, MEMO, BATCH = 4 << 20, 100_000, 8192
+PART, MEMO, BATCH = 4 << 20, 250_000, 8192
 #: A character that no other joins, and how many cores go between such marks in one text.
 MARK, JOINED = "|", 512
 #: Marks that follow a word of these last letters are apart from it for the tokenizer.
@@ -106,12 +110,15 @@ class Tokens:
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words end to end, and where each word's begin."""
         cores = pc.utf8_rtrim(words, characters=TAIL)
-        apart = pc.match_substring_regex(cores, LAST)
-        tails = pc.if_else(apart, pc.struct_field(pc.extract_regex(words, f"(?P<t>[{TAIL}]*)$"), 0), "")
-        units = np.empty((len(words), 2), np.int64)
-        for k, column in enumerate((pc.if_else(apart, cores, words), tails)):
+        marked = pc.indices_nonzero(pc.not_equal(cores, words))  # those with marks at the end, which are few
+        apart = marked.filter(pc.match_substring_regex(cores.take(marked), LAST))
+        tails = pc.struct_field(pc.extract_regex(words.take(apart), f"(?P<t>[{TAIL}]*)$"), 0)
+        mask = np.zeros(len(words), bool)
+        mask[apart.to_numpy()] = True
+        units = np.zeros((len(words), 2), np.int64)
+        for column, k, own in ((pc.if_else(pa.array(mask), cores, words), 0, slice(None)), (tails, 1, mask)):
             coded = column.dictionary_encode()
-            units[:, k] = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            units[own, k] = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         return _gathered(self.young.flat, self.young.begins, self.young.lengths, units.ravel(), 2)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -214,24 +221,25 @@ class Packing:
 
     def fitness(self, capacity: int) -> float:
         """Mean square of the bins' fill: of two packings with as many bins, the one with fuller ones is fitter."""
-        return sum((1 - x / capacity) ** 2 for x in self.left) / max(1, len(self.left))
+        return sum([(1 - x / capacity) ** 2 for x in self.left]) / max(1, len(self.left))
 
     def best_fit(self, order: list[int], sizes: list[int], capacity: int) -> None:
         """Put each piece into the bin it fits most tightly, or a new one."""
-        room = sorted((x, b) for b, x in enumerate(self.left))
+        bins, left = self.bins, self.left
+        room = sorted([x << BIN | b for b, x in enumerate(left)])  # what is left, then the bin's number
         for i in order:
             size = sizes[i]
-            at = bisect_left(room, (size, -1))
+            at = bisect_left(room, size << BIN)
             if at == len(room):
-                b = len(self.bins)
-                self.bins.append([i])
-                self.left.append(capacity - size)
+                b, rest = len(bins), capacity - size
+                bins.append([i])
+                left.append(rest)
             else:
-                _, b = room.pop(at)
-                self.bins[b].append(i)
-                self.left[b] -= size
-            if self.left[b]:
-                insort(room, (self.left[b], b))
+                b = room.pop(at) & LOW
+                bins[b].append(i)
+                rest = left[b] = left[b] - size
+            if rest:
+                insort(room, rest << BIN | b)
 
     def owners(self, n: int) -> list[int]:
         out = [-1] * n
@@ -360,10 +368,11 @@ def _close(batches: Iterator[pa.RecordBatch], capacity: int, level: int, last: b
             ], ["shard", "item", "sequence_id", "offset"])
 
 
-def evolved(shards: DataFrame, capacity: int) -> DataFrame:
+def evolved(shards: DataFrame, capacity: int, count: int = 1) -> DataFrame:
     """The last epoch's islands of each shard: ``elite``, its bins and fitness, and what happened on the way."""
     lengths = F.transform("items", lambda x: x["length"].cast("int"))
-    islands = shards.select("shard", lengths.alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")).repartition("shard", "island")
+    islands = shards.select("shard", lengths.alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
+    islands = islands.repartition(max(1, min(count * ISLANDS, TASKS)), "shard", "island")  # rows are small, but each is work
     out = islands.mapInArrow(lambda it: _island(it, capacity, 0), ISLAND)
     ring = Window.partitionBy("shard").orderBy("island")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -373,8 +382,8 @@ def evolved(shards: DataFrame, capacity: int) -> DataFrame:
     return out
 
 
-def _level(shards: DataFrame, capacity: int, level: int, last: bool) -> DataFrame:
-    best = evolved(shards, capacity).groupBy("shard").agg(F.min_by("elite", F.struct("bins", (-F.col("fitness")).alias("f"), "island")).alias("elite"))
+def _level(shards: DataFrame, capacity: int, level: int, last: bool, count: int) -> DataFrame:
+    best = evolved(shards, capacity, count).groupBy("shard").agg(F.min_by("elite", F.struct("bins", (-F.col("fitness")).alias("f"), "island")).alias("elite"))
     return shards.join(best, "shard").select("shard", "items", "elite").mapInArrow(lambda it: _close(it, capacity, level, last), PLACED)
 
 
@@ -389,7 +398,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     while True:
         count = shards.count()
         last = count <= 1 or level >= 15 or (before is not None and count > 0.7 * before)
-        placed = stored(_level(shards, capacity, level, last), "pack-level")
+        placed = stored(_level(shards, capacity, level, last, count), "pack-level")
         done = placed.where("sequence_id IS NOT NULL")
         out = done if out is None else out.union(done)
         if last:

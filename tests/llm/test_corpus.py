@@ -70,6 +70,26 @@ def test_packing_is_gapless_and_cuts_only_long_documents(spark):
     assert packing.pack(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_only_words_with_marks_are_cut(monkeypatch):
+    """The library's ids of whole texts, with a regular expression's work for few words; islands get a task each."""
+    seen, extract = [], packing.pc.extract_regex
+    monkeypatch.setattr(packing.pc, "extract_regex", lambda words, pattern: seen.append(len(words)) or extract(words, pattern))
+    texts = ["one two, three. one; FOUR! five?! ,;: ... x1. x|y, ü. \u00fcber, n'est. don't, it's", "plain words without marks " * 3, "", "a.b, c.!"]
+    tokens = packing.Tokens(tokenizer_path())
+    flat, cuts = tokens.ids(pa.array(texts))
+    for text, a, b in zip(texts, cuts, cuts[1:], strict=False):
+        assert flat[a:b].tolist() == [*tokens.tokenizer.encode(text, add_special_tokens=False).ids, packing.END]
+    assert sum(seen) < 14
+
+
+def test_islands_are_not_one_task(spark):
+    items = [(1, 0, 0, 1000 + k, 0, None) for k in range(5)]
+    shards = spark.createDataFrame([(k, items) for k in range(40)], packing.SHARDS)
+    first = packing.evolved(shards, 4096, 40)
+    assert len({r.shard for r in first.collect()}) == 40
+    assert "hashpartitioning(shard#" in (plan := first._jdf.queryExecution().toString()) and "REPARTITION_BY_NUM" in plan
+
+
 def test_packing_returns_the_ids(spark):
     rows = packing.pack(frame(spark, [words(50, 1)]), tokenizer_path(), with_ids=True).collect()
     assert zlib.crc32(rows[0].ids) == rows[0].ids_crc32
