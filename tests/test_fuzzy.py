@@ -135,3 +135,13 @@ def test_windows_are_compared_only_where_a_pair_can_win(monkeypatch):
     for k in range(0, 40, 8):
         every = [weighted(left[k], r) for r in right]
         assert score[k] == (pytest.approx(max(every)) if max(every) >= 70 else 0.0)
+
+
+def test_pairs_are_laid_out_in_tiles_of_bounded_size(monkeypatch):
+    """However many keys a group has, tables for pairs stay small."""
+    sizes, alike = [], Z.best_alike
+    monkeypatch.setattr(Z, "best_alike", lambda left, right, *more: sizes.append((len(left), len(right))) or alike(left, right, *more))
+    left, right = [f"a{k} b{k % 7}" for k in range(300)], [f"a{k} b{k % 7}" for k in range(1100)]
+    score, which = Z.best(left, right, 70.0)
+    assert max(n for n, _ in sizes) <= 256 and max(m for _, m in sizes) <= 1024
+    assert (score == 100).all() and which.tolist() == list(range(300))
