@@ -20,17 +20,17 @@ corpus's words or contexts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import chunks, give_back, id_remainder, segment_starts, stored, texts_of, tidy, words_of
+from marginalia.llm.common import chunks, give_back, id_remainder, segment_starts, stored, tidy, words_of
 
 #: Contexts: so many last bytes each (7 at most), and the word so far.
 ORDERS = (3, 4)
@@ -51,8 +51,10 @@ KINDS_OF_TEXT, OWN, TRUST = 8, 0.9, 0.7
 HABIT = 6.0
 #: Bytes of text of one block, and of what is scored at once; input bytes for each hash range of words.
 BLOCK, SCORED, RANGE = 8 << 20, 4 << 20, 32 << 20
-#: Bytes of text whose pairs are made at once, to stay near the processor, and sorted at once.
-HASHED, SORTED = 1 << 16, 1 << 20
+#: Bytes of text whose pairs are made at once, to stay near the processor, and counted at once.
+HASHED, COUNTED = 1 << 16, 1 << 20
+#: Compression of texts.
+CLOSE = 3
 #: Zero bytes before each text, as its contexts; one more ends it.
 LEAD = 8
 
@@ -64,6 +66,12 @@ def canonical(text: bytes) -> bytes:
     return b" ".join(words_of(text))
 
 
+def canonicals(column: pa.Array) -> list[bytes]:
+    """``canonical`` of each text; null is empty."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+    return pc.ascii_trim(pc.binary_join(words, " "), " ").cast(pa.binary()).to_pylist()  # outer white space leaves empty words
+
+
 class Stream:
     """Texts end to end, each after ``LEAD`` zero bytes and before one, and the (context, byte) pair of each byte that counts."""
 
@@ -118,26 +126,102 @@ def groups(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+class Places:
+    """Distinct pairs in the order in which they are met, and the place of each pair there; place 0 is no pair's.
+
+    Tables by hash, each smaller than the one before, hold places: a pair that finds its slot taken goes on to the next.  The
+    last one's slots change hands, so that a pair may get a second place, which ``summed`` and ``ordered`` put right.
+    """
+
+    NONE = np.uint64((1 << 64) - 1)
+
+    def __init__(self, bits: int = 16):
+        self.held, self.used = np.full(1 << 12, self.NONE, np.uint64), 1
+        self._open(bits)
+
+    def _open(self, bits: int) -> None:
+        factors = (ODD, POWERS[1], np.uint64(0xC2B2AE3D27D4EB4F))
+        self.bits = bits
+        self.tables = [(f, np.uint64(64 - b), np.zeros(1 << b, np.int32)) for f, b in zip(factors, (bits, bits - 2, bits - 4), strict=True)]
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self.held[1 : self.used]
+
+    def of(self, pairs: np.ndarray) -> np.ndarray:
+        out = left = None
+        for factor, shift, table in self.tables:
+            own = pairs if left is None else pairs[left]
+            found = table.take((own * factor >> shift).view(np.int64))
+            other = np.flatnonzero(self.held.take(found) != own)
+            if left is None:
+                out, left = found, other
+            else:
+                out[left] = found
+                left = left[other]
+            if not len(left):
+                return out
+        fresh, back = np.unique(pairs[left], return_inverse=True)
+        out[left] = (self.used + back).astype(np.int32)
+        self._add(fresh)
+        return out
+
+    def _add(self, fresh: np.ndarray) -> None:
+        at = np.arange(self.used, self.used + len(fresh), dtype=np.int32)
+        self.used += len(fresh)
+        if self.used > len(self.held):
+            self.held = np.concatenate((self.held, np.full(max(self.used, 2 * len(self.held)) - len(self.held), self.NONE)))
+        self.held[at] = fresh
+        if self.used > 1 << self.bits:
+            self._open(self.bits + 2)
+            fresh, at = self.keys, np.arange(1, self.used, dtype=np.int32)
+        for k, (factor, shift, table) in enumerate(self.tables):
+            slots = (fresh * factor >> shift).view(np.int64)
+            free = slice(None) if k + 1 == len(self.tables) else np.flatnonzero(table.take(slots) == 0)
+            table[slots[free]] = at[free]
+            rest = table.take(slots) != at
+            fresh, at = fresh[rest], at[rest]
+
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs in order, and for each place which of them it is, counted from 1; place 0 is 0."""
+        order = np.argsort(self.keys)
+        keys = self.keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        which = np.zeros(self.used, np.int32)
+        which[1:][order] = np.cumsum(new)
+        return keys[new], which
+
+
+def block_places(texts: list[bytes], width: int) -> tuple[list[Places], list[np.ndarray]]:
+    """For each context the block's pairs, and the place of each byte's, ends included; one more stands past the end."""
+    known = [Places() for _ in range(len(ORDERS) + 1)]
+    places = [np.zeros(sum(len(t) + 1 for t in texts) + 1, np.int32) for _ in known]
+    at = 0
+    for a, b in groups(texts, HASHED):
+        stream = Stream(texts[a:b])
+        to = at + int(stream.sizes.sum())
+        for own, out, pairs in zip(known, places, stream.pairs(width), strict=True):
+            out[at:to] = own.of(pairs)
+        at = to
+    return known, places
+
+
 def block_pairs(texts: list[bytes], train: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context the block's distinct pairs in order, and how often learning texts have each (perhaps never)."""
-    found: list[list] = [[] for _ in range(len(ORDERS) + 1)]
-    for a, b in groups(texts, SORTED):
-        parts: list[list] = [[] for _ in found]
+    known = [Places() for _ in range(len(ORDERS) + 1)]
+    totals = [np.zeros(1, np.int64) for _ in known]
+    for a, b in groups(texts, COUNTED):
+        met: list[list] = [[] for _ in known]
         for c, d in groups(texts[a:b], HASHED):
             stream = Stream(texts[a + c : a + d])
-            learned = np.repeat(train[a + c : a + d].astype(np.uint64), stream.sizes)
-            for own, pairs in zip(parts, stream.pairs(width), strict=True):
-                pairs <<= np.uint64(1)
-                pairs |= learned
-                own.append(pairs)
-        for own, part in zip(found, parts, strict=True):
-            own.append(np.unique(np.concatenate(part), return_counts=True))
-    out = []
-    for own in found:
-        keys = np.concatenate([np.empty(0, np.uint64), *(k for k, _ in own)])
-        counts = np.concatenate([np.empty(0, np.int64), *(n for _, n in own)]) * (keys & np.uint64(1)).astype(np.int64)
-        out.append(summed(keys >> np.uint64(1), counts))
-    return out
+            learned = np.repeat(train[a + c : a + d], stream.sizes)
+            for own, parts, pairs in zip(known, met, stream.pairs(width), strict=True):
+                parts.append(own.of(pairs)[learned])
+        for k, parts in enumerate(met):
+            counts = np.bincount(np.concatenate(parts), minlength=known[k].used)
+            counts[: len(totals[k])] += totals[k]
+            totals[k] = counts
+    return [summed(own.keys, np.append(counts, np.zeros(own.used - len(counts), np.int64))[1:]) for own, counts in zip(known, totals, strict=True)]
 
 
 def ranges_of(keys: np.ndarray, width: int, ranges: int) -> np.ndarray:
@@ -168,17 +252,36 @@ def leanings(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = len(self)
-        return out
+def _said(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bits of each pair's byte stand after what the pair before has, too, so that its leaning tells this one's; and 1 or -1 by bit."""
+    other = np.append(~np.uint64(0), keys[1:] ^ keys[:-1])[: len(keys)]
+    said = np.stack([other >> np.uint64(8 - bit) == 0 for bit in range(8)], axis=1)
+    return said, (np.unpackbits((keys & np.uint64(255)).astype(np.uint8)[:, None], axis=1).view(np.int8) * 2 - 1).astype(np.int8)
+
+
+def brief(keys: np.ndarray, lean: np.ndarray) -> bytes:
+    """Leanings of pairs in order, without what the pair before says already."""
+    said, sign = _said(keys)
+    one = lean * sign  # the bit's log odds, not those of a mistake
+    one[1:] -= one[:-1] * said[1:]
+    return planes((one * sign).view(np.uint64).ravel())
+
+
+def unbrief(keys: np.ndarray, data: bytes) -> np.ndarray:
+    said, sign = _said(keys)
+    step = unplanes(data, np.uint64).view(np.int8).reshape(-1, 8) * sign
+    sums = np.cumsum(step, axis=0, dtype=np.int8)
+    first = np.maximum.accumulate(np.where(said, np.int32(0), np.arange(len(keys), dtype=np.int32)[:, None]), axis=0)
+    one = sums - np.take_along_axis(sums - step, first, axis=0)  # modulo 256, as int8 goes round
+    return (one * sign).view(np.uint64).ravel()
 
 
-def vocabulary(tokens: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct words, in order of first use, and each token's number."""
-    numbers = _Numbers()
-    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(tokens)), np.int64, sum(map(len, tokens)))
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers)), ids
+def vocabulary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of canonical texts, in order of first use, each token's number, and each text's tokens."""
+    sizes = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+    words = pc.split_pattern(pa.array([t for t in texts if t], pa.binary()), b" ").flatten().dictionary_encode()
+    hashes = np.array(list(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist())), np.uint64)
+    return hashes, words.indices.to_numpy().astype(np.int64), sizes
 
 
 BLOCKS = "block long, doc_ids array<long>, train array<boolean>, sizes binary, texts binary, part int, slots binary, counts binary, kind int"
@@ -199,37 +302,34 @@ def _row(**cells) -> pa.RecordBatch:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x.T).tobytes(), 1)
+    return planes(np.ascontiguousarray(x.T).ravel())
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
     """A block's own counts are uint32, the corpus's int64."""
-    return np.frombuffer(zstandard.decompress(data), kind).reshape(KINDS_OF_TEXT, -1).T
+    return unplanes(data, kind).reshape(KINDS_OF_TEXT, -1).T
 
 
 def _count(batches: Iterator[pa.RecordBatch], ranges: int, width: int) -> Iterator[pa.RecordBatch]:
     """Blocks of texts; their words' hashes and their pairs, each with learning counts, by hash range."""
     task, number = TaskContext.get().partitionId(), 0
     for batch in chunks(batches, "text", BLOCK):
-        texts = [canonical(t) for t in texts_of(batch.column("text"))]
+        texts = canonicals(batch.column("text"))
         train = np.asarray(batch.column("train"), bool)
         ids = batch.column("doc_id").to_pylist()
-        tokens = [t.split() for t in texts]
-        hashes, numbers = vocabulary(tokens)
-        lengths = [len(t) for t in tokens]
+        hashes, numbers, lengths = vocabulary(texts)
         learned = np.repeat(train, lengths)
         own = np.repeat(batch.column("kind").to_numpy(), lengths)[learned]
         counts = np.bincount(numbers[learned] * KINDS_OF_TEXT + own, minlength=len(hashes) * KINDS_OF_TEXT).astype(np.uint32).reshape(-1, KINDS_OF_TEXT)
         block, number = task << 32 | number, number + 1  # what is written is read by all, so the name stays the block's
         lengths = np.array([len(t) for t in texts], np.int64)
-        yield _row(kind=TEXTS, block=block, doc_ids=ids, train=train.tolist(), sizes=lengths.tobytes(), texts=zstandard.compress(b"".join(texts), 1))
-        where = (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-        order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], np.arange(ranges + 1))
+        yield _row(kind=TEXTS, block=block, doc_ids=ids, train=train.tolist(), sizes=lengths.tobytes(), texts=zstandard.compress(b"".join(texts), CLOSE))
+        order = np.argsort(hashes, kind="stable")
+        cuts = np.searchsorted((hashes[order] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
         for r in range(ranges):
             pick = order[cuts[r] : cuts[r + 1]]
             if len(pick):
-                yield _row(kind=WORDS, block=block, part=r, slots=hashes[pick].tobytes(), counts=_packed(counts[pick]))
+                yield _row(kind=WORDS, block=block, part=r, slots=planes(np.diff(hashes[pick], prepend=np.uint64(0))), counts=_packed(counts[pick]))
         for k, (keys, counts) in enumerate(block_pairs(texts, train, width)):
             where = ranges_of(keys, width, ranges)
             cuts = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(keys) else [], len(keys)).astype(int).tolist()
@@ -242,8 +342,11 @@ BACK = "block long, part int, counts binary, tokens array<long>, types long"
 LEAN = "block long, kind int, part int, counts binary"
 
 
-def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the corpus's counts say of each block's pairs, a hash range of a context at a time; rows come ordered by both."""
+def _lean(batches: Iterator[pa.RecordBatch], short: bool = False) -> Iterator[pa.RecordBatch]:
+    """What the corpus's counts say of each block's pairs, a hash range of a context at a time; rows come ordered by both.
+
+    ``short``: as ``brief`` gives them.
+    """
     rows: list[tuple] = []
 
     def done() -> pa.RecordBatch:
@@ -254,7 +357,7 @@ def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
             total[which[a:b]] += unplanes(r[4], np.int64)  # a block's pairs are distinct
         lean = leanings(names, total)
-        back = [planes(lean[which[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        back = [brief(k, lean[which[a:b]]) if short else planes(lean[which[a:b]]) for k, a, b in zip(keys, cuts, cuts[1:], strict=False)]
         cells = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array(back, pa.binary())]
         return pa.RecordBatch.from_arrays(cells, ["block", "kind", "part", "counts"])
 
@@ -268,6 +371,13 @@ def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their words' hashes in place of the gaps between them."""
+    for batch in batches:
+        hashes = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64).tobytes() for x in batch.column("slots").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("slots"), "slots", pa.array(hashes, pa.binary()))
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Corpus counts of each block's words, a hash range at a time; rows come ordered by range."""
     rows: list[tuple] = []
@@ -322,10 +432,11 @@ def steps(size: int) -> Iterator[tuple[int, int]]:
         more = min(STEP, at)
 
 
-def mix(sizes: np.ndarray, ways: list[np.ndarray], start: float = START, rate: float = RATE) -> np.ndarray:
+def mix(sizes: np.ndarray, ways: list[np.ndarray], start: float = START, rate: float = RATE, places: list[np.ndarray] | None = None) -> np.ndarray:
     """Natural log-probability of each byte of texts of so many bytes, laid end to end.
 
-    ``ways`` has each context's leanings, and after the last byte's one more row of zeros, which stands past a text's end.
+    ``ways`` has each context's leanings, and after the last byte's one more row of zeros, which stands past a text's end; or
+    ``places`` says where in ``ways`` each byte's row is, and some row for past the end, which moves no text's weights.
     """
     total = int(sizes.sum())
     order = np.argsort(-sizes, kind="stable")
@@ -339,7 +450,8 @@ def mix(sizes: np.ndarray, ways: list[np.ndarray], start: float = START, rate: f
         at = np.arange(a, b)[:, None] + begin[:n]  # the texts' bytes lie side by side
         if length[n - 1] < b:
             at[np.arange(a, b)[:, None] >= length[:n]] = total
-        inputs = [w[at].view(np.int8).reshape(b - a, 8 * n).astype(np.float32) for w in ways]
+        rows = [w[at] for w in ways] if places is None else [w.take(p.take(at)) for w, p in zip(ways, places, strict=True)]
+        inputs = [x.view(np.int8).reshape(b - a, 8 * n).astype(np.float32) for x in rows]
         d = inputs[0] * weights[0][: 8 * n]
         for x, w in zip(inputs[1:], weights[1:], strict=True):
             d += x * w[: 8 * n]
@@ -357,16 +469,25 @@ def mix(sizes: np.ndarray, ways: list[np.ndarray], start: float = START, rate: f
     return out[:-1]
 
 
+def chances(counts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words' probabilities by kind from their counts, the logarithms of these as ``TRUST`` weighs them, and which words have counts."""
+    whole = counts.sum(axis=1, keepdims=True) / max(1, tokens.sum())
+    each = OWN * counts / np.maximum(tokens, 1) + (1 - OWN) * whole
+    known = whole[:, 0] > 0
+    return each, TRUST * np.where(known[:, None], np.log(np.where(known[:, None], each, 1)), 0), known
+
+
 def explained(counts: np.ndarray, tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Natural log-probability of each word from its counts by kind, the kind inferred from the text's words before.
 
     ``tokens`` are all words' counts by kind, ``begin`` as in ``refined``; a word without counts has none (-inf).
     """
-    whole = counts.sum(axis=1, keepdims=True) / max(1, tokens.sum())
-    each = OWN * counts / np.maximum(tokens, 1) + (1 - OWN) * whole
-    known = whole[:, 0] > 0
-    logs = np.where(known[:, None], np.log(np.where(known[:, None], each, 1)), 0)
-    sums = np.concatenate((np.zeros((1, KINDS_OF_TEXT)), np.cumsum(TRUST * logs, axis=0)))[:-1]
+    return inferred(*chances(counts, tokens), tokens, begin)
+
+
+def inferred(each: np.ndarray, logs: np.ndarray, known: np.ndarray, tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """``explained`` of words whose ``chances`` are known."""
+    sums = np.concatenate((np.zeros((1, KINDS_OF_TEXT)), np.cumsum(logs, axis=0)))[:-1]
     before = sums - sums[np.repeat(begin[:-1], np.diff(begin))] if len(sums) else sums
     with np.errstate(divide="ignore"):
         before = before + np.log(tokens / max(1, tokens.sum()))
@@ -392,20 +513,14 @@ def refined(mixed: np.ndarray, counted: np.ndarray, begin: np.ndarray) -> np.nda
 RESULT = "doc_id long, train boolean, n_tokens long, n_known long, known_sum double, score double, bits_per_byte double"
 
 
-def _texts_scores(texts: list[bytes], counted: np.ndarray, sizes: np.ndarray, last: float, finders: list[Finder], leans: list[np.ndarray], width: int) -> np.ndarray:
-    """Natural log-probability of each text; ``counted`` has its words' by their counts, ``last`` the end's.
+def _texts_scores(texts: list[bytes], counted: np.ndarray, sizes: np.ndarray, last: float, leans: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """Natural log-probability of each text; ``counted`` has its words' by their counts, ``last`` the end's;
+    ``leans`` has the leanings by place, and ``places`` each byte's place and one more.
 
     A token is a word with the blank or the end after it; a text without words is its end.
     """
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    ways = [np.zeros(int(lengths.sum()) + 1, np.uint64) for _ in leans]
-    at = 0
-    for a, b in groups(texts, HASHED):
-        to = at + int(lengths[a:b].sum())
-        for way, finder, lean, pairs in zip(ways, finders, leans, Stream(texts[a:b]).pairs(width), strict=True):
-            way[at:to] = lean.take(finder.places(pairs))
-        at = to
-    logs = mix(lengths, ways)
+    logs = mix(lengths, leans, places=places)
     ends = np.concatenate([np.frombuffer(t + b"\0", np.uint8) for t in texts])
     bounds = np.flatnonzero((ends == 32) | (ends == 0)) if b"\0" not in b"".join(texts) else _bounds(texts)
     mixed = np.add.reduceat(logs, np.append(0, bounds[:-1] + 1))
@@ -432,20 +547,22 @@ def _block_scores(row: dict, width: int, kinds: list[int], ends: int) -> pa.Reco
     cuts = segment_starts(np.frombuffer(row["sizes"], np.int64)).tolist()
     data = zstandard.decompress(row["texts"])
     texts = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    tokens = [t.split() for t in texts]
-    hashes, ids = vocabulary(tokens)
-    sizes = np.array([len(t) for t in tokens], np.int64)
-    del tokens
-    where = (hashes >> np.uint64(32)) * np.uint64(row["ranges"]) >> np.uint64(32)
-    order = np.argsort(where, kind="stable")
+    hashes, ids, sizes = vocabulary(texts)
+    order = np.argsort(hashes, kind="stable")
     by_kind = np.zeros((len(hashes), KINDS_OF_TEXT), np.int64)
     back: list[list[bytes]] = [[] for _ in range(PAIRS + len(ORDERS) + 1)]
     for x in sorted(row["back"], key=lambda x: x["part"]):
         back[x["kind"]].append(x["counts"])
     if back[WORDS]:
         by_kind[order] = np.concatenate([_unpacked(x, np.int64) for x in back[WORDS]])
-    finders = [Finder(keys) for keys, _ in block_pairs(texts, np.zeros(len(texts), bool), width)]
-    leans = [np.concatenate([unplanes(x, np.uint64) for x in own]) for own in back[PAIRS:]]
+    met, places = block_places(texts, width)
+    leans = []
+    for own in back[PAIRS:]:
+        keys, which = met.pop(0).ordered()
+        cuts = np.append(np.flatnonzero(np.diff(ranges_of(keys, width, row["ranges"]), prepend=np.uint64((1 << 64) - 1))), len(keys)).tolist()
+        lean = [np.zeros(1, np.uint64), *(unbrief(keys[a:b], x) for a, b, x in zip(cuts, cuts[1:], own, strict=False))]
+        leans.append(np.concatenate(lean)[which])
+    first = segment_starts(np.array([len(t) + 1 for t in texts], np.int64))
     counts = by_kind.sum(axis=1, dtype=np.int64)
     begin = segment_starts(sizes)
     own = np.append(np.log10(counts + 1.0)[ids], 0)
@@ -456,11 +573,12 @@ def _block_scores(row: dict, width: int, kinds: list[int], ends: int) -> pa.Reco
     every = np.array(kinds, float)
     last = np.log(ends / (ends + every.sum())) if ends else -1e4  # a text's end, and that it is none
     more = np.log(every.sum() / (ends + every.sum())) if every.any() else -1e4
+    words = [np.concatenate(x) for x in zip(*(chances(by_kind[a : a + HASHED].astype(float), every) for a in range(0, max(1, len(by_kind)), HASHED)), strict=True)]
+    del by_kind
     for at, to in groups(texts, SCORED):
-        counted = np.concatenate([
-            explained(by_kind[ids[begin[at + a] : begin[at + b]]].astype(float), every, begin[at + a : at + b + 1] - begin[at + a]) for a, b in groups(texts[at:to], HASHED)
-        ]) + more
-        score[at:to] = _texts_scores(texts[at:to], counted, sizes[at:to], last, finders, leans, width) / np.log(10)
+        spans = [(begin[at + a : at + b + 1], ids[begin[at + a] : begin[at + b]]) for a, b in groups(texts[at:to], HASHED)]
+        counted = np.concatenate([inferred(*(x.take(own, axis=0) for x in words), every, span - span[0]) for span, own in spans]) + more
+        score[at:to] = _texts_scores(texts[at:to], counted, sizes[at:to], last, leans, [p[first[at] : first[to] + 1] for p in places]) / np.log(10)
     length = np.array([len(t) + 1 for t in texts])
     return pa.RecordBatch.from_arrays([
         pa.array(row["doc_ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(sizes + 1), pa.array(np.diff(sums)), pa.array(logs), pa.array(score), pa.array(-score * np.log2(10) / length),
@@ -491,11 +609,11 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     counted = stored(rows.mapInArrow(lambda it: _count(it, ranges, width), BLOCKS), "lm-counts")
     pairs = counted.where(F.col("kind") >= PAIRS).select("block", "kind", "part", "slots", "counts").repartition("kind", "part").sortWithinPartitions("kind", "part")
     words = counted.where(F.col("kind") == WORDS).select("block", "part", "slots", "counts").repartition("part").sortWithinPartitions("part")
-    back = stored(words.mapInArrow(_meet, BACK), "lm-words")
+    back = stored(words.mapInArrow(lambda it: _meet(_opened(it)), BACK), "lm-words")
     sums = back.agg(*(F.coalesce(F.sum(F.col("tokens")[k]), F.lit(0)).alias(f"n{k}") for k in range(KINDS_OF_TEXT)), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     kinds = list(sums)[:KINDS_OF_TEXT]
     total, types = sum(kinds) + ends, sums.v + (ends > 0)
-    met = back.select("block", F.lit(WORDS).alias("kind"), "part", "counts").unionByName(pairs.mapInArrow(_lean, LEAN))
+    met = back.select("block", F.lit(WORDS).alias("kind"), "part", "counts").unionByName(pairs.mapInArrow(lambda it: _lean(it, short=True), LEAN))
     lists = met.repartition(ranges, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("back"))  # one entry for each hash range
     blocks = counted.where(F.col("kind") == TEXTS).select("block", "doc_ids", "train", "sizes", "texts", F.lit(ranges).alias("ranges"))
     scored = blocks.repartition(ranges, "block").join(lists, "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, width, kinds, ends), RESULT)

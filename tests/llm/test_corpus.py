@@ -811,3 +811,34 @@ def test_near_duplicates_without_ids_meet_their_own_text_only(spark):
         assert len(got) == 60
         assert len({r.component_id for r in got}) == 1
         assert seen.value == 60
+
+
+def test_lm_leanings_travel_without_what_the_pair_before_says():
+    import numpy as np
+
+    from marginalia.llm import lm
+
+    texts = [lm.canonical(b"%d the cat sat on mat %d and then the dog %d" % (i % 7, i * i % 911, i % 13)) for i in range(4000)] + [b"", b"\0 x"]
+    train = np.arange(len(texts)) % 3 > 0
+    known, places = lm.block_places(texts, 40)
+    pairs = [np.concatenate(p) for p in zip(*(lm.Stream(texts[a:b]).pairs(40) for a, b in lm.groups(texts, lm.HASHED)), strict=True)]
+    learned = np.repeat(train, [len(t) + 1 for t in texts])
+    long = short = 0
+    for own, at, all_pairs, (keys, counts) in zip(known, places, pairs, lm.block_pairs(texts, train, 40), strict=True):
+        plain, which = np.unique(all_pairs, return_inverse=True)
+        assert np.array_equal(keys, plain) and np.array_equal(counts, np.bincount(which[learned], minlength=len(plain)))
+        found, of = own.ordered()
+        assert np.array_equal(found, plain) and np.array_equal(of[at[:-1]], which + 1) and at[-1] == of[0] == 0
+        lean = lm.leanings(keys, counts)
+        assert np.array_equal(lm.unbrief(keys, lm.brief(keys, lean)), lean.view(np.uint64).ravel())
+        long, short = long + len(lm.planes(lean)), short + len(lm.brief(keys, lean))
+    assert short < 0.9 * long
+    small = lm.Places(4)  # its slots change hands at once
+    some = np.arange(1, 60, dtype=np.uint64) * np.uint64(977)
+    again = [small.of(x) for x in (some, some[::-1].copy(), some)]
+    keys, of = small.ordered()
+    assert np.array_equal(keys, some) and all(np.array_equal(of[x], e) for x, e in zip(again, (np.arange(1, 60), np.arange(59, 0, -1), np.arange(1, 60)), strict=True))
+    words = lm.vocabulary([b"a b a", b"", b"c"])
+    assert words[1].tolist() == [0, 1, 0, 2] and words[2].tolist() == [3, 0, 1] and len(words[0]) == 3
+    odd = ["", " ", " a  B\t\n c \x0b", "\x1c x\x85  \u00c9 y\u2003z", None, "a\0b \x1f c", "\u0130 I"]
+    assert lm.canonicals(pa.array(odd, pa.string())) == [lm.canonical((x or "").encode()) for x in odd]
