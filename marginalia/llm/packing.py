@@ -38,7 +38,7 @@ TASKS = 2000
 #: Bits of a bin's number beside what it has left.
 BIN, LOW = 32, (1 << 32) - 1
 #: Bytes of text that are encoded at once; word cores of a generation whose ids a worker keeps; cores encoded at once.
-PART, MEMO, BATCH = 4 << 20, 250_000, 8192
+PART, MEMO, BATCH = 8 << 20, 250_000, 8192
 #: A character that no other joins, and how many cores go between such marks in one text.
 MARK, JOINED = "|", 512
 #: Marks that follow a word of these last letters are apart from it for the tokenizer.

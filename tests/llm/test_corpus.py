@@ -842,3 +842,10 @@ def test_lm_leanings_travel_without_what_the_pair_before_says():
     assert words[1].tolist() == [0, 1, 0, 2] and words[2].tolist() == [3, 0, 1] and len(words[0]) == 3
     odd = ["", " ", " a  B\t\n c \x0b", "\x1c x\x85  \u00c9 y\u2003z", None, "a\0b \x1f c", "\u0130 I"]
     assert lm.canonicals(pa.array(odd, pa.string())) == [lm.canonical((x or "").encode()) for x in odd]
+
+
+def test_packing_meets_words_in_parts_of_eight_megabytes():
+    from marginalia.llm.common import chunks
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["seven words of a text of it " * 1000] * 250)], ["text"])  # 7 MB
+    assert [x.num_rows for x in chunks([batch], "text", packing.PART)] == [250]
