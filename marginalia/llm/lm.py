@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import chunks, give_back, id_remainder, segment_starts, stored, tidy, words_of
+from marginalia.llm.common import bucketed, chunks, give_back, id_remainder, segment_starts, stored, tidy, words_of
 
 #: Contexts: so many last bytes each (7 at most), and the word so far.
 ORDERS = (3, 4)
@@ -55,6 +55,8 @@ BLOCK, SCORED, RANGE = 8 << 20, 4 << 20, 32 << 20
 HASHED, COUNTED = 1 << 16, 1 << 20
 #: Compression of texts.
 CLOSE = 3
+#: Buckets that Spark lets a table have.
+MOST_BUCKETS = 100_000
 #: Zero bytes before each text, as its contexts; one more ends it.
 LEAD = 8
 
@@ -82,31 +84,43 @@ class Stream:
         inside = np.column_stack((np.full(len(texts), LEAD), self.sizes)).ravel()
         self.at = np.flatnonzero(np.repeat(np.tile([False, True], len(texts)), inside))
 
-    def contexts(self) -> Iterator[np.ndarray]:
-        """Each context of the bytes that count: the last bytes as a number, and a sum over the bytes of the word so far."""
+    def last_bytes(self) -> Iterator[np.ndarray]:
+        """For each order the last bytes before each byte that counts, as a number."""
         if not len(self.at):
-            yield from (np.empty(0, np.uint64) for _ in range(len(ORDERS) + 1))
+            yield from (np.empty(0, np.uint64) for _ in ORDERS)
             return
         eight = np.ascontiguousarray(np.ndarray((len(self.data) - LEAD,), "<u8", self.data, strides=(1,))).take(self.at - LEAD)
         for order in ORDERS:
             yield eight >> np.uint64(64 - 8 * order)
-        place = np.arange(len(self.data), dtype=np.int32)
-        first = np.append(np.int32(0), np.maximum.accumulate(np.where(self.data <= 32, place + np.int32(1), np.int32(0)))[:-1])
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.data * POWERS.take((place - first) & 63), dtype=np.uint64)))
-        yield (sums[:-1] - sums.take(first)).take(self.at)
+
+    def bytes(self) -> np.ndarray:
+        return self.data.take(self.at).astype(np.uint64)
 
     def pairs(self, width: int) -> Iterator[np.ndarray]:
         """For each context its hash of ``width`` bits, and the byte in the lowest eight bits."""
-        byte = self.data.take(self.at).astype(np.uint64)
-        for x in self.contexts():
-            x += np.uint64(1)
-            x *= ODD
-            x ^= x >> np.uint64(32)
-            x *= ODD
-            x >>= np.uint64(64 - width)
-            x <<= np.uint64(8)
-            x |= byte
-            yield x
+        byte = self.bytes()
+        for x in (*self.last_bytes(), word_so_far(self.data).take(self.at)):
+            yield paired(x, byte, width)
+
+
+def word_so_far(data: np.ndarray) -> np.ndarray:
+    """For each byte a sum over the bytes of the word before it; bytes up to 32 end words."""
+    place = np.arange(len(data), dtype=np.int32)
+    first = np.append(np.int32(0), np.maximum.accumulate(np.where(data <= 32, place + np.int32(1), np.int32(0))))[:-1]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * POWERS.take((place - first) & 63), dtype=np.uint64)))
+    return sums[:-1] - sums.take(first)
+
+
+def paired(x: np.ndarray, byte: np.ndarray, width: int) -> np.ndarray:
+    """The contexts ``x`` hashed to ``width`` bits, in place, each with its byte."""
+    x += np.uint64(1)
+    x *= ODD
+    x ^= x >> np.uint64(32)
+    x *= ODD
+    x >>= np.uint64(64 - width)
+    x <<= np.uint64(8)
+    x |= byte
+    return x
 
 
 def width_for(size: int) -> int:
@@ -192,36 +206,118 @@ class Places:
         return keys[new], which
 
 
-def block_places(texts: list[bytes], width: int) -> tuple[list[Places], list[np.ndarray]]:
+class Tokens:
+    """A block's distinct words in order of first use, each token's number, and each text's tokens (an empty text has none)."""
+
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+        words = pc.split_pattern(pa.array([t for t in texts if t], pa.binary()), b" ").flatten().dictionary_encode()
+        self.words = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.numbers = words.indices.to_numpy().astype(np.int64)
+        last = np.cumsum(self.sizes)[self.sizes > 0] - 1
+        self.final = np.zeros(len(self.numbers), bool)
+        self.final[last] = True
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+
+
+class WordPlaces:
+    """Places of the pairs whose context is the word so far.  They follow from the word, so each distinct one is looked at once.
+
+    A word has a place for each byte, one for the blank after it and one for the end after it; a blank or an end that no text
+    of the block has there has place 0.  An empty text is the end of an empty word.
+    """
+
+    def __init__(self, tokens: Tokens, width: int):
+        self.tokens = tokens
+        words = [*tokens.words, b""]
+        count = len(words)
+        blank = np.bincount(tokens.numbers[~tokens.final], minlength=count) > 0
+        end = np.bincount(tokens.numbers[tokens.final], minlength=count) > 0
+        end[-1] |= not tokens.sizes.all()
+        self.lengths = np.fromiter(map(len, words), np.int64, count)
+        self.begin = segment_starts(self.lengths + 2)
+        data = np.frombuffer(b"".join((b" \0".join(words), b" \0")), np.uint8)
+        pairs, is_met = np.empty(len(data), np.uint64), np.ones(len(data), bool)
+        is_met[self.begin[1:] - 2], is_met[self.begin[1:] - 1] = blank, end
+        cuts = np.unique(np.searchsorted(self.begin, np.arange(0, len(data), HASHED))).tolist()
+        for a, b in zip(cuts, [*cuts[1:], count], strict=True):
+            a, b = int(self.begin[a]), int(self.begin[b])
+            pairs[a:b] = paired(word_so_far(data[a:b]), data[a:b], width)
+        pairs[self.begin[1:] - 1] = pairs[self.begin[1:] - 2] & ~np.uint64(255)
+        self.keys, which = np.unique(pairs[is_met], return_inverse=True)
+        self.places = np.zeros(len(data), np.int32)
+        self.places[is_met] = which + 1
+
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys, np.arange(len(self.keys) + 1)
+
+    def counts(self, learned: np.ndarray, empty: int) -> np.ndarray:
+        """How often learning texts have each pair: the tokens of ``learned``, and so many empty texts."""
+        t, count = self.tokens, len(self.lengths)
+        met = np.bincount(t.numbers[learned], minlength=count)
+        ends = np.bincount(t.numbers[learned & t.final], minlength=count)
+        times = np.repeat(met, self.lengths + 2)
+        times[self.begin[1:] - 2] = met - ends
+        ends[-1] += empty
+        times[self.begin[1:] - 1] = ends
+        return np.bincount(self.places, times, len(self.keys) + 1)[1:].astype(np.int64)  # whole numbers far below 2^53
+
+    def of_bytes(self, out: np.ndarray) -> None:
+        """The place of each byte of the texts, ends included."""
+        t = self.tokens
+        numbers, final, sizes = t.numbers, t.final, t.sizes
+        if not sizes.all():  # an empty text gets an empty word
+            at = segment_starts(sizes)[:-1][sizes == 0]
+            numbers, final = np.insert(numbers, at, len(self.lengths) - 1), np.insert(final, at, True)
+        to = 0
+        for a in range(0, len(numbers), HASHED):
+            own, last = numbers[a : a + HASHED], final[a : a + HASHED]
+            sizes = self.lengths[own] + 1
+            begin = segment_starts(sizes)
+            at = np.arange(begin[-1])
+            at += np.repeat(self.begin[own] - begin[:-1], sizes)
+            at[begin[1:][last] - 1] += 1
+            self.places.take(at, out=out[to : to + len(at)], mode="clip")
+            to += len(at)
+
+
+def block_places(texts: list[bytes], width: int, tokens: Tokens | None = None) -> tuple[list[Places | WordPlaces], list[np.ndarray]]:
     """For each context the block's pairs, and the place of each byte's, ends included; one more stands past the end."""
-    known = [Places() for _ in range(len(ORDERS) + 1)]
-    places = [np.zeros(sum(len(t) + 1 for t in texts) + 1, np.int32) for _ in known]
+    known = [Places() for _ in ORDERS]
+    places = [np.zeros(sum(len(t) + 1 for t in texts) + 1, np.int32) for _ in (*known, "word")]
     at = 0
     for a, b in groups(texts, HASHED):
         stream = Stream(texts[a:b])
-        to = at + int(stream.sizes.sum())
-        for own, out, pairs in zip(known, places, stream.pairs(width), strict=True):
-            out[at:to] = own.of(pairs)
+        byte, to = stream.bytes(), at + int(stream.sizes.sum())
+        for own, out, x in zip(known, places, stream.last_bytes(), strict=False):
+            out[at:to] = own.of(paired(x, byte, width))
         at = to
-    return known, places
+    by_word = WordPlaces(tokens or Tokens(texts), width)
+    by_word.of_bytes(places[-1][:-1])
+    return [*known, by_word], places
 
 
-def block_pairs(texts: list[bytes], train: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def block_pairs(texts: list[bytes], train: np.ndarray, width: int, tokens: Tokens | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context the block's distinct pairs in order, and how often learning texts have each (perhaps never)."""
-    known = [Places() for _ in range(len(ORDERS) + 1)]
+    known = [Places() for _ in ORDERS]
     totals = [np.zeros(1, np.int64) for _ in known]
     for a, b in groups(texts, COUNTED):
         met: list[list] = [[] for _ in known]
         for c, d in groups(texts[a:b], HASHED):
             stream = Stream(texts[a + c : a + d])
-            learned = np.repeat(train[a + c : a + d], stream.sizes)
-            for own, parts, pairs in zip(known, met, stream.pairs(width), strict=True):
-                parts.append(own.of(pairs)[learned])
+            byte, learned = stream.bytes(), np.repeat(train[a + c : a + d], stream.sizes)
+            for own, parts, x in zip(known, met, stream.last_bytes(), strict=True):
+                parts.append(own.of(paired(x, byte, width))[learned])
         for k, parts in enumerate(met):
             counts = np.bincount(np.concatenate(parts), minlength=known[k].used)
             counts[: len(totals[k])] += totals[k]
             totals[k] = counts
-    return [summed(own.keys, np.append(counts, np.zeros(own.used - len(counts), np.int64))[1:]) for own, counts in zip(known, totals, strict=True)]
+    tokens = tokens or Tokens(texts)
+    by_word = WordPlaces(tokens, width)
+    out = [summed(own.keys, np.append(counts, np.zeros(own.used - len(counts), np.int64))[1:]) for own, counts in zip(known, totals, strict=True)]
+    return [*out, (by_word.keys, by_word.counts(np.repeat(train, tokens.sizes), int((train & (tokens.sizes == 0)).sum())))]
 
 
 def ranges_of(keys: np.ndarray, width: int, ranges: int) -> np.ndarray:
@@ -259,29 +355,43 @@ def _said(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return said, (np.unpackbits((keys & np.uint64(255)).astype(np.uint8)[:, None], axis=1).view(np.int8) * 2 - 1).astype(np.int8)
 
 
+def _alone(said: np.ndarray) -> np.ndarray:
+    """Which bits, from the second on, stand after one that is not said either: with one byte seen there, both lean alike."""
+    return ~(said[:, 1:] | said[:, :-1])
+
+
 def brief(keys: np.ndarray, lean: np.ndarray) -> bytes:
-    """Leanings of pairs in order, without what the pair before says already."""
+    """Leanings of pairs in order, without what the pair before or the bit before says already: which bits differ, and by how much."""
     said, sign = _said(keys)
     one = lean * sign  # the bit's log odds, not those of a mistake
     one[1:] -= one[:-1] * said[1:]
-    return planes((one * sign).view(np.uint64).ravel())
+    one *= sign
+    one[:, 1:] -= one[:, :-1] * _alone(said)
+    which = one != 0
+    bits = zstandard.compress(np.packbits(which, axis=1).tobytes(), 1)
+    return len(bits).to_bytes(4, "little") + bits + zstandard.compress(one[which].tobytes(), 1)
 
 
 def unbrief(keys: np.ndarray, data: bytes) -> np.ndarray:
     said, sign = _said(keys)
-    step = unplanes(data, np.uint64).view(np.int8).reshape(-1, 8) * sign
+    cut = 4 + int.from_bytes(data[:4], "little")
+    which = np.unpackbits(np.frombuffer(zstandard.decompress(data[4:cut]), np.uint8)[:, None], axis=1).view(bool)
+    step = np.zeros((len(keys), 8), np.int8)
+    step[which] = np.frombuffer(zstandard.decompress(data[cut:]), np.int8)
+    alone = _alone(said)
+    for bit in range(1, 8):  # sums go round modulo 256, as int8 does
+        step[:, bit] += step[:, bit - 1] * alone[:, bit - 1]
+    step *= sign
     sums = np.cumsum(step, axis=0, dtype=np.int8)
     first = np.maximum.accumulate(np.where(said, np.int32(0), np.arange(len(keys), dtype=np.int32)[:, None]), axis=0)
-    one = sums - np.take_along_axis(sums - step, first, axis=0)  # modulo 256, as int8 goes round
+    one = sums - np.take_along_axis(sums - step, first, axis=0)
     return (one * sign).view(np.uint64).ravel()
 
 
 def vocabulary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words of canonical texts, in order of first use, each token's number, and each text's tokens."""
-    sizes = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
-    words = pc.split_pattern(pa.array([t for t in texts if t], pa.binary()), b" ").flatten().dictionary_encode()
-    hashes = np.array(list(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist())), np.uint64)
-    return hashes, words.indices.to_numpy().astype(np.int64), sizes
+    tokens = Tokens(texts)
+    return tokens.hashes(), tokens.numbers, tokens.sizes
 
 
 BLOCKS = "block long, doc_ids array<long>, train array<boolean>, sizes binary, texts binary, part int, slots binary, counts binary, kind int"
@@ -317,7 +427,8 @@ def _count(batches: Iterator[pa.RecordBatch], ranges: int, width: int) -> Iterat
         texts = canonicals(batch.column("text"))
         train = np.asarray(batch.column("train"), bool)
         ids = batch.column("doc_id").to_pylist()
-        hashes, numbers, lengths = vocabulary(texts)
+        tokens = Tokens(texts)
+        hashes, numbers, lengths = tokens.hashes(), tokens.numbers, tokens.sizes
         learned = np.repeat(train, lengths)
         own = np.repeat(batch.column("kind").to_numpy(), lengths)[learned]
         counts = np.bincount(numbers[learned] * KINDS_OF_TEXT + own, minlength=len(hashes) * KINDS_OF_TEXT).astype(np.uint32).reshape(-1, KINDS_OF_TEXT)
@@ -330,7 +441,7 @@ def _count(batches: Iterator[pa.RecordBatch], ranges: int, width: int) -> Iterat
             pick = order[cuts[r] : cuts[r + 1]]
             if len(pick):
                 yield _row(kind=WORDS, block=block, part=r, slots=planes(np.diff(hashes[pick], prepend=np.uint64(0))), counts=_packed(counts[pick]))
-        for k, (keys, counts) in enumerate(block_pairs(texts, train, width)):
+        for k, (keys, counts) in enumerate(block_pairs(texts, train, width, tokens)):
             where = ranges_of(keys, width, ranges)
             cuts = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(keys) else [], len(keys)).astype(int).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -547,15 +658,17 @@ def _block_scores(row: dict, width: int, kinds: list[int], ends: int) -> pa.Reco
     cuts = segment_starts(np.frombuffer(row["sizes"], np.int64)).tolist()
     data = zstandard.decompress(row["texts"])
     texts = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    hashes, ids, sizes = vocabulary(texts)
-    order = np.argsort(hashes, kind="stable")
-    by_kind = np.zeros((len(hashes), KINDS_OF_TEXT), np.int64)
+    tokens = Tokens(texts)
+    ids, sizes = tokens.numbers, tokens.sizes
+    order = np.argsort(tokens.hashes(), kind="stable")
+    by_kind = np.zeros((len(order), KINDS_OF_TEXT), np.int64)
     back: list[list[bytes]] = [[] for _ in range(PAIRS + len(ORDERS) + 1)]
     for x in sorted(row["back"], key=lambda x: x["part"]):
         back[x["kind"]].append(x["counts"])
     if back[WORDS]:
         by_kind[order] = np.concatenate([_unpacked(x, np.int64) for x in back[WORDS]])
-    met, places = block_places(texts, width)
+    met, places = block_places(texts, width, tokens)
+    del tokens
     leans = []
     for own in back[PAIRS:]:
         keys, which = met.pop(0).ordered()
@@ -605,8 +718,8 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", kind.alias("kind"), (id_remainder(F.col("doc_id"), modulus) != held).alias("train"))
     known = rows.agg(F.count_if("train").alias("ends"), F.sum(F.octet_length("text")).alias("bytes")).first()  # one end for each learning text
     ends, ranges = known.ends, max(64, -(-(known.bytes or 0) // RANGE))
-    width = width_for(known.bytes or 0)
-    counted = stored(rows.mapInArrow(lambda it: _count(it, ranges, width), BLOCKS), "lm-counts")
+    width, homes = width_for(known.bytes or 0), min(ranges, MOST_BUCKETS)
+    counted = bucketed(rows.mapInArrow(lambda it: _count(it, ranges, width), BLOCKS), "lm-counts", homes, "block")  # texts stay where they are
     pairs = counted.where(F.col("kind") >= PAIRS).select("block", "kind", "part", "slots", "counts").repartition("kind", "part").sortWithinPartitions("kind", "part")
     words = counted.where(F.col("kind") == WORDS).select("block", "part", "slots", "counts").repartition("part").sortWithinPartitions("part")
     back = stored(words.mapInArrow(lambda it: _meet(_opened(it)), BACK), "lm-words")
@@ -614,9 +727,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     kinds = list(sums)[:KINDS_OF_TEXT]
     total, types = sum(kinds) + ends, sums.v + (ends > 0)
     met = back.select("block", F.lit(WORDS).alias("kind"), "part", "counts").unionByName(pairs.mapInArrow(lambda it: _lean(it, short=True), LEAN))
-    lists = met.repartition(ranges, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("back"))  # one entry for each hash range
+    lists = met.repartition(homes, "block").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("back"))  # one entry for each hash range
     blocks = counted.where(F.col("kind") == TEXTS).select("block", "doc_ids", "train", "sizes", "texts", F.lit(ranges).alias("ranges"))
-    scored = blocks.repartition(ranges, "block").join(lists, "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, width, kinds, ends), RESULT)
+    scored = blocks.join(lists.hint("merge"), "block", "left").select("doc_ids", "train", "sizes", "texts", "ranges", "back").mapInArrow(lambda it: _score(it, width, kinds, ends), RESULT)
     bottom = F.log10(F.lit(float(total + types + 1)))
     end = F.log10(F.lit(float(ends + 1)))
     return scored.select(

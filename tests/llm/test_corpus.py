@@ -849,3 +849,47 @@ def test_packing_meets_words_in_parts_of_eight_megabytes():
 
     batch = pa.RecordBatch.from_arrays([pa.array(["seven words of a text of it " * 1000] * 250)], ["text"])  # 7 MB
     assert [x.num_rows for x in chunks([batch], "text", packing.PART)] == [250]
+
+
+def test_lm_texts_stay_where_they_are(spark):
+    """Blocks of texts are stored by the buckets that their leanings are dealt to, and not dealt again."""
+    tables = {r.tableName for r in spark.sql("SHOW TABLES").collect()}
+    scored = lm.score(frame(spark, ["a b", "c", None]).repartition(2))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1 and "SelectedBucketsCount: 64 out of 64" in plan
+    assert scored.count() == 3 and {r.tableName for r in spark.sql("SHOW TABLES").collect()} == tables
+
+
+def test_lm_distinct_words_are_looked_at_once():
+    texts = [b"the cat", b"", b"a\0b the \x1f c", b"cat  the ", b"\xc3\xa9 a\x01"]
+    train = np.array([True, True, False, True, False])
+    once = lm.WordPlaces(lm.Tokens(texts), 40)
+    many = lm.WordPlaces(lm.Tokens(texts * 50), 40)
+    assert np.array_equal(once.places, many.places) and np.array_equal(once.keys, many.keys)
+    for own, learn in ((texts, train), (texts[1:2], train[1:2]), ([], train[:0]), (texts * 50, np.tile(train, 50))):
+        *_, plain = lm.Stream(own).pairs(40)
+        *_, (keys, counts) = lm.block_pairs(own, learn, 40)
+        known, places = lm.block_places(own, 40)
+        names, which = np.unique(plain, return_inverse=True)
+        learned = np.repeat(learn, [len(t) + 1 for t in own])
+        assert np.array_equal(keys, names) and np.array_equal(counts, np.bincount(which[learned], minlength=len(names)))
+        found, of = known[-1].ordered()
+        assert np.array_equal(found, names) and np.array_equal(of[places[-1][:-1]], which + 1) and places[-1][-1] == 0
+
+
+def test_lm_leanings_travel_without_what_the_bit_before_says():
+    made = np.random.default_rng(5)
+    contexts = np.sort(made.integers(0, 1 << 40, 4000).astype(np.uint64))
+    keys = np.unique(np.concatenate([contexts[:n] << np.uint64(8) | made.integers(97, 123, n).astype(np.uint64) for n in (4000, 1000)]))
+    lean = lm.leanings(keys, made.geometric(0.3, len(keys)))
+    said, sign = lm._said(keys)
+    one = lean * sign
+    one[1:] -= one[:-1] * said[1:]
+    assert len(lm.brief(keys, lean)) < 0.8 * len(lm.planes((one * sign).view(np.uint64).ravel()))  # as they travelled before
+    wild = made.integers(-127, 128, lean.shape).astype(np.int8)
+    wild[1:] = np.where(said[1:], 0, wild[1:])
+    for k in range(1, len(keys)):  # what is said is the same node's
+        wild[k] = np.where(said[k], wild[k - 1] * sign[k - 1] * sign[k], wild[k])
+    for x in (lean, wild):
+        assert np.array_equal(lm.unbrief(keys, lm.brief(keys, x)), np.ascontiguousarray(x).view(np.uint64).ravel())
+    assert len(lm.unbrief(keys[:0], lm.brief(keys[:0], lean[:0]))) == 0
