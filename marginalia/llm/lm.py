@@ -89,10 +89,14 @@ class Stream:
         if not len(self.at):
             yield from (np.empty(0, np.uint64) for _ in ORDERS)
             return
-        eight = np.ascontiguousarray(np.ndarray((len(self.data) - LEAD,), "<u8", self.data, strides=(1,))).take(self.at - LEAD)
+        eight = self.before(self.at)
         for order in ORDERS:
             yield eight >> np.uint64(64 - 8 * order)
 
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes before each of these places, as a number."""
+        return np.ndarray((len(self.data) - LEAD,), "<u8", self.data, strides=(1,))[at - LEAD]
+
     def bytes(self) -> np.ndarray:
         return self.data.take(self.at).astype(np.uint64)
 
@@ -197,13 +201,93 @@ class Places:
             fresh, at = fresh[rest], at[rest]
 
     def ordered(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct pairs in order, and for each place which of them it is, counted from 1; place 0 is 0."""
-        order = np.argsort(self.keys)
-        keys = self.keys[order]
-        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-        which = np.zeros(self.used, np.int32)
-        which[1:][order] = np.cumsum(new)
-        return keys[new], which
+        return ordered(self.keys)
+
+
+def ordered(all_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and for each place which of them it is, counted from 1; place 0 is 0."""
+    order = np.argsort(all_keys)
+    keys = all_keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    which = np.zeros(len(keys) + 1, np.int32)
+    which[1:][order] = np.cumsum(new)
+    return keys[new], which
+
+
+class Chained:
+    """A block's pairs of one of ``ORDERS`` and their places, as ``Places`` has them."""
+
+    def __init__(self):
+        self.table, self.parts, self.used = np.zeros(0, np.int32), [], 1
+        self.more: Places | None = None  # where the table would be too large
+
+    @property
+    def keys(self) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint64), *self.parts, *([self.more.keys] if self.more else [])])
+
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        return ordered(self.keys)
+
+
+class Chains:
+    """Places of pairs whose contexts are the last bytes.
+
+    A pair of a context one byte longer is the shorter one's place and that byte, so that a plain table has its place, and only
+    new pairs are hashed.  From where a table would be too large, pairs are found by ``Places``; they may get second places.
+    """
+
+    MOST = 1 << 24
+
+    def __init__(self, texts: list[bytes], width: int):
+        seen = np.zeros(256, np.int64)
+        for a, b in groups(texts, COUNTED):
+            seen += np.bincount(np.frombuffer(b"".join(texts[a:b]), np.uint8), minlength=256)
+        seen[0] += 1
+        self.width, self.codes, self.bytes = width, np.empty(256, np.int64), int(np.count_nonzero(seen))
+        self.codes[np.argsort(-seen, kind="stable")] = np.arange(256)  # frequent ones lie together
+        self.threes, self.used = np.zeros(self.bytes**3, np.int32), 1
+        self.known = {order: Chained() for order in range(3, max(ORDERS) + 1)}
+
+    def of(self, stream: Stream) -> list[np.ndarray]:
+        if not len(stream.at):
+            return [np.empty(0, np.int32) for _ in ORDERS]
+        code, many, at, out = self.codes.take(stream.data), self.bytes, stream.at, {}
+        slots = ((code[:-2] * many + code[1:-1]) * many + code[2:]).take(at - 2)
+        places = self.threes.take(slots)
+        new = np.flatnonzero(places == 0)
+        if len(new):
+            fresh = np.unique(slots[new])
+            self.threes[fresh] = np.arange(self.used, self.used + len(fresh))
+            self.used += len(fresh)
+            places[new] = self.threes.take(slots[new])
+        most = self.used
+        for order, own in self.known.items():
+            if own.more is None and most * many > self.MOST:
+                own.more, own.table = Places(), np.zeros(0, np.int32)
+            if own.more is not None:
+                places = own.more.of(self._pairs(stream, at, order))
+                places[places > 0] += own.used - 1
+                most = self.MOST + 1
+            else:
+                if len(own.table) < most * many:
+                    table, own.table = own.table, np.zeros(min(self.MOST, 2 * most * many), np.int32)
+                    own.table[: len(table)] = table
+                slots = np.multiply(places, many, dtype=np.int64)
+                slots += code.take(at - order)
+                places = own.table.take(slots)
+                new = np.flatnonzero(places == 0)
+                if len(new):
+                    fresh, first = np.unique(slots[new], return_index=True)
+                    own.table[fresh] = np.arange(own.used, own.used + len(fresh))
+                    own.used += len(fresh)
+                    own.parts.append(self._pairs(stream, at[new[first]], order))
+                    places[new] = own.table.take(slots[new])
+                most = own.used
+            out[order] = places
+        return [out[order] for order in ORDERS]
+
+    def _pairs(self, stream: Stream, at: np.ndarray, order: int) -> np.ndarray:
+        return paired(stream.before(at) >> np.uint64(64 - 8 * order), stream.data.take(at).astype(np.uint64), self.width)
 
 
 class Tokens:
@@ -246,9 +330,11 @@ class WordPlaces:
             a, b = int(self.begin[a]), int(self.begin[b])
             pairs[a:b] = paired(word_so_far(data[a:b]), data[a:b], width)
         pairs[self.begin[1:] - 1] = pairs[self.begin[1:] - 2] & ~np.uint64(255)
-        self.keys, which = np.unique(pairs[is_met], return_inverse=True)
+        pairs = pairs[is_met]
+        keys = np.sort(pairs)
+        self.keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
         self.places = np.zeros(len(data), np.int32)
-        self.places[is_met] = which + 1
+        self.places[is_met] = Finder(self.keys).places(pairs) + 1
 
     def ordered(self) -> tuple[np.ndarray, np.ndarray]:
         return self.keys, np.arange(len(self.keys) + 1)
@@ -283,40 +369,42 @@ class WordPlaces:
             to += len(at)
 
 
-def block_places(texts: list[bytes], width: int, tokens: Tokens | None = None) -> tuple[list[Places | WordPlaces], list[np.ndarray]]:
+def block_places(texts: list[bytes], width: int, tokens: Tokens | None = None) -> tuple[list[Chained | WordPlaces], list[np.ndarray]]:
     """For each context the block's pairs, and the place of each byte's, ends included; one more stands past the end."""
-    known = [Places() for _ in ORDERS]
-    places = [np.zeros(sum(len(t) + 1 for t in texts) + 1, np.int32) for _ in (*known, "word")]
+    chains = Chains(texts, width)
+    places = [np.zeros(sum(len(t) + 1 for t in texts) + 1, np.int32) for _ in (*ORDERS, "word")]
     at = 0
     for a, b in groups(texts, HASHED):
         stream = Stream(texts[a:b])
-        byte, to = stream.bytes(), at + int(stream.sizes.sum())
-        for own, out, x in zip(known, places, stream.last_bytes(), strict=False):
-            out[at:to] = own.of(paired(x, byte, width))
+        to = at + int(stream.sizes.sum())
+        for out, x in zip(places, chains.of(stream), strict=False):
+            out[at:to] = x
         at = to
     by_word = WordPlaces(tokens or Tokens(texts), width)
     by_word.of_bytes(places[-1][:-1])
-    return [*known, by_word], places
+    return [*(chains.known[order] for order in ORDERS), by_word], places
 
 
 def block_pairs(texts: list[bytes], train: np.ndarray, width: int, tokens: Tokens | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context the block's distinct pairs in order, and how often learning texts have each (perhaps never)."""
-    known = [Places() for _ in ORDERS]
-    totals = [np.zeros(1, np.int64) for _ in known]
+    chains = Chains(texts, width)
+    totals = [np.zeros(1, np.int64) for _ in ORDERS]
     for a, b in groups(texts, COUNTED):
-        met: list[list] = [[] for _ in known]
+        met: list[list] = [[] for _ in ORDERS]
         for c, d in groups(texts[a:b], HASHED):
             stream = Stream(texts[a + c : a + d])
-            byte, learned = stream.bytes(), np.repeat(train[a + c : a + d], stream.sizes)
-            for own, parts, x in zip(known, met, stream.last_bytes(), strict=True):
-                parts.append(own.of(paired(x, byte, width))[learned])
+            learned = np.repeat(train[a + c : a + d], stream.sizes)
+            for parts, x in zip(met, chains.of(stream), strict=True):
+                parts.append(x[learned])
         for k, parts in enumerate(met):
-            counts = np.bincount(np.concatenate(parts), minlength=known[k].used)
+            counts = np.bincount(np.concatenate(parts), minlength=len(totals[k]))
             counts[: len(totals[k])] += totals[k]
             totals[k] = counts
-    tokens = tokens or Tokens(texts)
+    tokens, out = tokens or Tokens(texts), []
+    for order, counts in zip(ORDERS, totals, strict=True):
+        keys = chains.known[order].keys
+        out.append(summed(keys, np.append(counts, np.zeros(len(keys) + 1 - len(counts), np.int64))[1:]))
     by_word = WordPlaces(tokens, width)
-    out = [summed(own.keys, np.append(counts, np.zeros(own.used - len(counts), np.int64))[1:]) for own, counts in zip(known, totals, strict=True)]
     return [*out, (by_word.keys, by_word.counts(np.repeat(train, tokens.sizes), int((train & (tokens.sizes == 0)).sum())))]
 
 
@@ -598,13 +686,25 @@ def explained(counts: np.ndarray, tokens: np.ndarray, begin: np.ndarray) -> np.n
 
 def inferred(each: np.ndarray, logs: np.ndarray, known: np.ndarray, tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """``explained`` of words whose ``chances`` are known."""
-    sums = np.concatenate((np.zeros((1, KINDS_OF_TEXT)), np.cumsum(logs, axis=0)))[:-1]
-    before = sums - sums[np.repeat(begin[:-1], np.diff(begin))] if len(sums) else sums
+    if not len(logs):
+        return np.empty(0)
+    logs, each = np.ascontiguousarray(logs.T), np.ascontiguousarray(each.T)  # kinds lie one after the other
+    before = np.zeros_like(logs)
+    np.cumsum(logs[:, :-1], axis=1, out=before[:, 1:])
+    before -= np.repeat(before.take(begin[:-1][np.diff(begin) > 0], axis=1), np.diff(begin)[np.diff(begin) > 0], axis=1)
     with np.errstate(divide="ignore"):
-        before = before + np.log(tokens / max(1, tokens.sum()))
-        before = before - before.max(axis=1, keepdims=True, initial=-np.inf) if len(before) else before
-        part = np.exp(before)
-        return np.where(known, np.log((part * each).sum(axis=1) / np.maximum(part.sum(axis=1), 1e-300)), -np.inf)
+        before += np.log(tokens / max(1, tokens.sum()))[:, None]
+        before -= before.max(axis=0)
+        part = np.exp(before, out=before)
+        each *= part
+        return np.where(known, np.log(_over_kinds(each) / np.maximum(_over_kinds(part), 1e-300)), -np.inf)
+
+
+def _over_kinds(x: np.ndarray) -> np.ndarray:
+    """The sum of each column, two and two, as numpy adds eight numbers that lie side by side."""
+    while len(x) > 1:
+        x = x[::2] + x[1::2]
+    return x[0]
 
 
 def refined(mixed: np.ndarray, counted: np.ndarray, begin: np.ndarray) -> np.ndarray:

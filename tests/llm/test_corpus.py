@@ -893,3 +893,36 @@ def test_lm_leanings_travel_without_what_the_bit_before_says():
     for x in (lean, wild):
         assert np.array_equal(lm.unbrief(keys, lm.brief(keys, x)), np.ascontiguousarray(x).view(np.uint64).ravel())
     assert len(lm.unbrief(keys[:0], lm.brief(keys[:0], lean[:0]))) == 0
+
+
+@pytest.mark.parametrize("most", [0, 3000, 10_000, 1 << 24])
+def test_lm_last_bytes_are_found_by_chained_tables(monkeypatch, most):
+    """A pair's place is that of the context one byte shorter and one byte more; tables that grow too large give way to hashes."""
+    monkeypatch.setattr(lm.Chains, "MOST", most)
+    monkeypatch.setattr(lm, "HASHED", 200)
+    made = random.Random(3)
+    texts = [bytes(made.choices(b"ab\0 \xc3\xa9xyz", k=made.randrange(60))) for _ in range(60)] + [b"", b"abab ab"]
+    train = np.arange(len(texts)) % 3 > 0
+    learned = np.repeat(train, [len(t) + 1 for t in texts])
+    known, places = lm.block_places(texts, 40)
+    for own, at, plain, (keys, counts) in zip(known, places, lm.Stream(texts).pairs(40), lm.block_pairs(texts, train, 40), strict=True):
+        names, which = np.unique(plain, return_inverse=True)
+        found, of = own.ordered()
+        assert np.array_equal(found, names) and np.array_equal(of[at[:-1]], which + 1) and at[-1] == of[0] == 0
+        assert np.array_equal(keys, names) and np.array_equal(counts, np.bincount(which[learned], minlength=len(names)))
+    assert (known[0].more is None) == (most > 3000) and (known[1].more is None) == (most > 10_000)
+
+
+def test_lm_kinds_are_summed_as_side_by_side():
+    made = np.random.default_rng(2)
+    counts, begin = made.integers(0, 9, (50, lm.KINDS_OF_TEXT)).astype(float), np.array([0, 0, 20, 20, 49, 50])
+    counts[7] = 0
+    tokens = counts.sum(axis=0)
+    each, logs, known = lm.chances(counts, tokens)
+    want = []
+    for a, b in zip(begin, begin[1:], strict=False):
+        for i in range(a, b):
+            part = np.exp(logs[a:i].sum(axis=0)) * tokens
+            want.append(np.log((part * each[i]).sum() / part.sum()) if known[i] else -np.inf)
+    assert lm.inferred(each, logs, known, tokens, begin) == pytest.approx(want)
+    assert len(lm.inferred(each[:0], logs[:0], known[:0], tokens, np.array([0, 0]))) == 0
