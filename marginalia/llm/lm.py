@@ -43,6 +43,8 @@ SCALE = 12.0
 START, RATE = 0.35, 0.01
 #: Bytes after which weights move, but for a text's first ones, where they move sooner.
 STEP = 32
+#: Texts that are mixed side by side, to stay near the processor.
+SIDE = 192
 #: Log odds of a mistake that a bit may have at most, either way.
 SURE = 10.0
 #: Kinds of learning texts (by the hash of their language), a kind's part in its words' probability, and how much a token before counts.
@@ -466,14 +468,16 @@ def unbrief(keys: np.ndarray, data: bytes) -> np.ndarray:
     which = np.unpackbits(np.frombuffer(zstandard.decompress(data[4:cut]), np.uint8)[:, None], axis=1).view(bool)
     step = np.zeros((len(keys), 8), np.int8)
     step[which] = np.frombuffer(zstandard.decompress(data[cut:]), np.int8)
-    alone = _alone(said)
-    for bit in range(1, 8):  # sums go round modulo 256, as int8 does
-        step[:, bit] += step[:, bit - 1] * alone[:, bit - 1]
-    step *= sign
-    sums = np.cumsum(step, axis=0, dtype=np.int8)
-    first = np.maximum.accumulate(np.where(said, np.int32(0), np.arange(len(keys), dtype=np.int32)[:, None]), axis=0)
-    one = sums - np.take_along_axis(sums - step, first, axis=0)
-    return (one * sign).view(np.uint64).ravel()
+    step, said, sign = (np.ascontiguousarray(x.T) for x in (step, said, sign))
+    out = np.empty((len(keys), 8), np.int8)
+    for bit in range(8):
+        if bit:
+            step[bit] += step[bit - 1] * ~(said[bit] | said[bit - 1])
+        one = step[bit] * sign[bit]
+        sums, start = np.cumsum(one, dtype=np.int8), np.flatnonzero(~said[bit])  # sums go round modulo 256, as int8 does
+        sums -= np.repeat(sums[start] - one[start], np.diff(start, append=len(keys)))
+        out[:, bit] = sums * sign[bit]
+    return out.view(np.uint64).ravel()
 
 
 def vocabulary(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -638,33 +642,37 @@ def mix(sizes: np.ndarray, ways: list[np.ndarray], start: float = START, rate: f
     ``places`` says where in ``ways`` each byte's row is, and some row for past the end, which moves no text's weights.
     """
     total = int(sizes.sum())
-    order = np.argsort(-sizes, kind="stable")
-    begin, length = segment_starts(sizes)[order], sizes[order]
+    order, starts = np.argsort(-sizes, kind="stable"), segment_starts(sizes)
     ways = [w.view(np.uint64).ravel() for w in ways]
-    weights = [np.full(8 * len(sizes), start / SCALE, np.float32) for _ in ways]  # along the log odds of a mistake
     down = np.float32(-rate / SCALE / SCALE)
     out = np.empty(total + 1)
-    for a, b in steps(int(length[0]) if len(length) else 0):
-        n = int(np.searchsorted(-length, -a, side="left"))  # texts that are longer than a
-        at = np.arange(a, b)[:, None] + begin[:n]  # the texts' bytes lie side by side
-        if length[n - 1] < b:
-            at[np.arange(a, b)[:, None] >= length[:n]] = total
-        rows = [w[at] for w in ways] if places is None else [w.take(p.take(at)) for w, p in zip(ways, places, strict=True)]
-        inputs = [x.view(np.int8).reshape(b - a, 8 * n).astype(np.float32) for x in rows]
-        d = inputs[0] * weights[0][: 8 * n]
-        for x, w in zip(inputs[1:], weights[1:], strict=True):
-            d += x * w[: 8 * n]
-        np.clip(d, -SURE, SURE, out=d)
-        np.exp(d, out=d)
-        m = d + 1
-        d /= m
-        d *= down
-        while m.shape[1] > n:  # the product of each byte's eight
-            m = m[:, ::2] * m[:, 1::2]
-        out[at] = -np.log(m)
-        for x, w in zip(inputs, weights, strict=True):
-            x *= d
-            w[: 8 * n] += x.sum(axis=0)
+    room = [np.empty(8 * STEP * min(SIDE, len(sizes)), np.float32) for _ in range(len(ways) + 2)]
+    for first in range(0, len(order), SIDE):
+        own = order[first : first + SIDE]
+        begin, length = starts[own], sizes[own]
+        weights = [np.full(8 * len(own), start / SCALE, np.float32) for _ in ways]  # along the log odds of a mistake
+        for a, b in steps(int(length[0])):
+            n = int(np.searchsorted(-length, -a, side="left"))  # texts that are longer than a
+            at = np.arange(a, b)[:, None] + begin[:n]  # the texts' bytes lie side by side
+            if length[n - 1] < b:
+                at[np.arange(a, b)[:, None] >= length[:n]] = total
+            *inputs, d, m = (x[: 8 * n * (b - a)].reshape(b - a, 8 * n) for x in room)
+            for k, (x, w) in enumerate(zip(inputs, ways, strict=True)):
+                x[:] = w.take(at if places is None else places[k].take(at)).view(np.int8).reshape(x.shape)
+            np.multiply(inputs[0], weights[0][: 8 * n], out=d)
+            for x, w in zip(inputs[1:], weights[1:], strict=True):
+                d += np.multiply(x, w[: 8 * n], out=m)
+            np.clip(d, -SURE, SURE, out=d)
+            np.exp(d, out=d)
+            np.add(d, 1, out=m)
+            d /= m
+            d *= down
+            while m.shape[1] > n:  # the product of each byte's eight
+                m = m[:, ::2] * m[:, 1::2]
+            out[at] = -np.log(m)
+            for x, w in zip(inputs, weights, strict=True):
+                x *= d
+                w[: 8 * n] += x.sum(axis=0)
     return out[:-1]
 
 
