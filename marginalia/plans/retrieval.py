@@ -206,12 +206,12 @@ def citation_list(spark, sf):
 # -- over a stored index
 
 
-def _index(spark, sf):
+def _index(spark, sf, write=I.write, held="postings"):
     """An index of documents and embeddings, written to the shared folder and read back."""
     path = new_path(spark, "index")
-    I.write(table(spark, sf, "documents"), "doc_id", X.tokens(F.col("text")), path, payload=["source", "lang", "n_chars"])
+    write(table(spark, sf, "documents"), "doc_id", X.tokens(F.col("text")), path, payload=["source", "lang", "n_chars"])
     I.write_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", path)
-    return I.read(spark, path, "docs", "postings", "terms", "stats", "vectors", "cells")
+    return I.read(spark, path, "docs", held, "terms", "stats", "vectors", "cells")
 
 
 def _asked(spark, sf):
@@ -240,8 +240,7 @@ def _weighed(index, fused, nudge):
     return rows.select("query_id", F.col("key").alias("id"), "source", "lang", F.round(F.col("score") * soft * R.source_weight(kind) * level + nudge, 9).alias("score"))
 
 
-def _answers(index, terms, vectors, nudge=0.0):
-    lists = [I.lexical(index, terms, 20)[0], I.dense(index, vectors, 20)[0]]
+def _answers(index, lists, nudge=0.0):
     best = J.first_by(_weighed(index, I.fused(lists), nudge), ["query_id", "source"], F.desc("score"), F.col("id"))
     return J.first_n(best, ["query_id"], R.FUSED, F.desc("score"), F.col("id"), rank="rank")
 
@@ -249,7 +248,8 @@ def _answers(index, terms, vectors, nudge=0.0):
 @query(SQL["hybrid_search"])
 def indexed_hybrid_search(spark, sf):
     """As hybrid_search, from the stored index: no text is read for a question."""
-    return _answers(_index(spark, sf), *_asked(spark, sf)).drop("query_id")
+    index, (terms, vectors) = _index(spark, sf), _asked(spark, sf)
+    return _answers(index, [I.lexical(index, terms, 20)[0], I.dense(index, vectors, 20)[0]]).drop("query_id")
 
 
 @query(r"""
@@ -273,10 +273,13 @@ def indexed_hybrid_search(spark, sf):
     SELECT query_id, id, source, lang, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM g QUALIFY rank <= 20""")
 def batch_hybrid_search(spark, sf):
     """Every user turn as a question, with its conversation's vector where there is one, in one plan over the stored index."""
+    index = _index(spark, sf, I.write_forward, "forward")
     turns = table(spark, sf, "conversations").where("role = 'user'").withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
     terms = turns.select("query_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("vector"))
-    return _answers(_index(spark, sf), terms, turns.select("query_id", "conv_id").join(vectors, "conv_id"), 1e-12)
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = I.dense(index, vectors.join(turns.select(F.col("conv_id").alias("query_id")), "query_id", "left_semi"), 20)[0]  # once for all of a conversation's turns
+    near = turns.select("query_id", "conv_id").join(near.withColumnRenamed("query_id", "conv_id"), "conv_id").drop("conv_id")
+    return _answers(index, [I.lexical_all(index, terms, 20), near], 1e-12)
 
 
 @query("""
