@@ -145,3 +145,33 @@ def test_pairs_are_laid_out_in_tiles_of_bounded_size(monkeypatch):
     score, which = Z.best(left, right, 70.0)
     assert max(n for n, _ in sizes) <= 256 and max(m for _, m in sizes) <= 1024
     assert (score == 100).all() and which.tolist() == list(range(300))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sifted_texts_equal_tiled_ones(seed, monkeypatch):
+    """Words that repeat, ties, untidy and long texts: the same matches, with few pairs scored."""
+    rng = random.Random(seed)
+    letters = ("abc", "etaoin")[seed % 2]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(40)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))
+    left = [*some(rng, 20), *(text() for _ in range(40)), "a  b", " ab", "z" * 230, ""]
+    right = [*some(rng, 30), *(text() for _ in range(60)), *(changed(rng, t) for t in left), "b\ta", "z" * 231]
+    want = {floor: Z.tiled(left, right, floor) for floor in (0.1, 70.0, 80.0)}
+    monkeypatch.setattr(Z, "FEW_PAIRS", 0)
+    monkeypatch.setattr(Z, "ROWS", 7)
+    monkeypatch.setattr(Z, "COLUMNS", 11)
+    monkeypatch.setattr(Z, "CHARACTERS", (160, 12)[seed // 3])
+    for floor, (score, which) in want.items():
+        got = Z.best(left, right, floor)
+        assert got[0].tolist() == score.tolist() and got[1].tolist() == which.tolist()
+
+
+def test_few_pairs_of_many_are_scored(monkeypatch):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 11))) for _ in range(3000)]
+    text = lambda: " ".join(["the", *(rng.choice(words) for _ in range(rng.randrange(4, 12)))])
+    left, right, scored, common = [text() for _ in range(400)], [text() for _ in range(1500)], [], Z.common
+    monkeypatch.setattr(Z, "common", lambda p, i, *more: scored.append(len(i)) or common(p, i, *more))
+    score, which = Z.best(left, right, 70.0)
+    assert sum(scored) < 0.02 * len(left) * len(right)
+    assert (score[:40] == Z.tiled(left[:40], right, 70.0)[0]).all() and (which[:40] == Z.tiled(left[:40], right, 70.0)[1]).all()
