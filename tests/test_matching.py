@@ -63,3 +63,12 @@ def test_names_by_three_tiers(spark):
         if tiers:
             want[q] = (min(tiers)[2], min(tiers)[0])
     assert got == want
+
+
+def test_only_first_words_meet_the_labels(spark, sf):
+    """Texts are cut before the join, not after it."""
+    from marginalia.plans import joins as P
+
+    for how in ("left_anti", "left_semi"):
+        plan = P._keyed(spark, sf, how)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("regexp_extract")
